@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+from pvspark.llm import licenses
 from pvspark.llm.decontaminate import op3_decontaminate
 from pvspark.llm.embeddings import op4_embedding_dedup
 from pvspark.llm.jaccard_join import op8_jaccard_join
+from pvspark.llm.licenses import op2_license_scan
 from pvspark.llm.packing import op9_best_fit_packing
+from pvspark.llm.pii import op1_pii
+from pvspark.llm.quality import op10_quality
 from pvspark.llm.secrets_scan import op5_secrets
+from pvspark.llm.toxicity import op6_toxicity
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_decontaminate, op4_embedding_dedup, op5_secrets, op8_jaccard_join, op9_best_fit_packing)}
+    every = (op1_pii, op2_license_scan, op3_decontaminate, op4_embedding_dedup, op5_secrets, op6_toxicity, op8_jaccard_join, op9_best_fit_packing, op10_quality)
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_license_scan": licenses.oracle()}
