@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from pvspark.llm import licenses
 from pvspark.llm.decontaminate import op3_decontaminate
 from pvspark.llm.embeddings import op4_embedding_dedup
 from pvspark.llm.jaccard_join import op8_jaccard_join
 from pvspark.llm.licenses import op2_license_scan
+from pvspark.llm.lm_scoring import op7_lm_scoring
 from pvspark.llm.packing import op9_best_fit_packing
 from pvspark.llm.pii import op1_pii
 from pvspark.llm.quality import op10_quality
@@ -15,9 +17,9 @@ from pvspark.llm.toxicity import op6_toxicity
 
 
 def queries() -> dict:
-    every = (op1_pii, op2_license_scan, op3_decontaminate, op4_embedding_dedup, op5_secrets, op6_toxicity, op8_jaccard_join, op9_best_fit_packing, op10_quality)
-    return {f.__name__: f for f in every}
+    every = (op1_pii, op2_license_scan, op3_decontaminate, op4_embedding_dedup, op5_secrets, op6_toxicity, op7_lm_scoring, op8_jaccard_join, op9_best_fit_packing, op10_quality)
+    return {f.__name__: f for f in every} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_license_scan": licenses.oracle()}
+    return {"op2_license_scan": licenses.oracle()} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
