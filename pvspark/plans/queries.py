@@ -666,13 +666,14 @@ def type_class(b):
     return b.events.select("event_id", kind.alias("kind"), C.type_class(kind).alias("c")).select("event_id", "kind", "c.*")
 
 
-CHOICES = F.array(*map(F.lit, ("Open", "Closed", "Fault")))
+def choices():
+    return F.array(*map(F.lit, ("Open", "Closed", "Fault")))
 
 
 @query("SELECT event_id, CASE i WHEN 0 THEN 'Open' WHEN 1 THEN 'Closed' WHEN 2 THEN 'Fault' END AS label, CASE WHEN i BETWEEN 0 AND 2 THEN i END AS back, CASE i WHEN 0 THEN 'Open(0)' WHEN 1 THEN 'Closed(1)' WHEN 2 THEN 'Fault(2)' ELSE CAST(i AS VARCHAR) END AS text FROM (SELECT event_id, CAST(event_id % 5 - 1 AS INT) AS i FROM events)")
 def enum_label(b):
     i = (F.col("event_id") % 5 - 1).cast("int")
-    return b.events.select("event_id", C.enum_label(i, CHOICES).alias("label"), C.enum_index(C.enum_label(i, CHOICES), CHOICES).alias("back"), C.enum_text(i, CHOICES).alias("text"))
+    return b.events.select("event_id", C.enum_label(i, choices()).alias("label"), C.enum_index(C.enum_label(i, choices()), choices()).alias("back"), C.enum_text(i, choices()).alias("text"))
 
 
 def _named(names, code):
