@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pvspark.llm.jaccard_join import _groups, dealt
+from pvspark.llm.jaccard_join import dealt, whole
 from pvspark.llm.shared import components, roots, stored
 
 THRESHOLD = 0.93
@@ -83,7 +83,8 @@ def _buckets(bits: int, tables: int):
 
 def _compare(bits: int, tables: int, threshold: float):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for g in _groups(frames, ["key", "low", "high"]):
+        for frame, first, last in ((f, a, b) for f, cuts in whole(frames, ["key", "low", "high"]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)):
+            g = frame.iloc[first:last]
             ids, weight, own, tab = g["id"].to_numpy(), g["weight"].to_numpy(np.int64), g["own"].to_numpy(), int(g["tab"].iloc[0])
             low, high = g["low"].iloc[0], g["high"].iloc[0]
             unit = units(g["embedding"])

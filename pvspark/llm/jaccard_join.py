@@ -1,6 +1,6 @@
 """N-gram Jaccard self-join with signature trees; lossless.
 
-1. Every text becomes its set of distinct word shingles (64-bit hashes), texts with equal sets one representative.
+1. Every text becomes its set of distinct word shingles (as hashes), texts with equal sets one representative.
 2. In an order of all shingles (frequent ones last), two sets of Jaccard similarity t share a shingle among the first n - ceil(t*n) + 1 of each.
    Those shingles are keys; keys of one set alone, and keys that repeat the members of another key, go.
 3. The members of a key form a signature tree: nodes hold the OR of their sets' bitmaps and the range of their sizes. A dual traversal drops
@@ -8,12 +8,13 @@
 4. In each group a second tree, whose leaf pairs are compared by their whole sets, gives the links as a forest; connected components follow.
 
 Groups over BLOCK members are split into blocks and the pairs of blocks dealt to tasks; only forests are emitted, never all pairs.
-Hashes have 64 bits: two different shingles are taken as one with a chance of about 1 in 10**19 per pair.
+Shingle hashes have 52 bits: in two sets of 500, two different shingles are taken as one with a chance of about 1 in 10**10.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -28,57 +29,57 @@ WORDS, SIMILARITY = 3, 0.9
 #: Members of a group that one task compares with themselves or with those of another block.
 BLOCK = 1024
 LEAF, FANOUT = 16, 4
+#: Groups of so many members at most are one leaf pair each, compared many groups at a time.
+SMALL = 48
 #: Counters of the table that puts frequent shingles last (2 MB, whatever the corpus).
 COUNTERS = 1 << 18
 
+_STEP = 0x9FB21C651E98DF25
+_HASH = np.uint64((1 << 52) - 1)
 _SETS = "doc_id bigint, n bigint, k1 bigint, k2 bigint, prefix array<bigint>, bits binary"
 
 
-def shingle_sets(column: pa.Array, width: int, kind: np.ndarray = tx.NOT_SPACE) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingle hashes of each row, sorted by row and hash, and their rows. Texts of fewer words have one shingle of all their words."""
+def shingles(column: pa.Array, width: int, kind: np.ndarray = tx.NOT_SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """52-bit shingle hashes of each row in text order, repeated ones too, and their rows. Texts of fewer words have one shingle of all their words."""
     h, rows = tx.words(column, kind)
     n = np.bincount(rows, minlength=len(column))
     first = np.cumsum(n) - n
-    out, of = [], []
+    out, of = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     with np.errstate(over="ignore"):
         if len(h) >= width:
             s = np.zeros(len(h) - width + 1, np.uint64)
             for j in range(width):
-                s = tx.mix(s * np.uint64(3) + h[j : j + len(s)] + np.uint64(j + 1))
+                s = s * np.uint64(_STEP) + h[j : j + len(s)]
             ok = rows[: len(s)] == rows[width - 1 :]
-            out.append(s[ok])
+            out.append(tx.mix(s[ok]))
             of.append(rows[: len(s)][ok])
         for r in np.flatnonzero((n > 0) & (n < width)):
-            s = np.uint64(n[r])
+            s = np.array([n[r]], np.uint64)
             for x in h[first[r] : first[r] + n[r]]:
-                s = tx.mix(np.array([s * np.uint64(5) + x]))[0]
-            out.append(np.array([s]))
+                s = tx.mix(s * np.uint64(5) + x)
+            out.append(s)
             of.append(np.array([r]))
-    if not out:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    s, of = np.concatenate(out), np.concatenate(of)
-    order = np.lexsort((s, of))
-    s, of = s[order], of[order]
-    new = np.r_[True, (s[1:] != s[:-1]) | (of[1:] != of[:-1])]
-    return s[new], of[new]
+    return np.concatenate(out) >> np.uint64(12), np.concatenate(of)
+
+
+def shingle_sets(column: pa.Array, width: int, kind: np.ndarray = tx.NOT_SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct shingle hashes of each row (at most tx.CHUNK_ROWS rows), sorted by row and hash, and their rows."""
+    s, of = shingles(column, width, kind)
+    both = np.sort((of.astype(np.uint64) << np.uint64(52)) | s)
+    both = both[np.r_[np.ones(min(1, len(both)), bool), both[1:] != both[:-1]]]
+    return both & _HASH, (both >> np.uint64(52)).astype(np.int64)
 
 
 def _counter(s: np.ndarray) -> np.ndarray:
-    return (s >> np.uint64(46)).astype(np.int64)
+    return (s >> np.uint64(34)).astype(np.int64)
 
 
 def _frequent(width: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(COUNTERS, np.int64)
         for batch in batches:
             for part in tx.chunks(batch):
-                h, rows = tx.words(part.column("text"), tx.NOT_SPACE)
-                if len(h) >= width:
-                    with np.errstate(over="ignore"):
-                        s = np.zeros(len(h) - width + 1, np.uint64)
-                        for j in range(width):
-                            s = tx.mix(s * np.uint64(3) + h[j : j + len(s)] + np.uint64(j + 1))
-                    total += np.bincount(_counter(s), minlength=COUNTERS)
+                total += np.bincount(_counter(shingles(part.column("text"), width)[0]), minlength=COUNTERS)
         mean = total.mean()
         some = np.flatnonzero(total > mean + 8 * np.sqrt(mean) + 8)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some], pa.int64())], ["counter", "n"])
@@ -87,12 +88,12 @@ def _frequent(width: int):
 
 
 def frequent(docs: DataFrame, width: int = WORDS) -> np.ndarray:
-    """For each counter, how often its shingles occur where they stand out; 0 elsewhere. At most COUNTERS rows come to the driver.
+    """For each counter 0, or, where its shingles stand out, the logarithm of how often they occur, 15 at most. At most COUNTERS rows come to the driver.
     It only sets an order: any table gives the same links."""
     out = np.zeros(COUNTERS, np.int64)
     for r in docs.select("text").mapInArrow(_frequent(width), "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n")).collect():
         out[r.counter] = r.n
-    return out
+    return np.minimum(15, np.log2(out + 1)).astype(np.uint64)
 
 
 def bitmap(s: np.ndarray) -> bytes:
@@ -118,12 +119,13 @@ def _sets(width: int, t: int, rank: np.ndarray):
                 with np.errstate(over="ignore"):
                     sums = [np.r_[np.uint64(0), np.cumsum(tx.mix(s + np.uint64(c)), dtype=np.uint64)] for c in (0x1234567, 0x89ABCDEF0)]
                     k = [(x[begin + n] - x[begin]).view(np.int64) for x in sums]
-                order = np.lexsort((tx.mix(s), rank[_counter(s)], of))
+                # the order of all shingles: how frequent (16 steps), then 48 bits of the hash; these 52 bits are the key
+                ordered = np.sort((of.astype(np.uint64) << np.uint64(52)) | (rank[_counter(s)] << np.uint64(48)) | (s >> np.uint64(4))) & _HASH
                 size = np.where(n > 0, n - least_overlap(n, t) + 1, 0)
-                keep = order[np.arange(len(s)) - np.repeat(begin, n) < np.repeat(size, n)]
+                keep = np.arange(len(s)) - np.repeat(begin, n) < np.repeat(size, n)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(k[0]), pa.array(k[1]),
-                     pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size)], pa.int32()), pa.array(s[keep].view(np.int64))),
+                     pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size)], pa.int32()), pa.array(ordered[keep].view(np.int64))),
                      pa.array([bitmap(s[a : a + m]) for a, m in zip(begin, n, strict=True)], pa.binary())],
                     ["doc_id", "n", "k1", "k2", "prefix", "bits"],
                 )
@@ -200,6 +202,21 @@ def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     return (m[: len(a)] @ m[len(a) :].T).astype(np.int64)
 
 
+def allowed(forest: Forest, a: Tree, b: Tree, x: np.ndarray, y: np.ndarray, pairs: tuple[np.ndarray, np.ndarray], t: int) -> None:
+    """Join the members x of a and y of b, of the given pairs of leaves, whose bitmaps allow a link."""
+    step = max(1, (1 << 22) // (LEAF * LEAF * a.levels[0][0].shape[1]))
+    for k in range(0, len(pairs[0]), step):
+        p, q = pairs[0][k : k + step], pairs[1][k : k + step]
+        i = (p[:, None, None] * LEAF + np.arange(LEAF)[:, None] + np.zeros(LEAF, np.int64)).ravel()
+        j = (q[:, None, None] * LEAF + np.zeros(LEAF, np.int64)[:, None] + np.arange(LEAF)).ravel()
+        ok = (i < len(x)) & (j < len(y)) & ((i < j) | (a is not b))
+        i, j = i[ok], j[ok]
+        ok = forest.label[x[a.order[i]]] != forest.label[y[b.order[j]]]
+        i, j = i[ok], j[ok]
+        ok = possible(tuple(z[i] for z in a.levels[0]), tuple(z[j] for z in b.levels[0]), t)
+        forest.join(x[a.order[i[ok]]], y[b.order[j[ok]]])
+
+
 def connect(bits: list[bytes], sizes: np.ndarray, left: np.ndarray, right: np.ndarray, t: int, sets: list | None) -> np.ndarray:
     """A label for each member of a group; members that a chain of links connects have one label.
 
@@ -218,7 +235,11 @@ def connect(bits: list[bytes], sizes: np.ndarray, left: np.ndarray, right: np.nd
                 one = v == w and left is right
                 folded = raw(y)
                 b = a if one else Tree(folded if v == w else folded[:, :w] | folded[:, w:], sizes[y])
-                for p, q in zip(*traverse(a, b, t), strict=True):
+                pairs = traverse(a, b, t)
+                if sets is None:
+                    allowed(forest, a, b, x, y, pairs, t)
+                    continue
+                for p, q in zip(*pairs, strict=True):
                     i, j = np.arange(p * LEAF, min((p + 1) * LEAF, len(x))), np.arange(q * LEAF, min((q + 1) * LEAF, len(y)))
                     ii, jj = (z.ravel() for z in np.meshgrid(i, j, indexing="ij"))
                     mi, mj = x[a.order[ii]], y[b.order[jj]]
@@ -229,7 +250,7 @@ def connect(bits: list[bytes], sizes: np.ndarray, left: np.ndarray, right: np.nd
                         continue
                     ok = open_.copy()
                     ok[open_] = possible(tuple(z[ii[open_]] for z in a.levels[0]), tuple(z[jj[open_]] for z in b.levels[0]), t)
-                    if sets is not None and ok.any():
+                    if ok.any():
                         ui, uj = np.unique(mi[ok]), np.unique(mj[ok])
                         n = overlaps([sets[k] for k in ui], [sets[k] for k in uj])[np.searchsorted(ui, mi[ok]), np.searchsorted(uj, mj[ok])]
                         ok[ok] = 100 * n >= t * (sizes[mi[ok]] + sizes[mj[ok]] - n)
@@ -237,37 +258,74 @@ def connect(bits: list[bytes], sizes: np.ndarray, left: np.ndarray, right: np.nd
     return forest.label
 
 
-def _groups(frames: Iterator[pd.DataFrame], by: list[str]) -> Iterator[pd.DataFrame]:
-    """Whole groups of a partition that is sorted by their columns."""
-    held: list[pd.DataFrame] = []
-    for frame in frames:
-        if not len(frame):
+def whole(frames: Iterator[pd.DataFrame], by: list[str]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+    """Frames of whole groups, from a partition that is sorted by the columns `by`, with the first row of each group and the number of rows."""
+    held = None
+    for frame in chain(frames, [None]):
+        if frame is not None and not len(frame):
             continue
-        new = np.flatnonzero((frame[by].to_numpy()[1:] != frame[by].to_numpy()[:-1]).any(axis=1)) + 1
-        cuts = [0, *new.tolist(), len(frame)]
-        for a, b in zip(cuts, cuts[1:], strict=False):
-            part = frame.iloc[a:b]
-            if held and (held[-1][by].iloc[-1].to_numpy() != part[by].iloc[0].to_numpy()).any():
-                yield pd.concat(held) if len(held) > 1 else held[0]
-                held = []
-            held.append(part)
-    if held:
-        yield pd.concat(held) if len(held) > 1 else held[0]
+        if frame is not None and held is not None:
+            frame = pd.concat([held, frame], ignore_index=True)
+        every = held if frame is None else frame
+        if every is None:
+            return
+        values = every[by].to_numpy()
+        cuts = np.r_[0, np.flatnonzero((values[1:] != values[:-1]).any(axis=1)) + 1, len(every)]
+        if frame is None:
+            yield every, cuts
+            return
+        held = every.iloc[cuts[-2] :].reset_index(drop=True)
+        if len(cuts) > 2:
+            yield every.iloc[: cuts[-2]], cuts[:-1]
+
+
+def small_pairs(bits: list[bytes], sizes: np.ndarray, cuts: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs inside groups of SMALL members at most that the sizes and bitmaps allow: the leaves' comparison, for many groups at once."""
+    group = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
+    group[np.diff(cuts)[group] > SMALL] = -1
+    at = [np.flatnonzero((group[d:] == group[:-d]) & (group[d:] >= 0)) for d in range(1, min(SMALL, len(group)))]
+    i, j = np.concatenate([np.zeros(0, np.int64), *at]), np.concatenate([np.zeros(0, np.int64), *(x + d for d, x in enumerate(at, 1))])
+    ok = (sizes[i] * 100 >= sizes[j] * t) & (sizes[j] * 100 >= sizes[i] * t)
+    i, j = i[ok], j[ok]
+    width = np.fromiter(map(len, bits), np.int64, len(bits))
+    swap = width[i] > width[j]
+    i, j = np.where(swap, j, i), np.where(swap, i, j)
+    out = [np.zeros((2, 0), np.int64)]
+    for w in np.unique(width[i]):
+        for v in (w, 2 * w):
+            at = np.flatnonzero((width[i] == w) & (width[j] == v))
+            for part in np.array_split(at, len(at) * v // (1 << 23) + 1):
+                raw = lambda m, bytes_: np.frombuffer(b"".join([bits[k] for k in m]), np.uint8).reshape(len(m), bytes_)
+                x, y = raw(i[part], w), raw(j[part], v)
+                y = y if v == w else y[:, :w] | y[:, w:]
+                one = lambda z, m: (z, sizes[m], sizes[m], sizes[m] - np.bitwise_count(z).sum(axis=1, dtype=np.int64))
+                keep = part[possible(one(x, i[part]), one(y, j[part]), t)] if len(part) else part
+                out.append(np.stack([i[keep], j[keep]]))
+    return tuple(np.concatenate(out, axis=1))
 
 
 def _links(t: int, exact: bool):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for g in _groups(frames, ["key", "low", "high"]):
-            ids, sizes, own = g["id"].to_numpy(), g["n"].to_numpy(), g["own"].to_numpy()
-            sets = [np.asarray(x, np.int64).view(np.uint64) for x in g["shingles"]] if exact else None
-            bits = [bitmap(x) for x in sets] if exact else g["bits"].tolist()
-            every = np.arange(len(g))
-            low, high = g["low"].iloc[0], g["high"].iloc[0]
-            left, right = (every, every) if low == high else (np.flatnonzero(own == low), np.flatnonzero(own == high))
-            label = connect(bits, sizes, left, right, t, sets)
-            least = pd.Series(ids).groupby(label).transform("min").to_numpy()
-            if (least != ids).any():
-                yield pd.DataFrame({"node": ids[least != ids], "root": least[least != ids]})
+        for every, cuts in whole(frames, ["key", "low", "high"]):
+            ids, sizes, own, low, high = (every[c].to_numpy() for c in ("id", "n", "own", "low", "high"))
+            sets = [np.asarray(x, np.int64).view(np.uint64) for x in every["shingles"]] if exact else None
+            bits = [bitmap(x) for x in sets] if exact else every["bits"].tolist()
+            i, j = small_pairs(bits, sizes, cuts, t)
+            if exact:
+                n = np.array([len(np.intersect1d(sets[a], sets[b], assume_unique=True)) for a, b in zip(i.tolist(), j.tolist(), strict=True)], np.int64)
+                ok = 100 * n >= t * (sizes[i] + sizes[j] - n)
+                i, j = i[ok], j[ok]
+            edges = [np.stack([ids[i], ids[j]])]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if b - a > SMALL:
+                    members = np.arange(b - a)
+                    left, right = (members, members) if low[a] == high[a] else (np.flatnonzero(own[a:b] == low[a]), np.flatnonzero(own[a:b] == high[a]))
+                    label = connect(bits[a:b], sizes[a:b], left, right, t, sets[a:b] if exact else None)
+                    _, first = np.unique(label, return_index=True)
+                    edges.append(np.stack([ids[a:b], ids[a:b][first][np.searchsorted(label[first], label)]]))
+            node, least = roots(*np.concatenate(edges, axis=1))
+            if (node != least).any():
+                yield pd.DataFrame({"node": node[node != least], "root": least[node != least]})
 
     return run
 

@@ -11,8 +11,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Bytes of text that a task handles at once; a longer document is a chunk of its own.
+#: Bytes of text and rows that a task handles at once; a longer document is a chunk of its own.
 CHUNK_BYTES = 4 << 20
+CHUNK_ROWS = 4096
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
@@ -64,12 +65,12 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def chunks(batch: pa.RecordBatch, column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Runs of rows of at most `limit` bytes of text; a row over it comes alone. No row is left out."""
+    """Runs of at most CHUNK_ROWS rows and `limit` bytes of text; a row over that comes alone. No row is left out."""
     size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     ends, start = np.cumsum(size), 0
     while start < len(size):
         end = int(np.searchsorted(ends, (ends[start - 1] if start else 0) + limit, "right"))
-        end = max(end, start + 1)
+        end = min(max(end, start + 1), start + CHUNK_ROWS)
         yield batch.slice(start, end - start)
         start = end
 
