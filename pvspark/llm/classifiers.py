@@ -78,4 +78,4 @@ def lists(frame: DataFrame, of: Callable[[pa.RecordBatch], pa.RecordBatch], sche
             for part in tx.chunks(batch):
                 yield of(part)
 
-    return frame.mapInArrow(run, schema).toPandas()
+    return frame.mapInArrow(run, schema).toArrow().to_pandas()
