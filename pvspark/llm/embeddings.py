@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -25,6 +26,8 @@ THRESHOLD = 0.93
 RECALL = 0.995
 #: Width of the confidence bound in standard deviations of the estimate.
 CONFIDENCE = 4.0
+#: Buckets of up to SMALL rows are compared in stacks of STACK bounds; exact cosines are computed for PAIRS pairs at a time.
+SMALL, STACK, PAIRS = 16, 1 << 17, 20_000
 
 
 def plan(n: int, threshold: float = THRESHOLD, recall: float = RECALL) -> tuple[int, int]:
@@ -34,6 +37,7 @@ def plan(n: int, threshold: float = THRESHOLD, recall: float = RECALL) -> tuple[
     return bits, math.ceil(math.log(1 - recall) / math.log1p(-same))
 
 
+@cache
 def rotation(dim: int) -> np.ndarray:
     q, r = np.linalg.qr(np.random.default_rng(dim).standard_normal((dim, dim)))
     return q * np.sign(np.diag(r))
@@ -60,12 +64,14 @@ class Codes:
         self.signs = np.where(self.rotated >= 0, 1.0, -1.0) / math.sqrt(unit.shape[1])
         self.factor = np.clip((self.signs * self.rotated).sum(axis=1), 1e-9, 1.0)
 
-    def upper(self, others: np.ndarray, confidence: float) -> np.ndarray:
-        """Upper bounds of the cosines with other rotated vectors: of the unbiased estimate plus its error, and of the certain bound, the lesser."""
-        f = self.factor[:, None]
-        inner = np.clip(self.signs @ others.T, -1, 1)
+    def upper(self, left: np.ndarray, right: np.ndarray, confidence: float) -> np.ndarray:
+        """Upper bounds of the cosines of the rows `left` with the rows `right` (or of stacks of such rows, one result each): of the unbiased
+        estimate plus its error, and of the certain bound, the lesser."""
+        f = self.factor[left][..., None]
+        others = self.rotated[right]
+        inner = np.clip(self.signs[left] @ np.swapaxes(others, -1, -2), -1, 1)
         rest = np.sqrt(1 - f * f)
-        estimate = inner / f + confidence * rest / f / math.sqrt(max(1, others.shape[1] - 1))
+        estimate = inner / f + confidence * rest / f / math.sqrt(max(1, others.shape[-1] - 1))
         certain = np.where(inner >= f, 1.0, f * inner + rest * np.sqrt(1 - inner * inner))
         return np.minimum(estimate, certain)
 
@@ -81,38 +87,54 @@ def _buckets(bits: int, tables: int):
     return run
 
 
+def _candidates(code: Codes, keys: np.ndarray, own: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs whose bounds reach the threshold, from rows sorted by keys (bucket, low block, high block): blocks of up to SMALL rows in stacks of one
+    size, larger ones each."""
+    cuts = np.r_[0, np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1, len(keys)]
+    first, size = cuts[:-1], np.diff(cuts)
+    inner = keys[first, 1] == keys[first, 2]
+    for m in range(2, SMALL + 1):
+        some = first[inner & (size == m)]
+        for a in range(0, len(some), STACK // (m * m)):
+            rows = some[a : a + STACK // (m * m), None] + np.arange(m)
+            g, i, j = np.nonzero(np.triu(code.upper(rows, rows, CONFIDENCE) >= threshold, 1))
+            yield rows[g, i], rows[g, j]
+    for k in np.flatnonzero((size > SMALL) | ~inner & (size > 1)):
+        rows = np.arange(cuts[k], cuts[k + 1])
+        left, right = (rows, rows) if inner[k] else (rows[own[rows] == keys[rows[0], 1]], rows[own[rows] == keys[rows[0], 2]])
+        i, j = np.nonzero(code.upper(left, right, CONFIDENCE) >= threshold)
+        i, j = left[i], right[j]
+        yield (i[i < j], j[i < j]) if inner[k] else (i, j)
+
+
 def _compare(bits: int, tables: int, threshold: float):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame, first, last in ((f, a, b) for f, cuts in whole(frames, ["key", "low", "high"]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)):
-            g = frame.iloc[first:last]
-            ids, weight, own, tab = g["id"].to_numpy(), g["weight"].to_numpy(np.int64), g["own"].to_numpy(), int(g["tab"].iloc[0])
-            low, high = g["low"].iloc[0], g["high"].iloc[0]
-            unit = units(g["embedding"])
-            every = np.arange(len(g))
-            left, right = (every, every) if low == high else (np.flatnonzero(own == low), np.flatnonzero(own == high))
-            code = Codes(unit)
-            part = Codes.__new__(Codes)
-            part.rotated, part.signs, part.factor = code.rotated[left], code.signs[left], code.factor[left]
-            i, j = np.nonzero(part.upper(code.rotated[right], CONFIDENCE) >= threshold)
-            i, j = left[i], right[j]
-            if low == high:
-                i, j = i[i < j], j[i < j]
-            n, edges = np.zeros(len(g), np.int64), []
-            c = codes(unit, bits, tables) if tab and len(i) else None
-            for a in range(0, len(i), 50_000):
-                p, q = i[a : a + 50_000], j[a : a + 50_000]
+    def links(g: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        ids, weight, tab = g["id"].to_numpy(), g["weight"].to_numpy(np.int64), g["tab"].to_numpy()
+        unit = units(g["embedding"])
+        for i, j in _candidates(Codes(unit), g[["key", "low", "high"]].to_numpy(), g["own"].to_numpy(), threshold):
+            edges = []
+            for a in range(0, len(i), PAIRS):
+                p, q = i[a : a + PAIRS], j[a : a + PAIRS]
                 ok = np.einsum("ij,ij->i", unit[p], unit[q]) >= threshold
                 p, q = p[ok], q[ok]
-                if c is not None:  # a pair counts in the first table where it meets
-                    new = ~(c[p, :tab] == c[q, :tab]).any(axis=1)
+                if len(p) and tab[p].any():  # a pair counts in the first table where it meets
+                    rows, at = np.unique(np.r_[p, q], return_inverse=True)
+                    c = codes(unit[rows], bits, tables)
+                    met = (c[at[: len(p)]] == c[at[len(p) :]]) & (np.arange(tables) < tab[p][:, None])
+                    new = ~met.any(axis=1)
                     p, q = p[new], q[new]
-                n += np.bincount(p, weights=weight[q], minlength=len(g)).astype(np.int64) + np.bincount(q, weights=weight[p], minlength=len(g)).astype(np.int64)
                 edges.append(np.stack([p, q]))
-            some = np.flatnonzero(n)
-            if len(some):
-                p, q = np.concatenate(edges, axis=1)
-                node, least = roots(ids[p], ids[q])
-                yield pd.DataFrame({"node": ids[some], "n": n[some], "root": least[np.searchsorted(node, ids[some])]})
+            p, q = np.concatenate(edges, axis=1) if edges else (i, j)
+            if len(p):
+                node, at = np.unique(np.r_[p, q], return_inverse=True)
+                n = np.bincount(at, weights=weight[np.r_[q, p]]).astype(np.int64)
+                reached, least = roots(ids[p], ids[q])
+                yield pd.DataFrame({"node": ids[node], "n": n, "root": least[np.searchsorted(reached, ids[node])]})
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame, _ in whole(frames, ["key", "low", "high"]):
+            for _, g in frame.groupby(frame["embedding"].map(len).to_numpy()):
+                yield from links(g)
 
     return run
 
