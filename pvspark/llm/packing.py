@@ -63,14 +63,14 @@ def segments(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return starts, np.r_[starts[1:], len(data)], np.searchsorted(offsets[1:], starts, "right")
 
 
-def encode(column: pa.Array, path: str, pattern: str) -> tuple[np.ndarray, np.ndarray]:
+def encode(column: pa.Array, path: str, pattern: str, kept: int = CACHE) -> tuple[np.ndarray, np.ndarray]:
     """All token ids of a column of texts, and how many each text has."""
     data, offsets = tx.flat(column)
     starts, ends, rows = segments(data, offsets)
     if not len(starts):
         return np.zeros(0, np.uint32), np.zeros(len(column), np.int64)
     run, cache = coder(path, pattern)
-    if len(cache) > CACHE:
+    if len(cache) > kept:
         cache.clear()
     keys, first, at = np.unique(tx.hashes(data, starts, ends), return_index=True, return_inverse=True)
     raw, known = data.tobytes(), []
