@@ -256,7 +256,9 @@ def test_local_search_empties_a_bin():
     assert len(set(bins.tolist())) == 2
 
 
-def test_lm_base_equals_brute_force(spark, documents):
+@pytest.mark.parametrize("frequent", [100, lm_scoring.FREQUENT])
+def test_lm_base_equals_brute_force(spark, documents, frequent, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "FREQUENT", frequent)
     rows = lm_scoring.op7_lm_scoring(spark, DATA).collect()
     tokens = {d.doc_id: [*SPACED.findall(tx.lower(d.text or "")), None] for d in documents.collect()}
     held = {k: zlib.crc32(str(k).encode()) % 5 == 1 for k in tokens}
@@ -289,6 +291,26 @@ def test_lm_gradient_and_windows():
         assert abs((up - down) / 2e-2 - g[name].ravel()[7]) < 2e-3
 
 
+def test_lm_scoring_equals_forward():
+    rng = np.random.default_rng(6)
+    w = {k: rng.standard_normal(s).astype(np.float32) * 0.3 for k, s in lm_scoring.SHAPES.items()}
+    n = np.array([1, 7, 90, 24])
+    ids = rng.integers(0, lm_scoring.VOCABULARY, n.sum())
+    at, inside = lm_scoring.windows(n)
+    symbols = np.where(inside, rng.integers(0, lm_scoring.PAD, at.shape), lm_scoring.PAD)
+    h = lm_scoring.forward(w, symbols, inside)[-2].reshape(-1, lm_scoring.DIM)
+    seen = inside[:, lm_scoring.CONTEXT :].ravel()
+    assert np.abs(h - lm_scoring.hidden(w, symbols, inside))[seen].max() < 1e-4
+    pairs = rng.integers(0, 3, (lm_scoring.GROUPS, lm_scoring.VOCABULARY)).astype(np.float32)
+    c = lm_scoring.Classes(pairs)
+    last = lm_scoring.before(ids, n)
+    z = lm_scoring.forward(w, np.where(inside, c.symbol[last][at], lm_scoring.PAD), inside)[-1]
+    to = at[:, lm_scoring.CONTEXT :].ravel()
+    plain = np.zeros(len(ids))
+    plain[to[seen]] = z[seen, c.of[ids][to[seen]]]
+    assert np.abs(plain + c.share(pairs, lm_scoring.group(last), ids) - lm_scoring.log_probability(w, c, pairs, ids, n)).max() < 1e-4
+
+
 def test_lm_odd(spark, odd):
     import public_tokenizers as P
 
