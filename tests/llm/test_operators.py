@@ -311,6 +311,25 @@ def test_lm_scoring_equals_forward():
     assert np.abs(plain + c.share(pairs, lm_scoring.group(last), ids) - lm_scoring.log_probability(w, c, pairs, ids, n)).max() < 1e-4
 
 
+def test_lm_trains_on_all_windows(spark):
+    def model(order):
+        rng = np.random.default_rng(8)
+        parts = [np.r_[rng.integers(0, 5000, lm_scoring.STEP - 1), 7] for _ in range(100)]
+        ids = np.concatenate([parts[k] for k in order])  # every part follows id 7, but the first: exchanging others changes no count of pairs
+        row = [(False, bytearray(ids.astype("<u2").tobytes()))]
+        w, c, pairs = lm_scoring.trained(spark.createDataFrame(row, "held boolean, ids binary").coalesce(1))
+        return lm_scoring.pack(w), pairs
+
+    order = list(range(100))
+    w, pairs = model(order)
+    assert np.array_equal(w, model(order)[0])
+    for a, b in ((20, 60), (35, 85)):
+        other = order.copy()
+        other[a], other[b] = b, a
+        changed, same = model(other)
+        assert np.array_equal(pairs, same) and not np.array_equal(w, changed)
+
+
 def test_lm_odd(spark, odd):
     import public_tokenizers as P
 
