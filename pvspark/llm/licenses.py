@@ -1,6 +1,7 @@
 """License scans with DataFrame functions only.
 
-A text's units are its lines, its paragraphs (up to a line without letters and digits), and the whole text. Normalised (lower case, other than
+A text's units are its lines, its paragraphs (up to a line without letters and digits), its sentences, the whole text, and, for a notice that
+stands amid other words, each run of words as long as a template that has one of its anchors (see anchors()) at the template's place. Normalised (lower case, other than
 letters and digits to one space), a unit is compared with each template by the Dice coefficient of their sets of word bigrams. Sizes bound it: with a set of a and one of b
 bigrams it is at most 2*min/(a+b), so only templates of a near size are compared. The least overlap that follows from the sizes also gives, for
 each template, a few words of which a unit must have one; texts without any of them are passed over.
@@ -31,6 +32,18 @@ TEMPLATES = {
 }
 
 
+# Whole paragraphs of the same licences' notices, and of others, beside the short forms. The SQL has the short forms only.
+PARAGRAPHS = {
+    "AGPL-3.0": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
+    "BSD-2-Clause": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."],
+    "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
+    "LGPL-2.1": ["This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."],
+    "LGPL-3.0": ["This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
+    "MIT": ["Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"],
+    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."],
+}
+
+
 # Words that are poor signs of a notice.
 COMMON = frozenset("a and any be by following for general in is it of or that the this to under with you".split())
 
@@ -69,6 +82,24 @@ def anchors(text: str, threshold: int) -> list[str]:
     return out
 
 
+def placed(w: Column, texts: list[str], threshold: int) -> Column:
+    """The runs of an array of words that have a template's length and one of its anchors where the template has it."""
+    places: dict[str, list[tuple[int, int]]] = {}
+    for t in texts:
+        own = words_of(t)
+        for word in anchors(t, threshold):
+            places.setdefault(word, []).extend((k, len(own)) for k, x in enumerate(own) if x == word)
+    table = F.create_map(*(c for word, at in sorted(places.items()) for c in (F.lit(word), F.array(*(F.struct(F.lit(k).alias("k"), F.lit(n).alias("n")) for k, n in sorted(set(at)))))))
+    hits = F.filter(F.transform(w, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda h: h["x"].isin(sorted(places)))
+    runs = F.flatten(F.transform(hits, lambda h: F.transform(F.element_at(table, h["x"]), lambda p: F.struct((h["i"] - p["k"]).alias("a"), (h["i"] - p["k"] + p["n"]).alias("b")))))
+    return F.transform(F.array_distinct(runs), lambda r: F.slice(w, F.greatest(r["a"], F.lit(0)) + 1, r["b"] - F.greatest(r["a"], F.lit(0))))
+
+
+def every() -> dict[str, list[str]]:
+    """The short forms and the paragraphs."""
+    return {name: [*TEMPLATES.get(name, []), *PARAGRAPHS.get(name, [])] for name in sorted({*TEMPLATES, *PARAGRAPHS})}
+
+
 def matches(docs: DataFrame, templates: dict[str, list[str]] | None = None, threshold: int = THRESHOLD) -> DataFrame:
     """One row for each row of docs (doc_id, text): doc_id and licenses, an array of struct<license string, dice double>: the best coefficient of
     each licence that reaches the threshold, by name.
@@ -76,7 +107,7 @@ def matches(docs: DataFrame, templates: dict[str, list[str]] | None = None, thre
     Nothing is exploded or shuffled. Null and empty texts have no units; repeated units change nothing; of templates of one licence the best one
     counts. Templates of fewer than two words match nothing.
     """
-    texts = sorted({(name, t) for name, texts in (templates or TEMPLATES).items() for t in texts if len(words_of(t)) > 1})
+    texts = sorted({(name, t) for name, texts in (templates or every()).items() for t in texts if len(words_of(t)) > 1})
     known = [(name, tuple(bigrams_of(t))) for name, t in texts]
     if not known:
         return docs.select("doc_id", F.array().cast("array<struct<license:string,dice:double>>").alias("licenses"))
@@ -86,10 +117,12 @@ def matches(docs: DataFrame, templates: dict[str, list[str]] | None = None, thre
     low_text = docs.select("doc_id", F.lower(F.coalesce("text", F.lit(""))).alias("t"))
     short = [w for w in words if len(w) < 5]
     some = reduce(Column.__or__, [F.col("t").contains(w) for w in words if len(w) > 4] + ([F.col("t").rlike(f"(?<![a-z0-9])(?:{'|'.join(short)})(?![a-z0-9])")] if short else []))
-    text = low_text.select("doc_id", F.when(some, F.regexp_replace("t", "[^a-z0-9\n]+", " ")).otherwise("").alias("t"))
+    text = low_text.select("doc_id", F.when(some, F.regexp_replace("t", "[^a-z0-9\n]+", " ")).otherwise("").alias("t"), F.when(some, F.col("t")).otherwise("").alias("raw"))
     flat = lambda u: F.split(F.trim(F.translate(u, "\n", " ")), " +")
     paragraphs = F.when(F.col("t").rlike("\n *\n"), F.split("t", "\n *\n")).otherwise(F.array().cast("array<string>"))
-    units = F.concat(F.transform(F.split("t", "\n"), flat), F.transform(paragraphs, flat), F.array(flat(F.col("t"))))
+    sentences = F.transform(F.split("raw", "[.!?][\\s\"')]+"), lambda u: F.split(F.trim(F.regexp_replace(u, "[^a-z0-9]+", " ")), " "))
+    text = text.select("doc_id", "t", "raw", flat(F.col("t")).alias("all"))
+    units = F.concat(F.transform(F.split("t", "\n"), flat), F.transform(paragraphs, flat), sentences, F.array("all"), placed(F.col("all"), [t for _, t in texts], threshold))
     # a unit with fewer than `low` bigrams, or more than `high`, reaches the threshold with no template; with d distinct words it has d - 1 at least
     sized = F.filter(units, lambda w: (F.size(w) > low) & (F.size(F.array_distinct(F.slice(w, 1, 4 * high))) <= high + 1))
     sets = text.select("doc_id", sized.alias("words")).select("doc_id", F.transform("words", bigrams).alias("sets"))
@@ -124,7 +157,7 @@ def op2_license_scan(spark, sf_dir: str) -> DataFrame:
 
 
 def oracle() -> str:
-    """The same result in DuckDB SQL, from an exploded list of units."""
+    """The result in DuckDB SQL, from an exploded list of units, for texts whose notices are short forms that are lines, paragraphs or texts of their own."""
     rows = ",\n".join(
         "('{}', [{}])".format(name, ", ".join("'{}'".format(x) for x in bigrams_of(t))) for name, texts in TEMPLATES.items() for t in texts
     )

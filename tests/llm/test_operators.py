@@ -98,6 +98,22 @@ def test_licenses_odd(spark, odd):
     assert licenses.matches(odd, {"none": ["x"]}).count() == odd.count()
 
 
+def test_licenses_whole_notices_anywhere(spark):
+    import textwrap
+
+    prose = "the river ran on past the old mill and nobody knew where it went after that"
+    notices = [(name, t) for name, texts in licenses.every().items() for t in texts]
+    forms = [lambda t: t, lambda t: f"{prose} {t} {prose}", lambda t: textwrap.fill(f"{prose} {t} {prose}", 60)]
+    rows = [(k * len(forms) + j, form(t)) for k, (_, t) in enumerate(notices) for j, form in enumerate(forms)]
+    got = {r.doc_id: {x.license: x.dice for x in r.licenses} for r in licenses.matches(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, (name, _) in enumerate(notices):
+        for j in range(len(forms)):
+            assert got[k * len(forms) + j].get(name) == 1.0, (name, j)
+    header = "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 3 of the License, or (at your option) any later version."
+    found = licenses.matches(spark.createDataFrame([(1, header)], "doc_id long, text string")).first().licenses
+    assert max(found, key=lambda x: x.dice).license == "LGPL-3.0"
+
+
 def test_decontamination_equals_brute_force(spark, documents):
     rows = decontaminate.op3_decontaminate(spark, DATA).collect()
     wins = defaultdict(set)
