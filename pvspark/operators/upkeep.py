@@ -32,13 +32,36 @@ def loss_accounting(outcomes: DataFrame, window: str = "1 hour") -> DataFrame:
     return rows.withColumn("total_loss", F.sum(F.col("lost") + F.col("dropped")).over(w)).withColumn("grew", F.col("lost") + F.col("dropped") > 0)
 
 
-def throttled(windows: DataFrame, gap: int) -> DataFrame:
-    """Windows (n consecutive numbers, grew) that raise an alert: those that grew, if the last alert is at least `gap` windows ago. A fold over one
-    row for each window."""
-    ordered = windows.where("grew").agg(F.array_sort(F.collect_list("n")).alias("ns"))
-    start = F.array().cast("array<bigint>")
-    fold = F.aggregate("ns", start, lambda acc, x: F.when((F.size(acc) == 0) | (x - F.coalesce(F.get(acc, F.size(acc) - 1), F.lit(0)) >= gap), F.concat(acc, F.array(x))).otherwise(acc))
-    return ordered.select(F.explode(fold).alias("n"))
+def throttled(windows: DataFrame, gap: int, chunk: int = 8640) -> DataFrame:
+    """Windows (n consecutive numbers, grew) that raise an alert: those that grew, if the last alert is at least `gap` windows ago.
+
+    Runs of `chunk` windows (`gap` at least) fold by themselves, for each number of windows that the last alert can still hold off at their start;
+    then one row for each run gives what holds at each start. No list holds more than the windows of one run, or one row for each run.
+    """
+    chunk = max(chunk, gap)
+    rows = windows.where("grew").groupBy(F.floor(F.col("n") / chunk).alias("c")).agg(F.array_sort(F.collect_list(F.col("n").cast("long"))).alias("ns"))
+    begin, left = F.col("c") * chunk, lambda after: F.greatest(F.lit(0).cast("long"), after)
+    fold = lambda r: F.aggregate("ns", begin + r, lambda free, x: F.when(x >= free, x + gap).otherwise(free))
+    maps = rows.select("c", F.transform(F.sequence(F.lit(0), F.lit(max(0, gap - 1))), lambda r: left(fold(r) - begin - chunk)).alias("then"))
+    ordered = maps.agg(F.array_sort(F.collect_list(F.struct("c", "then"))).alias("d"))
+    zero = F.struct(F.lit(None).cast("long").alias("c"), F.lit(0).cast("long").alias("r"), F.array().cast("array<struct<c:bigint,r:bigint>>").alias("out"))
+
+    def entered(acc, x):
+        r = F.coalesce(left(acc["r"] - (x["c"] - acc["c"] - 1) * chunk), F.lit(0).cast("long"))
+        return F.struct(x["c"].alias("c"), F.get(x["then"], r.cast("int")).alias("r"), F.concat(acc["out"], F.array(F.struct(x["c"].alias("c"), r.alias("r")))).alias("out"))
+
+    starts = ordered.select(F.explode(F.aggregate("d", zero, entered, lambda acc: acc["out"])).alias("x")).select("x.c", "x.r")
+    last = lambda acc: F.get(acc, F.size(acc) - 1)
+    alerts = F.aggregate(
+        "ns", F.array().cast("array<bigint>"), lambda acc, x: F.when(x >= F.coalesce(last(acc) + gap, begin + F.col("r")), F.concat(acc, F.array(x))).otherwise(acc)
+    )
+    return rows.join(starts, "c").select(F.explode(alerts).alias("n"))
+
+
+def loss_alerts(outcomes: DataFrame, tick: int = 10, gap: int = 30) -> DataFrame:
+    """Ticks (numbers of `tick` seconds) that raise an alert: those with lost or dropped rows, at most one in `gap` ticks."""
+    n = F.floor(F.unix_micros(F.col("time").cast("timestamp")) / (tick * 1_000_000))
+    return throttled(outcomes.where(F.col("outcome").isin("lost", "dropped")).select(n.alias("n"), F.lit(True).alias("grew")).distinct(), gap)
 
 
 def retention(partitions: DataFrame, now: datetime, days: dict[str, int] | None = None) -> DataFrame:
@@ -65,4 +88,4 @@ def recommend_chunk(rates: DataFrame, max_rows: float, least: int = 60, most: in
     return rows.select("n", "per_s", "seconds", F.coalesce(change, F.lit(True)).alias("change"), text.alias("chunk"))
 
 
-__all__ = ["RETENTION_DAYS", "compacted", "ingest_report", "loss_accounting", "recommend_chunk", "retention", "storage_report", "throttled", "timedelta"]
+__all__ = ["RETENTION_DAYS", "compacted", "ingest_report", "loss_accounting", "loss_alerts", "recommend_chunk", "retention", "storage_report", "throttled", "timedelta"]

@@ -1,0 +1,32 @@
+"""Operators of the archive against plain loops."""
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from pvspark.operators import upkeep
+
+
+def alerts(ns, gap):
+    out = []
+    for n in sorted(ns):
+        if not out or n - out[-1] >= gap:
+            out.append(n)
+    return out
+
+
+@pytest.mark.parametrize("chunk", [30, 47, 8640])
+def test_throttle_in_runs_equals_a_loop(spark, chunk):
+    rng = np.random.default_rng(2)
+    ns = sorted({*rng.integers(0, 3000, 500).tolist(), *range(4000, 4200), *rng.integers(10_000, 90_000, 300).tolist()})
+    windows = spark.createDataFrame([(n, True) for n in ns] + [(3500, False)], "n long, grew boolean")
+    assert sorted(r.n for r in upkeep.throttled(windows, 30, chunk).collect()) == alerts(ns, 30)
+    assert upkeep.throttled(windows.where("not grew"), 30, chunk).count() == 0
+
+
+def test_loss_alerts_go_by_ticks_of_ten_seconds(spark):
+    seconds = [0, 5, 12, 299, 301, 302, 640, 90_000, 90_011, 90_300]
+    rows = spark.createDataFrame([(s, o) for s in seconds for o in ("written", "lost")] + [(950, "written")], "s long, outcome string")
+    rows = rows.select(F.timestamp_seconds("s").cast("timestamp_ntz").alias("time"), "outcome")
+    got = sorted(r.n for r in upkeep.loss_alerts(rows).collect())
+    assert got == alerts({s // 10 for s in seconds}, 30) == [0, 30, 64, 9000, 9030]
