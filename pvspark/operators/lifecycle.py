@@ -69,33 +69,29 @@ def lifecycle_samples(events: DataFrame) -> DataFrame:
     return down.unionByName(events.where(F.col("event_type") == RECONNECT).select(F.col("ts").alias("time"), "pv_id", *sentinel(104, 4)))
 
 
-def next_state(state, code):
-    """The state after an event; states that an event does not apply to stay."""
-    return (
-        F.when(code == SUBSCRIBE, SEARCHING)
-        .when((code == CONNECTED) & state.isin(INIT, SEARCHING, DISCONNECTED, TIMED_OUT), LINKED)
-        .when(code == FIRST_VALUE, ARCHIVING)
-        .when(code == DISCONNECT, DISCONNECTED)
-        .when(code == RECONNECT, ARCHIVING)
-        .when((code == TIMEOUT) & (state == ARCHIVING), TIMED_OUT)
-        .when(code.isin(UNSUBSCRIBE, IOC_REMOVED), UNSUBSCRIBED)
-        .otherwise(state)
-    )
-
-
 def status_fold(events: DataFrame) -> DataFrame:
     """Each signal's state after all its events in order.
 
-    Every event maps states to states, so events of a signal and day fold into a table of 7 states, and the days' tables into one: no list is
-    longer than a signal's events of one day.
+    Most events set the state whatever it was. After the last of them only the others count: from ARCHIVING, the first TIMEOUT, and the last
+    CONNECTED after it; from INIT, SEARCHING and DISCONNECTED, any CONNECTED. All are plain aggregates, and no list is made.
     """
-    ordered = F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type")))
-    maps = events.groupBy("pv_id", F.to_date("ts").alias("day")).agg(ordered.alias("e")).select(
-        "pv_id", "day",
-        F.aggregate("e", F.array(*(F.lit(s) for s in range(7))), lambda acc, x: F.transform(acc, lambda s: next_state(s, x["event_type"]))).alias("map"),
+    code, at = F.col("event_type"), F.struct("ts", "event_id", "event_type")
+    setter = code.isin(SUBSCRIBE, FIRST_VALUE, DISCONNECT, RECONNECT, UNSUBSCRIBE, IOC_REMOVED)
+    last = events.groupBy("pv_id").agg(F.max(F.when(setter, at)).alias("last"))
+    after = events.where(code.isin(CONNECTED, TIMEOUT)).select(F.col("pv_id").alias("_pv"), at.alias("at")).join(last, F.col("_pv").eqNullSafe(F.col("pv_id")))
+    after = after.where(F.col("last").isNull() | (F.col("at") > F.col("last"))).groupBy("_pv").agg(
+        F.min(F.when(F.col("at.event_type") == TIMEOUT, F.col("at"))).alias("timeout"), F.max(F.when(F.col("at.event_type") == CONNECTED, F.col("at"))).alias("connected")
     )
-    days = maps.groupBy("pv_id").agg(F.array_sort(F.collect_list(F.struct("day", "map"))).alias("d"))
-    return days.select("pv_id", F.aggregate("d", F.lit(INIT), lambda s, x: F.get(x["map"], s)).cast("smallint").alias("state"))
+    by = F.col("last.event_type")
+    state = (
+        F.when(by.isin(UNSUBSCRIBE, IOC_REMOVED), UNSUBSCRIBED)
+        .when(by.isin(FIRST_VALUE, RECONNECT), F.when(F.col("connected") > F.col("timeout"), LINKED).when(F.col("timeout").isNotNull(), TIMED_OUT).otherwise(ARCHIVING))
+        .when(F.col("connected").isNotNull(), LINKED)
+        .when(by == SUBSCRIBE, SEARCHING)
+        .when(by == DISCONNECT, DISCONNECTED)
+        .otherwise(INIT)
+    )
+    return last.join(after, F.col("pv_id").eqNullSafe(F.col("_pv")), "left").select("pv_id", state.cast("smallint").alias("state"))
 
 
 def connectivity_intervals(events: DataFrame) -> DataFrame:

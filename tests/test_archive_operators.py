@@ -2,9 +2,12 @@
 
 import numpy as np
 import pytest
+from conftest import DATA
 from pyspark.sql import functions as F
 
-from pvspark.operators import upkeep
+from pvspark.operators import lifecycle, upkeep
+from pvspark.plans import queries as q
+from pvspark.streaming.jobs import step
 
 
 def alerts(ns, gap):
@@ -30,3 +33,17 @@ def test_loss_alerts_go_by_ticks_of_ten_seconds(spark):
     rows = rows.select(F.timestamp_seconds("s").cast("timestamp_ntz").alias("time"), "outcome")
     got = sorted(r.n for r in upkeep.loss_alerts(rows).collect())
     assert got == alerts({s // 10 for s in seconds}, 30) == [0, 30, 64, 9000, 9030]
+
+
+def test_status_fold_equals_a_loop_without_lists(spark):
+    rng = np.random.default_rng(3)
+    rows = [(pv, f"2024-01-{1 + k // 4:02d} 00:00:0{k % 2}", k, code) for pv in range(600) for k, code in enumerate(rng.choice([0, 1, 1, 2, 3, 4, 5, 5, 5, 6, 7, 9], rng.integers(1, 9)).tolist())]
+    rows += [(None, "2024-01-01 00:00:00", 1, 2), (900, None, 1, 5), (901, "2024-01-01 00:00:00", 1, None)]
+    expect = {}
+    for pv, _, _, code in sorted(rows, key=lambda r: (r[1] or "", r[2])):
+        expect[pv] = step(expect.get(pv, lifecycle.INIT), code)
+    events = spark.createDataFrame(rows, "pv_id int, ts string, event_id long, event_type int").withColumn("ts", F.to_timestamp("ts")).repartition(3)
+    folded = lifecycle.status_fold(events)
+    assert {r.pv_id: r.state for r in folded.collect()} == expect and len(set(expect.values())) == 7
+    for df in (folded, q.queries()["status_fold"](spark, DATA), q.queries()["table_shape"](spark, DATA)):
+        assert "collect_list" not in df._jdf.queryExecution().optimizedPlan().toString()
