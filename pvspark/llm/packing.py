@@ -7,10 +7,8 @@ emptied. What stays under-filled in all groups is dealt and packed once more.
 
 from __future__ import annotations
 
-import base64
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -19,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pvspark.llm import text as tx
+from pvspark.llm.encoding import encode
 from pvspark.llm.shared import stored
 
 CAPACITY = 2048
@@ -27,70 +26,16 @@ END = 0
 GROUP = 8192
 #: Sequences filled less than this go to the second round.
 UNDERFULL = 0.98
-#: Encoded segments that a task keeps.
-CACHE = 300_000
 
-VOCABULARY = "byte_bpe_50k.tiktoken"
+VOCABULARY = "byte_bpe_50k.json"
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
-_coders: dict[str, tuple] = {}
-
-
-def coder(path: str, pattern: str):
-    """The encoder of a rank file and a cache of its results, once for each Python worker."""
-    if path not in _coders:
-        import tiktoken
-
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        _coders[path] = (tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary, {})
-    return _coders[path]
-
-
-def segments(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and rows of pieces of text that the tokenizer never merges over: cut before each single space between two characters that are
-    not white space, where its pattern always begins a new match."""
-    first = offsets[:-1][offsets[1:] > offsets[:-1]]
-    if not len(data):
-        none = np.zeros(0, np.int64)
-        return none, none, none
-    cut = np.zeros(len(data), bool)
-    ink = tx.NOT_SPACE[data]
-    cut[1:-1] = (data[1:-1] == 32) & ink[:-2] & ink[2:]
-    edge = first[first > 0]
-    cut[edge - 1] = False  # the last character of a text
-    cut[first] = True
-    starts = np.flatnonzero(cut)
-    return starts, np.r_[starts[1:], len(data)], np.searchsorted(offsets[1:], starts, "right")
-
-
-def encode(column: pa.Array, path: str, pattern: str, kept: int = CACHE) -> tuple[np.ndarray, np.ndarray]:
-    """All token ids of a column of texts, and how many each text has."""
-    data, offsets = tx.flat(column)
-    starts, ends, rows = segments(data, offsets)
-    if not len(starts):
-        return np.zeros(0, np.uint32), np.zeros(len(column), np.int64)
-    run, cache = coder(path, pattern)
-    if len(cache) > kept:
-        cache.clear()
-    keys, first, at = np.unique(tx.hashes(data, starts, ends), return_index=True, return_inverse=True)
-    raw, known = data.tobytes(), []
-    for key, a, b in zip(keys.tolist(), starts[first].tolist(), ends[first].tolist(), strict=True):
-        ids = cache.get(key)
-        if ids is None:
-            ids = cache[key] = tuple(run(raw[a:b].decode("utf-8", "replace")))
-        known.append(ids)
-    n = np.fromiter(map(len, known), np.int64, len(known))
-    pool, begin = np.fromiter(chain.from_iterable(known), np.uint32, int(n.sum())), np.cumsum(n) - n
-    m = n[at]
-    ids = pool[np.repeat(begin[at] - (np.cumsum(m) - m), m) + np.arange(m.sum())]
-    return ids, np.bincount(rows, weights=m, minlength=len(column)).astype(np.int64)
-
-
-def _pieces(path: str, pattern: str, capacity: int):
+
+
+def _pieces(path: str, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in tx.chunks(batch):
-                ids, n = encode(part.column("text"), path, pattern)
+                ids, n = encode(part.column("text"), path)
                 ids, n = np.insert(ids, np.cumsum(n), END), n + 1
                 begin, k = np.cumsum(n) - n, -(-n // capacity)
                 piece = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
@@ -127,11 +72,20 @@ def best_fit(sizes: np.ndarray, capacity: int) -> np.ndarray:
     return bins
 
 
+def reachable(sums: np.ndarray, capacity: int) -> np.ndarray:
+    """For each room from 0 to capacity, the largest of the sums that fits it; 0 if none does."""
+    table = np.zeros(capacity + 1, np.int64)
+    fit = sums[sums <= capacity]
+    table[fit] = fit
+    return np.maximum.accumulate(table)
+
+
 def local_search(sizes: np.ndarray, bins: np.ndarray, capacity: int) -> np.ndarray:
     """Exchange pieces of the emptiest bin for smaller ones of fuller bins, or move them there, while that raises the squared fill.
 
-    Each step takes the change that moves most tokens: a move, one piece for one, or two for one. A bin without a step stays as it is; the
-    search ends when the room of the other bins is less than what the emptiest bin holds, or no bin has a step.
+    Each step takes the change that moves most tokens: a move, one piece for one, or two for one; all pieces and all pairs of pieces of the emptiest bin
+    are looked at (pieces of one size are alike, and the distinct sizes in a bin are few). A bin without a step stays as it is; the search ends when
+    the room of the other bins is less than what the emptiest bin holds, or no bin has a step.
     """
     bins = bins.copy()
     fill = np.bincount(bins, weights=sizes).astype(np.int64)
@@ -146,30 +100,32 @@ def local_search(sizes: np.ndarray, bins: np.ndarray, capacity: int) -> np.ndarr
         if room.sum() < fill[donor]:
             return bins
         own = np.flatnonzero(bins == donor)
-        # what a receiving bin gives back: nothing (its index -1 - bin) or one piece
-        back = np.flatnonzero((room[bins] > 0) & (bins != donor))
-        holes = np.flatnonzero(room > 0)
-        give, gain, which = np.r_[np.zeros(len(holes), np.int64), sizes[back]], np.r_[room[holes], room[bins[back]]], np.r_[-1 - holes, back]
-        best = (0, None, None)
-        takes = [(k,) for k in own] + [(a, b) for x, a in enumerate(own[:32]) for b in own[x + 1 : 32]]
-        for take in takes:
-            more = int(sizes[list(take)].sum()) - give
-            # the receiver must end up fuller than the donor was, so the squared fill rises
-            ok = (more > 0) & (more <= gain) & ((which >= 0) | (len(take) == 1))
-            if ok.any():
-                at = np.argmax(np.where(ok, more, 0))
-                if more[at] > best[0]:
-                    best = (int(more[at]), take, int(which[at]))
-        more, take, give_back = best
-        if take is None:
+        size, count = np.unique(sizes[own], return_counts=True)
+        i, j = np.triu_indices(len(size))
+        double = (i < j) | (count[i] > 1)
+        i, j = i[double], j[double]
+        one, two = reachable(size, capacity), reachable(size[i] + size[j], capacity)
+        # what a receiving bin gives back: nothing (its index -1 - bin) or one piece; it must end up fuller than before
+        holes, back = np.flatnonzero(room > 0), np.flatnonzero((room[bins] > 0) & (bins != donor))
+        which = np.r_[-1 - holes, back, back]
+        total = np.r_[one[room[holes]], one[room[bins[back]] + sizes[back]], two[room[bins[back]] + sizes[back]]]
+        more = total - np.r_[np.zeros(len(holes), np.int64), sizes[back], sizes[back]]
+        best = int(np.argmax(np.where(total > 0, more, 0)))
+        if total[best] == 0 or more[best] <= 0:
             stuck[donor] = True
             continue
-        to = bins[give_back] if give_back >= 0 else -1 - give_back
-        if give_back >= 0:
-            bins[give_back] = donor
-        bins[list(take)] = to
-        fill[donor] -= more
-        fill[to] += more
+        if best >= len(holes) + len(back):
+            k = np.flatnonzero(size[i] + size[j] == total[best])[0]
+            first, second = own[sizes[own] == size[i[k]]], own[sizes[own] == size[j[k]]]
+            take = [first[0], second[-1]]
+        else:
+            take = [own[sizes[own] == total[best]][0]]
+        to = bins[which[best]] if which[best] >= 0 else -1 - which[best]
+        if which[best] >= 0:
+            bins[which[best]] = donor
+        bins[take] = to
+        fill[donor] -= more[best]
+        fill[to] += more[best]
 
 
 def _pack(capacity: int):
@@ -207,17 +163,17 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return every
 
 
-def packed(docs: DataFrame, path: str, pattern: str, capacity: int = CAPACITY) -> DataFrame:
+def packed(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     """One row for each piece of each document (doc_id, text): doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     A document is its ids, then the id 0; a null or empty text is that id alone. Documents over `capacity` are cut, the first piece being the
     shorter one. Rows that repeat, or have a null id, are packed as they come.
     """
-    pieces = stored(docs.select("doc_id", "text").mapInArrow(_pieces(path, pattern, capacity), PIECES).withColumn("uid", F.monotonically_increasing_id()))
+    pieces = stored(docs.select("doc_id", "text").mapInArrow(_pieces(path, capacity), PIECES).withColumn("uid", F.monotonically_increasing_id()))
     return pieces.join(pack(pieces, capacity), "uid").select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
 def op9_best_fit_packing(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return packed(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
+    return packed(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path(VOCABULARY))
