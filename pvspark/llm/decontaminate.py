@@ -12,6 +12,7 @@ import hashlib
 import secrets
 from collections.abc import Iterator
 from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -25,8 +26,10 @@ from pvspark.llm.shared import stored
 WINDOW = 10
 #: Unused positions between two documents of a block, so that no window or slop reaches over.
 GAP = 64
-#: Test words that one pass over the index takes (about 24 MB at the tasks); more words take more passes.
+#: Test words that one pass over the index takes (at most 34 MB at each task, see Probe.size()); more words take more passes.
 WORDS_PER_PASS = 1_000_000
+#: Windows that are ordered at once.
+RANKED = 1 << 16
 
 INDEX = "block bigint, doc_ids array<bigint>, firsts array<bigint>, n_words array<int>, terms array<bigint>, ends array<int>, positions array<int>"
 _HITS = "block bigint, row int, doc_id bigint, n_words bigint, starts array<int>, ends array<int>, items array<bigint>, near bigint"
@@ -55,55 +58,67 @@ def build_index(docs: DataFrame) -> DataFrame:
     return stored(docs.select("doc_id", "text").mapInArrow(_blocks, INDEX))
 
 
-def windows(words: np.ndarray, size: int) -> np.ndarray:
-    """All runs of `size` words, or all words as one run if they are fewer; none without words."""
-    if not len(words):
-        return np.zeros((0, size), words.dtype)
-    return np.lib.stride_tricks.sliding_window_view(words, min(size, len(words)))
-
-
 class Probe:
-    """The windows of some test items, each with its terms from the rarest to the most frequent."""
+    """The windows of some test items: the items' words as places in a sorted list of distinct terms, and where each window starts.
+
+    A word takes 4 bytes, and each of its windows 12 more and `size` for the order of its terms; nothing is repeated for overlapping windows.
+    """
 
     def __init__(self, items: list[tuple[int, str]], size: int):
-        found: dict[int, list] = {}
-        for item, text in items:
-            terms, _ = tx.words(pa.array([text]), tx.ALNUM)
-            w = windows(terms, size)
-            if len(w):
-                found.setdefault(w.shape[1], []).append((np.full(len(w), item, np.int64), w))
-        self.groups = [(np.concatenate([i for i, _ in v]), np.concatenate([w for _, w in v])) for _, v in sorted(found.items())]
-        self.terms = np.unique(np.concatenate([w.ravel() for _, w in self.groups])) if self.groups else np.zeros(0, np.uint64)
+        words = [tx.words(pa.array([text]), tx.ALNUM)[0] for _, text in items]
+        self.terms, place = np.unique(np.concatenate([np.zeros(0, np.uint64), *words]), return_inverse=True)
+        self.words, self.groups = place.astype(np.int32), []
+        n = np.array([len(w) for w in words], np.int64)
+        begin = np.cumsum(n) - n
+        for width in np.unique(np.minimum(n[n > 0], size)).tolist():
+            some = np.flatnonzero(np.minimum(n, size) == width)
+            k = n[some] - width + 1
+            starts = np.repeat(begin[some] - (np.cumsum(k) - k), k) + np.arange(k.sum())
+            self.groups.append((width, np.repeat(np.array([i for i, _ in items], np.int64)[some], k), starts.astype(np.int32)))
         self.orders: list[np.ndarray] = []
 
+    def size(self) -> int:
+        """The bytes of all arrays."""
+        return sum(x.nbytes for x in (self.terms, self.words, *self.orders, *chain.from_iterable(g[1:] for g in self.groups)))
+
     def rank(self, counts: np.ndarray) -> None:
-        """Order each window's offsets by how often their terms occur in the whole index."""
-        self.orders = [np.argsort(counts[np.searchsorted(self.terms, w)], axis=1, kind="stable") for _, w in self.groups]
+        """Order each window's offsets by how often their terms occur in the whole index; the order of a run of windows at a time."""
+        n = counts[self.words]
+        for width, _, starts in self.groups:
+            order = np.empty((len(starts), width), np.int8)
+            for a in range(0, len(starts), RANKED):
+                order[a : a + RANKED] = np.argsort(n[starts[a : a + RANKED, None] + np.arange(width)], axis=1, kind="stable")
+            self.orders.append(order)
 
     def search(self, terms: np.ndarray, ends: np.ndarray, positions: np.ndarray, slop: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Items, first and last + 1 positions of the windows that occur in a block."""
+        """Items, first and last + 1 positions of the windows that occur in a block. Each distinct term is looked up once; windows are taken on by
+        their rarest term, then checked term by term, so most leave after one step."""
         out = [(np.zeros(0, np.int64),) * 3]
-        if not len(terms):
+        if not len(terms) or not len(self.terms):
             return out[0]
+        place = np.minimum(np.searchsorted(terms, self.terms), len(terms) - 1).astype(np.int32)
+        place[terms[place] != self.terms] = -1
+        at = place[self.words]  # of each word, its term's place in the block; -1 where it does not occur
         begins = np.r_[0, ends[:-1]].astype(np.int64)
         span = np.int64(positions.max()) + 1 + 2 * GAP
         keys = np.repeat(np.arange(len(terms)), ends - begins) * span + positions + GAP
-        for (items, w), order in zip(self.groups, self.orders, strict=True):
-            at = np.minimum(np.searchsorted(terms, w), len(terms) - 1)
-            live = np.flatnonzero((terms[at] == w).all(axis=1))  # each term occurs in the block
+        for (width, items, starts), order in zip(self.groups, self.orders, strict=True):
+            live = np.arange(len(starts))
+            for k in range(width):  # from the rarest term on: does it occur in the block at all?
+                live = live[at[starts[live] + order[live, k]] >= 0]
             if not len(live):
                 continue
-            rare = at[live, order[live, 0]]
+            rare = at[starts[live] + order[live, 0]]
             n = ends[rare] - begins[rare]
             which = np.repeat(live, n)
             start = positions[np.repeat(begins[rare] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())].astype(np.int64) - order[which, 0]
-            for k in range(1, w.shape[1]):
-                offset = order[which, k]
-                least = at[which, offset] * span + np.maximum(start + offset - slop, -GAP) + GAP
+            for k in range(1, width):
+                offset = order[which, k].astype(np.int64)
+                least = at[starts[which] + offset] * span + np.maximum(start + offset - slop, -GAP) + GAP
                 next_ = keys[np.minimum(np.searchsorted(keys, least), len(keys) - 1)]
                 ok = (next_ >= least) & (next_ <= least + 2 * slop)
                 which, start = which[ok], start[ok]
-            out.append((items[which], start, start + w.shape[1]))
+            out.append((items[which], start, start + width))
         return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
@@ -173,8 +188,12 @@ def search(index: DataFrame, items: DataFrame, size: int = WINDOW, slop: int = 0
         return index.mapInArrow(_found(probe, slop), _HITS)
 
     for r in items.where("item_id is not null and text is not null").select("item_id", "text").toLocalIterator():
+        n = len(tx.words(pa.array([r.text]), tx.ALNUM)[0])
+        if held and held + n > words_per_pass:
+            outs.append(one_pass(batch))
+            batch, held = [], 0
         batch.append((r.item_id, r.text))
-        held += r.text.count(" ") + 1
+        held += n
         if held >= words_per_pass:
             outs.append(one_pass(batch))
             batch, held = [], 0
@@ -199,9 +218,11 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW, slop: i
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:
-    """The documents in which no window of an item occurs; all columns stay. Rows that share an id go together; a null id stays."""
-    hit = contamination(docs, items, size).where("size(passages) > 0").select(F.col("doc_id").alias("_hit")).distinct()
-    return docs.join(hit, docs["doc_id"] == hit["_hit"], "left_anti")
+    """The documents in which no window of an item occurs; all columns stay. A row goes for its own text (known by a 64-bit hash), whatever its id is;
+    clean rows stay, also those with a null id or text."""
+    key = F.xxhash64(F.coalesce("text", F.lit("")))
+    hit = contamination(docs.select(key.alias("doc_id"), "text"), items, size).where("size(passages) > 0").select(F.col("doc_id").alias("_hit")).distinct()
+    return docs.join(hit, key == hit["_hit"], "left_anti")
 
 
 def digest(items: list[int]) -> str:
