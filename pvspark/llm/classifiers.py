@@ -28,11 +28,12 @@ def word_sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, parts: int, rest: int, rows: int) -> DataFrame:
-    """About `rows` labelled documents outside the held-out part (doc_id, text, label), at most twice as many, chosen by a hash of their ids."""
+    """About `rows` labelled documents outside the held-out part (doc_id, text, label), chosen by a hash of their ids; the labels that are taken are at
+    most twice as many."""
     train = labels.where(~held_out(parts, rest)).where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("int").alias("label"))
-    step = max(1, train.count() // rows)
-    some = train.where(F.pmod(F.xxhash64("doc_id"), F.lit(step)) == 0).limit(2 * rows)
-    return docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")  # at most 2 * rows rows
+    key, step = F.xxhash64("doc_id"), max(1, train.count() // rows)
+    some = train.where(F.pmod(key, F.lit(step)) == 0).orderBy(key, "label").limit(2 * rows)
+    return docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")  # at most 2 * rows rows of ids and labels
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:
@@ -70,12 +71,18 @@ def filtered(docs: DataFrame, keep: Callable[[pa.Array], np.ndarray]) -> DataFra
     return docs.mapInArrow(run, docs.schema)
 
 
-def lists(frame: DataFrame, of: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> pd.DataFrame:
-    """What `of` makes of a bounded sample, at the driver."""
+def mapped(frame: DataFrame, of: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
+    """What `of` makes of frame, a chunk at a time, in tasks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in tx.chunks(batch):
                 yield of(part)
 
-    return frame.mapInArrow(run, schema).toArrow().to_pandas()
+    return frame.mapInArrow(run, schema)
+
+
+def at_most(frame: DataFrame, rows: int) -> pd.DataFrame:
+    """Rows of small features at the driver: all, or `rows` of them by the order of their column `key`, when ids or texts that repeat make them more.
+    Each task keeps no more than `rows`, and no task gets the texts of others."""
+    return frame.orderBy("key").limit(rows).drop("key").toArrow().to_pandas()

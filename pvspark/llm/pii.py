@@ -12,7 +12,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -20,13 +23,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 KINDS = ("email", "ip", "card", "phone")
-MAX_TOKENS = 16
-#: About how many documents the field is fitted on (at most twice as many), and how many compounds.
+MAX_TOKENS = 24
+#: Tokens whose segments are scored at once.
+TOKENS = 2048
+#: About how many documents the field is fitted on, and how many compounds.
 SAMPLE_DOCS, SAMPLE_COMPOUNDS = 3000, 250
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-_DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)+")
+_DOTTED = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++)+")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _PART = re.compile(r"[0-9]+")
@@ -102,65 +107,125 @@ def compounds(text: str) -> Iterator[tuple[int, int]]:
         yield begin, end
 
 
-N_FEATURES = 30
-
-
-def features(s: str, before: str, after: str, n: int) -> list[int]:
-    """Which whole-span features a segment has, between two characters."""
-    digits = "".join(c for c in s if "0" <= c <= "9")
-    d, plain = len(digits), re.sub(r"\s*[(\[]at[)\]]\s*", "@", s)
-    card, dotted = 12 <= d <= 19, s.count(".") == 3 and s.replace(".", "").isdigit()
-    ip = dotted and all(p and len(p) < 4 and int(p) < 256 for p in s.split("."))
-    test = (
-        True, "@" in s, plain != s, plain.count("@") == 1, bool(_EMAIL_SHAPE.fullmatch(plain)), s[-1] in " .,;:-(@+[" or s[0] in " .,;:-)@]",
-        d == 0, 1 <= d <= 6, 7 <= d <= 8, 9 <= d <= 11, 12 <= d <= 15, d == 16, 17 <= d <= 19, d > 19,
-        card and luhn(digits), card and not luhn(digits), ip, dotted and not ip, s[0] == "+", "(" in s and ")" in s,
-        bool(_PHONE_SHAPE.fullmatch(s)), any(c.isalpha() for c in s), d == len(s), bool(_GROUPS.fullmatch(s)),
-        before.isalnum() or before in "@.-+", after.isalnum() or after == "@", bool(_DATE.fullmatch(s)), " " in s, n > 8, any(c in "!?$&*/\\'\"=<>|~^" for c in s),
-    )
-    return [k for k, x in enumerate(test) if x]
+NAMES = (
+    "bias", "at", "written_at", "one_at", "email_shape", "loose_edge", "digits_0", "digits_1_6", "digits_7_8", "digits_9_11", "digits_12_15", "digits_16", "digits_17_19", "luhn", "not_luhn",
+    "ip", "not_ip", "plus", "brackets", "phone_shape", "letters", "all_digits", "groups", "before", "after", "date", "spaces", "long", "symbols",
+)
+N_FEATURES = len(NAMES)
+_AT = re.compile(r"[(\[]at[)\]]")
+_SPACED_AT = re.compile(r"\s*[(\[]at[)\]]\s*")
+
+
+def _is(c: np.ndarray, of: str) -> np.ndarray:
+    return np.isin(c, [ord(x) for x in of])
+
+
+_TO_NINE, _SHAPES = str.maketrans("012345678", "9" * 9), [NAMES.index(k) for k in ("phone_shape", "groups", "date")]
+
+
+@lru_cache(1 << 16)
+def shapes(s: str) -> tuple[bool, bool, bool]:
+    """Whether a segment, with 9 for each digit, has the shape of a phone number, of groups of a card's digits, of a date."""
+    return len(s) < 40 and bool(_PHONE_SHAPE.fullmatch(s)), bool(_GROUPS.fullmatch(s)), bool(_DATE.fullmatch(s))
+
+
+def segments(text: str, cuts: np.ndarray, low: int, high: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The candidate segments whose last token is one of low to high - 1: first token, last token + 1, and whole-span features.
+
+    A candidate begins and ends without white space, has MAX_TOKENS tokens at most, and an @ or (at), or from 4 to 19 digits: no entity has less, or
+    more without an @. Counts of characters come from sums along the text; only shapes of segments with fitting counts are matched one by one."""
+    first = max(0, low - MAX_TOKENS + 1)
+    origin, sub = cuts[first], text[cuts[first] : cuts[high]]
+    c = np.frombuffer(sub.encode("utf-32-le", "surrogatepass"), np.uint32)
+    upto = lambda kind: np.r_[0, np.cumsum(kind)]
+    digit, alpha = (c >= 48) & (c < 58), np.fromiter(map(str.isalpha, sub), bool, len(sub)) if len(c) else np.zeros(0, bool)
+    space = np.fromiter(map(str.isspace, sub), bool, len(sub)) if len(c) else np.zeros(0, bool)
+    n_digit, n_at, n_dot, n_alpha, n_space, n_open, n_close, n_odd = map(upto, (digit, c == 64, c == 46, alpha, c == 32, c == 40, c == 41, _is(c, "!?$&*/\\'\"=<>|~^")))
+    written = [m.span() for m in _AT.finditer(sub)]
+    begun, ended = np.zeros(len(c) + 2, np.int64), np.zeros(len(c) + 2, np.int64)
+    for x, y in written:
+        begun[x + 1] += 1
+        ended[y] += 1
+    begun, ended = np.cumsum(begun), np.cumsum(ended)
+    j = np.repeat(np.arange(low + 1, high + 1), MAX_TOKENS)
+    i = j - np.tile(np.arange(1, MAX_TOKENS + 1), high - low)
+    i, j = i[i >= 0], j[i >= 0]
+    a, b = cuts[i] - origin, cuts[j] - origin
+    d, at, w = n_digit[b] - n_digit[a], n_at[b] - n_at[a], np.maximum(0, ended[b] - begun[a])
+    ok = ~space[a] & ~space[b - 1] & ((at + w > 0) | ((d >= 4) & (d <= 19)))
+    i, j, a, b, d, at, w = (x[ok] for x in (i, j, a, b, d, at, w))
+    x = np.zeros((len(i), N_FEATURES))
+    size, dots, letters = b - a, n_dot[b] - n_dot[a], n_alpha[b] - n_alpha[a]
+    edge_before = np.fromiter((sub[k - 1] if k else text[origin - 1 : origin] for k in a.tolist()), "U1", len(a))
+    edge_after = np.fromiter((text[origin + k : origin + k + 1] for k in b.tolist()), "U1", len(b))
+    word = lambda e, more: np.char.isalnum(e) | ((e != "") & np.isin(e, list(more)))
+    card, dotted = (d >= 12) & (d <= 19), (dots == 3) & (d + 3 == size)
+    columns = {
+        "bias": True, "at": at > 0, "written_at": w > 0, "one_at": at + w == 1, "loose_edge": _is(c[b - 1], " .,;:-(@+[") | _is(c[a], " .,;:-)@]"), "digits_0": d == 0, "digits_1_6": (d > 0) & (d < 7),
+        "digits_7_8": (d > 6) & (d < 9), "digits_9_11": (d > 8) & (d < 12), "digits_12_15": (d > 11) & (d < 16), "digits_16": d == 16, "digits_17_19": (d > 16) & (d < 20), "plus": c[a] == 43,
+        "brackets": (n_open[b] > n_open[a]) & (n_close[b] > n_close[a]), "letters": letters > 0, "all_digits": d == size, "before": word(edge_before, "@.-+"), "after": word(edge_after, "@"),
+        "spaces": n_space[b] > n_space[a], "long": j - i > 8, "symbols": n_odd[b] > n_odd[a],
+    }
+    for name, value in columns.items():
+        x[:, NAMES.index(name)] = value
+    put = lambda k, name, value=True: x.__setitem__((k, NAMES.index(name)), value)
+    for k in np.flatnonzero(columns["one_at"] & (size <= 320)).tolist():
+        put(k, "email_shape", bool(_EMAIL_SHAPE.fullmatch(_SPACED_AT.sub("@", sub[a[k] : b[k]]))))
+    for k in np.flatnonzero(dotted).tolist():
+        good = all(p and len(p) < 4 and int(p) < 256 for p in sub[a[k] : b[k]].split("."))
+        put(k, "ip" if good else "not_ip")
+    value = c[digit].astype(np.int64) - 48
+    double, even = value * 2 - 9 * (value > 4), np.arange(len(value)) % 2 == 0
+    sums = [upto(np.where(even, value, double)), upto(np.where(even, double, value))]  # the undoubled digits are those of the last one's parity
+    p, q = n_digit[a], n_digit[b]
+    checked = np.where(q % 2 == 1, sums[0][q] - sums[0][p], sums[1][q] - sums[1][p]) % 10 == 0
+    x[:, NAMES.index("luhn")], x[:, NAMES.index("not_luhn")] = card & (letters == 0) & checked, card & (letters == 0) & ~checked
+    plain = sub.translate(_TO_NINE)
+    for k in np.flatnonzero((letters == 0) & (at + w == 0)).tolist():
+        x[k, _SHAPES] = shapes(plain[a[k] : b[k]])
+    return i, j, x
+
+
+def token_cuts(text: str) -> np.ndarray:
+    return np.fromiter((0, *(m.end() for m in _TOKEN.finditer(text))), np.int64)
+
+
+def best(text: str, weights: np.ndarray) -> list[tuple[int, int, int]]:
+    """The entities (start, end, kind) of the best cover of a compound by dynamic programming; a token outside entities scores 0. It goes along the
+    tokens, TOKENS of them at a time, and keeps two numbers for each; a segment that scores no more than 0 is never part of the best cover."""
+    cuts = token_cuts(text)
+    n = len(cuts) - 1
+    value, back, kinds = np.zeros(n + 1), np.full(n + 1, -1, np.int64), np.zeros(n + 1, np.int8)
+    for low in range(0, n, TOKENS):
+        high = min(n, low + TOKENS)
+        i, j, x = segments(text, cuts, low, high)
+        score = x @ weights.T
+        top, kind = score.max(axis=1), score.argmax(axis=1)
+        into: dict[int, list] = {}
+        for k in np.flatnonzero(top > 0).tolist():
+            into.setdefault(int(j[k]), []).append((int(i[k]), float(top[k]), int(kind[k])))
+        for end in range(low + 1, high + 1):
+            value[end] = value[end - 1]
+            for start, s, of in into.get(end, ()):
+                if value[start] + s > value[end]:
+                    value[end], back[end], kinds[end] = value[start] + s, start, of
+    out, j = [], n
+    while j:
+        if back[j] < 0:
+            j -= 1
+        else:
+            out.append((int(cuts[back[j]]), int(cuts[j]), int(kinds[j])))
+            j = int(back[j])
+    return out[::-1]
 
 
 class Lattice:
-    """All candidate segments of a compound (tokens i to j) with their features."""
+    """All candidate segments of a labelled compound (tokens i to j) with their features, for the fit."""
 
     def __init__(self, text: str):
-        self.cuts = [0, *(m.end() for m in _TOKEN.finditer(text))]
-        self.spans, rows = [], []
-        for i in range(len(self.cuts) - 1):
-            for j in range(i + 1, min(i + MAX_TOKENS, len(self.cuts) - 1) + 1):
-                s = text[self.cuts[i] : self.cuts[j]]
-                if s[0].isspace() or s[-1].isspace() or not _TRIGGER.search(s):
-                    continue
-                a, b = self.cuts[i], self.cuts[j]
-                self.spans.append((i, j))
-                rows.append(features(s, text[a - 1 : a], text[b : b + 1], j - i))
-        self.x = np.zeros((len(rows), N_FEATURES))
-        for k, row in enumerate(rows):
-            self.x[k, row] = 1
-
-    def best(self, weights: np.ndarray) -> list[tuple[int, int, int]]:
-        """The best cover's entities (start, end, kind) by dynamic programming; a token outside entities scores 0."""
-        score = self.x @ weights.T if self.spans else np.zeros((0, len(KINDS)))
-        n, into = len(self.cuts) - 1, {}
-        for k, (i, j) in enumerate(self.spans):
-            into.setdefault(j, []).append((i, float(score[k].max(initial=-np.inf)), k))
-        value, back = [0.0] * (n + 1), [None] * (n + 1)
-        for j in range(1, n + 1):
-            value[j] = value[j - 1]
-            for i, s, k in into.get(j, ()):
-                if value[i] + s > value[j]:
-                    value[j], back[j] = value[i] + s, k
-        out, j = [], n
-        while j:
-            k = back[j]
-            if k is None:
-                j -= 1
-            else:
-                i = self.spans[k][0]
-                out.append((self.cuts[i], self.cuts[j], int(score[k].argmax())))
-                j = i
-        return out[::-1]
+        self.cuts = token_cuts(text)
+        i, j, self.x = segments(text, self.cuts, 0, len(self.cuts) - 1)
+        self.spans = list(zip(i.tolist(), j.tolist(), strict=True))
 
     def gradient(self, weights: np.ndarray, gold: np.ndarray) -> np.ndarray:
         """Of the log-likelihood of the labelled cover: observed minus expected features. gold: segments by kinds, 1 where labelled."""
@@ -227,14 +292,14 @@ def find(text: str | None, weights: np.ndarray) -> tuple[list[tuple[str, int, in
     """Base spans, and all spans, of a text; a null text is empty."""
     text = text or ""
     first = base(text)
-    added = []
+    added, starts, reach = [], [s[1] for s in first], list(accumulate((s[2] for s in first), max))
     for a, b in compounds(text):
         if b - a < 7:  # shorter ones hold no entity: 7 digits or a@b.com at least
             continue
-        inside = [s for s in first if s[1] < b and a < s[2]]
+        inside = [s for s in first[bisect_right(reach, a) : bisect_left(starts, b)] if a < s[2]]
         if len(inside) == 1 and inside[0][1:] == (a, b):
             continue
-        for x, y, kind in Lattice(text[a:b]).best(weights):
+        for x, y, kind in best(text[a:b], weights):
             if not any(s[1] < a + y and a + x < s[2] for s in inside):
                 added.append((KINDS[kind], a + x, a + y))
     return first, sorted(first + added, key=lambda s: (s[1], KINDS.index(s[0])))
@@ -255,7 +320,8 @@ def masked(text: str, spans: list[tuple[str, int, int]]) -> str:
 
 
 def trained(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_compounds: int = SAMPLE_COMPOUNDS) -> np.ndarray:
-    """Weights from compounds of about `sample_docs` documents, chosen by a hash of their ids; of compounds of one shape one is taken."""
+    """Weights from compounds of about `sample_docs` documents, chosen by a hash of their rows; of compounds of one shape one is taken, so copies of a
+    document count once. Only the compounds of the tasks' shapes are shuffled, and `sample_compounds` of them come to the driver."""
     step = max(1, docs.count() // sample_docs)
 
     def label(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -268,7 +334,7 @@ def trained(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_compounds: i
                         rows.append((text[a:b], joined([(k, x - a, y - a) for k, x, y in spans if a <= x and y <= b])))
             yield pd.DataFrame(rows, columns=["compound", "spans"])
 
-    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(step)) == 0).select("text").limit(2 * sample_docs)
+    some = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(step)) == 0).select("text")
     found = some.mapInPandas(label, "compound string, spans string").withColumn("shape", F.regexp_replace(F.regexp_replace("compound", "[A-Za-z]+", "a"), "[0-9]", "9")).groupBy("shape").agg(F.min_by(F.struct("compound", "spans"), F.xxhash64("compound")).alias("c")).select("c.*").orderBy(F.xxhash64("compound"), "compound").limit(sample_compounds).collect()
     return fit([(r.compound, [(k, int(a), int(b)) for k, a, b in (s.split(":") for s in r.spans.split(",") if s)]) for r in found])
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pvspark.llm import text as tx
-from pvspark.llm.classifiers import adam, held_out, lists, sample, scored, sigmoid
+from pvspark.llm.classifiers import adam, at_most, held_out, mapped, sample, scored, sigmoid
 
 PARTS, HELD_OUT = 5, 0
 THRESHOLD = 0.3
@@ -125,13 +125,15 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, steps: int = 400) -> Model
 
 
 def trained(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Model:
-    """The model of positives (labels.quality = 1) and unlabelled texts outside the held-out part, both chosen by hashes of their ids."""
-    shape = lambda part: pa.RecordBatch.from_arrays([pa.array(list(features(part.column("text"))), pa.list_(pa.float64()))], ["x"])
-    matrix = lambda frame: np.array(frame["x"].tolist()).reshape(-1, len(NAMES))
-    good = matrix(lists(sample(docs, labels.where("quality = 1"), "quality", PARTS, HELD_OUT, positives), shape, "x array<double>"))
+    """The model of positives (labels.quality = 1) and unlabelled texts outside the held-out part, both chosen by hashes. Features are made in
+    tasks; only they, and of either kind at most twice as many rows as stated, come to the driver."""
+    key = F.xxhash64("doc_id", "text", F.lit(5)).alias("key")
+    shape = lambda part: pa.RecordBatch.from_arrays([part.column("key"), pa.array(list(features(part.column("text"))), pa.list_(pa.float64()))], ["key", "x"])
+    matrix = lambda texts, rows: np.array(at_most(mapped(texts.select(key, "text"), shape, "key long, x array<double>"), 2 * rows)["x"].tolist()).reshape(-1, len(NAMES))
+    good = matrix(sample(docs, labels.where("quality = 1"), "quality", PARTS, HELD_OUT, positives), positives)
     train = docs.where(~held_out(PARTS, HELD_OUT))
     step = max(1, train.count() // unlabelled)
-    web = matrix(lists(train.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(step)) == 0).select("doc_id", "text").limit(2 * unlabelled), shape, "x array<double>"))
+    web = matrix(train.where(F.pmod(key, F.lit(step)) == 0).select("doc_id", "text"), unlabelled)
     return fit(good, web)
 
 

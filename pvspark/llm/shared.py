@@ -12,10 +12,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Stored tables that are still there.
+_kept: list[tuple[SparkSession, str]] = []
+
+
 def folder(spark: SparkSession) -> str:
-    """A new path in spark.checkpoint.dir; a temporary folder only where that is unset, as in tests."""
+    """A new path in spark.checkpoint.dir. Where that is unset, as in tests, a temporary folder; not on a cluster, whose machines would each have their own."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         base = f"file://{tempfile.mkdtemp(prefix='pvspark-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
@@ -27,13 +33,34 @@ def stored(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_path = path
+    _kept.append((spark, path))
     return out
 
 
+def mark() -> int:
+    """A place in the order of stored tables, for released()."""
+    return len(_kept)
+
+
+def released(since: int = 0, but: DataFrame | None = None) -> None:
+    """Remove the files of all tables stored since a mark(), but those of one table. To be called when what was made from them is written: results
+    read their stored tables when an action runs."""
+    keep = [x for x in _kept[since:] if but is not None and x[1] == but._stored_path]
+    for spark, path in _kept[since:]:
+        if all(path != x[1] for x in keep):
+            _delete(spark, path)
+    _kept[since:] = keep
+
+
 def dropped(df: DataFrame) -> None:
     """Remove the files of a stored table that no later step reads."""
-    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._stored_path)
-    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(df.sparkSession, df._stored_path)
+    _kept[:] = [x for x in _kept if x[1] != df._stored_path]
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def roots(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

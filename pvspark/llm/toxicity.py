@@ -15,11 +15,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pvspark.llm import text as tx
-from pvspark.llm.classifiers import BUCKETS, adam, filtered, held_out, lists, sample, scored, sigmoid, word_sets
+from pvspark.llm.classifiers import adam, at_most, filtered, held_out, mapped, sample, scored, sigmoid, word_sets
 
 PARTS, HELD_OUT = 4, 2
 THRESHOLD = 0.3
-#: About how many labelled texts the fit sees (at most twice as many), and how many words it keeps.
+#: About how many labelled texts the fit sees (at most twice as many), and how many words it keeps besides the identity terms.
 SAMPLE, WORDS = 16_000, 1500
 COUNTERFACTUAL, RIDGE = 1.0, 2e-4
 
@@ -35,6 +35,16 @@ IDENTITY = (
     ("young", "old", "elderly"),
     ("disabled", "blind", "deaf"),
     ("immigrant", "immigrants", "refugee", "refugees"),
+    ("frau", "mann", "mädchen", "junge"),
+    ("schwul", "lesbisch", "hetero", "queer"),
+    ("muslime", "christen", "juden", "hindus", "buddhisten", "atheisten"),
+    ("deutsche", "türken", "polen", "franzosen", "araber"),
+    ("femme", "homme", "fille", "garçon"),
+    ("musulmans", "chrétiens", "juifs", "hindous", "bouddhistes", "athées"),
+    ("français", "algériens", "marocains", "allemands", "arabes"),
+    ("mujer", "hombre", "niña", "niño"),
+    ("musulmanes", "cristianos", "judíos", "hindúes", "budistas", "ateos"),
+    ("españoles", "mexicanos", "colombianos", "gitanos", "árabes"),
 )
 
 
@@ -49,38 +59,52 @@ def swaps(own: np.ndarray) -> list[tuple[int, int]]:
     return [(a, b) for group in identity_buckets() for a in group if a in held for b in group if b != a]
 
 
-def _features(part: pa.RecordBatch) -> pa.RecordBatch:
+def _words(part: pa.RecordBatch) -> pa.RecordBatch:
+    """For each distinct word of a chunk, the texts of either label that have it."""
     buckets, rows = word_sets(part.column("text"))
-    ends = np.r_[0, np.cumsum(np.bincount(rows, minlength=len(part)))]
-    pairs = [swaps(buckets[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-    return pa.RecordBatch.from_arrays(
-        [part.column("label").cast(pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(buckets, pa.int32())),
-         pa.array([[a for a, _ in p] for p in pairs], pa.list_(pa.int32())), pa.array([[b for _, b in p] for p in pairs], pa.list_(pa.int32()))],
-        ["label", "words", "swap_out", "swap_in"],
-    )
+    label = part.column("label").to_numpy()[rows]
+    words, at = np.unique(buckets, return_inverse=True)
+    count = [np.bincount(at[label == y], minlength=len(words)) for y in (0, 1)]
+    return pa.RecordBatch.from_arrays([pa.array(words, pa.int32()), pa.array(count[0]), pa.array(count[1])], ["word", "negative", "positive"])
 
 
-def fit(labels: np.ndarray, words: list[np.ndarray], swapped: np.ndarray, keep: int = WORDS, weight: float = COUNTERFACTUAL) -> tuple[np.ndarray, float]:
-    """A weight for each word bucket (0 for most) and a bias. swapped: rows of (out, in) buckets, one for each swap in a labelled text.
+def _features(chosen: np.ndarray):
+    """Of each text its label, its words among the chosen ones (as their places), and the swaps of its identity terms."""
+
+    def of(part: pa.RecordBatch) -> pa.RecordBatch:
+        buckets, rows = word_sets(part.column("text"))
+        at = np.minimum(np.searchsorted(chosen, buckets), len(chosen) - 1)
+        ok = chosen[at] == buckets
+        at, rows = at[ok], rows[ok]
+        ends = np.r_[0, np.cumsum(np.bincount(rows, minlength=len(part)))]
+        pairs = [swaps(chosen[at[a:b]]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        side = lambda k: pa.array([np.searchsorted(chosen, [p[k] for p in own]) for own in pairs], pa.list_(pa.int32()))
+        return pa.RecordBatch.from_arrays([part.column("key"), part.column("label").cast(pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(at, pa.int32())), side(0), side(1)], ["key", "label", "words", "swap_out", "swap_in"])
+
+    return of
+
+
+def selected(counts: DataFrame, negatives: int, positives: int, keep: int = WORDS) -> np.ndarray:
+    """The words (buckets, ascending) whose share among positives differs most from that among negatives, `keep` at most, and all identity terms.
+    counts: word, negative, positive, the texts that have a word; the choice is made where the counts are."""
+    share = positives / max(1, negatives + positives)
+    n, expect = F.col("negative") + F.col("positive"), (F.col("negative") + F.col("positive")) * share
+    z = F.abs((F.col("positive") - expect) / F.sqrt(expect * (1 - share) + 1e-9))
+    found = counts.where((n >= 4) & (z > 3.5)).orderBy(z.desc(), "word").limit(keep).select("word").collect()
+    return np.unique(np.r_[np.array([r.word for r in found], np.int64), np.concatenate([np.array(g) for g in identity_buckets()])])
+
+
+def fit(labels: np.ndarray, words: list[np.ndarray], swapped: np.ndarray, size: int, weight: float = COUNTERFACTUAL) -> tuple[np.ndarray, float]:
+    """A weight for each of `size` words and a bias. words: the words of each labelled text; swapped: rows of (out, in), one for each swap of an identity
+    term in a labelled text; the mean squared change of the logit by a swap is penalised.
     Without labels of both kinds, the bias alone gives the known share (a half without any)."""
     y = labels.astype(float)
     share = (y.sum() + 1) / (len(y) + 2)
-    out, bias = np.zeros(BUCKETS), float(np.log(share / (1 - share)))
+    out, bias = np.zeros(size), float(np.log(share / (1 - share)))
     if not 0 < y.sum() < len(y):
         return out, bias
-    n = np.array([len(w) for w in words])
-    flat, rows = np.concatenate(words).astype(np.int64), np.repeat(np.arange(len(words)), n)
-    pos, neg = np.bincount(flat, weights=y[rows], minlength=BUCKETS), np.bincount(flat, weights=1 - y[rows], minlength=BUCKETS)
-    expect = (pos + neg) * y.mean()
-    z = (pos - expect) / np.sqrt(expect * (1 - y.mean()) + 1e-9)
-    z[pos + neg < 4] = 0
-    chosen = np.argsort(-np.abs(z))[:keep]
-    chosen = np.union1d(chosen[np.abs(z[chosen]) > 3.5], np.concatenate([np.array(g) for g in identity_buckets()]))
-    at = np.full(BUCKETS, -1)
-    at[chosen] = np.arange(len(chosen))
-    col, row = at[flat], rows
-    row, col = row[col >= 0], col[col >= 0]
-    a, b = (at[swapped[:, k]] for k in (0, 1)) if len(swapped) else (np.zeros(0, int),) * 2
+    col, row = np.concatenate(words).astype(np.int64), np.repeat(np.arange(len(words)), [len(w) for w in words])
+    a, b = swapped.astype(np.int64).reshape(-1, 2).T
 
     def gradient(w):
         p = sigmoid(np.bincount(row, weights=w[col], minlength=len(y)) + w[-1])
@@ -90,24 +114,26 @@ def fit(labels: np.ndarray, words: list[np.ndarray], swapped: np.ndarray, keep:
         change = 2 * weight * (w[b] - w[a]) / max(1, len(a))  # of the mean squared change of the logit
         return g + np.bincount(b, weights=change, minlength=len(w)) - np.bincount(a, weights=change, minlength=len(w))
 
-    w = adam(gradient, np.r_[np.zeros(len(chosen)), bias], 400, 0.05)
-    out[chosen] = w[:-1]
-    return out, float(w[-1])
+    w = adam(gradient, np.r_[out, bias], 400, 0.05)
+    return w[:-1], float(w[-1])
 
 
-def trained(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE):
-    """A function of texts that gives scores, learned from labelled documents outside the held-out part (labels: doc_id, toxic)."""
-    found = lists(sample(docs, labels, "toxic", PARTS, HELD_OUT, rows), _features, "label int, words array<int>, swap_out array<int>, swap_in array<int>")
+def trained(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE, weight: float = COUNTERFACTUAL):
+    """A function of texts that gives scores, learned from labelled documents outside the held-out part (labels: doc_id, toxic). Words are counted and
+    chosen by tasks; to the driver come the chosen ones, and for 2 * rows texts at most their places in that list."""
+    some = sample(docs, labels, "toxic", PARTS, HELD_OUT, rows).select(F.xxhash64("doc_id", "text").alias("key"), "text", "label")
+    counts = mapped(some, _words, "word int, negative long, positive long").groupBy("word").agg(F.sum("negative").alias("negative"), F.sum("positive").alias("positive"))
+    total = some.agg(F.count_if(F.col("label") != 1).alias("negative"), F.count_if(F.col("label") == 1).alias("positive")).first()
+    chosen = selected(counts, total.negative, total.positive)
+    found = at_most(mapped(some, _features(chosen), "key long, label int, words array<int>, swap_out array<int>, swap_in array<int>"), 2 * rows)
     pair = lambda c: np.concatenate([np.zeros(0, np.int64), *(np.asarray(x, np.int64) for x in found[c])])
-    weights, bias = fit(found["label"].to_numpy(), list(found["words"]), np.stack([pair("swap_out"), pair("swap_in")], 1))
-    some = np.flatnonzero(weights)
-    values = weights[some]
+    values, bias = fit(found["label"].to_numpy(), list(found["words"]), np.stack([pair("swap_out"), pair("swap_in")], 1), len(chosen), weight)
 
     def score(column: pa.Array) -> np.ndarray:
-        buckets, rows = word_sets(column)
-        at = np.minimum(np.searchsorted(some, buckets), max(0, len(some) - 1))
-        ok = some[at] == buckets if len(some) else np.zeros(len(buckets), bool)
-        return sigmoid(np.bincount(rows[ok], weights=values[at[ok]] if len(some) else None, minlength=len(column)) + bias)
+        buckets, of = word_sets(column)
+        at = np.minimum(np.searchsorted(chosen, buckets), len(chosen) - 1)
+        ok = chosen[at] == buckets
+        return sigmoid(np.bincount(of[ok], weights=values[at[ok]], minlength=len(column)) + bias)
 
     return score
 

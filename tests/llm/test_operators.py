@@ -1,8 +1,10 @@
 """The operators against brute force and on odd inputs: nulls, empty and long texts, repeated rows, empty tables, other columns."""
 
 import hashlib
+import random
 import re
 import sys
+import time
 import zlib
 from collections import Counter, defaultdict
 from pathlib import Path
@@ -13,7 +15,7 @@ import pytest
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 from conftest import DATA, duck_rows, spark_rows  # noqa: E402
 
-from pvspark.llm import decontaminate, embeddings, jaccard_join, licenses, lm_scoring, packing, pii, quality, queries, secrets_scan, toxicity  # noqa: E402
+from pvspark.llm import attention, decontaminate, embeddings, encoding, jaccard_join, licenses, lm_scoring, packing, pii, quality, queries, secrets_scan, shared, toxicity  # noqa: E402
 from pvspark.llm import text as tx  # noqa: E402
 from pvspark.llm.shared import components, roots  # noqa: E402
 
@@ -84,6 +86,76 @@ def test_pii_field_adds_spans(spark, odd, documents):
     assert pii.personal_data(odd.where("doc_id = -1"), w).count() == 0
 
 
+def test_pii_dynamic_program_is_the_best_cover():
+    rng = np.random.default_rng(9)
+    for text in ("a@b.co 12 3456 7890", "1.2.3.4 (at) x", "+1 (212) 555-0100 9"):
+        w = rng.standard_normal((len(pii.KINDS), pii.N_FEATURES))
+        cuts = pii.token_cuts(text)
+        i, j, x = pii.segments(text, cuts, 0, len(cuts) - 1)
+        top = (x @ w.T).max(axis=1)
+        where = {(a, b): v for a, b, v in zip(i.tolist(), j.tolist(), top, strict=True)}
+
+        def value(at, n=len(cuts) - 1, where=where):
+            return 0.0 if at == n else max(value(at + 1), *(where[at, b] + value(b) for b in range(at + 1, n + 1) if (at, b) in where), -1e9)
+
+        got = sum(where[int(np.searchsorted(cuts, a)), int(np.searchsorted(cuts, b))] for a, b, _ in pii.best(text, w))
+        assert abs(got - value(0)) < 1e-9
+
+
+def test_pii_gradient():
+    rng, lattice = np.random.default_rng(10), pii.Lattice("x a@b.co 12345678")
+    w, gold = rng.standard_normal((len(pii.KINDS), pii.N_FEATURES)) * 0.3, np.zeros((len(lattice.spans), len(pii.KINDS)))
+    gold[0, 1] = 1
+
+    def likelihood(w):
+        score, n = lattice.x @ w.T, len(lattice.cuts) - 1
+        total = {0: 0.0}
+        for end in range(1, n + 1):  # the sum over all covers, one by one
+            total[end] = np.logaddexp.reduce([total[end - 1], *(total[i] + np.logaddexp.reduce(score[k]) for k, (i, j) in enumerate(lattice.spans) if j == end)])
+        return (gold * score).sum() - total[n]
+
+    g = lattice.gradient(w, gold)
+    for k in rng.integers(0, w.size, 12):
+        step = np.zeros_like(w)
+        step.ravel()[k] = 1e-5
+        assert abs((likelihood(w + step) - likelihood(w - step)) / 2e-5 - g.ravel()[k]) < 1e-5
+
+
+def test_pii_blocks_of_tokens_change_nothing(monkeypatch):
+    text = " ".join(f"{k * 7919 % 10**9:09d}" if k % 3 else f"u{k} (at) x{k}.org" for k in range(300))
+    w = pii.fit([])
+    whole = pii.find(text, w)
+    monkeypatch.setattr(pii, "TOKENS", 7)
+    assert pii.find(text, w) == whole and len(whole[1]) > 100
+
+
+def test_pii_finds_rewritten_entities_in_documents(spark, documents):
+    """Entities in ways of writing that the base expressions miss, planted in every document of the table, are found by the field as fitted on it."""
+    rng = random.Random(11)
+    rows, planted = [], {}
+    for r in documents.where("text is not null").collect():
+        words = r.text.split(" ")
+        at = rng.randrange(len(words) + 1)
+        new = rng.choice([f"user{r.doc_id}[at]mail{r.doc_id % 7}.org", f"jo.{r.doc_id} (at) site.net", f"({rng.randrange(200, 999)}) {rng.randrange(200, 999)}-{rng.randrange(1000, 9999)}", "4111.1111.1111.1111"])
+        a = len(" ".join([*words[:at], ""])) if at else 0
+        rows.append((r.doc_id, " ".join([*words[:at], new, *words[at:]])))
+        planted[r.doc_id] = (a, a + len(new))
+    got = pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string"), pii.trained(documents)).collect()
+    hits = sum(any(int(x.split(":")[1]) < planted[r.doc_id][1] and planted[r.doc_id][0] < int(x.split(":")[2]) for x in r.spans.split(",") if x) for r in got)
+    assert hits >= 0.95 * len(rows)
+
+
+def test_scans_are_linear():
+    """A megabyte of what makes careless expressions quadratic takes seconds."""
+    w, start = pii.fit([]), time.time()
+    pii.find("1" * 1_000_000, w)
+    pii.find("a@" * 500_000, w)
+    pii.find("a@b.c " * 20_000, w)
+    for unit in ("eyJ", "eyJ.", "token ", "AKIA", "-----BEGIN ", "password=a", "xprv"):
+        secrets_scan.find(unit * (1_000_000 // len(unit)))
+    assert time.time() - start < 60
+
+
 def test_licenses_equal_sql(spark, duck):
     q = queries.queries()["op2_license_scan"](spark, DATA)
     columns, rows = duck_rows(duck, queries.oracle_sql()["op2_license_scan"])
@@ -93,7 +165,7 @@ def test_licenses_equal_sql(spark, duck):
 def test_licenses_odd(spark, odd):
     extra = spark.createDataFrame([(9, "x\nReleased under\nthe MIT License.\n\nend", "y")], odd.schema)
     found = {r.doc_id: [x.license for x in r.licenses] for r in licenses.matches(odd.unionByName(extra)).collect()}
-    assert found[9] == [] or found[9] == ["MIT"]
+    assert found[9] == ["MIT"]
     assert found[2] == found[3] == []
     assert licenses.matches(odd, {"none": ["x"]}).count() == odd.count()
 
@@ -144,21 +216,70 @@ def test_decontamination_passes_and_proximity(spark, odd):
     assert got.near == 1 and got.passages == []
 
 
-def test_embeddings_equal_brute_force(spark):
-    rng = np.random.default_rng(3)
-    centre = rng.standard_normal((40, 32))
-    x = np.repeat(centre, 8, axis=0) + rng.standard_normal((320, 32)) * np.repeat(rng.uniform(0.05, 0.5, 40), 8)[:, None]
-    rows = [(k, v.tolist(), int(k % 3 > 0)) for k, v in enumerate(x)]
-    bad = [(900, None, 1), (901, [0.0] * 32, 1), (902, [float("nan")] * 32, 1), (903, rows[0][1], None), (904, rows[1][1], 1), (905, [1.0], 1), (906, [None] * 32, 1)]
-    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embeddings.near_duplicates(spark.createDataFrame(rows + bad, "vec_id long, embedding array<float>, label int")).collect()}
-    rows.append((904, rows[1][1], 1))
+def links_brute(rows):
+    """(links, component) of rows (id, vector, label) by all pairs."""
     u, ids, labels = embeddings.units([np.float32(r[1]) for r in rows]), np.array([r[0] for r in rows]), np.array([r[2] for r in rows])
     near = (u @ u.T >= 0.93) & (labels[:, None] == labels)
     np.fill_diagonal(near, False)
-    i, j = np.nonzero(near)
-    found = sum(got[k][0] for k in ids.tolist())
-    assert 0.95 * len(i) <= found <= len(i)
-    assert all(got[k] == (0, k, True) for k in (900, 901, 902, 903, 905, 906))
+    component = ids.copy()
+    while True:
+        new = np.array([min([c, *component[near[k]]]) for k, c in enumerate(component)])
+        if np.array_equal(new, component):
+            return {int(k): (int(n), int(c)) for k, n, c in zip(ids, near.sum(axis=1), component, strict=True)}
+        component = new
+
+
+@pytest.mark.parametrize("bucket", [16, 1024])
+def test_embeddings_equal_brute_force(spark, bucket, monkeypatch):
+    monkeypatch.setattr(embeddings, "BUCKET", bucket)  # few rows in a bucket and blocks, or many
+    rng = np.random.default_rng(3)
+    centre = rng.standard_normal((40, 32))
+    x = np.repeat(centre, 8, axis=0) + rng.standard_normal((320, 32)) * np.repeat(rng.uniform(0.05, 0.25, 40), 8)[:, None]
+    rows = [(k, v.tolist(), int(k % 3 > 0)) for k, v in enumerate(x)]
+    rows += [(1000 + k, (centre[0] * 2.0**k).tolist(), 1) for k in range(30)]  # one direction in many lengths
+    bad = [(900, None, 1), (901, [0.0] * 32, 1), (902, [float("nan")] * 32, 1), (903, rows[0][1], None), (904, rows[1][1], 1), (905, [1.0], 1), (906, [None] * 32, 1), (907, [], 1), (None, rows[0][1], 0)]
+    docs = spark.createDataFrame([(*r, "x") for r in rows + bad], "vec_id long, embedding array<float>, label int, component string")
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embeddings.near_duplicates(docs).collect()}
+    expect = links_brute([*rows, (904, rows[1][1], 1)])
+    found, true = sum(got[k][0] for k in expect), sum(n for n, _ in expect.values())
+    assert 0.96 * true <= found <= true and all(got[k][0] <= n for k, (n, _) in expect.items())
+    assert np.mean([got[k][1] == c and got[k][2] == (k == c) for k, (_, c) in expect.items()]) > 0.97
+    assert all(got[k] == (0, k, True) for k in (900, 901, 902, 903, 905, 906, 907))
+    assert embeddings.near_duplicates(docs.where("vec_id = -1")).count() == 0
+
+
+def test_decontamination_probe_is_small(spark):
+    words = [f"t{k}" for k in range(50_000)]
+    probe = decontaminate.Probe([(k, " ".join(words[k * 100 : k * 100 + 100])) for k in range(500)], 10)
+    probe.rank(np.zeros(len(probe.terms), np.int64))
+    assert probe.size() <= 34 * len(words) + 1000
+
+
+def test_decontamination_judges_rows(spark):
+    item = spark.createDataFrame([(1, "a b c d e f g h i j k")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "x a b c d e f g h i j y", 1), (1, "clean", 2), (None, "a b c d e f g h i j", 3), (2, None, 4)], "doc_id long, text string, _hit int")
+    assert sorted(r._hit for r in decontaminate.decontaminated(docs, item).collect()) == [2, 4]
+
+
+def test_embeddings_far_lengths(spark):
+    x = np.random.default_rng(4).standard_normal(8)
+    rows = [(1, (x * 1e200).tolist(), 1), (2, (x * 1e-250).tolist(), 1), (3, x.tolist(), 1)]
+    assert {r.n_links for r in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()} == {2}
+
+
+def test_embedding_bounds_hold():
+    rng = np.random.default_rng(5)
+    base = rng.standard_normal((300, 64))
+    unit = embeddings.units(np.concatenate([base, base + rng.standard_normal((300, 64)) * 0.35]))
+    steps, scale, error, factor = embeddings.codes(unit)
+    cosine = unit @ unit.T
+    full = steps * scale[:, None].astype(float)
+    assert (np.abs(full @ full.T - cosine) <= error[:, None] + 1.02 * error[None, :]).all()  # certain
+    estimate = embeddings.signs(steps) @ unit.T / factor[:, None]
+    assert abs((estimate - cosine)[~np.eye(600, dtype=bool)].mean()) < 2e-3  # unbiased
+    i, j = embeddings.near(steps, scale, error, factor, np.arange(600), np.arange(600), 0.93)
+    true = set(zip(*np.nonzero(cosine >= 0.93), strict=True))
+    assert len(true - set(zip(i.tolist(), j.tolist(), strict=True))) <= 0.001 * len(true)
 
 
 def test_secrets(odd):
@@ -171,13 +292,51 @@ def test_secrets(odd):
     assert len(rows) == odd.count() and all(r.spans == "" for r in rows if r.doc_id in (2, 3))
 
 
-@pytest.mark.parametrize(("query", "label"), [("op6_toxicity", "toxic"), ("op10_quality", "quality")])
-def test_classifiers_hold_out(spark, query, label):
-    sf = "/root/testdata/sf0.01"
+def secrets_brute(t):
+    low = tx.lower(t)
+    out = [("assign", *m.span()) for m in re.finditer(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([a-z0-9+/_.=-]+)", low) if len(m[2]) >= 6]
+    out += [("access", *m.span()) for m in re.finditer(r"AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]
+    out += [("hex", *m.span()) for m in re.finditer(r"[0-9a-f]+", t) if len(m[0]) >= 24]
+    return sorted(out, key=lambda s: (s[1], secrets_scan.KINDS.index(s[0])))
+
+
+def test_secrets_base_equals_brute_force(documents):
+    rng = random.Random(12)
+    parts = ["password", "Secret", "api_key", "apikey", "TOKEN", "passwd", "AKIA", "ABCDEFGHIJKLMNOPQ", "0123456789abcdef", "eyJ", " ", "=", ":", "'", '"', "é", "x", "Z", "9", "\u212a", "_", "."]
+    fuzz = ["".join(rng.choice(parts) for _ in range(rng.randrange(2, 24))) for _ in range(4000)]
+    for t in [*(r.text or "" for r in documents.collect()), *fuzz]:
+        assert [s for s in secrets_scan.find(t) if s[0] in secrets_scan.KINDS[:3]] == secrets_brute(t)
+
+
+def test_secrets_with_checksums():
+    import base64
+    import json
+
+    one = lambda kind, t: [(k, t[a:b]) for k, a, b in secrets_scan.find(t) if k == kind]
+    part = lambda x: base64.urlsafe_b64encode(json.dumps(x).encode()).decode().rstrip("=")
+    token = f"{part({'alg': 'HS256'})}.{part({'sub': '1'})}.c2ln"
+    assert one("jwt", f"x {token} y") == [("jwt", token)] and one("jwt", f"x {token.replace('eyJ', 'eyJ!')} y") == []
+    key = "AGE-SECRET-KEY-1" + "Q" * 58
+    assert one("age", key) == []
+    payload = bytes(range(78))
+    n, text = int.from_bytes(b"\x04\x88\xad\xe4" + payload[4:] + hashlib.sha256(hashlib.sha256(b"\x04\x88\xad\xe4" + payload[4:]).digest()).digest()[:4], "big"), ""
+    while n:
+        n, d = divmod(n, 58)
+        text = secrets_scan._BASE58[d] + text
+    assert one("xprv", f"a {text} b") == [("xprv", text)] and one("xprv", f"a {text[:-1]}{'1' if text[-1] != '1' else '2'} b") == []
+
+
+@pytest.mark.parametrize(("query", "label", "rare"), [("op6_toxicity", "toxic", 1), ("op10_quality", "quality", 0)])
+def test_classifiers_hold_out(spark, query, label, rare):
+    sf = "/root/testdata/sf0.1"
     labels = {r.doc_id: r[label] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
     rows = [r for r in queries.queries()[query](spark, sf).collect() if r.doc_id in labels and r.held_out]
-    right = sum(r.predicted == labels[r.doc_id] for r in rows)
-    assert right >= 0.85 * len(rows) and all(0 <= r.score <= 1 for r in rows)
+    assert all(0 <= r.score <= 1 for r in rows)
+    one, zero = (np.array([r.score for r in rows if labels[r.doc_id] == y]) for y in (1, 0))
+    auc = (one[:, None] > zero).mean() + (one[:, None] == zero).mean() / 2
+    hit = np.mean([r.predicted == rare for r in rows if labels[r.doc_id] == rare])
+    clean = np.mean([r.predicted != rare for r in rows if labels[r.doc_id] != rare])
+    assert auc > 0.95 and hit > 0.7 and clean > 0.97
 
 
 def test_classifiers_odd(spark, odd):
@@ -185,12 +344,40 @@ def test_classifiers_odd(spark, odd):
     for f in (toxicity.toxicity, quality.quality):
         assert f(odd, labels).count() == odd.count()
         assert f(odd, labels.where("doc_id = -1")).count() == odd.count()
+        assert f(odd.where("doc_id = -1"), labels).count() == 0
     assert toxicity.without_toxic(odd, labels).columns == odd.columns
 
 
-def test_identity_terms_do_not_score():
-    words = [np.array(g, np.int64) for g in toxicity.identity_buckets()]
-    assert toxicity.swaps(words[0][:1]) == [(int(words[0][0]), int(b)) for b in words[0][1:]]
+def test_identity_terms_do_not_score(spark):
+    """Toxic texts that mention one group more often than others: with the penalty a swap of its term hardly changes the score, without it does."""
+    rng = random.Random(13)
+    words = [f"w{k}" for k in range(50)]
+    rows = []
+    for k in range(1200):
+        toxic = rng.random() < 0.3
+        term = "muslim" if rng.random() < (0.6 if toxic else 0.1) else rng.choice(["christian", "jewish", "hindu"])
+        rows.append((k, " ".join([*rng.choices(words, k=12), term, *(["vile"] if toxic and rng.random() < 0.8 else [])]), int(toxic)))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    import pyarrow as pa
+
+    gap = {}
+    for weight in (0.0, 5.0):
+        score = toxicity.trained(docs, labels, weight=weight)
+        a, b, c = score(pa.array(["w1 w2 muslim", "w1 w2 christian", "w1 w2 vile"])).tolist()
+        gap[weight] = abs(a - b)
+        assert c > max(a, b)
+    assert gap[5.0] < 0.1 * gap[0.0] and gap[0.0] > 0.2
+
+
+def test_quality_risk_and_prior():
+    """The estimated share of good texts among the unlabelled is near the true one, and the model parts the kinds."""
+    rng = np.random.default_rng(14)
+    size = len(quality.NAMES)
+    draw = lambda n, shift: np.hstack([np.ones((n, 1)), rng.standard_normal((n, size - 1)) + shift * (np.arange(size - 1) < 3)])
+    model = quality.fit(draw(1500, 2.0), np.vstack([draw(1400, 2.0), draw(600, -2.0)]))
+    assert abs(model.prior - 0.7) < 0.1
+    assert (model.logit(draw(500, 2.0)) > 0).mean() > 0.9 and (model.logit(draw(500, -2.0)) < 0).mean() > 0.9
 
 
 def jaccard_brute(texts, width, t):
@@ -236,14 +423,43 @@ def test_jaccard_odd(odd):
     assert sorted(r.doc_id or -1 for r in jaccard_join.deduplicated(odd).collect()) == [-1, 1, 2, 3, 4, 5, 6, 7]
 
 
+def test_ids_equal_the_tokenizers():
+    """Random texts with all kinds of white space, special strings, marks and words; and runs of letters, whose merges go another way."""
+    import public_tokenizers as P
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    rng, reference = random.Random(15), Tokenizer.from_file(P.path(packing.VOCABULARY))
+    parts = ["a", "B", " ", "  ", "\xa0", "\u3000", "\u2003", "\u0085", "\u2028", "\u1680", "\u180e", "\n", "\t", "\x1c", "\x0b", "'s", "'", "é", "日", "の", "ñ", "\u200b", "😀", "<|endoftext|>", "<|endoftext", "1", ".", " the", "\x7f", "\u0301", " word,"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(15))) for _ in range(20_000)]
+    texts += [" ".join("".join(rng.choice("eeettaoinshrdlcumwfgypbvkjxqz") for _ in range(rng.randrange(1, 16))) for _ in range(40)) for _ in range(2000)]
+    ids, n = encoding.encode(pa.array(texts), P.path(packing.VOCABULARY))
+    ends = np.cumsum(n)
+    for t, a, b in zip(texts, ends - n, ends, strict=True):
+        assert ids[a:b].tolist() == reference.encode(t, add_special_tokens=False).ids
+
+
+def test_encoder_forgets_and_goes_on(monkeypatch):
+    import public_tokenizers as P
+    import pyarrow as pa
+
+    texts = [f"w{k} x{k % 7} word" for k in range(500)]
+    whole = encoding.encode(pa.array(texts), P.path(packing.VOCABULARY))
+    monkeypatch.setattr(encoding, "SEGMENTS", 40)
+    monkeypatch.setattr(encoding, "_coders", {})
+    for k in range(0, 500, 50):
+        ids, n = encoding.encode(pa.array(texts[k : k + 50]), P.path(packing.VOCABULARY))
+        a = whole[1][:k].sum()
+        assert ids.tolist() == whole[0][a : a + len(ids)].tolist() and n.tolist() == whole[1][k : k + 50].tolist()
+
+
 def test_packing(spark, documents, odd):
     import public_tokenizers as P
     from tokenizers import Tokenizer
 
     whole = documents.select("doc_id", "text").unionByName(odd.where("doc_id = 7").select(F_id(100_007), "text"))
-    rows = packing.packed(whole, P.path(packing.VOCABULARY), P.PATTERN).collect()
+    rows = packing.packed(whole, P.path(packing.VOCABULARY)).collect()
     reference = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    reference.encode_special_tokens = True
     by, at = defaultdict(list), defaultdict(list)
     for r in rows:
         by[r.doc_id].append(r)
@@ -257,7 +473,8 @@ def test_packing(spark, documents, odd):
         parts.sort()
         assert parts[0][0] == 0 and sum(n for _, n in parts) <= 2048 and all(a + n == b for (a, n), (b, _) in zip(parts, parts[1:], strict=False))
     assert len(at) <= 1.02 * sum(r.length for r in rows) / 2048 + 1
-    assert packing.packed(odd, P.path(packing.VOCABULARY), P.PATTERN).where("length = 1").count() == 2
+    assert packing.packed(odd, P.path(packing.VOCABULARY)).where("length = 1").count() == 2
+    assert packing.packed(odd.where("doc_id = -1"), P.path(packing.VOCABULARY)).count() == 0
 
 
 def F_id(k):
@@ -288,79 +505,122 @@ def test_lm_base_equals_brute_force(spark, documents, frequent, monkeypatch):
 
 
 def test_lm_gradient_and_windows():
-    at, inside = lm_scoring.windows(np.array([1, 50]))
-    late = at[:, lm_scoring.CONTEXT :][inside[:, lm_scoring.CONTEXT :]]
+    slots, inside = attention.windows(np.array([1, 50]))
+    late = slots[:, attention.CONTEXT :][inside[:, attention.CONTEXT :]]
     assert sorted(late.tolist()) == list(range(51))
     rng = np.random.default_rng(5)
-    w = {k: rng.standard_normal(s).astype(np.float32) * 0.3 for k, s in lm_scoring.SHAPES.items()}
-    symbols, classes, inside = rng.integers(0, 400, (3, 32)), rng.integers(0, lm_scoring.CLASSES, (3, 32)), np.ones((3, 32), bool)
-    g = lm_scoring.gradient(w, symbols, inside, classes)
-
-    def loss(w):
-        z = lm_scoring.forward(w, symbols, inside)[-1]
-        return -z[np.arange(len(z)), classes[:, lm_scoring.CONTEXT :].ravel()].astype(float).mean()
-
-    for name in ("q", "v", "o", "pos"):
-        step = np.zeros_like(w[name])
-        step.ravel()[7] = 1e-2
-        up, down = (loss(w | {name: w[name] + s * step}) for s in (1, -1))
-        assert abs((up - down) / 2e-2 - g[name].ravel()[7]) < 2e-3
-
-
-def test_lm_scoring_equals_forward():
+    c = attention.Classes(rng.integers(0, 50, attention.VOCABULARY).astype(float))
+    w = {k: (x + rng.standard_normal(x.shape) * 0.2).astype(np.float64) for k, x in attention.start(c).items()}
+    symbols, targets, inside = (rng.integers(0, attention.OWN + 1, (4, attention.WINDOW)) for _ in range(2)), None, np.ones((4, attention.WINDOW), bool)
+    symbols, targets = symbols
+    inside[0, : attention.CONTEXT], inside[1, 9:] = False, False
+    g, _ = attention.gradient(w, symbols, inside, targets)
+    n = inside[:, attention.CONTEXT :].sum()
+    for name, x in w.items():
+        for _ in range(3):
+            at = tuple(rng.integers(0, s) for s in x.shape)
+            if name == "e":
+                at = (symbols[2, 8], at[1])
+            old = x[at]
+            x[at] = old + 1e-5
+            up = attention.gradient(w, symbols, inside, targets)[1]
+            x[at] = old - 1e-5
+            down = attention.gradient(w, symbols, inside, targets)[1]
+            x[at] = old
+            assert abs((up - down) / 2e-5 / n - g[name][at]) < 1e-6, name
+
+
+def test_lm_scores_equal_plain_attention():
+    """Probabilities of each id by loops over one text, and their sum over the vocabulary."""
     rng = np.random.default_rng(6)
-    w = {k: rng.standard_normal(s).astype(np.float32) * 0.3 for k, s in lm_scoring.SHAPES.items()}
-    n = np.array([1, 7, 90, 24])
-    ids = rng.integers(0, lm_scoring.VOCABULARY, n.sum())
-    at, inside = lm_scoring.windows(n)
-    symbols = np.where(inside, rng.integers(0, lm_scoring.PAD, at.shape), lm_scoring.PAD)
-    h = lm_scoring.forward(w, symbols, inside)[-2].reshape(-1, lm_scoring.DIM)
-    seen = inside[:, lm_scoring.CONTEXT :].ravel()
-    assert np.abs(h - lm_scoring.hidden(w, symbols, inside))[seen].max() < 1e-4
-    pairs = rng.integers(0, 3, (lm_scoring.GROUPS, lm_scoring.VOCABULARY)).astype(np.float32)
-    c = lm_scoring.Classes(pairs)
-    last = lm_scoring.before(ids, n)
-    z = lm_scoring.forward(w, np.where(inside, c.symbol[last][at], lm_scoring.PAD), inside)[-1]
-    to = at[:, lm_scoring.CONTEXT :].ravel()
-    plain = np.zeros(len(ids))
-    plain[to[seen]] = z[seen, c.of[ids][to[seen]]]
-    assert np.abs(plain + c.share(pairs, lm_scoring.group(last), ids) - lm_scoring.log_probability(w, c, pairs, ids, n)).max() < 1e-4
-
-
-def test_lm_trains_on_all_windows(spark):
-    def model(order):
-        rng = np.random.default_rng(8)
-        parts = [np.r_[rng.integers(0, 5000, lm_scoring.STEP - 1), 7] for _ in range(100)]
-        ids = np.concatenate([parts[k] for k in order])  # every part follows id 7, but the first: exchanging others changes no count of pairs
-        row = [(False, bytearray(ids.astype("<u2").tobytes()))]
-        w, c, pairs = lm_scoring.trained(spark.createDataFrame(row, "held boolean, ids binary").coalesce(1))
-        return lm_scoring.pack(w), pairs
-
-    order = list(range(100))
-    w, pairs = model(order)
-    assert np.array_equal(w, model(order)[0])
-    for a, b in ((20, 60), (35, 85)):
-        other = order.copy()
-        other[a], other[b] = b, a
-        changed, same = model(other)
-        assert np.array_equal(pairs, same) and not np.array_equal(w, changed)
+    c = attention.Classes(rng.integers(0, 30, attention.VOCABULARY).astype(float))
+    w = {k: (x + rng.standard_normal(x.shape) * 0.2).astype(np.float32) for k, x in attention.start(c).items()}
+    n = np.array([3, 45, 1])
+    ids = rng.integers(0, attention.VOCABULARY, n.sum())
+    got, first = attention.log_probability(w, c, ids, n), np.cumsum(n) - n
+
+    def plain(text, t):
+        window = max(0, t // attention.STEP * attention.STEP - attention.CONTEXT)  # the window where t has the longest context
+        seq = [attention.EDGE, *text[:t]]
+        offset = t // attention.STEP * attention.STEP - attention.CONTEXT
+        x = np.array([w["e"][c.symbol[seq[k]]] + w["pos"][k - offset] for k in range(window, t + 1)])
+        kv = x @ w["kv"]
+        a = np.exp(kv[:, : attention.KEYS] @ (x[-1] @ w["q"]))
+        h = x[-1] + a @ kv[:, attention.KEYS :] / a.sum()
+        y = h + np.maximum(h @ w["in"], 0) @ w["out"]
+        soft = lambda z: z - np.log(np.exp(z).sum())
+        top = soft(y @ w["o"] + w["b"])
+        own = np.concatenate([top[k] + soft(y @ w["m"][k] + w["mb"][k]) for k in range(attention.CLASSES)])
+        return np.where(c.symbol < attention.OWN, own[np.minimum(c.symbol, attention.OWN - 1)], top[-1] + c.share)
+
+    for text in range(3):
+        mine = ids[first[text] : first[text] + n[text]]
+        for t in range(n[text]):
+            every = plain(mine, t)
+            assert abs(every[mine[t]] - got[first[text] + t]) < 1e-3 and abs(np.exp(every).sum() - 1) < 1e-4
+
+
+def test_lm_training_does_not_depend_on_splits(spark):
+    rng = np.random.default_rng(8)
+    texts = [(False, bytearray(rng.integers(0, 5000, rng.integers(1, 400)).astype("<u2").tobytes())) for _ in range(60)]
+    frame = spark.createDataFrame(texts, "held boolean, ids binary")
+    models = [attention.pack(lm_scoring.trained(frame.repartition(k), share=3, shard=100)[0]) for k in (1, 5)]
+    assert np.abs(models[0] - models[1]).max() < 1e-6
+    other = spark.createDataFrame([*texts[:-1], (False, bytearray(np.arange(400, dtype="<u2").tobytes()))], "held boolean, ids binary")
+    assert np.abs(models[0] - attention.pack(lm_scoring.trained(other, share=3, shard=100)[0])).max() > 1e-4
+
+
+def test_lm_beats_the_base_on_held_out_texts(spark):
+    rows = [r for r in lm_scoring.op7_lm_scoring(spark, "/root/testdata/sf0.1").collect() if r.held_out]
+    assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
+
+
+def test_word_table():
+    keys = np.random.default_rng(9).integers(0, 2**63, 5000).astype(np.uint64)
+    keys[:50] = (keys[50:100] & np.uint64(0xFFFFFF)) | np.uint64(1 << 40)  # places that are taken
+    keys = np.unique(keys)
+    hit, values = lm_scoring.Table(keys, np.arange(len(keys))).find(np.r_[keys, keys + np.uint64(1 << 50)])
+    assert hit[: len(keys)].all() and not hit[len(keys) :].any() and values.tolist() == list(range(len(keys)))
+    assert not lm_scoring.Table(keys[:0], keys[:0]).find(keys)[0].any()
 
 
 def test_lm_odd(spark, odd):
     import public_tokenizers as P
 
-    rows = lm_scoring.scored(odd, P.path("byte_bpe_50k.tiktoken"), P.PATTERN).collect()
+    rows = lm_scoring.scored(odd, P.path("byte_bpe_50k.tiktoken")).collect()
     assert len(rows) == odd.count() and all(np.isfinite(r.score) for r in rows)
     assert {r.n_tokens for r in rows if r.doc_id in (2, 3, 4)} == {1}
+    assert lm_scoring.scored(odd.where("doc_id = -1"), P.path("byte_bpe_50k.tiktoken")).count() == 0
 
 
-def test_pipeline(spark):
+def test_pipeline(spark, odd):
     import corpus_pipeline
 
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        after = stage(spark, docs, DATA)
-        assert after.columns == docs.columns, name
-        assert {r.doc_id for r in after.collect()} <= {r.doc_id for r in docs.collect()}
-        docs = after
-    assert corpus_pipeline.STAGES[-1][1](spark, docs, DATA).where("piece = 0").count() == docs.count()
+    extra = odd.selectExpr("doc_id + 1000000 as doc_id", "text", "'en' as lang", "component as source", "length(text) as n_chars").select(*(F_cast(c, docs) for c in docs.columns))
+    for table in (docs.unionByName(extra), docs.where("doc_id = -1")):
+        table = shared.stored(table)
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            after = shared.stored(stage(spark, table, DATA))
+            assert after.columns == docs.columns, name
+            assert {r.doc_id for r in after.collect()} <= {r.doc_id for r in table.collect()}
+            table = after
+        assert corpus_pipeline.STAGES[-1][1](spark, table, DATA).where("piece = 0").count() == table.count()
+
+
+def F_cast(name, like):
+    from pyspark.sql import functions as F
+
+    return F.col(name).cast(like.schema[name].dataType).alias(name)
+
+
+def test_stored_tables_are_released(spark):
+    import os
+
+    since = shared.mark()
+    one, two = shared.stored(spark.range(3)), shared.stored(spark.range(4))
+    path = lambda t: t._stored_path.removeprefix("file://")
+    shared.released(since, but=two)
+    assert not os.path.exists(path(one)) and two.count() == 4
+    shared.released(since)
+    assert not os.path.exists(path(two))
