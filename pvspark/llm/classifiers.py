@@ -57,7 +57,7 @@ def scored(docs: DataFrame, score: Callable[[pa.Array], np.ndarray]) -> DataFram
             for part in tx.chunks(batch):
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(score(part.column("text")), pa.float64())], ["doc_id", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
+    return docs.select("doc_id", "text").mapInArrow(tx.tidy(run), "doc_id long, score double")
 
 
 def filtered(docs: DataFrame, keep: Callable[[pa.Array], np.ndarray]) -> DataFrame:
@@ -68,7 +68,7 @@ def filtered(docs: DataFrame, keep: Callable[[pa.Array], np.ndarray]) -> DataFra
             for part in tx.chunks(batch):
                 yield part.filter(pa.array(keep(part.column("text"))))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tx.tidy(run), docs.schema)
 
 
 def mapped(frame: DataFrame, of: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
@@ -79,7 +79,7 @@ def mapped(frame: DataFrame, of: Callable[[pa.RecordBatch], pa.RecordBatch], sch
             for part in tx.chunks(batch):
                 yield of(part)
 
-    return frame.mapInArrow(run, schema)
+    return frame.mapInArrow(tx.tidy(run), schema)
 
 
 def at_most(frame: DataFrame, rows: int) -> pd.DataFrame:

@@ -55,7 +55,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def build_index(docs: DataFrame) -> DataFrame:
     """The index of all words of all documents (doc_id, text), kept in the shared folder. A null text has no words; a null doc_id is kept."""
-    return stored(docs.select("doc_id", "text").mapInArrow(_blocks, INDEX))
+    return stored(docs.select("doc_id", "text").mapInArrow(tx.tidy(_blocks), INDEX))
 
 
 class Probe:
@@ -182,10 +182,10 @@ def search(index: DataFrame, items: DataFrame, size: int = WINDOW, slop: int = 0
         probe = Probe(batch, size)
         counts = np.zeros(len(probe.terms), np.int64)
         if len(counts):  # as many rows as distinct test terms of the pass at most
-            for r in index.select("terms", "ends").mapInPandas(_counts(probe), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
+            for r in index.select("terms", "ends").mapInPandas(tx.tidy(_counts(probe)), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
                 counts[r.term] = r.n
         probe.rank(counts)
-        return index.mapInArrow(_found(probe, slop), _HITS)
+        return index.mapInArrow(tx.tidy(_found(probe, slop)), _HITS)
 
     for r in items.where("item_id is not null and text is not null").select("item_id", "text").toLocalIterator():
         n = len(tx.words(pa.array([r.text]), tx.ALNUM)[0])

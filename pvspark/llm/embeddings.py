@@ -21,6 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pvspark.llm import text as tx
 from pvspark.llm.jaccard_join import dealt, whole
 from pvspark.llm.shared import components, dropped, roots, stored
 
@@ -183,23 +184,23 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     keyed = keyed.withColumn("k1", F.xxhash64("embedding")).withColumn("k2", F.xxhash64("embedding", F.lit(1)))
     key = ["label", "k1", "k2"]
     one = F.first(F.struct("dim", "bytes", "scale", "error", "factor")).alias("c")
-    rows = stored(keyed.where("ok").mapInPandas(_coded, _CODES).groupBy(*key).agg(F.min("vec_id").alias("id"), F.count("*").alias("weight"), one).select(*key, "id", "weight", "c.*"))
+    rows = stored(keyed.where("ok").mapInPandas(tx.tidy(_coded), _CODES).groupBy(*key).agg(F.min("vec_id").alias("id"), F.count("*").alias("weight"), one).select(*key, "id", "weight", "c.*"))
     bits, tables = plan(rows.count(), threshold)
     bucket = F.xxhash64("label", "dim", "tab", "code").alias("key")
-    light = rows.select("label", "dim", "bytes").mapInPandas(_entries(bits, tables, ["label", "dim", "tab", "code"]), "label long, dim int, tab int, code long")
+    light = rows.select("label", "dim", "bytes").mapInPandas(tx.tidy(_entries(bits, tables, ["label", "dim", "tab", "code"])), "label long, dim int, tab int, code long")
     large = stored(light.groupBy(bucket).agg(F.count("*").alias("m")).where(F.col("m") > BUCKET))
     names = ["label", "dim", "tab", "code", "id", "k1", "bytes", "scale", "error", "factor"]
-    entries = rows.select(*(c for c in names if c not in ("tab", "code"))).mapInPandas(_entries(bits, tables, names), "label long, dim int, tab int, code long, id long, k1 long, bytes binary, scale float, error float, factor float")
+    entries = rows.select(*(c for c in names if c not in ("tab", "code"))).mapInPandas(tx.tidy(_entries(bits, tables, names)), "label long, dim int, tab int, code long, id long, k1 long, bytes binary, scale float, error float, factor float")
     members = entries.select(bucket, "tab", "id", "k1", "bytes", "scale", "error", "factor").join(large, "key", "left").withColumn("m", F.coalesce("m", F.lit(1)))
     parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     block = ["key", "low", "high"]
-    left = stored(dealt(members).repartition(parts, *block).sortWithinPartitions(*block).mapInPandas(_candidates(bits, threshold), _MEMBERS))
+    left = stored(dealt(members).repartition(parts, *block).sortWithinPartitions(*block).mapInPandas(tx.tidy(_candidates(bits, threshold)), _MEMBERS))
     # whole vectors, once for each member of a pair that is left
     need = left.select(F.col("id").alias("vec_id"), "k1").distinct()
     exact = keyed.where("ok").join(need, ["vec_id", "k1"]).groupBy(F.col("vec_id").alias("id"), "k1").agg(F.first("embedding").alias("embedding"))
     exact = exact.join(rows.select("id", "k1", "weight"), ["id", "k1"])
     grouped = left.join(exact, ["id", "k1"]).repartition(parts, *block).sortWithinPartitions(*block)
-    found = stored(grouped.mapInPandas(_links(bits, threshold), "node long, k1 long, n long, root long"))
+    found = stored(grouped.mapInPandas(tx.tidy(_links(bits, threshold)), "node long, k1 long, n long, root long"))
     for table in (large, left):
         dropped(table)
     counts = found.groupBy(F.col("node").alias("id"), "k1").agg(F.sum("n").alias("n"))

@@ -91,7 +91,7 @@ def frequent(docs: DataFrame, width: int = WORDS) -> np.ndarray:
     """For each counter 0, or, where its shingles stand out, the logarithm of how often they occur, 15 at most. At most COUNTERS rows come to the driver.
     It only sets an order: any table gives the same links."""
     out = np.zeros(COUNTERS, np.int64)
-    for r in docs.select("text").mapInArrow(_frequent(width), "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n")).collect():
+    for r in docs.select("text").mapInArrow(tx.tidy(_frequent(width)), "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n")).collect():
         out[r.counter] = r.n
     return np.minimum(15, np.log2(out + 1)).astype(np.uint64)
 
@@ -343,7 +343,7 @@ def forest(members: DataFrame, t: int, exact: bool) -> DataFrame:
     """Edges (node, root) that connect what is linked inside the keys of members (key, m, id, n, bits or shingles)."""
     parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = dealt(members).repartition(parts, "key", "low", "high").sortWithinPartitions("key", "low", "high")
-    return rows.mapInPandas(_links(t, exact), "node long, root long")
+    return rows.mapInPandas(tx.tidy(_links(t, exact)), "node long, root long")
 
 
 def _shingles(width: int):
@@ -366,7 +366,7 @@ def jaccard_classes(docs: DataFrame, width: int = WORDS, similarity: float = SIM
     """
     t = round(similarity * 100)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = stored(docs.mapInArrow(_sets(width, t, frequent(docs, width)), _SETS))
+    found = stored(docs.mapInArrow(tx.tidy(_sets(width, t, frequent(docs, width))), _SETS))
     key = ["k1", "k2", "n"]
     sets = stored(found.where("n > 0 and doc_id is not null").groupBy(*key).agg(F.min("doc_id").alias("id"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits")))
     entries = sets.select(F.explode("prefix").alias("key"), "id")
@@ -378,7 +378,7 @@ def jaccard_classes(docs: DataFrame, width: int = WORDS, similarity: float = SIM
     near = candidates.join(size, "component").select(F.col("component").alias("key"), "m", F.col("node").alias("id"))
     texts = sets.select(*key, "id").join(near, "id")  # one text of each set
     texts = docs.join(texts.select("key", "m", "id"), docs["doc_id"] == F.col("id")).select("key", "m", "id", "text")
-    links = components(forest(texts.mapInArrow(_shingles(width), "key long, m long, id long, n long, shingles array<bigint>"), t, True))
+    links = components(forest(texts.mapInArrow(tx.tidy(_shingles(width)), "key long, m long, id long, n long, shingles array<bigint>"), t, True))
     classes = sets.select(*key, "id").join(links.withColumnRenamed("node", "id"), "id", "left").select(*key, F.coalesce("component", "id").alias("component_id"))
     return found.select("doc_id", *key).join(classes, key, "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 

@@ -169,7 +169,7 @@ def packed(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     A document is its ids, then the id 0; a null or empty text is that id alone. Documents over `capacity` are cut, the first piece being the
     shorter one. Rows that repeat, or have a null id, are packed as they come.
     """
-    pieces = stored(docs.select("doc_id", "text").mapInArrow(_pieces(path, capacity), PIECES).withColumn("uid", F.monotonically_increasing_id()))
+    pieces = stored(docs.select("doc_id", "text").mapInArrow(tx.tidy(_pieces(path, capacity)), PIECES).withColumn("uid", F.monotonically_increasing_id()))
     return pieces.join(pack(pieces, capacity), "uid").select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 

@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pvspark.llm import text as tx
+
 KINDS = ("email", "ip", "card", "phone")
 MAX_TOKENS = 24
 #: Tokens whose segments are scored at once.
@@ -335,7 +337,7 @@ def trained(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_compounds: i
             yield pd.DataFrame(rows, columns=["compound", "spans"])
 
     some = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(step)) == 0).select("text")
-    found = some.mapInPandas(label, "compound string, spans string").withColumn("shape", F.regexp_replace(F.regexp_replace("compound", "[A-Za-z]+", "a"), "[0-9]", "9")).groupBy("shape").agg(F.min_by(F.struct("compound", "spans"), F.xxhash64("compound")).alias("c")).select("c.*").orderBy(F.xxhash64("compound"), "compound").limit(sample_compounds).collect()
+    found = some.mapInPandas(tx.tidy(label), "compound string, spans string").withColumn("shape", F.regexp_replace(F.regexp_replace("compound", "[A-Za-z]+", "a"), "[0-9]", "9")).groupBy("shape").agg(F.min_by(F.struct("compound", "spans"), F.xxhash64("compound")).alias("c")).select("c.*").orderBy(F.xxhash64("compound"), "compound").limit(sample_compounds).collect()
     return fit([(r.compound, [(k, int(a), int(b)) for k, a, b in (s.split(":") for s in r.spans.split(",") if s)]) for r in found])
 
 
@@ -354,7 +356,7 @@ def personal_data(docs: DataFrame, weights: np.ndarray | None = None) -> DataFra
             out.insert(0, "doc_id", frame["doc_id"].to_numpy())
             yield out
 
-    return docs.select("doc_id", "text").mapInPandas(scan, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return docs.select("doc_id", "text").mapInPandas(tx.tidy(scan), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
 
 
 def redacted(docs: DataFrame, weights: np.ndarray | None = None) -> DataFrame:
@@ -366,7 +368,7 @@ def redacted(docs: DataFrame, weights: np.ndarray | None = None) -> DataFrame:
         for frame in frames:
             yield frame.assign(text=[t if t is None else masked(t, find(t, w)[1]) for t in frame["text"]])
 
-    out = docs.mapInPandas(change, docs.schema)
+    out = docs.mapInPandas(tx.tidy(change), docs.schema)
     return out.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 

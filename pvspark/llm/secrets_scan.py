@@ -15,6 +15,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from pvspark.llm import text as tx
+
 #: Kinds in the order in which spans of one start are listed; the first three are the base kinds.
 KINDS = ("assign", "access", "hex", "github", "npm", "jwt", "private_key", "xprv", "age")
 
@@ -169,7 +171,7 @@ def _scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def secrets(docs: DataFrame) -> DataFrame:
     """One row for each row of docs (doc_id, text): doc_id, counts of the base kinds, a digest of their spans, all spans as kind:start:end.
     Null texts have no spans; a null id and repeated rows stay; other columns do not matter."""
-    return docs.select("doc_id", "text").mapInPandas(_scan, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    return docs.select("doc_id", "text").mapInPandas(tx.tidy(_scan), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
 
 def op5_secrets(spark, sf_dir: str) -> DataFrame:

@@ -5,13 +5,18 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pvspark.llm import text as tx
 
+
+#: Rows of a batch that goes to Python.
+BATCH_ROWS = 1000
 #: Stored tables that are still there.
 _kept: list[tuple[SparkSession, str]] = []
 
@@ -27,10 +32,23 @@ def folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Fewer rows in the batches between the JVM and Python while a table is written, so that long texts take little memory on both sides."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(int(before), BATCH_ROWS) if int(before) > 0 else BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """The rows of df, written as Parquet in the shared folder and read again: later jobs start there, also when executors are lost."""
     spark, path = df.sparkSession, folder(df.sparkSession)
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_path = path
     _kept.append((spark, path))
@@ -96,9 +114,9 @@ def components(edges: DataFrame) -> DataFrame:
     """
     n = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     e = edges.where("node <> root").select(F.greatest("node", "root").alias("node"), F.least("node", "root").alias("root"))
-    e = stored(e.mapInPandas(_forest, "node long, root long"))
+    e = stored(e.mapInPandas(tx.tidy(_forest), "node long, root long"))
     while True:
-        merged = stored(e.repartition(n, "node").mapInPandas(_forest, "node long, root long"))
+        merged = stored(e.repartition(n, "node").mapInPandas(tx.tidy(_forest), "node long, root long"))
         dropped(e)
         up = merged.select(F.col("node").alias("root"), F.col("root").alias("above"))
         e = stored(merged.join(up, "root", "left").select("node", F.coalesce("above", "root").alias("root"), F.col("above").isNotNull().alias("moved")))
