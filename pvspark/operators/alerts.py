@@ -7,6 +7,8 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pvspark.sources.tables import numbered
+
 
 def newest(log: DataFrame, limit: int, where: Column | None = None) -> DataFrame:
     """The newest rows that fulfil a condition, 1 to 10,000 of them; a top-k without a full sort."""
@@ -23,10 +25,8 @@ def summary(log: DataFrame) -> DataFrame:
 
 def appended(log: DataFrame, new: DataFrame) -> DataFrame:
     """The log with new rows, numbered after its largest id in their order."""
-    from pyspark.sql import Window
-
     top = log.agg(F.coalesce(F.max("id"), F.lit(0)).alias("m")).first()["m"]
-    return log.unionByName(new.withColumn("id", (F.row_number().over(Window.orderBy("time", "message")) + top).cast("long")), allowMissingColumns=True)
+    return log.unionByName(numbered(new, ["time", "message"], "id").withColumn("id", F.col("id") + top), allowMissingColumns=True)
 
 
 def acknowledged(log: DataFrame, ids: DataFrame, by: str, now: datetime) -> DataFrame:

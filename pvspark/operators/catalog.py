@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pvspark.functions import columns as C
+from pvspark.sources.tables import numbered
 
 
 def resolved(events: DataFrame, lookup: DataFrame) -> DataFrame:
@@ -51,7 +52,7 @@ def registered(lookup: DataFrame, names: DataFrame) -> DataFrame:
     """The dictionary with new names appended. Ids stay; new ones follow the largest, in order of the names, which only new names are sorted for."""
     new = names.select("pv_name").where("pv_name is not null").distinct().join(lookup, "pv_name", "left_anti")
     top = lookup.agg(F.coalesce(F.max("pv_id"), F.lit(-1)).alias("m")).first()["m"]
-    return lookup.unionByName(new.select("pv_name", (F.row_number().over(Window.orderBy("pv_name")) + top).cast("int").alias("pv_id")), allowMissingColumns=True)
+    return lookup.unionByName(numbered(new.select("pv_name"), ["pv_name"], "pv_id").withColumn("pv_id", (F.col("pv_id") + top).cast("int")), allowMissingColumns=True)
 
 
 def upserted(table: DataFrame, new: DataFrame, key: str, recency: str, keep_least: str | None = None) -> DataFrame:

@@ -12,22 +12,22 @@ from pvspark.functions import columns as C
 
 def counts(status: DataFrame) -> DataFrame:
     """Per device: signals in total and by state, rate, health and times."""
-    state = {"searching": (0, 1), "connected": (2,), "archiving": (3,), "disconnected": (4,), "timed_out": (5,), "unsubscribed": (6,)}
+    state = {"searching": (1,), "connected": (2,), "archiving": (3,), "disconnected": (4,), "timed_out": (5,), "unsubscribed": (6,)}
     return status.where("ioc_addr is not null").groupBy(F.col("ioc_addr").alias("address")).agg(
         F.count("*").alias("total"), *(F.count_if(F.col("state").isin(*codes)).alias(name) for name, codes in state.items()),
-        F.sum("update_hz").alias("events_per_s"), F.avg("health_score").alias("health"), F.min("connected_at").alias("connected_at"), F.max("last_event_at").alias("last_event_at"),
+        F.sum("update_hz").alias("events_per_s"), F.avg("health_score").alias("health"), F.min("connected_at").alias("started_at"), F.max("last_event_at").alias("last_event_at"),
     )
 
 
 def merged(declared: DataFrame, observed: DataFrame) -> DataFrame:
-    """Declared and observed devices, each once; counts of devices without signals are 0."""
+    """Declared and observed devices, each once; counts, rate and health of devices without signals are 0."""
     both = declared.select("address", "label", "enabled", F.lit(True).alias("declared")).join(observed, "address", "full_outer")
-    zero = {c: F.coalesce(c, F.lit(0)) for c in ("total", "searching", "connected", "archiving", "disconnected", "timed_out", "unsubscribed")}
+    zero = {c: F.coalesce(c, F.lit(0)) for c in ("total", "searching", "connected", "archiving", "disconnected", "timed_out", "unsubscribed", "events_per_s", "health")}
     return both.withColumns({"label": F.coalesce("label", F.lit("")), "declared": F.coalesce("declared", F.lit(False)), "enabled": F.coalesce("enabled", F.lit(True))} | zero)
 
 
 def events_24h(events: DataFrame, now: datetime) -> DataFrame:
-    recent = events.where((F.col("ts") >= F.lit(now - timedelta(hours=24))) & F.col("ioc_addr").isNotNull())
+    recent = events.where((F.col("ts") > F.lit(now - timedelta(hours=24))) & F.col("ioc_addr").isNotNull())
     return recent.groupBy(F.col("ioc_addr").alias("address")).agg(
         F.count_if(F.col("event_type") == 3).alias("disconnects_24h"), F.count_if(F.col("event_type") == 4).alias("reconnects_24h"), F.max(F.when(F.col("event_type") == 3, F.col("ts"))).alias("last_disconnect")
     )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import datetime, timedelta
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,9 +15,15 @@ def bucket(time: Column, unit: str) -> Column:
     return F.date_trunc(unit, time).cast("timestamp_ntz")
 
 
+def order_key(time: str = "time", tiebreak: str = "tiebreak") -> Column:
+    """Time, then the tie-break (any long), as one number: an aggregation that orders by it stays a hash aggregation, by a struct it would sort all rows."""
+    micros = F.unix_micros(F.col(time).cast("timestamp")).cast("decimal(18,0)")
+    return (micros * F.lit(Decimal(1 << 64))).cast("decimal(38,0)") + F.col(tiebreak).cast("decimal(19,0)")
+
+
 def hourly(samples: DataFrame, tiebreak: str = "tiebreak") -> DataFrame:
     """samples (time, pv_id, value, severity, a tie-break) by hour and signal, in one partial and one final aggregation."""
-    order = F.struct("time", tiebreak)
+    order = order_key("time", tiebreak)
     return samples.groupBy(bucket(F.col("time"), "hour").alias("bucket"), "pv_id").agg(
         F.avg("value").alias("avg_value"), F.min("value").alias("min_value"), F.max("value").alias("max_value"), F.stddev_samp("value").alias("stddev_value"),
         F.count("value").alias("sample_count"), F.min_by("value", order).alias("first_value"), F.max_by("value", order).alias("last_value"),
@@ -76,8 +83,14 @@ def auto_range(samples: DataFrame, hours: DataFrame, days: DataFrame, pv_id: int
 
 def latest(samples: DataFrame) -> DataFrame:
     """The newest sample of each signal."""
-    row = F.max_by(F.struct("time", "value", "severity", "status"), F.struct("time", "tiebreak")).alias("r")
-    return samples.groupBy("pv_id").agg(row).select("pv_id", "r.*")
+    order = order_key()
+    return samples.groupBy("pv_id").agg(F.max("time").alias("time"), *(F.max_by(c, order).alias(c) for c in ("value", "severity", "status")))
+
+
+def first_last(samples: DataFrame) -> DataFrame:
+    """The oldest and the newest value of each signal."""
+    order = order_key()
+    return samples.groupBy("pv_id").agg(F.min_by("value", order).alias("first_value"), F.max_by("value", order).alias("last_value"))
 
 
 def count_range(samples: DataFrame, pv_id: int, start: datetime, end: datetime) -> DataFrame:

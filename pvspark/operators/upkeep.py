@@ -87,5 +87,3 @@ def recommend_chunk(rates: DataFrame, max_rows: float, least: int = 60, most: in
     text = F.when(F.col("seconds") >= 3600, F.concat(F.floor(F.col("seconds") / 3600).cast("string"), F.lit(" hours"))).otherwise(F.concat(F.floor(F.col("seconds") / 60).cast("string"), F.lit(" minutes")))
     return rows.select("n", "per_s", "seconds", F.coalesce(change, F.lit(True)).alias("change"), text.alias("chunk"))
 
-
-__all__ = ["RETENTION_DAYS", "compacted", "ingest_report", "loss_accounting", "loss_alerts", "recommend_chunk", "retention", "storage_report", "throttled", "timedelta"]

@@ -48,6 +48,19 @@ def rolled(df: DataFrame) -> DataFrame:
     return df.select("bucket", "pv_id", F.round("avg_value", 6).alias("avg_value"), "min_value", "max_value", F.round("stddev_value", 4).alias("stddev_value"), "sample_count", "first_value", "last_value", F.col("max_severity").cast("int").alias("max_severity"))
 
 
+_TIERS: dict[tuple[str, str], str] = {}
+
+
+def tiers(b) -> str:
+    """The folder of the stored hourly and daily tables; written once in a session, then read, as an archive does."""
+    key = (b.spark.sparkContext.applicationId, b.sf_dir)
+    if key not in _TIERS:
+        root = tables.folder(b.spark)
+        tables.write_tiers(b.samples, root)
+        _TIERS[key] = root
+    return _TIERS[key]
+
+
 # Roll-ups and reads
 
 
@@ -63,15 +76,13 @@ def daily_rollup(b):
 
 @query("SELECT pv_id, arg_min(value, (time, tiebreak)) AS first_value, arg_max(value, (time, tiebreak)) AS last_value FROM samples GROUP BY pv_id")
 def first_last(b):
-    order = F.struct("time", "tiebreak")
-    return b.samples.groupBy("pv_id").agg(F.min_by("value", order).alias("first_value"), F.max_by("value", order).alias("last_value"))
+    return rollup.first_last(b.samples)
 
 
 @query(f"{HOURLY} SELECT {ROLL} FROM hourly")
 def realtime_rollup(b):
     cut = b.now.replace(minute=0, second=0, microsecond=0) - timedelta(hours=6)
-    stored = rollup.hourly(b.samples.where(F.col("time") < F.lit(cut)))
-    return rolled(rollup.realtime(stored, b.samples, cut))
+    return rolled(rollup.realtime(tables.read_tier(b.spark, tiers(b), "hourly", end=cut), b.samples, cut))
 
 
 @query(f"{HOURLY} SELECT {ROLL} FROM hourly WHERE bucket >= date_trunc('hour', {NOW} - INTERVAL 3 HOUR) + INTERVAL 1 HOUR AND bucket < date_trunc('hour', {NOW} - INTERVAL 1 HOUR)")
@@ -79,6 +90,15 @@ def refresh_rollup(b):
     return rolled(rollup.refreshed(b.samples, b.now, timedelta(hours=3), timedelta(hours=1)))
 
 
+@query(f"""{DAILY.replace(" FROM hourly GROUP", f" FROM hourly WHERE bucket < date_trunc('hour', {NOW} - INTERVAL 1 HOUR) GROUP")} SELECT {ROLL} FROM daily""")
+def refresh_tiers(b):
+    """Tables of what was there three days ago, refreshed from there up to an hour ago: the daily table, made from the hourly one."""
+    root, old = tables.folder(b.spark), (b.now - timedelta(days=3)).replace(minute=0, second=0, microsecond=0)
+    tables.write_tiers(b.samples.where(F.col("time") < F.lit(old)), root)
+    tables.refresh_tiers(b.samples, root, b.now, timedelta(days=3), timedelta(hours=1))
+    return rolled(tables.read_tier(b.spark, root, "daily"))
+
+
 @query(f"SELECT time, pv_id, value, CAST(severity AS INT) AS severity FROM samples WHERE pv_id = {PV} AND time >= '2024-01-03' AND time < '2024-01-12'")
 def raw_range(b):
     return rollup.raw_range(b.samples, PV, START, END).select("time", "pv_id", "value", F.col("severity").cast("int").alias("severity"))
@@ -86,7 +106,7 @@ def raw_range(b):
 
 @query(f"{HOURLY} SELECT {ROLL} FROM hourly WHERE pv_id = {PV} AND bucket >= '2024-01-03' AND bucket < '2024-01-12'")
 def agg_range(b):
-    return rolled(rollup.agg_range(rollup.hourly(b.samples), PV, START, END))
+    return rolled(rollup.agg_range(tables.read_tier(b.spark, tiers(b), "hourly", START, END), PV, START, END))
 
 
 @query(f"SELECT time, value FROM samples WHERE pv_id = {PV} AND time >= '2024-01-03' AND time < '2024-01-12' ORDER BY time, tiebreak LIMIT 10")
@@ -106,8 +126,8 @@ def latest_value(b):
 
 @query(f"{DAILY} SELECT bucket AS time, round(avg_value, 6) AS value, min_value, max_value, sample_count, 'daily' AS tier FROM daily WHERE pv_id = {PV} AND bucket >= '2024-01-03' AND bucket < '2024-01-12'")
 def query_auto(b):
-    hours = rollup.hourly(b.samples)
-    return rollup.auto_range(b.samples, hours, rollup.daily(hours), PV, START, END).withColumn("value", F.round("value", 6))
+    hours, days = (tables.read_tier(b.spark, tiers(b), tier, START, END) for tier in ("hourly", "daily"))
+    return rollup.auto_range(b.samples, hours, days, PV, START, END).withColumn("value", F.round("value", 6))
 
 
 @query("SELECT event_id, CASE WHEN date_diff('microsecond', ts, e) <= 21600000000 THEN 'raw' WHEN date_diff('microsecond', ts, e) <= 604800000000 THEN 'hourly' ELSE 'daily' END AS tier FROM (SELECT event_id, ts, ts + to_hours(event_id % 400) AS e FROM events)")
@@ -367,17 +387,17 @@ def config_changes(b):
 
 # The device report
 
-COUNTS = """, counts AS (SELECT ioc_addr AS address, count(*) AS total, count(*) FILTER (state IN (0, 1)) AS searching, count(*) FILTER (state = 2) AS connected, count(*) FILTER (state = 3) AS archiving,
+COUNTS = """, counts AS (SELECT ioc_addr AS address, count(*) AS total, count(*) FILTER (state = 1) AS searching, count(*) FILTER (state = 2) AS connected, count(*) FILTER (state = 3) AS archiving,
  count(*) FILTER (state = 4) AS disconnected, count(*) FILTER (state = 5) AS timed_out, count(*) FILTER (state = 6) AS unsubscribed, sum(update_hz) AS events_per_s, avg(health_score) AS health,
- min(connected_at) AS connected_at, max(last_event_at) AS last_event_at FROM pv_status GROUP BY 1)"""
+ min(connected_at) AS started_at, max(last_event_at) AS last_event_at FROM pv_status GROUP BY 1)"""
 MERGED = COUNTS + """, merged AS (SELECT coalesce(i.address, c.address) AS address, coalesce(label, '') AS label, i.address IS NOT NULL AS declared, coalesce(enabled, TRUE) AS enabled, coalesce(total, 0) AS total, coalesce(connected, 0) AS connected,
- coalesce(archiving, 0) AS archiving, coalesce(disconnected, 0) AS disconnected, coalesce(timed_out, 0) AS timed_out, coalesce(unsubscribed, 0) AS unsubscribed, events_per_s FROM ioc_config i FULL JOIN counts c ON i.address = c.address)"""
-DAY = f", day AS (SELECT ioc_addr AS address, count(*) FILTER (event_type = 3) AS disconnects_24h, count(*) FILTER (event_type = 4) AS reconnects_24h, max(ts) FILTER (event_type = 3) AS last_disconnect FROM pv_events WHERE ts >= {NOW} - INTERVAL 24 HOUR AND ioc_addr IS NOT NULL GROUP BY 1)"
+ coalesce(archiving, 0) AS archiving, coalesce(disconnected, 0) AS disconnected, coalesce(timed_out, 0) AS timed_out, coalesce(unsubscribed, 0) AS unsubscribed, coalesce(searching, 0) AS searching, coalesce(events_per_s, 0) AS events_per_s, coalesce(health, 0) AS health, started_at, last_event_at FROM ioc_config i FULL JOIN counts c ON i.address = c.address)"""
+DAY = f", day AS (SELECT ioc_addr AS address, count(*) FILTER (event_type = 3) AS disconnects_24h, count(*) FILTER (event_type = 4) AS reconnects_24h, max(ts) FILTER (event_type = 3) AS last_disconnect FROM pv_events WHERE ts > {NOW} - INTERVAL 24 HOUR AND ioc_addr IS NOT NULL GROUP BY 1)"
 ERRORS = ", errors AS (SELECT ioc_addr AS address, arg_max(detail, (ts, event_id)) AS last_error FROM pv_events WHERE event_type IN (3, 5, 7) AND detail IS NOT NULL AND ioc_addr IS NOT NULL GROUP BY 1)"
-VIEW = f"""{MERGED}{DAY}{ERRORS}, fleet AS (SELECT m.address, label, declared, enabled, total, CAST(round(events_per_s) AS BIGINT) AS events_per_s, coalesce(disconnects_24h, 0) AS disconnects_24h, coalesce(reconnects_24h, 0) AS reconnects_24h, last_disconnect, last_error,
+VIEW = f"""{MERGED}{DAY}{ERRORS}, fleet AS (SELECT m.address, label, declared, enabled, total, archiving, connected, searching, disconnected, timed_out, unsubscribed, CAST(round(events_per_s) AS BIGINT) AS events_per_s, round(health, 4) AS health, started_at, last_event_at, coalesce(disconnects_24h, 0) AS disconnects_24h, coalesce(reconnects_24h, 0) AS reconnects_24h, last_disconnect, last_error,
  CASE WHEN declared AND NOT enabled THEN 'DISABLED' WHEN total = 0 OR unsubscribed = total THEN 'IDLE' WHEN archiving + connected = 0 AND disconnected + timed_out > 0 THEN 'DOWN' WHEN archiving + connected = 0 THEN 'CONNECTING' WHEN disconnected + timed_out > 0 THEN 'DEGRADED' ELSE 'UP' END AS state
  FROM merged m LEFT JOIN day USING (address) LEFT JOIN errors USING (address))"""
-SHOWN = ["address", "label", "declared", "enabled", "total", "events_per_s", "disconnects_24h", "reconnects_24h", "last_disconnect", "last_error", "state"]
+SHOWN = ["address", "label", "declared", "enabled", "total", "archiving", "connected", "searching", "disconnected", "timed_out", "unsubscribed", "events_per_s", "health", "started_at", "last_event_at", "disconnects_24h", "reconnects_24h", "last_disconnect", "last_error", "state"]
 
 
 @query(f"{COUNTS} SELECT * REPLACE (round(events_per_s, 4) AS events_per_s, round(health, 4) AS health) FROM counts")
@@ -407,25 +427,23 @@ def fleet_last_error(b):
 
 @query(f"{VIEW} SELECT {', '.join(SHOWN)} FROM fleet")
 def fleet_view(b):
-    return fleet.view(b.ioc_config, b.pv_status, b.pv_events, b.now).select(*SHOWN)
+    return fleet.view(b.ioc_config, b.pv_status, b.pv_events, b.now).withColumn("health", F.round(F.col("health").cast("double"), 4)).select(*SHOWN)
 
 
 @query(f"{VIEW} SELECT {', '.join(SHOWN)} FROM fleet WHERE label ILIKE '%VICE 1%' OR address ILIKE '%VICE 1%'")
 def fleet_search(b):
-    return fleet.view(b.ioc_config, b.pv_status, b.pv_events, b.now, search=" VICE 1 ").select(*SHOWN)
+    return fleet.view(b.ioc_config, b.pv_status, b.pv_events, b.now, search=" VICE 1 ").withColumn("health", F.round(F.col("health").cast("double"), 4)).select(*SHOWN)
 
 
 @query(f"{VIEW} SELECT {', '.join(SHOWN)} FROM fleet WHERE state = 'IDLE'")
 def fleet_by_state(b):
-    return fleet.view(b.ioc_config, b.pv_status, b.pv_events, b.now, state="IDLE").select(*SHOWN)
+    return fleet.view(b.ioc_config, b.pv_status, b.pv_events, b.now, state="IDLE").withColumn("health", F.round(F.col("health").cast("double"), 4)).select(*SHOWN)
 
 
 @query(f"{VIEW} SELECT CAST(row_number() OVER (ORDER BY coalesce(nullif(label, ''), address)) AS INT) AS place, address FROM fleet")
 def fleet_order(b):
-    from pyspark.sql import Window
-
-    rows = fleet.ordered(fleet.view(b.ioc_config, b.pv_status, b.pv_events, b.now))
-    return rows.select(F.row_number().over(Window.orderBy(F.coalesce(F.nullif("label", F.lit("")), "address"))).alias("place"), "address")
+    rows = fleet.view(b.ioc_config, b.pv_status, b.pv_events, b.now).select("label", "address")
+    return tables.numbered(rows, [F.coalesce(F.nullif("label", F.lit("")), "address")], "place").select(F.col("place").cast("int").alias("place"), "address")
 
 
 @query(f"{VIEW} SELECT address, state FROM fleet")
@@ -779,11 +797,10 @@ def loss_accounting(b):
     return losses(b)
 
 
-@query(f""", grown AS (SELECT list(CAST(epoch(bucket) // 3600 AS BIGINT) ORDER BY bucket) AS ns FROM ({LOSS}) WHERE lost + dropped > 0)
+@query(""", grown AS (SELECT list(n ORDER BY n) AS ns FROM (SELECT DISTINCT CAST(epoch_us(time) // 10000000 AS BIGINT) AS n FROM outcomes WHERE written IN ('lost', 'dropped')))
  SELECT unnest(list_reduce(list_prepend(CAST([] AS BIGINT[]), list_transform(ns, lambda x: [x])), lambda acc, x: CASE WHEN len(acc) = 0 OR x[1] - acc[len(acc)] >= 30 THEN list_concat(acc, x) ELSE acc END)) AS n FROM grown""")
 def loss_alert(b):
-    rows = losses(b).select(F.floor(F.unix_micros(F.col("bucket").cast("timestamp")) / 3_600_000_000).alias("n"), "grew")
-    return upkeep.throttled(rows, 30)
+    return upkeep.loss_alerts(b.outcomes.drop("outcome").withColumnRenamed("written", "outcome"))
 
 
 @query("SELECT pv_id, count(*) AS rows, CAST(sum(length(detail)) AS BIGINT) AS bytes FROM pv_events GROUP BY pv_id")
@@ -859,10 +876,10 @@ def declare_ioc(b):
     return catalog.declared(b.ioc_config, wanted)
 
 
-@query("SELECT id FROM alert_log UNION ALL SELECT (SELECT max(id) FROM alert_log) + row_number() OVER () AS id FROM supplier WHERE s_suppkey < 5")
+@query("SELECT id, message FROM alert_log UNION ALL SELECT (SELECT max(id) FROM alert_log) + row_number() OVER (ORDER BY s_name) AS id, s_name FROM supplier")
 def write_alerts(b):
-    new = b.supplier.where("s_suppkey < 5").select(F.lit(b.now).alias("time"), F.lit("info").alias("level"), F.col("s_name").alias("message"), F.lit(False).alias("acknowledged"))
-    return alerts.appended(b.alert_log, new).select("id")
+    new = b.supplier.select(F.lit(b.now).alias("time"), F.lit("info").alias("level"), F.col("s_name").alias("message"), F.lit(False).alias("acknowledged"))
+    return alerts.appended(b.alert_log, new).select("id", "message")
 
 
 @query("SELECT id, acknowledged OR id % 10 = 1 AS acknowledged, CASE WHEN NOT acknowledged AND id % 10 = 1 THEN 'me' ELSE acknowledged_by END AS acknowledged_by, NOT acknowledged AND id % 10 = 1 AS changed FROM alert_log")
@@ -945,7 +962,7 @@ def ensure_tables(b):
 
 def sample_stream(b):
     severity = F.when(F.col("event_type") == "error", 2).when(F.col("event_type") == "purchase", 1).otherwise(0).cast("smallint")
-    return jobs.file_stream(b.spark, b.sf_dir, "events", lambda e: e.select(F.col("ts").cast("timestamp").alias("time"), F.col("user_id").cast("int").alias("pv_id"), "value", severity.alias("severity"), F.col("event_id").alias("tiebreak")))
+    return jobs.file_stream(b.spark, b.sf_dir, "events", lambda e: e.select(F.col("ts").cast("timestamp").alias("time"), F.col("user_id").alias("pv_id"), "value", severity.alias("severity"), F.col("event_id").alias("tiebreak")))
 
 
 @query(f"{HOURLY} SELECT {ROLL} FROM hourly")

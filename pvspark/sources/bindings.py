@@ -11,7 +11,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 ADDRESS = "concat('10.0.0.', CAST({} % 12 AS {string}), ':5075')"
 
 VIEWS = {
-    "samples": """SELECT ts AS time, CAST(user_id AS INT) AS pv_id, value,
+    "samples": """SELECT ts AS time, user_id AS pv_id, value,
         CAST(CASE event_type WHEN 'error' THEN 2 WHEN 'purchase' THEN 1 ELSE 0 END AS SMALLINT) AS severity,
         CAST(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS SMALLINT) AS status, CAST(0 AS SMALLINT) AS reason, event_id AS tiebreak FROM {events}""",
     "pv_lookup": "SELECT CAST(user_id AS INT) AS pv_id, concat('PV:', lpad(CAST(user_id AS {string}), 6, '0')) AS pv_name FROM {events} GROUP BY user_id",
@@ -20,7 +20,7 @@ VIEWS = {
         CASE WHEN event_type IN ('view', 'error', 'purchase') THEN concat('10.0.0.', CAST(user_id % 12 AS {string}), ':5075') END AS ioc_addr,
         CASE WHEN event_type = 'error' THEN props END AS detail FROM {events}""",
     "ioc_config": """SELECT concat('10.0.0.', CAST(s_suppkey AS {string}), ':5075') AS address, CASE WHEN s_suppkey % 2 = 0 THEN '' ELSE concat('Device ', CAST(s_suppkey AS {string})) END AS label,
-        s_suppkey % 5 <> 0 AS enabled FROM {supplier} WHERE s_suppkey BETWEEN 3 AND 14""",
+        s_suppkey % 5 <> 0 AS enabled FROM {supplier} WHERE s_suppkey > 2""",
     "pv_status": """SELECT concat('PV:', lpad(CAST(user_id AS {string}), 6, '0')) AS pv_name, CAST(user_id AS INT) AS pv_id, CAST(1 + user_id % 6 AS SMALLINT) AS state,
         concat('10.0.0.', CAST(user_id % 12 AS {string}), ':5075') AS ioc_addr, min(ts) AS subscribed_at, min(ts) AS connected_at, max(ts) AS last_event_at,
         count(*) AS events_total, count(*) / 30.0 AS update_hz, 0.5 AS health_score FROM {events} GROUP BY user_id""",

@@ -4,19 +4,23 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pvspark.operators import reshape
+from pvspark.operators import rollup
 
 #: Versions of the layout: the tables that each one adds.
 LAYOUT = {1: ("samples", "samples_string"), 2: ("samples_array_num", "samples_array_str"), 3: ("samples_nv", "samples_hist", "samples_cont", "samples_mch"), 4: ("samples_table", "samples_image", "samples_custom")}
 
 
 def folder(spark: SparkSession) -> str:
-    """A new path in the shared folder of the cluster, or in a temporary one where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='pvspark-')}"
+    """A new path in the shared folder of the cluster; in a temporary one where none is set, as in tests, but not on a cluster of many machines."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+    base = base or f"file://{tempfile.mkdtemp(prefix='pvspark-')}"
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
@@ -56,4 +60,48 @@ def ensure_tables(spark: SparkSession, applied: DataFrame) -> DataFrame:
     return every.join(applied.select("version", F.lit("skipped").alias("outcome")), "version", "left").withColumn("outcome", F.coalesce("outcome", F.lit("applied")))
 
 
-__all__ = ["LAYOUT", "ensure_tables", "fanout", "folder", "read_samples", "read_updates", "reshape", "write_samples"]
+def _write_tier(rows: DataFrame, path: str) -> None:
+    """Replace the dates of rows (bucket, pv_id, ...) in a tier's table; other dates stay."""
+    dated = rows.withColumn("date", F.to_date("bucket"))
+    dated.hint("rebalance", "date").sortWithinPartitions("date", "pv_id", "bucket").write.partitionBy("date").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+
+
+def write_tiers(samples: DataFrame, root: str) -> None:
+    """The hourly and the daily table of samples; a date that is there already is replaced. The daily one is made from the stored hours."""
+    _write_tier(rollup.hourly(samples), f"{root}/hourly")
+    dates = [r.date for r in samples.select(F.to_date("time").alias("date")).distinct().collect()]  # as many as days were written
+    hours = samples.sparkSession.read.parquet(f"{root}/hourly").where(F.col("date").isin(dates))
+    _write_tier(rollup.daily(hours.drop("date")), f"{root}/daily")
+
+
+def refresh_tiers(samples: DataFrame, root: str, now: datetime, start_offset: timedelta, end_offset: timedelta) -> None:
+    """Write again what may have changed: the dates from now - start_offset on, with the whole hours up to now - end_offset."""
+    first = (now - start_offset).replace(hour=0, minute=0, second=0, microsecond=0)
+    end = (now - end_offset).replace(minute=0, second=0, microsecond=0)
+    write_tiers(samples.where((F.col("time") >= F.lit(first)) & (F.col("time") < F.lit(end))), root)
+
+
+def read_tier(spark: SparkSession, root: str, tier: str, start: datetime | None = None, end: datetime | None = None) -> DataFrame:
+    """Rows of a stored tier with start <= bucket < end; the dates prune partitions, and a signal that is asked for reaches the scan."""
+    rows = spark.read.parquet(f"{root}/{tier}")
+    if start is not None:
+        rows = rows.where((F.col("date") >= F.lit(start.date())) & (F.col("bucket") >= F.lit(start)))
+    if end is not None:
+        rows = rows.where((F.col("date") <= F.lit(end.date())) & (F.col("bucket") < F.lit(end)))
+    return rows.drop("date")
+
+
+def numbered(rows: DataFrame, order: list, name: str) -> DataFrame:
+    """rows with their number from 1 in an order, without bringing them to one task: ranges are sorted by themselves and stored, and each range's rows
+    follow those of the ranges before."""
+    spark, path = rows.sparkSession, folder(rows.sparkSession)
+    ranges = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    ranges.withColumn("_place", F.monotonically_increasing_id()).write.parquet(path)
+    stored = spark.read.parquet(path).withColumn("_range", F.shiftright("_place", 33))
+    size = {r["_range"]: r["count"] for r in stored.groupBy("_range").count().collect()}  # one row for each range
+    before, shift = 0, []
+    for k in sorted(size):
+        shift += [F.lit(k), F.lit(before + 1)]
+        before += size[k]
+    offset = F.create_map(*shift)[F.col("_range")] if shift else F.lit(0)
+    return stored.withColumn(name, (offset + F.col("_place").bitwiseAND((1 << 33) - 1)).cast("long")).drop("_place", "_range")
