@@ -41,6 +41,16 @@ def to_micros(seconds: Column, nanos: Column) -> Column:
     return F.timestamp_micros(seconds.cast("bigint") * 1_000_000 + F.floor(nanos.cast("bigint") / 1000)).cast("timestamp_ntz")
 
 
+def total_nanos(seconds: Column, nanos: Column) -> Column:
+    """Nanoseconds since the epoch, as DECIMAL(38,0): they do not fit a long for all seconds that do."""
+    return (seconds.cast("decimal(20,0)") * F.lit(1_000_000_000).cast("decimal(10,0)") + nanos.cast("decimal(10,0)")).cast("decimal(38,0)")
+
+
+def is_epoch(seconds: Column, nanos: Column) -> Column:
+    """Whether a time is the epoch itself, which stands for no time."""
+    return (seconds == 0) & (nanos == 0)
+
+
 def micros_between(start: Column, end: Column) -> Column:
     """Microseconds from start to end; 0 if end is earlier."""
     return F.greatest(F.lit(0).cast("long"), F.unix_micros(end.cast("timestamp")) - F.unix_micros(start.cast("timestamp")))
@@ -60,6 +70,12 @@ def as_long(value: Column) -> Column:
     return F.when(~F.isnan(value), value).try_cast("bigint")
 
 
+def as_text(kind: Column, text: Column) -> Column:
+    """A typed scalar as text: true or false for booleans, digits without sign or zeros before them for integers, strings as they are."""
+    whole = kind.isin("byte", "ubyte", "short", "ushort", "int", "uint", "long", "ulong")
+    return F.when(kind == "boolean", F.lower(text)).when(whole, text.try_cast("decimal(20,0)").cast("string")).otherwise(text)
+
+
 def type_class(kind: Column) -> Column:
     """STRUCT<is_integer, is_floating, is_unsigned, exact_in_double, bytes> of a scalar type's name."""
     integer = kind.isin("byte", "ubyte", "short", "ushort", "int", "uint", "long", "ulong")
@@ -92,6 +108,41 @@ def alert_rank(level: Column) -> Column:
     return F.when(level == "info", 0).when(level == "critical", 2).otherwise(1)
 
 
+def alert_category(category: Column) -> Column:
+    """The category of an alert; unknown ones and nulls count as system."""
+    return F.when(category.isin("pv", "ioc", "shard", "system"), category).otherwise("system")
+
+
+def device_flags(state: Column) -> Column:
+    """STRUCT<reachable, healthy> of a device's liveness: reachable unless offline, healthy when online."""
+    return F.struct((state != "offline").alias("reachable"), (state == "online").alias("healthy"))
+
+
+def array_info(kind: Column, values: Column) -> Column:
+    """STRUCT<elem_type, n, bytes, numeric> of an array of scalars of a kind; strings have no fixed bytes."""
+    width = F.coalesce(F.create_map(*(F.lit(x) for pair in WIDTHS.items() for x in pair))[kind], F.lit(0))
+    n = F.coalesce(F.size(values), F.lit(0)).cast("long")
+    return F.struct(kind.alias("elem_type"), n.alias("n"), (n * width).cast("long").alias("bytes"), (kind != "string").alias("numeric"))
+
+
+def matrix_shape(values: Column, dim: Column) -> Column:
+    """STRUCT<n_rows, n_columns>: the first two dimensions; of one dimension, or none, a single row."""
+    n = F.coalesce(F.size(dim), F.lit(0))
+    columns = F.when(n >= 2, F.get(dim, 1)).when(n == 1, F.get(dim, 0)).otherwise(F.size(values))
+    return F.struct(F.when(n >= 2, F.get(dim, 0)).otherwise(1).cast("int").alias("n_rows"), columns.cast("int").alias("n_columns"))
+
+
+def continuum_shape(base: Column, values: Column) -> Column:
+    """STRUCT<points, traces>: the base's length, and how many values there are for each of its points."""
+    n = F.coalesce(F.size(base), F.lit(0))
+    return F.struct(n.alias("points"), F.when(n > 0, F.floor(F.size(values) / n)).otherwise(0).cast("int").alias("traces"))
+
+
+def table_shape(columns: Column) -> Column:
+    """STRUCT<n_rows, n_columns> of an array of columns: the first column's length, 0 without columns."""
+    return F.struct(F.coalesce(F.size(F.get(columns, 0)), F.lit(0)).cast("long").alias("n_rows"), F.coalesce(F.size(columns), F.lit(0)).alias("n_columns"))
+
+
 def array_l2(a: Column, b: Column) -> Column:
     """Euclidean distance; null if the lengths differ."""
     square = F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)

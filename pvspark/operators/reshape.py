@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pvspark.functions import columns as C
-
 # The target table of each payload kind.
 TARGETS = {
     "scalar": "samples", "enum": "samples", "aggregate": "samples", "string": "samples_string", "scalar_array": "samples_array_num", "matrix": "samples_array_num",
@@ -94,4 +92,4 @@ def all_captures(tables: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-__all__ = ["C", "TARGETS", "all_captures", "capture_ids", "carried_forward", "change_points", "exploded", "histogram_stats", "image_geometry", "rebuilt", "routed", "target", "unpacked_aggregate", "zipped"]
+__all__ = ["TARGETS", "all_captures", "capture_ids", "carried_forward", "change_points", "exploded", "histogram_stats", "image_geometry", "rebuilt", "routed", "target", "unpacked_aggregate", "zipped"]

@@ -268,6 +268,13 @@ def reason_class(b):
     return b.events.select("event_id", C.reason_class(F.col("event_id") % 11).alias("reason_class"))
 
 
+@query("SELECT n_nationkey, n_nationkey % 3 <> 2 AS reachable, n_nationkey % 3 = 0 AS healthy FROM nation UNION ALL SELECT c_custkey + 1000, c_custkey % 3 <> 2, c_custkey % 3 = 0 FROM customer")
+def device_flags(b):
+    keys = b.nation.select("n_nationkey", F.col("n_nationkey").alias("k")).unionByName(b.customer.select((F.col("c_custkey") + 1000).alias("n_nationkey"), F.col("c_custkey").alias("k")))
+    state = F.get(F.array(F.lit("online"), F.lit("suspect"), F.lit("offline")), (F.col("k") % 3).cast("int"))
+    return keys.select("n_nationkey", C.device_flags(state).alias("d")).select("n_nationkey", "d.*")
+
+
 @query("SELECT pv_id, state IN (2, 3) AS active, state IN (4, 5) AS needs_attention FROM pv_status")
 def needs_attention(b):
     return b.pv_status.select("pv_id", F.col("state").isin(2, 3).alias("active"), F.col("state").isin(4, 5).alias("needs_attention"))
@@ -585,9 +592,10 @@ def explode_table(b):
     return reshape.zipped(rows, {"o_orderkey": "k", "o_orderstatus": "s"}, ["o_custkey"])
 
 
-@query("SELECT l_suppkey, len(list(l_quantity)) AS n_rows, 2 AS n_columns FROM lineitem GROUP BY l_suppkey")
+@query("SELECT vec_id, CASE vec_id % 4 WHEN 0 THEN 0 ELSE CAST(len(embedding) AS BIGINT) END AS n_rows, CAST(vec_id % 4 AS INT) AS n_columns FROM embeddings")
 def table_shape(b):
-    return b.lineitem.groupBy("l_suppkey").agg(F.count("*").alias("n_rows"), F.lit(2).alias("n_columns"))
+    columns = F.slice(F.array("embedding", "embedding", "embedding"), 1, (F.col("vec_id") % 4).cast("int"))
+    return b.embeddings.select("vec_id", C.table_shape(columns).alias("s")).select("vec_id", "s.*")
 
 
 @query("SELECT a.vec_id, round(sqrt(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: (CAST(p[1] AS DOUBLE) - p[2]) * (CAST(p[1] AS DOUBLE) - p[2])))), 5) AS distance FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
@@ -596,19 +604,23 @@ def array_l2(b):
     return e.join(e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("e").alias("f")), "vec_id").select("vec_id", F.round(C.array_l2(F.col("e"), F.col("f")), 5).alias("distance"))
 
 
-@query("SELECT vec_id, embedding[3 * 8 + 5 + 1] AS cell, CAST(len(embedding) // 8 AS INT) AS n_rows FROM embeddings")
+@query("SELECT vec_id, embedding[3 * 8 + 5 + 1] AS cell, CASE vec_id % 3 WHEN 0 THEN CAST(len(embedding) // 8 AS INT) ELSE 1 END AS n_rows, CASE vec_id % 3 WHEN 0 THEN 8 ELSE CAST(len(embedding) AS INT) END AS n_columns FROM embeddings")
 def matrix_cell(b):
-    return b.embeddings.select("vec_id", C.matrix_cell(F.col("embedding"), F.lit(8), F.lit(3), F.lit(5)).alias("cell"), F.floor(F.size("embedding") / 8).cast("int").alias("n_rows"))
+    dim = F.when(F.col("vec_id") % 3 == 0, F.array(F.floor(F.size("embedding") / 8).cast("int"), F.lit(8))).when(F.col("vec_id") % 3 == 1, F.array(F.size("embedding"))).otherwise(F.array().cast("array<int>"))
+    cell = C.matrix_cell(F.col("embedding"), F.lit(8), F.lit(3), F.lit(5))
+    return b.embeddings.select("vec_id", cell.alias("cell"), C.matrix_shape(F.col("embedding"), dim).alias("s")).select("vec_id", "cell", "s.*")
 
 
-@query("SELECT vec_id, embedding[2 * 4 + 1 + 1] AS cell FROM embeddings")
+@query("SELECT vec_id, embedding[2 * 4 + 1 + 1] AS cell, 16 AS points, CAST(len(embedding) // 16 AS INT) AS traces FROM embeddings")
 def continuum_cell(b):
-    return b.embeddings.select("vec_id", C.continuum_cell(F.slice("embedding", 1, 16), F.col("embedding"), F.lit(2), F.lit(1)).alias("cell"))
+    base, values = F.slice("embedding", 1, 16), F.col("embedding")
+    return b.embeddings.select("vec_id", C.continuum_cell(base, values, F.lit(2), F.lit(1)).alias("cell"), C.continuum_shape(base, values).alias("s")).select("vec_id", "cell", "s.*")
 
 
-@query("SELECT vec_id, len(embedding) AS n, 4 * len(embedding) AS bytes FROM embeddings")
+@query("SELECT vec_id, k AS elem_type, len(embedding) AS n, CASE k WHEN 'float' THEN 4 WHEN 'double' THEN 8 ELSE 0 END * len(embedding) AS bytes, k <> 'string' AS numeric FROM (SELECT *, CASE vec_id % 3 WHEN 0 THEN 'float' WHEN 1 THEN 'double' ELSE 'string' END AS k FROM embeddings)")
 def array_bytes(b):
-    return b.embeddings.select("vec_id", F.size("embedding").cast("long").alias("n"), (F.size("embedding") * C.WIDTHS["float"]).cast("long").alias("bytes"))
+    kind = F.get(F.array(F.lit("float"), F.lit("double"), F.lit("string")), (F.col("vec_id") % 3).cast("int"))
+    return b.embeddings.select("vec_id", C.array_info(kind, F.col("embedding")).alias("i")).select("vec_id", "i.*")
 
 
 @query("SELECT p_partkey, p_size % 4 <> 0 OR p_size * (1 + p_size % 2) <> 2 * p_size AS roi, p_size % 2 = 1 AS binned, CAST(p_size * (1 + p_size % 2) AS INT) AS extent FROM part")
@@ -623,13 +635,17 @@ def image_attributes(b):
     return b.part.select("p_partkey", F.inline(attributes))
 
 
-@query("SELECT event_id, CASE event_type WHEN 'view' THEN 'samples' WHEN 'click' THEN 'samples_string' WHEN 'error' THEN 'samples_hist' WHEN 'signup' THEN 'samples_nv' ELSE 'samples_image' END AS target FROM events")
+ROUTES = "['samples', 'samples', 'samples', 'samples_string', 'samples_array_num', 'samples_array_num', 'samples_array_str', 'samples_hist', 'samples_cont', 'samples_nv', 'samples_mch', 'samples_table', 'samples_image', 'samples_custom', 'samples_custom', 'samples_custom']"
+KINDS = ("scalar", "enum", "aggregate", "string", "scalar_array", "matrix", "string_array", "histogram", "continuum", "name_value", "multi_channel", "table", "nd_array", "union", "custom", "unheard_of")
+
+
+@query(f"SELECT event_id, ({ROUTES})[event_id % 16 + 1] AS target FROM events")
 def route_updates(b):
-    kind = F.when(F.col("event_type") == "view", "scalar").when(F.col("event_type") == "click", "string").when(F.col("event_type") == "error", "histogram").when(F.col("event_type") == "signup", "name_value").otherwise("nd_array")
+    kind = F.get(F.array(*map(F.lit, KINDS)), (F.col("event_id") % 16).cast("int"))
     return reshape.routed(b.events.withColumn("nt_type", kind)).select("event_id", "target")
 
 
-@query("SELECT target, count(*) AS n FROM (SELECT CASE event_type WHEN 'view' THEN 'samples' WHEN 'click' THEN 'samples_string' WHEN 'error' THEN 'samples_hist' WHEN 'signup' THEN 'samples_nv' ELSE 'samples_image' END AS target FROM events) GROUP BY target")
+@query(f"SELECT target, count(*) AS n FROM (SELECT ({ROUTES})[event_id % 16 + 1] AS target FROM events) GROUP BY target")
 def write_report(b):
     return route_updates(b).groupBy("target").agg(F.count("*").alias("n"))
 
@@ -664,9 +680,17 @@ def archive_batch(b):
 # Scalar functions
 
 
-@query("SELECT event_id, make_timestamp(event_id * 1000000 + (event_id * 1237 % 1000000000) // 1000) AS t FROM events")
+@query("SELECT event_id, make_timestamp(event_id * 1000000 + (event_id * 1237 % 1000000000) // 1000) AS t, CAST(CAST(event_id AS HUGEINT) * 1000000000 + event_id * 1237 % 1000000000 AS VARCHAR) AS nanos, event_id = 0 AS is_epoch FROM events")
 def to_micros(b):
-    return b.events.select("event_id", C.to_micros(F.col("event_id"), F.col("event_id") * 1237 % 1_000_000_000).alias("t"))
+    s, n = F.col("event_id"), F.col("event_id") * 1237 % 1_000_000_000
+    return b.events.select("event_id", C.to_micros(s, n).alias("t"), C.total_nanos(s, n).cast("string").alias("nanos"), C.is_epoch(s, n).alias("is_epoch"))
+
+
+@query("SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'true' WHEN 1 THEN CAST(event_id AS VARCHAR) ELSE event_type END AS text FROM events")
+def as_text(b):
+    k = (F.col("event_id") % 3).cast("int")
+    text = F.when(k == 0, "TRUE").when(k == 1, F.concat(F.lit("+00"), F.col("event_id").cast("string"))).otherwise(F.col("event_type"))
+    return b.events.select("event_id", C.as_text(F.get(F.array(F.lit("boolean"), F.lit("long"), F.lit("string")), k), text).alias("text"))
 
 
 @query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN value WHEN 1 THEN 1.0 WHEN 2 THEN CAST(event_id AS DOUBLE) END AS v, CASE event_id % 4 WHEN 0 THEN CAST(trunc(value) AS BIGINT) WHEN 1 THEN 1 WHEN 2 THEN event_id END AS whole FROM events")
@@ -951,10 +975,14 @@ def fanout_write(b):
     return tables.fanout(rows, tables.folder(b.spark), batch=1)
 
 
-@query("SELECT s_suppkey + 1 AS version, CASE WHEN s_suppkey < 2 THEN 'skipped' ELSE 'applied' END AS outcome FROM supplier WHERE s_suppkey < 4")
+@query(f"SELECT target, date, CASE WHEN date < '2024-01-15' THEN 'skipped' ELSE 'applied' END AS outcome FROM (SELECT DISTINCT ({ROUTES})[event_id % 16 + 1] AS target, CAST(CAST(ts AS DATE) AS VARCHAR) AS date FROM events)")
 def ensure_tables(b):
-    applied = b.supplier.where("s_suppkey < 2").select((F.col("s_suppkey") + 1).cast("int").alias("version"))
-    return tables.ensure_tables(b.spark, applied).select(F.col("version").cast("long").alias("version"), "outcome")
+    """The tables and dates that the routed updates need, created beside those of the first half of the month, which were there."""
+    kind = F.get(F.array(*map(F.lit, KINDS)), (F.col("event_id") % 16).cast("int"))
+    wanted = reshape.routed(b.events.withColumn("nt_type", kind)).select("target", F.to_date("ts").cast("string").alias("date")).distinct()
+    root = tables.folder(b.spark)
+    tables.ensure_tables(wanted.where("date < '2024-01-15'"), root)
+    return tables.ensure_tables(wanted, root)
 
 
 # Streams over the same files; each must give what the batch operator gives

@@ -11,9 +11,6 @@ from pyspark.sql import functions as F
 
 from pvspark.operators import rollup
 
-#: Versions of the layout: the tables that each one adds.
-LAYOUT = {1: ("samples", "samples_string"), 2: ("samples_array_num", "samples_array_str"), 3: ("samples_nv", "samples_hist", "samples_cont", "samples_mch"), 4: ("samples_table", "samples_image", "samples_custom")}
-
 
 def folder(spark: SparkSession) -> str:
     """A new path in the shared folder of the cluster; in a temporary one where none is set, as in tests, but not on a cluster of many machines."""
@@ -54,10 +51,21 @@ def fanout(rows: DataFrame, root: str, batch: int | None = None) -> DataFrame:
     return rows.sparkSession.read.parquet(path).groupBy("target").agg(F.count("*").alias("n"))
 
 
-def ensure_tables(spark: SparkSession, applied: DataFrame) -> DataFrame:
-    """The layout's versions with what became of each: skipped if it was applied before, applied otherwise."""
-    every = spark.createDataFrame([(v, list(t)) for v, t in sorted(LAYOUT.items())], "version int, tables array<string>")
-    return every.join(applied.select("version", F.lit("skipped").alias("outcome")), "version", "left").withColumn("outcome", F.coalesce("outcome", F.lit("applied")))
+def ensure_tables(wanted: DataFrame, root: str) -> DataFrame:
+    """Record the tables and dates (target, date) that are wanted and not there yet, and say what became of each: applied, or skipped since an earlier
+    call applied it. The record is a table itself, so a call that is repeated changes nothing."""
+    spark, path = wanted.sparkSession, f"{root}/applied"
+    schema = "target string, date string, batch string"
+    there = spark.read.schema(schema).parquet(path) if _exists(spark, path) else spark.createDataFrame([], schema)
+    batch = uuid.uuid4().hex
+    wanted.select("target", "date").distinct().join(there, ["target", "date"], "left_anti").withColumn("batch", F.lit(batch)).write.mode("append").parquet(path)
+    now = spark.read.schema(schema).parquet(path)
+    return wanted.select("target", "date").distinct().join(now, ["target", "date"]).select("target", "date", F.when(F.col("batch") == batch, "applied").otherwise("skipped").alias("outcome"))
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
 
 
 def _write_tier(rows: DataFrame, path: str) -> None:
