@@ -200,7 +200,7 @@ def ioc_state(declared: Column, enabled: Column, total: Column, live: Column, lo
 def health_score(state: Column, subscribed: Column, connected: Column, last_event: Column, now: Column) -> Column:
     """Share of the time connected, lowered when the last event is old, for archiving signals; fixed values for the other states."""
     age = seconds_between(last_event, now)
-    uptime = F.least(F.lit(1.0), seconds_between(connected, now) / F.greatest(F.lit(1.0), seconds_between(subscribed, now)))
+    uptime = F.least(F.lit(1.0), seconds_between(F.coalesce(connected, subscribed), now) / F.greatest(F.lit(1.0), seconds_between(subscribed, now)))
     return F.when(state == 3, uptime * F.when(age < 60, 1.0).when(age < 300, 0.5).otherwise(0.1)).when(state == 4, 0.0).when(state == 5, 0.1).otherwise(0.5)
 
 

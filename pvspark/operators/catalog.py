@@ -115,3 +115,44 @@ def first_updates(updates: DataFrame, session: str) -> DataFrame:
     """The first update of each signal in each session."""
     w = Window.partitionBy("pv_id", session).orderBy("time", "tiebreak")
     return updates.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+
+
+# What a first update may tell about a signal, whatever its kind. `value` keeps its JSON text, as kinds hold scalars, lists or objects there.
+UPDATE = (
+    "value string, scalar_type string, descriptor string, units array<string>, base array<double>, choices array<string>, dim array<int>, channel_name array<string>, columns array<struct<values: string>>, "
+    "dimension array<struct<size: int, full_size: int>>, display struct<description: string, units: string, precision: int, form: string, limit_low: double, limit_high: double>, "
+    "control struct<limit_low: double, limit_high: double, min_step: double>, value_alarm struct<low_alarm: double, low_warning: double, high_warning: double, high_alarm: double, hysteresis: double>"
+)
+
+
+def extracted(updates: DataFrame) -> DataFrame:
+    """The metadata of signals from their first updates (pv_name, nt_type, data as JSON): which fields a kind has is its own matter; the rest keep their defaults.
+
+    Limits default to 0 and texts to empty. scalar_type is that of the value or its elements, array_size the number of elements, bins, points, rows or channels."""
+    u = lambda f: F.col(f"u.{f}")
+    kind = F.col("nt_type")
+    of = lambda *kinds: kind.isin(*kinds)
+    plain = of("scalar", "scalar_array")
+    zero = lambda when, f: F.coalesce(F.when(when, u(f)), F.lit(0.0))
+    shown = plain | of("matrix")
+    n = F.json_array_length(u("value"))
+    described = F.when(of("matrix", "histogram", "continuum", "name_value", "union"), u("descriptor"))
+    description = F.coalesce(F.when(shown, F.nullif(u("display.description"), F.lit(""))), described, F.lit(""))
+    scalar = F.when(of("enum"), "int").when(of("matrix", "continuum", "aggregate"), "double").when(plain | of("name_value", "nd_array", "union"), u("scalar_type"))
+    size = (
+        F.when(of("scalar_array", "matrix", "histogram", "name_value"), F.coalesce(n, F.lit(0)))
+        .when(of("continuum"), F.coalesce(F.size(u("base")), F.lit(0)))
+        .when(of("table"), F.coalesce(F.json_array_length(F.get(u("columns"), 0)["values"]), F.lit(0)))
+        .when(of("multi_channel"), F.coalesce(F.size(u("channel_name")), F.lit(0)))
+    )
+    whole = F.transform(u("dim"), lambda d: F.struct(d.alias("size"), d.alias("full_size")))
+    dims = F.when(of("nd_array"), u("dimension")).when(of("matrix") & (F.size(u("dim")) >= 2), whole)
+    limits = {"low": "low_warning", "high": "high_warning", "lolo": "low_alarm", "hihi": "high_alarm", "hysteresis": "hysteresis"}
+    return updates.withColumn("u", F.from_json("data", UPDATE)).select(
+        "pv_name", kind.alias("data_type"), scalar.alias("scalar_type"), size.alias("array_size"), description.alias("description"),
+        F.coalesce(F.when(shown, u("display.units")).when(of("continuum"), F.get(u("units"), 0)), F.lit("")).alias("units"), F.coalesce(F.when(shown, u("display.precision")), F.lit(0)).alias("precision"),
+        F.when(shown, u("display.form")).alias("display_form"), zero(shown, "display.limit_low").alias("display_low"), zero(shown, "display.limit_high").alias("display_high"),
+        zero(plain, "control.limit_low").alias("control_low"), zero(plain, "control.limit_high").alias("control_high"), zero(plain, "control.min_step").alias("min_step"),
+        *(zero(plain, f"value_alarm.{f}").alias(f"alarm_{k}") for k, f in limits.items()),
+        F.coalesce(F.when(of("enum"), u("choices")), F.array().cast("array<string>")).alias("enum_choices"), F.coalesce(dims, F.array().cast("array<struct<size: int, full_size: int>>")).alias("dimensions"),
+    )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,6 +13,10 @@ from pvspark.functions import columns as C
 SUBSCRIBE, CONNECTED, FIRST_VALUE, DISCONNECT, RECONNECT, TIMEOUT, UNSUBSCRIBE, IOC_REMOVED = range(8)
 INIT, SEARCHING, LINKED, ARCHIVING, DISCONNECTED, TIMED_OUT, UNSUBSCRIBED = range(7)
 
+RUN = 8640  # heartbeats that are made at a time
+
+_INTO = ((SUBSCRIBE,), (SUBSCRIBE, CONNECTED), (FIRST_VALUE,), (DISCONNECT,), (FIRST_VALUE, TIMEOUT), (UNSUBSCRIBE,))
+
 
 def pv_stats(samples: DataFrame, window_seconds: float = 30.0) -> DataFrame:
     """Per signal: number of events, last value and severity, and the rate over the window."""
@@ -43,8 +47,10 @@ def heartbeats(samples: DataFrame, default_s: float, overrides: DataFrame, now:
     rows = rows.withColumn("until", F.coalesce(F.lead("time").over(w), F.lit(now).cast("timestamp_ntz")))
     span = F.unix_micros(F.col("until").cast("timestamp")) - F.unix_micros(F.col("time").cast("timestamp"))
     step = (F.col("every") * 1_000_000).cast("long")
-    n = F.when((F.col("every") > 0) & ~C.non_finite(F.col("value")), F.floor((span - 1) / step).cast("int"))
-    beats = rows.withColumn("k", F.explode(F.when(n > 0, F.sequence(F.lit(1), n))))
+    n = F.when((F.col("every") > 0) & ~C.non_finite(F.col("value")), F.floor((span - 1) / step).cast("long"))
+    # Runs of bounded size: a long silence makes many rows, not one long array.
+    runs = rows.withColumn("n", n).withColumn("run", F.explode(F.when(F.col("n") > 0, F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / RUN)))))
+    beats = runs.withColumn("k", F.explode(F.sequence(F.col("run") * RUN + 1, F.least("n", (F.col("run") + 1) * RUN))))
     at = F.timestamp_micros(F.unix_micros(F.col("time").cast("timestamp")) + F.col("k") * step).cast("timestamp_ntz")
     return beats.select(at.alias("time"), "pv_id", "value", "severity", "status", F.lit(1).cast("smallint").alias("reason"))
 
@@ -63,19 +69,40 @@ def sentinel(status: int, reason: int):
     return F.lit(float("nan")).alias("value"), F.lit(3).cast("smallint").alias("severity"), F.lit(status).cast("smallint").alias("status"), F.lit(reason).cast("smallint").alias("reason")
 
 
+def status_scan(status: DataFrame, stats: DataFrame, now: datetime, after_s: float = 60.0) -> DataFrame:
+    """The status table after a scan: the statistics are taken in, archiving signals whose last event is older than `after_s` time out, and every signal has its
+    health for its new state. timed_out_now marks those that this scan timed out."""
+    rows = status_update(status, stats)
+    silent = F.coalesce((F.col("state") == ARCHIVING) & (F.col("last_event_at") < F.lit(now - timedelta(seconds=after_s))), F.lit(False))
+    rows = rows.withColumn("timed_out_now", silent).withColumn("state", F.when(F.col("timed_out_now"), TIMED_OUT).otherwise(F.col("state")).cast("smallint"))
+    return rows.withColumn("health_score", C.health_score(F.col("state"), F.col("subscribed_at"), F.col("connected_at"), F.col("last_event_at"), F.lit(now)))
+
+
+def scan_samples(scanned: DataFrame, now: datetime) -> DataFrame:
+    """The sentinel samples of the signals that a scan timed out."""
+    return scanned.where("timed_out_now").select(F.lit(now).cast("timestamp_ntz").alias("time"), "pv_id", *sentinel(105, 10))
+
+
 def lifecycle_samples(events: DataFrame) -> DataFrame:
     """Sentinel samples of disconnects and reconnects."""
     down = events.where(F.col("event_type") == DISCONNECT).select(F.col("ts").alias("time"), "pv_id", *sentinel(103, 3))
     return down.unionByName(events.where(F.col("event_type") == RECONNECT).select(F.col("ts").alias("time"), "pv_id", *sentinel(104, 4)))
 
 
-def status_fold(events: DataFrame) -> DataFrame:
-    """Each signal's state after all its events in order.
+def status_fold(events: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """Each signal's state after all its events in order; it starts from INIT, or from the signal's state in `before` (pv_id, state).
 
     Most events set the state whatever it was. After the last of them only the others count: from ARCHIVING, the first TIMEOUT, and the last
     CONNECTED after it; from INIT, SEARCHING and DISCONNECTED, any CONNECTED. All are plain aggregates, and no list is made.
     """
-    code, at = F.col("event_type"), F.struct("ts", "event_id", "event_type")
+    events = events.select("pv_id", F.lit(0).alias("_seq"), "ts", "event_id", "event_type")
+    if before is not None:
+        # The events that lead to a state stand for it, before all others.
+        into = [F.array(*(F.struct(F.lit(k - 9).alias("_seq"), F.lit(c).alias("event_type")) for k, c in enumerate(codes))) for codes in _INTO]
+        past = before.where(F.col("state") != INIT).join(events.select(F.col("pv_id").alias("_pv")).distinct(), F.col("pv_id").eqNullSafe(F.col("_pv")), "left_semi")
+        past = past.select("pv_id", F.inline(F.get(F.array(*into), F.col("state") - 1)))
+        events = events.unionByName(past, allowMissingColumns=True)
+    code, at = F.col("event_type"), F.struct("_seq", "ts", "event_id", "event_type")
     setter = code.isin(SUBSCRIBE, FIRST_VALUE, DISCONNECT, RECONNECT, UNSUBSCRIBE, IOC_REMOVED)
     last = events.groupBy("pv_id").agg(F.max(F.when(setter, at)).alias("last"))
     after = events.where(code.isin(CONNECTED, TIMEOUT)).select(F.col("pv_id").alias("_pv"), at.alias("at")).join(last, F.col("_pv").eqNullSafe(F.col("pv_id")))

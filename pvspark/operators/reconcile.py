@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +18,16 @@ def diff(before: DataFrame, after: DataFrame, fields: tuple[str, ...] = FIELDS)
     return both.select("pv_name", change.alias("change")).where("change is not null")
 
 
+def polled(before: DataFrame, after: DataFrame, since: datetime, resolution: DataFrame) -> DataFrame:
+    """The actions of one cycle: none for what did not change since the last poll. When anything did, all enabled rows are compared, so that names which are
+    gone or disabled are found as well; names without a device from earlier cycles (state lost or not_found) are resolved again in every cycle."""
+    fresh = after.where(F.col("updated_at") > F.lit(since)).limit(1).select(F.lit(True).alias("_fresh"))
+    differences = diff(before, after).join(F.broadcast(fresh), F.lit(True), "left_semi")
+    pending = resolution.where(F.col("state").isin("lost", "not_found")).join(after.where("enabled"), "pv_name", "left_semi")
+    retry = pending.join(differences, "pv_name", "left_anti").select("pv_name", F.lit("pending").alias("change"), F.lit("resolve").alias("action"), F.lit(None).cast("string").alias("alert"))
+    return actions(differences, resolution).unionByName(retry)
+
+
 def added(before: DataFrame, after: DataFrame, key: str = "pv_name") -> DataFrame:
     return after.select(key).join(before.select(key), key, "left_anti")
 

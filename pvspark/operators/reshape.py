@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pvspark.functions import columns as C
+
 # The target table of each payload kind.
 TARGETS = {
     "scalar": "samples", "enum": "samples", "aggregate": "samples", "string": "samples_string", "scalar_array": "samples_array_num", "matrix": "samples_array_num",
@@ -83,6 +85,17 @@ def change_points(samples: DataFrame) -> DataFrame:
     return rows.withColumn("reason", reason.cast("smallint")).where("reason is not null").drop("_v", "_s", "_n")
 
 
+def array_change_points(captures: DataFrame, least: float = 0.0) -> DataFrame:
+    """Captures (pv_id, time, tiebreak, value array) that differ from the one before: reason 2 for the first, 6 where the length differs or the distance is
+    more than `least`. A null array differs from any other."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("pv_id").orderBy("time", "tiebreak")
+    rows = captures.withColumns({"_v": F.lag("value").over(w), "_n": F.row_number().over(w)})
+    far = F.coalesce(C.array_l2(F.col("value"), F.col("_v")) > least, ~(F.col("value").isNull() & F.col("_v").isNull()))
+    return rows.withColumn("reason", F.when(F.col("_n") == 1, 2).when(far, 6).cast("smallint")).where("reason is not null").drop("_v", "_n")
+
+
 def all_captures(tables: dict[str, DataFrame]) -> DataFrame:
     """The sample tables in one shape: kind, time, pv_id, severity, status."""
     out = None
@@ -92,4 +105,4 @@ def all_captures(tables: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-__all__ = ["TARGETS", "all_captures", "capture_ids", "carried_forward", "change_points", "exploded", "histogram_stats", "image_geometry", "rebuilt", "routed", "target", "unpacked_aggregate", "zipped"]
+__all__ = ["TARGETS", "all_captures", "array_change_points", "capture_ids", "carried_forward", "change_points", "exploded", "histogram_stats", "image_geometry", "rebuilt", "routed", "target", "unpacked_aggregate", "zipped"]

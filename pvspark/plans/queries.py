@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pvspark.functions import columns as C
@@ -386,10 +386,27 @@ def reconcile_actions(b):
     return reconcile.actions(reconcile.diff(b.config_before, b.config_after), resolution)
 
 
-@query("SELECT n AS op, unnest([s_name, concat(s_name, 'x')]) AS pv_name FROM (SELECT s_name, CASE s_suppkey % 3 WHEN 0 THEN 'add' WHEN 1 THEN 'del' ELSE 'other' END AS n FROM supplier) WHERE n <> 'other'")
-def config_changes(b):
+@query(f"""{DIFF}, r AS (SELECT pv_name, CASE s_suppkey % 3 WHEN 0 THEN 'resolved' WHEN 1 THEN 'lost' ELSE 'not_found' END AS state, s_suppkey % 2 = 0 AS warned FROM config_before), changed AS (SELECT * FROM d WHERE change IS NOT NULL AND EXISTS (SELECT 1 FROM config_after WHERE updated_at > TIMESTAMP '2024-01-01 12:00:00'))
+ SELECT c.pv_name, change, CASE WHEN change = 'removed' THEN 'unsubscribe' WHEN change = 'modified' AND state = 'resolved' THEN 'update_filter' ELSE 'resolve' END AS action,
+ CASE WHEN change <> 'removed' AND (state = 'lost' OR state = 'not_found' AND NOT warned) THEN 'warning' END AS alert FROM changed c LEFT JOIN r ON c.pv_name = r.pv_name
+ UNION ALL SELECT pv_name, 'pending', 'resolve', NULL FROM r WHERE state <> 'resolved' AND pv_name IN (SELECT pv_name FROM config_after WHERE enabled) AND pv_name NOT IN (SELECT pv_name FROM changed)""")
+def config_poll(b):
+    state = F.when(F.col("s_suppkey") % 3 == 0, "resolved").when(F.col("s_suppkey") % 3 == 1, "lost").otherwise("not_found")
+    resolution = b.config_before.select("pv_name", state.alias("state"), (F.col("s_suppkey") % 2 == 0).alias("warned"))
+    return reconcile.polled(b.config_before, b.config_after, datetime(2024, 1, 1, 12), resolution)
+
+
+NOTICES = "SELECT n AS op, unnest([s_name, concat(s_name, 'x')]) AS pv_name FROM (SELECT s_name, CASE s_suppkey % 3 WHEN 0 THEN 'add' WHEN 1 THEN 'del' ELSE 'other' END AS n FROM supplier) WHERE n <> 'other'"
+
+
+def notices(supplier):
     op = F.when(F.col("s_suppkey") % 3 == 0, "add").when(F.col("s_suppkey") % 3 == 1, "del").otherwise("other")
-    return reconcile.changes(b.supplier.select(F.concat(op, F.lit(":"), "s_name", F.lit(",,"), "s_name", F.lit("x")).alias("payload")))
+    return supplier.select(F.concat(op, F.lit(":"), "s_name", F.lit(",,"), "s_name", F.lit("x")).alias("payload"))
+
+
+@query(NOTICES)
+def config_changes(b):
+    return reconcile.changes(notices(b.supplier))
 
 
 # The device report
@@ -479,16 +496,25 @@ def connectivity_intervals(b):
     return lifecycle.connectivity_intervals(b.pv_events)
 
 
-@query(f"SELECT time + INTERVAL 6 HOUR AS time, pv_id, 105 AS status FROM (SELECT *, coalesce(lead(time) OVER (PARTITION BY pv_id ORDER BY time, tiebreak), {NOW}) AS until FROM samples) WHERE until - time > INTERVAL 6 HOUR")
+TIMEOUTS = f"SELECT time + INTERVAL 6 HOUR AS time, pv_id, 105 AS status FROM (SELECT *, coalesce(lead(time) OVER (PARTITION BY pv_id ORDER BY time, tiebreak), {NOW}) AS until FROM samples) WHERE until - time > INTERVAL 6 HOUR"
+
+
+@query(TIMEOUTS)
 def timeouts(b):
     return lifecycle.timeouts(b.samples, 6 * 3600, b.now).select("time", "pv_id", F.col("status").cast("int").alias("status"))
 
 
-@query(f"""SELECT time + to_microseconds(k * every) AS time, pv_id, value, CAST(severity AS INT) AS severity FROM (SELECT *, unnest(generate_series(1, (date_diff('microsecond', time, until) - 1) // every)) AS k FROM (
- SELECT *, CASE pv_id % 3 WHEN 0 THEN 7200000000 WHEN 1 THEN 14400000000 END AS every, coalesce(lead(time) OVER (PARTITION BY pv_id ORDER BY time, tiebreak), {NOW}) AS until FROM samples) WHERE every IS NOT NULL AND until > time)""")
+HEARTBEATS = f"""SELECT time + to_microseconds(k * every) AS time, pv_id, value, CAST(severity AS INT) AS severity FROM (SELECT *, unnest(generate_series(1, (date_diff('microsecond', time, until) - 1) // every)) AS k FROM (
+ SELECT *, CASE pv_id % 3 WHEN 0 THEN 7200000000 WHEN 1 THEN 14400000000 END AS every, coalesce(lead(time) OVER (PARTITION BY pv_id ORDER BY time, tiebreak), {NOW}) AS until FROM samples) WHERE every IS NOT NULL AND until > time)"""
+
+
+def intervals(b):
+    return b.pv_lookup.select("pv_id", F.when(F.col("pv_id") % 3 == 0, 7200.0).when(F.col("pv_id") % 3 == 2, 0.0).alias("heartbeat_s"))
+
+
+@query(HEARTBEATS)
 def heartbeats(b):
-    overrides = b.pv_lookup.select("pv_id", F.when(F.col("pv_id") % 3 == 0, 7200.0).when(F.col("pv_id") % 3 == 2, 0.0).alias("heartbeat_s"))
-    return lifecycle.heartbeats(b.samples, 14400.0, overrides, b.now).select("time", "pv_id", "value", F.col("severity").cast("int").alias("severity"))
+    return lifecycle.heartbeats(b.samples, 14400.0, intervals(b), b.now).select("time", "pv_id", "value", F.col("severity").cast("int").alias("severity"))
 
 
 FOLD = """SELECT pv_id, CAST(list_reduce(list_prepend(0, list(event_type ORDER BY ts, event_id)), lambda s, x: CASE WHEN x = 0 THEN 1 WHEN x = 1 AND s IN (0, 1, 4, 5) THEN 2 WHEN x = 2 THEN 3 WHEN x = 3 THEN 4 WHEN x = 4 THEN 3 ELSE s END) AS INT) AS state FROM pv_events GROUP BY pv_id"""
@@ -505,6 +531,24 @@ def status_snapshot(b):
     return b.pv_status.select("pv_id").join(folded, "pv_id").join(recent(b), "pv_id", "left").select("pv_id", "state", F.coalesce("events", F.lit(0)).alias("events"), "last_value")
 
 
+SCAN = f""", {STATS}, u AS (SELECT s.pv_id, CASE WHEN s.state = 2 AND t.pv_id IS NOT NULL THEN 3 ELSE s.state END AS state, coalesce(t.last_event_at, s.last_event_at) AS last_event_at, connected_at, subscribed_at FROM pv_status s LEFT JOIN stats t ON t.pv_id = s.pv_id),
+ o AS (SELECT * REPLACE (CASE WHEN state = 3 AND last_event_at < {NOW} - INTERVAL 60 SECOND THEN 5 ELSE state END AS state), state = 3 AND last_event_at < {NOW} - INTERVAL 60 SECOND AS timed_out_now FROM u)"""
+
+
+@query(f"""{SCAN} SELECT pv_id, CAST(state AS INT) AS state, timed_out_now, round(CASE state WHEN 3 THEN least(1.0, epoch({NOW} - connected_at) / greatest(1.0, epoch({NOW} - subscribed_at))) * CASE WHEN epoch({NOW} - last_event_at) < 60 THEN 1.0 WHEN epoch({NOW} - last_event_at) < 300 THEN 0.5 ELSE 0.1 END
+ WHEN 4 THEN 0.0 WHEN 5 THEN 0.1 ELSE 0.5 END::DOUBLE, 6) AS health FROM o""")
+def status_scan(b):
+    status = b.pv_status.withColumns({"last_value": F.lit(None).cast("double"), "last_severity": F.lit(None).cast("smallint")})
+    return lifecycle.status_scan(status, recent(b), b.now).select("pv_id", F.col("state").cast("int").alias("state"), "timed_out_now", F.round("health_score", 6).alias("health"))
+
+
+@query(f"{SCAN} SELECT {NOW} AS time, pv_id, 3 AS severity, 105 AS status, 10 AS reason FROM o WHERE timed_out_now")
+def scan_samples(b):
+    status = b.pv_status.withColumns({"last_value": F.lit(None).cast("double"), "last_severity": F.lit(None).cast("smallint")})
+    rows = lifecycle.scan_samples(lifecycle.status_scan(status, recent(b), b.now), b.now)
+    return rows.select("time", "pv_id", *(F.col(c).cast("int").alias(c) for c in ("severity", "status", "reason")))
+
+
 # Sparse updates and changes
 
 
@@ -518,6 +562,13 @@ def change_points(b):
     return reshape.change_points(b.samples).select("tiebreak", F.col("reason").cast("int").alias("reason"))
 
 
+@query("""SELECT vec_id, reason FROM (SELECT vec_id, CASE WHEN row_number() OVER w = 1 THEN 2 WHEN sqrt(list_sum(list_transform(list_zip(embedding, lag(embedding) OVER w), lambda p: (CAST(p[1] AS DOUBLE) - p[2]) * (CAST(p[1] AS DOUBLE) - p[2])))) > 1.25 THEN 6 END AS reason
+ FROM embeddings WINDOW w AS (PARTITION BY label ORDER BY vec_id)) WHERE reason IS NOT NULL""")
+def array_change_points(b):
+    rows = b.embeddings.select(F.col("label").alias("pv_id"), F.col("vec_id").alias("time"), F.lit(0).alias("tiebreak"), F.col("embedding").cast("array<double>").alias("value"), "vec_id")
+    return reshape.array_change_points(rows, 1.25).select("vec_id", F.col("reason").cast("int").alias("reason"))
+
+
 @query("SELECT pv_id, session, time FROM (SELECT pv_id, tiebreak // 1000 AS session, time, row_number() OVER (PARTITION BY pv_id, tiebreak // 1000 ORDER BY time, tiebreak) AS n FROM samples) WHERE n = 1")
 def first_update_metadata(b):
     return catalog.first_updates(b.samples.withColumn("session", F.floor(F.col("tiebreak") / 1000)), "session").select("pv_id", "session", "time")
@@ -546,15 +597,27 @@ def rebuild_arrays(b):
     return back.select("vec_id", F.size("value").cast("long").alias("n"), F.round(weighted, 4).alias("weighted"))
 
 
+CHUNK = 4096
+
+
 def captured(rows: DataFrame, key: str, order: list[str], **arrays: str) -> DataFrame:
-    """One capture for each key: parallel arrays in order."""
-    parts = F.array_sort(F.collect_list(F.struct(*order, *(F.col(c).alias(n) for n, c in arrays.items()))))
-    return rows.groupBy(key).agg(parts.alias("p")).select(key, *(F.col(f"p.{n}").alias(n) for n in arrays))
+    """Captures of each key: parallel arrays in order, in parts of at most CHUNK elements, the first of which has place `first`."""
+    columns = {n: F.col(c).alias(n) for n, c in arrays.items()}
+    place = F.row_number().over(Window.partitionBy(key).orderBy(*order, *arrays.values())) - 1
+    placed = rows.withColumn("_place", place).select(key, "_place", *columns.values())
+    parts = F.array_sort(F.collect_list(F.struct("_place", *arrays)))
+    parts = placed.groupBy(key, F.floor(F.col("_place") / CHUNK).alias("part")).agg(parts.alias("p"))
+    return parts.select(key, (F.col("part") * CHUNK).cast("int").alias("first"), *(F.col(f"p.{n}").alias(n) for n in arrays))
+
+
+def placed(parts: DataFrame, arrays: dict[str, str], key: str) -> DataFrame:
+    """The elements of captures, with their place in the whole capture."""
+    return reshape.zipped(parts, arrays, [key, "first"]).withColumn("idx", F.col("idx") + F.col("first")).drop("first")
 
 
 @query("SELECT l_orderkey, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_returnflag, l_quantity) - 1 AS INT) AS idx, l_returnflag AS name, l_quantity AS value FROM lineitem")
 def explode_namevalue(b):
-    return reshape.zipped(captured(b.lineitem, "l_orderkey", ["l_linenumber"], name="l_returnflag", value="l_quantity"), {"name": "name", "value": "value"}, ["l_orderkey"])
+    return placed(captured(b.lineitem, "l_orderkey", ["l_linenumber"], name="l_returnflag", value="l_quantity"), {"name": "name", "value": "value"}, "l_orderkey")
 
 
 HIST = "SELECT l_suppkey, 10 * floor(l_quantity / 10) AS range_val, count(*) AS count FROM lineitem GROUP BY ALL"
@@ -566,7 +629,7 @@ def bins(b):
 
 @query(f"SELECT l_suppkey, CAST(row_number() OVER (PARTITION BY l_suppkey ORDER BY range_val) - 1 AS INT) AS idx, range_val, count FROM ({HIST})")
 def explode_histogram(b):
-    return reshape.zipped(captured(bins(b), "l_suppkey", ["range_val"], ranges="range_val", counts="count"), {"range_val": "ranges", "count": "counts"}, ["l_suppkey"])
+    return placed(captured(bins(b), "l_suppkey", ["range_val"], ranges="range_val", counts="count"), {"range_val": "ranges", "count": "counts"}, "l_suppkey")
 
 
 @query(f"SELECT l_suppkey, CAST(sum(count) AS BIGINT) AS total, max(count) AS max_bin, count(*) AS bins FROM ({HIST}) GROUP BY l_suppkey")
@@ -576,20 +639,20 @@ def histogram_stats(b):
 
 @query("SELECT o_custkey, CAST(row_number() OVER w - 1 AS INT) AS idx, CAST(row_number() OVER w AS DOUBLE) AS base_val, o_totalprice AS trace_val FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)")
 def explode_continuum(b):
-    rows = captured(b.orders, "o_custkey", ["o_orderdate", "o_orderkey"], value="o_totalprice").withColumn("base", F.transform("value", lambda x, i: (i + 1).cast("double")))
-    return reshape.zipped(rows, {"base_val": "base", "trace_val": "value"}, ["o_custkey"])
+    rows = captured(b.orders, "o_custkey", ["o_orderdate", "o_orderkey"], value="o_totalprice").withColumn("base", F.transform("value", lambda x, i: (F.col("first") + i + 1).cast("double")))
+    return placed(rows, {"base_val": "base", "trace_val": "value"}, "o_custkey")
 
 
 @query("SELECT o_custkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS INT) AS idx, o_orderpriority AS ch_name, o_totalprice AS ch_value, CASE o_orderstatus WHEN 'F' THEN 2 ELSE 0 END AS ch_severity FROM orders")
 def explode_multichannel(b):
     rows = captured(b.orders.withColumn("s", F.when(F.col("o_orderstatus") == "F", 2).otherwise(0)), "o_custkey", ["o_orderkey"], names="o_orderpriority", values="o_totalprice", severities="s")
-    return reshape.zipped(rows, {"ch_name": "names", "ch_value": "values", "ch_severity": "severities"}, ["o_custkey"])
+    return placed(rows, {"ch_name": "names", "ch_value": "values", "ch_severity": "severities"}, "o_custkey")
 
 
 @query("SELECT o_custkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS INT) AS idx, o_orderkey, o_orderstatus FROM orders")
 def explode_table(b):
     rows = captured(b.orders, "o_custkey", ["o_orderkey"], k="o_orderkey", s="o_orderstatus")
-    return reshape.zipped(rows, {"o_orderkey": "k", "o_orderstatus": "s"}, ["o_custkey"])
+    return placed(rows, {"o_orderkey": "k", "o_orderstatus": "s"}, "o_custkey")
 
 
 @query("SELECT vec_id, CASE vec_id % 4 WHEN 0 THEN 0 ELSE CAST(len(embedding) AS BIGINT) END AS n_rows, CAST(vec_id % 4 AS INT) AS n_columns FROM embeddings")
@@ -658,8 +721,6 @@ def all_captures(b):
 
 @query("SELECT pv_id, time, CAST(dense_rank() OVER (PARTITION BY pv_id ORDER BY time) AS INT) AS capture_no FROM samples")
 def capture_ids(b):
-    from pyspark.sql import Window
-
     rows = reshape.capture_ids(b.samples)
     return rows.select("pv_id", "time", F.dense_rank().over(Window.partitionBy("pv_id").orderBy("time")).alias("capture_no"))
 
@@ -773,6 +834,28 @@ def metadata_extract(b):
     return b.pv_metadata.select("id", payload.alias("p")).select("id", F.coalesce("p.display.display_high", F.lit(0.0)).alias("display_high"), F.coalesce("p.alarm.alarm_hihi", F.lit(0.0)).alias("alarm_hihi"), "p.units")
 
 
+@query("""SELECT p_partkey, k AS data_type, CASE WHEN k = 'enum' THEN 'int' WHEN k IN ('matrix', 'continuum', 'aggregate') THEN 'double' WHEN k IN ('scalar', 'scalar_array', 'name_value', 'nd_array', 'union') THEN 'float' END AS scalar_type,
+ CASE WHEN k IN ('scalar_array', 'matrix', 'histogram', 'name_value') THEN 6 WHEN k = 'continuum' THEN 3 WHEN k = 'table' THEN 4 WHEN k = 'multi_channel' THEN 2 END AS array_size,
+ CASE WHEN k IN ('scalar', 'scalar_array', 'matrix') AND p_partkey % 2 = 0 THEN p_type WHEN k IN ('matrix', 'histogram', 'continuum', 'name_value', 'union') THEN 'told' ELSE '' END AS description,
+ CASE WHEN k IN ('scalar', 'scalar_array', 'matrix') THEN p_brand WHEN k = 'continuum' THEN 's' ELSE '' END AS units, CASE WHEN k IN ('scalar', 'scalar_array', 'matrix') THEN p_size ELSE 0 END AS precision,
+ CASE WHEN k IN ('scalar', 'scalar_array', 'matrix') THEN p_retailprice ELSE 0 END AS display_high, CASE WHEN k IN ('scalar', 'scalar_array') THEN 25.0 ELSE 0 END::DOUBLE AS control_high, CASE WHEN k IN ('scalar', 'scalar_array') THEN 1.5 * p_retailprice ELSE 0 END AS alarm_hihi,
+ CASE WHEN k = 'enum' THEN 'Off,On' ELSE '' END AS choices, CASE WHEN k = 'matrix' THEN '2/2,3/3' WHEN k = 'nd_array' THEN '8/16' ELSE '' END AS dims
+ FROM (SELECT *, ['scalar', 'enum', 'scalar_array', 'matrix', 'histogram', 'continuum', 'name_value', 'table', 'nd_array', 'multi_channel', 'aggregate', 'union', 'custom'][p_partkey % 13 + 1] AS k FROM part)""")
+def metadata_kinds(b):
+    kinds = ("scalar", "enum", "scalar_array", "matrix", "histogram", "continuum", "name_value", "table", "nd_array", "multi_channel", "aggregate", "union", "custom")
+    number, text = (lambda *xs: F.array(*(F.lit(float(x)) for x in xs))), (lambda *xs: F.array(*map(F.lit, xs)))
+    data = F.to_json(F.struct(
+        number(1, 2, 3, 4, 5, 6).alias("value"), F.lit("float").alias("scalar_type"), F.lit("told").alias("descriptor"), text("s", "V").alias("units"), number(0, 1, 2).alias("base"), text("Off", "On").alias("choices"),
+        F.array(F.lit(2), F.lit(3)).alias("dim"), text("a", "b").alias("channel_name"), F.array(F.struct(number(1, 2, 3, 4).alias("values"))).alias("columns"), F.array(F.struct(F.lit(8).alias("size"), F.lit(16).alias("full_size"))).alias("dimension"),
+        F.struct(F.when(F.col("p_partkey") % 2 == 0, F.col("p_type")).otherwise("").alias("description"), F.col("p_brand").alias("units"), F.col("p_size").alias("precision"), F.col("p_retailprice").alias("limit_high")).alias("display"),
+        F.struct(F.lit(25.0).alias("limit_high")).alias("control"), F.struct((F.col("p_retailprice") * 1.5).alias("high_alarm")).alias("value_alarm"),
+    ))
+    rows = b.part.select(F.col("p_partkey").alias("pv_name"), F.get(text(*kinds), (F.col("p_partkey") % 13).cast("int")).alias("nt_type"), data.alias("data"))
+    dims = F.array_join(F.transform("dimensions", lambda d: F.concat_ws("/", d["size"].cast("string"), d["full_size"].cast("string"))), ",")
+    kept = ("data_type", "scalar_type", "array_size", "description", "units", "precision", "display_high", "control_high", "alarm_hihi")
+    return catalog.extracted(rows).select(F.col("pv_name").alias("p_partkey"), *kept, F.array_join("enum_choices", ",").alias("choices"), dims.alias("dims"))
+
+
 @query("SELECT a AS pv_id, list_extract(v, i) AS value FROM (SELECT vec_id AS a, embedding AS v, unnest(generate_series(1, len(embedding))) AS i FROM embeddings)")
 def bulk_from_columns(b):
     ids = F.transform("embedding", lambda x: F.col("vec_id"))
@@ -990,7 +1073,7 @@ def ensure_tables(b):
 
 def sample_stream(b):
     severity = F.when(F.col("event_type") == "error", 2).when(F.col("event_type") == "purchase", 1).otherwise(0).cast("smallint")
-    return jobs.file_stream(b.spark, b.sf_dir, "events", lambda e: e.select(F.col("ts").cast("timestamp").alias("time"), F.col("user_id").alias("pv_id"), "value", severity.alias("severity"), F.col("event_id").alias("tiebreak")))
+    return jobs.file_stream(b.spark, b.sf_dir, "events", lambda e: e.select(F.col("ts").cast("timestamp").alias("time"), F.col("user_id").alias("pv_id"), "value", severity.alias("severity"), (F.col("event_type") == "error").cast("smallint").alias("status"), F.col("event_id").alias("tiebreak")))
 
 
 @query(f"{HOURLY} SELECT {ROLL} FROM hourly")
@@ -1008,9 +1091,44 @@ def streaming_status(b):
 def streaming_status_fold(b):
     code = F.when(F.col("event_type") == "signup", 0).when(F.col("event_type") == "view", 1).when(F.col("event_type") == "click", 2).when(F.col("event_type") == "error", 3).otherwise(4)
     events = jobs.file_stream(b.spark, b.sf_dir, "events", lambda e: e.select("event_id", F.col("user_id").cast("int").alias("pv_id"), "ts", code.alias("event_type")))
-    return jobs.drained(jobs.status(events), ["pv_id"])
+    rows = jobs.carried(events, jobs.status, jobs.STATES)
+    return rows.groupBy("pv_id").agg(F.max_by("state", "batch").cast("int").alias("state"))
+
+
+@query(TIMEOUTS)
+def streaming_timeouts(b):
+    step = jobs.gaps(lambda samples, now: lifecycle.timeouts(samples, 6 * 3600, now))
+    return jobs.carried(sample_stream(b), step, jobs.OPEN).select("time", "pv_id", F.col("status").cast("int").alias("status"))
+
+
+@query(HEARTBEATS)
+def streaming_heartbeats(b):
+    step = jobs.gaps(lambda samples, now: lifecycle.heartbeats(samples, 14400.0, intervals(b), now))
+    return jobs.carried(sample_stream(b), step, jobs.OPEN).select("time", "pv_id", "value", F.col("severity").cast("int").alias("severity"))
+
+
+@query("SELECT pv_id, CASE WHEN pv_id % 6 IN (1, 2) THEN 3 ELSE 1 + pv_id % 6 END AS state, count(*) AS events_total, arg_max(value, (time, tiebreak)) AS last_value, max(time) AS last_event_at FROM samples GROUP BY pv_id")
+def streaming_status_table(b):
+    """The status table as the samples arrive, from one without any events."""
+    known = b.pv_status.select("pv_id", "state", *(F.lit(None).cast(t).alias(c) for c, t in jobs.STATUS_VALUES.items()), F.lit(0).cast("long").alias("events_total"))
+    rows = jobs.carried(sample_stream(b), jobs.status_table, known.schema, known)
+    newest = rows.groupBy("pv_id").agg(F.max_by(F.struct("state", "events_total", "last_value", "last_event_at"), "batch").alias("r")).select("pv_id", "r.*")
+    return newest.withColumns({"state": F.col("state").cast("int"), "last_event_at": F.col("last_event_at").cast("timestamp_ntz")})
+
+
+@query(NOTICES)
+def streaming_config_changes(b):
+    return jobs.drained(jobs.notices(jobs.file_stream(b.spark, b.sf_dir, "supplier", notices)), mode="append")
 
 
 @query("SELECT pv_id, count(*) AS n FROM samples GROUP BY pv_id")
 def retry_safe_write(b):
-    return jobs.drained(sample_stream(b), mode="append").groupBy("pv_id").agg(F.count("*").alias("n"))
+    """The first write of the first batch is followed by a failure, and made again."""
+    path, checkpoint, left = tables.folder(b.spark), tables.folder(b.spark), [1]
+
+    def fail(number):
+        if left and left.pop():
+            raise OSError("the write failed")
+
+    jobs.retried(lambda: jobs.written(sample_stream(b), path, checkpoint, "append", fail), waits=(0.1, 1))
+    return b.spark.read.option("basePath", path).parquet(f"{path}/batch=*").groupBy("pv_id").agg(F.count("*").alias("n"))

@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import time
+from collections.abc import Callable
+from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.errors import StreamingQueryException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
+from pyspark.sql.types import StructType
 
-from pvspark.operators.lifecycle import ARCHIVING, CONNECTED, DISCONNECT, DISCONNECTED, FIRST_VALUE, INIT, IOC_REMOVED, LINKED, RECONNECT, SEARCHING, SUBSCRIBE, TIMED_OUT, TIMEOUT, UNSUBSCRIBE, UNSUBSCRIBED
+from pvspark.operators import lifecycle, reconcile
 from pvspark.sources.tables import folder
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
 
 def rollup(samples: DataFrame, lateness: str = "3 hours") -> DataFrame:
     """The hourly roll-up of a stream; rows later than the bound do not change closed hours."""
@@ -34,83 +35,102 @@ def stats(samples: DataFrame, window: str = "30 seconds", seconds: float = 30.0)
     return rows.select(F.col("window.start").alias("bucket"), "pv_id", "events", "last_value", "last_severity", "update_hz")
 
 
-def step(state: int, code: int) -> int:
-    """The state after an event; the same rules as the batch fold's."""
-    if code == SUBSCRIBE:
-        return SEARCHING
-    if code == CONNECTED and state in (INIT, SEARCHING, DISCONNECTED, TIMED_OUT):
-        return LINKED
-    if code in (FIRST_VALUE, RECONNECT):
-        return ARCHIVING
-    if code == DISCONNECT:
-        return DISCONNECTED
-    if code == TIMEOUT and state == ARCHIVING:
-        return TIMED_OUT
-    if code in (UNSUBSCRIBE, IOC_REMOVED):
-        return UNSUBSCRIBED
-    return state
+def continued(stream: DataFrame, step: Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]], kept: str | StructType, path: str, checkpoint: str, first: DataFrame | None = None) -> StreamingQuery:
+    """Start a job that carries a table (of schema `kept`) from micro-batch to micro-batch: step(table, batch) gives the rows to write and the new table.
+    The table is empty before the first batch, or `first`.
+
+    Both are DataFrames, so a batch of any size, or one key with most of it, sorts and spills like any other Spark work; the table of the batch before is
+    only read. A batch that is tried again replaces its own rows and its own table. Tables older than the one before are removed.
+    """
+
+    empty = stream.sparkSession.createDataFrame([], kept) if first is None else first
+
+    def save(batch: DataFrame, number: int) -> None:
+        spark, before = batch.sparkSession, f"{path}/kept/batch={number - 1}"
+        table = spark.read.schema(kept).parquet(before) if number else empty
+        batch.persist()
+        try:
+            rows, new = step(table, batch)
+            new.write.mode("overwrite").parquet(f"{path}/kept/batch={number}")
+            rows.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        finally:
+            batch.unpersist()
+        old = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/kept/batch={number - 2}")
+        old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
 
+    return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(save).trigger(availableNow=True).start()
 
-class StatusProcessor(StatefulProcessor):
-    """Keeps a signal's state; emits it after each micro-batch with events of the signal."""
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("state", "state int")
+def status(states: DataFrame, events: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A step of `continued`: the state of each signal with events (pv_id, ts, event_id, event_type), and of all signals so far.
 
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
-        state = self.state.get()[0] if self.state.exists() else INIT
-        for row in sorted(rows, key=lambda r: (r.ts, r.event_id)):
-            state = step(state, row.event_type)
-        self.state.update((state,))
-        yield Row(pv_id=key[0], state=state)
+    A batch's events count as later than those of the batches before."""
+    new = lifecycle.status_fold(events, states)
+    rest = states.alias("s").join(new.alias("n"), F.col("s.pv_id").eqNullSafe(F.col("n.pv_id")), "left_anti")
+    return new, rest.unionByName(new)
 
-    def close(self) -> None:
-        pass
 
+def status_table(table: DataFrame, samples: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A step of `continued`: the status table with the statistics of a batch of samples; the whole table is written each time."""
+    new = lifecycle.status_update(table, lifecycle.pv_stats(samples))
+    return new, new
 
-class TimeoutProcessor(StatefulProcessor):
-    """A sentinel time for each signal that is silent for longer than `after_ms` of event time, by event-time timers."""
 
-    def __init__(self, after_ms: int):
-        self.after_ms = after_ms
+STATUS_VALUES = {"last_value": "double", "last_severity": "smallint", "last_event_at": "timestamp", "update_hz": "double"}
+STATES = "pv_id int, state smallint"
+OPEN = "pv_id int, time timestamp, tiebreak bigint, value double, severity smallint, status smallint, clock timestamp"
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle, self.last = handle, handle.getValueState("last", "ms bigint")
 
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
-        newest = max(int(r.time.timestamp() * 1000) for r in rows)
-        before = self.last.get()[0] if self.last.exists() else 0
-        if newest > before:
-            if before:
-                self.handle.deleteTimer(before + self.after_ms)
-            self.last.update((newest,))
-            self.handle.registerTimer(newest + self.after_ms)
-        return iter([])
+def gaps(emit: Callable[[DataFrame, datetime], DataFrame], late_s: float = 0.0) -> Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]]:
+    """A step of `continued` over samples (the columns of OPEN but clock): what emit(samples, now) makes of the gaps between a signal's samples, each row once.
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
-        yield Row(pv_id=key[0], silent_since_ms=self.last.get()[0])
+    The clock is the latest time seen less `late_s`. A sample may be late by that much and still count; older ones are ignored. Kept are, for each signal, the
+    last sample before the clock and those after it. Gaps that are still open are filled up to the clock, and go on from there in the next batch.
+    """
 
-    def close(self) -> None:
-        pass
+    def step(kept: DataFrame, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
+        cols = ["pv_id", "time", "tiebreak", "value", "severity", "status"]
+        before = kept.agg(F.max("clock")).first()[0]
+        new = batch.select(*cols) if before is None else batch.select(*cols).where(F.col("time") >= F.lit(before))
+        rows = kept.select(*cols).unionByName(new)
+        top = new.agg(F.max("time")).first()[0]
+        clock = max(x for x in (before, top and top - timedelta(seconds=late_s)) if x) if before or top else None
+        if clock is None:
+            return emit(rows, datetime(1970, 1, 1)), kept
+        out = emit(rows.withColumn("time", F.col("time").cast("timestamp_ntz")), clock).where(F.col("time") < F.lit(clock).cast("timestamp_ntz"))
+        if before is not None:
+            out = out.where(F.col("time") >= F.lit(before).cast("timestamp_ntz"))
+        last = rows.where(F.col("time") < F.lit(clock)).groupBy("pv_id").agg(F.max_by(F.struct(*cols[1:]), F.struct("time", "tiebreak")).alias("r")).select("pv_id", "r.*")
+        return out, last.unionByName(rows.where(F.col("time") >= F.lit(clock))).withColumn("clock", F.lit(clock))
 
+    return step
 
-def status(events: DataFrame) -> DataFrame:
-    """The state of each signal as events (pv_id, ts, event_id, event_type) arrive."""
-    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    return events.groupBy("pv_id").transformWithState(StatusProcessor(), "pv_id int, state int", "update", "none")
 
+def retried(start: Callable[[], StreamingQuery], waits: tuple[float, ...] = (1, 4, 15, 30, 60)) -> int:
+    """Run a job to its end and return how often it failed; after each failure it goes on from its checkpoint when the wait is over, and the last one is raised."""
+    for failures, wait in enumerate((*waits, None)):
+        try:
+            start().awaitTermination()
+            return failures
+        except StreamingQueryException:
+            if wait is None:
+                raise
+            time.sleep(wait)
 
-def silent(samples: DataFrame, after_s: float, lateness: str = "10 seconds") -> DataFrame:
-    """Signals of a stream (pv_id, time timestamp) that time out."""
-    samples.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    return samples.withWatermark("time", lateness).groupBy("pv_id").transformWithState(TimeoutProcessor(int(after_s * 1000)), "pv_id int, silent_since_ms long", "update", "eventTime")
 
+def notices(stream: DataFrame) -> DataFrame:
+    """The changes (op, pv_name) of a stream of notices (payload), as they arrive."""
+    return reconcile.changes(stream)
 
-def written(stream: DataFrame, path: str, checkpoint: str, mode: str = "update") -> StreamingQuery:
-    """Start a job that writes every micro-batch to a folder of its number: a batch that is tried again replaces its own rows, so none is doubled."""
+
+def written(stream: DataFrame, path: str, checkpoint: str, mode: str = "update", then: Callable[[int], None] | None = None) -> StreamingQuery:
+    """Start a job that writes every micro-batch to a folder of its number: a batch that is tried again replaces its own rows, so none is doubled.
+    `then` is called with the number after each write, before the batch counts as done."""
 
     def save(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        if then:
+            then(number)
 
     return stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(save).trigger(availableNow=True).start()
 
@@ -126,7 +146,14 @@ def drained(stream: DataFrame, keys: list[str] | None = None, mode: str = "updat
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*others), "batch").alias("r")).select(*keys, "r.*")
 
 
-def file_stream(spark: SparkSession, sf_dir: str, table: str, shape: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """A table's files as a stream."""
+def carried(stream: DataFrame, step: Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]], kept: str | StructType, first: DataFrame | None = None) -> DataFrame:
+    """Run `continued` over what there is now and return its rows, with the number of their batch."""
+    spark, path = stream.sparkSession, folder(stream.sparkSession)
+    continued(stream, step, kept, path, folder(spark), first).awaitTermination()
+    return spark.read.option("basePath", path).parquet(f"{path}/batch=*")
+
+
+def file_stream(spark: SparkSession, sf_dir: str, table: str, shape: Callable[[DataFrame], DataFrame], files: int = 1000) -> DataFrame:
+    """A table's files as a stream, so many files in a micro-batch."""
     schema = spark.read.parquet(f"{sf_dir}/{table}.parquet").schema
-    return shape(spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").parquet(sf_dir))
+    return shape(spark.readStream.schema(schema).option("maxFilesPerTrigger", files).option("pathGlobFilter", f"{table}.parquet").parquet(sf_dir))
