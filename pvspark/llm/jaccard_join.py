@@ -384,12 +384,22 @@ def jaccard_classes(docs: DataFrame, width: int = WORDS, similarity: float = SIM
 
 
 def deduplicated(docs: DataFrame, width: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """One document of each class: the one whose id is the class's. All columns stay; rows without an id or words stay; of rows that repeat an id one stays."""
-    classes = jaccard_classes(docs, width, similarity)
-    gone = classes.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
-    repeated = kept.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1 and doc_id is not null").limit(1).count()
-    return kept if not repeated else kept.where("doc_id is null").unionByName(kept.where("doc_id is not null").dropDuplicates(["doc_id"]))
+    """One document of each class: the one of the least id. All columns stay, and so do rows without an id or words.
+
+    Where ids repeat, each row is a document of its own and is judged by its own text: rows that repeat text and id are one class, while rows that share an id
+    alone do not touch each other.
+    """
+    repeated = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").limit(1).count()
+    if not repeated:
+        classes = jaccard_classes(docs, width, similarity)
+        gone = classes.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone"))
+        return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    row = next(f"_row{k}" for k in range(len(docs.columns) + 1) if f"_row{k}" not in docs.columns)
+    order = ["doc_id", F.xxhash64("text")]  # numbers go by id, and rows of one id are spread over tasks
+    rows = stored(docs.where("doc_id is not null").repartitionByRange(*order).sortWithinPartitions(*order).withColumn(row, F.monotonically_increasing_id()))
+    classes = jaccard_classes(rows.select(F.col(row).alias("doc_id"), "text"), width, similarity)
+    gone = classes.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone"))
+    return rows.join(gone, rows[row] == gone["_gone"], "left_anti").drop(row).unionByName(docs.where("doc_id is null"))
 
 
 def op8_jaccard_join(spark, sf_dir: str) -> DataFrame:

@@ -342,7 +342,7 @@ def trained(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_compounds: i
 
 
 def personal_data(docs: DataFrame, weights: np.ndarray | None = None) -> DataFrame:
-    """One row for each row of docs (doc_id, text): doc_id, counts of the base kinds, a digest of the base spans, all spans as kind:start:end.
+    """One row for each row of docs (doc_id, text): doc_id, counts of the base kinds, a digest of the base spans, all spans as kind:start:end, and their number.
     Null texts have no spans; null ids and repeated rows stay; other columns do not matter."""
     w = trained(docs) if weights is None else weights
 
@@ -351,12 +351,12 @@ def personal_data(docs: DataFrame, weights: np.ndarray | None = None) -> DataFra
             rows = []
             for text in frame["text"]:
                 first, every = find(text, w)
-                rows.append((*(sum(s[0] == k for s in first) for k in KINDS), hashlib.sha256(joined(first).encode()).hexdigest(), joined(every)))
-            out = pd.DataFrame(rows, columns=["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"])
+                rows.append((*(sum(s[0] == k for s in first) for k in KINDS), hashlib.sha256(joined(first).encode()).hexdigest(), joined(every), len(every)))
+            out = pd.DataFrame(rows, columns=["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_spans"])
             out.insert(0, "doc_id", frame["doc_id"].to_numpy())
             yield out
 
-    return docs.select("doc_id", "text").mapInPandas(tx.tidy(scan), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return docs.select("doc_id", "text").mapInPandas(tx.tidy(scan), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long")
 
 
 def redacted(docs: DataFrame, weights: np.ndarray | None = None) -> DataFrame:

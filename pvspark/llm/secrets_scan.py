@@ -162,16 +162,16 @@ def _scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             every = find(text)
             base = [s for s in every if s[0] in KINDS[:3]]
             count = [sum(s[0] == k for s in base) for k in KINDS[:3]]
-            rows.append((*count, hashlib.sha256(joined(base).encode()).hexdigest(), joined(every)))
-        out = pd.DataFrame(rows, columns=["n_assign", "n_access", "n_hex", "base_sha256", "spans"])
+            rows.append((*count, hashlib.sha256(joined(base).encode()).hexdigest(), joined(every), len(every)))
+        out = pd.DataFrame(rows, columns=["n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_spans"])
         out.insert(0, "doc_id", frame["doc_id"].to_numpy())
         yield out
 
 
 def secrets(docs: DataFrame) -> DataFrame:
-    """One row for each row of docs (doc_id, text): doc_id, counts of the base kinds, a digest of their spans, all spans as kind:start:end.
+    """One row for each row of docs (doc_id, text): doc_id, counts of the base kinds, a digest of their spans, all spans as kind:start:end, and their number.
     Null texts have no spans; a null id and repeated rows stay; other columns do not matter."""
-    return docs.select("doc_id", "text").mapInPandas(tx.tidy(_scan), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    return docs.select("doc_id", "text").mapInPandas(tx.tidy(_scan), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_spans long")
 
 
 def op5_secrets(spark, sf_dir: str) -> DataFrame:

@@ -423,6 +423,17 @@ def test_jaccard_odd(odd):
     assert sorted(r.doc_id or -1 for r in jaccard_join.deduplicated(odd).collect()) == [-1, 1, 2, 3, 4, 5, 6, 7]
 
 
+def test_rows_that_share_an_id_alone_do_not_touch_each_other(spark):
+    words = [f"w{k}" for k in range(60)]
+    copy, near, other = " ".join(words), " ".join(words[:-1]), " ".join(reversed(words))
+    rows = [(1, copy, "a"), (1, copy, "b"), (1, other, "c"), (2, near, "d"), (2, "quite another text of seven words here", "e"), (3, None, "f"), (3, "", "g"), (None, copy, "h"), (None, copy, "i")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _row0 string").repartition(4)
+    kept = jaccard_join.deduplicated(docs)
+    assert kept.columns == docs.columns
+    got = sorted(r._row0 for r in kept.collect())
+    assert got[1:] == list("cefghi") and got[0] in "ab"
+
+
 def test_ids_equal_the_tokenizers():
     """Random texts with all kinds of white space, special strings, marks and words; and runs of letters, whose merges go another way."""
     import public_tokenizers as P
