@@ -27,8 +27,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near-duplicates the document of the least id stays. Rows without an id, or whose text is null or has no words, stay; of rows that
-    repeat an id one stays."""
+    """Of each class of near-duplicates the document of the least id stays. Rows without an id, or whose text is null or has no words, stay; rows that
+    share an id are judged each by its own text."""
     return deduplicated(docs, WORDS, SIMILARITY)
 
 
