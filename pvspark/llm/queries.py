@@ -9,6 +9,7 @@ from pvspark.llm.embeddings import op4_embedding_dedup
 from pvspark.llm.jaccard_join import op8_jaccard_join
 from pvspark.llm.licenses import op2_license_scan
 from pvspark.llm.lm_scoring import op7_lm_scoring
+from pvspark.llm.merkle import op11_merkle_manifest
 from pvspark.llm.packing import op9_best_fit_packing
 from pvspark.llm.pii import op1_pii
 from pvspark.llm.quality import op10_quality
@@ -17,7 +18,7 @@ from pvspark.llm.toxicity import op6_toxicity
 
 
 def queries() -> dict:
-    every = (op1_pii, op2_license_scan, op3_decontaminate, op4_embedding_dedup, op5_secrets, op6_toxicity, op7_lm_scoring, op8_jaccard_join, op9_best_fit_packing, op10_quality)
+    every = (op1_pii, op2_license_scan, op3_decontaminate, op4_embedding_dedup, op5_secrets, op6_toxicity, op7_lm_scoring, op8_jaccard_join, op9_best_fit_packing, op10_quality, op11_merkle_manifest)
     return {f.__name__: f for f in every} | {"pipeline": corpus_pipeline.run}
 
 
