@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from pvspark.llm import licenses
+from pvspark.llm import filter_audit, licenses
 from pvspark.llm.decontaminate import op3_decontaminate
 from pvspark.llm.embeddings import op4_embedding_dedup
+from pvspark.llm.filter_audit import op13_filter_audit
 from pvspark.llm.jaccard_join import op8_jaccard_join
 from pvspark.llm.licenses import op2_license_scan
 from pvspark.llm.lm_scoring import op7_lm_scoring
@@ -18,9 +19,9 @@ from pvspark.llm.toxicity import op6_toxicity
 
 
 def queries() -> dict:
-    every = (op1_pii, op2_license_scan, op3_decontaminate, op4_embedding_dedup, op5_secrets, op6_toxicity, op7_lm_scoring, op8_jaccard_join, op9_best_fit_packing, op10_quality, op11_merkle_manifest)
+    every = (op1_pii, op2_license_scan, op3_decontaminate, op4_embedding_dedup, op5_secrets, op6_toxicity, op7_lm_scoring, op8_jaccard_join, op9_best_fit_packing, op10_quality, op11_merkle_manifest, op13_filter_audit)
     return {f.__name__: f for f in every} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_license_scan": licenses.oracle()} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+    return {"op2_license_scan": licenses.oracle(), "op13_filter_audit": filter_audit.oracle()} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
