@@ -93,14 +93,15 @@ def siblings(i: Column) -> Column:
     return F.transform(F.slice(F.col("_levels"), 1, F.size("_levels") - 1), step)
 
 
-def paths(levels_down: list[DataFrame], above: DataFrame) -> DataFrame:
+def paths(levels_down: list[DataFrame], above: DataFrame | None = None) -> DataFrame:
     """The nodes of the lowest stored level with their paths to the very top, and what else `above` has for their trees.
 
-    above: (tree, pos = 0, path: from the tree's root upwards, ...); levels_down: what climbed() stored.
+    above: (tree, pos = 0, path: from the tree's root upwards, ...), or none if the trees' roots are the very top; levels_down: what climbed() stored.
     """
-    rest = [c for c in above.columns if c not in ("tree", "pos", "path")]
+    rest = [c for c in above.columns if c not in ("tree", "pos", "path")] if above is not None else []
     for k, level in reversed(list(enumerate(levels_down))):
-        here = level.join(above.withColumnRenamed("pos", "block"), ["tree", "block"]).withColumn("_levels", levels())
+        here = level.withColumn("path", F.array().cast(f"array<{NODE}>")) if above is None else level.join(above.withColumnRenamed("pos", "block"), ["tree", "block"])
+        here = here.withColumn("_levels", levels())
         nodes = here.select("tree", *rest, "path", "_levels", F.posexplode("nodes").alias("_i", "_node"))
         whole = nodes.select("tree", *rest, F.concat(siblings(F.col("_i")), "path").alias("path"), "_node.*")
         above = whole if k == 0 else stored(whole.drop("digest"))
@@ -131,15 +132,10 @@ def proofs(docs: DataFrame, tampered: Column | None = None) -> DataFrame:
     dropped(leaves)
     above = stored(subroots.select(F.lit("").alias("tree"), F.col("tree").alias("source"), "digest"))
     top_levels, roots = climbed(placed(above, ["source"]))
-    root = roots.first()
-    start = top(docs.sparkSession, root["digest"] if root else None)
-    of_sources = paths(top_levels, start).select(F.col("source").alias("tree"), F.lit(0).cast("long").alias("pos"), "path", "root", F.col("digest").alias("subroot"))
-    return paths(stored_levels, of_sources).select("doc_id", F.col("digest").alias("leaf"), "subroot", "root", "path", "now_leaf")
-
-
-def top(spark: SparkSession, root: str | None) -> DataFrame:
-    """The empty path above the last tree's root."""
-    return spark.range(1).select(F.lit("").alias("tree"), F.lit(0).cast("long").alias("pos"), F.array().cast(f"array<{NODE}>").alias("path"), F.lit(root).cast("string").alias("root"))
+    root = roots.first()  # one row at most
+    root = F.lit(root["digest"] if root else None).cast("string").alias("root")
+    of_sources = paths(top_levels).select(F.col("source").alias("tree"), F.lit(0).cast("long").alias("pos"), "path", F.col("digest").alias("subroot"))
+    return paths(stored_levels, of_sources).select("doc_id", F.col("digest").alias("leaf"), "subroot", root, "path", "now_leaf")
 
 
 def manifest(docs: DataFrame) -> DataFrame:
