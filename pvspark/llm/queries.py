@@ -7,6 +7,7 @@ from pvspark.llm import filter_audit, licenses
 from pvspark.llm.decontaminate import op3_decontaminate
 from pvspark.llm.embeddings import op4_embedding_dedup
 from pvspark.llm.filter_audit import op13_filter_audit
+from pvspark.llm.fingerprints import op12_fingerprints
 from pvspark.llm.jaccard_join import op8_jaccard_join
 from pvspark.llm.licenses import op2_license_scan
 from pvspark.llm.lm_scoring import op7_lm_scoring
@@ -19,7 +20,7 @@ from pvspark.llm.toxicity import op6_toxicity
 
 
 def queries() -> dict:
-    every = (op1_pii, op2_license_scan, op3_decontaminate, op4_embedding_dedup, op5_secrets, op6_toxicity, op7_lm_scoring, op8_jaccard_join, op9_best_fit_packing, op10_quality, op11_merkle_manifest, op13_filter_audit)
+    every = (op1_pii, op2_license_scan, op3_decontaminate, op4_embedding_dedup, op5_secrets, op6_toxicity, op7_lm_scoring, op8_jaccard_join, op9_best_fit_packing, op10_quality, op11_merkle_manifest, op12_fingerprints, op13_filter_audit)
     return {f.__name__: f for f in every} | {"pipeline": corpus_pipeline.run}
 
 
