@@ -77,7 +77,8 @@ def climbed(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
     while deepest is None or deepest > 1:
         out.append(subtrees(nodes))
         top = F.element_at(F.element_at(levels(), -1), 1)
-        nodes = out[-1].select("tree", F.col("block").alias("pos"), F.ceil(F.col("n") / SUBTREE).alias("n"), top.alias("digest"))
+        # in a step of its own: beside another n, the n within the fold would mean that one
+        nodes = out[-1].withColumn("digest", top).select("tree", F.col("block").alias("pos"), F.ceil(F.col("n") / SUBTREE).alias("n"), "digest")
         deepest = out[-1].agg(F.max(F.ceil(F.col("n") / SUBTREE))).first()[0] or 0
     return out, nodes.select("tree", "digest")
 
