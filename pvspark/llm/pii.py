@@ -302,7 +302,8 @@ def find(text: str | None, weights: np.ndarray) -> tuple[list[tuple[str, int, in
         if len(inside) == 1 and inside[0][1:] == (a, b):
             continue
         for x, y, kind in best(text[a:b], weights):
-            if not any(s[1] < a + y and a + x < s[2] for s in inside):
+            before = bisect_left(starts, a + y)  # base spans that start before the entity ends; whether one of them ends after its start
+            if not before or reach[before - 1] <= a + x:
                 added.append((KINDS[kind], a + x, a + y))
     return first, sorted(first + added, key=lambda s: (s[1], KINDS.index(s[0])))
 
