@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pvspark.functions import columns as C
+from pvspark.operators.rollup import order_key
 
 # Codes of lifecycle events and of states.
 SUBSCRIBE, CONNECTED, FIRST_VALUE, DISCONNECT, RECONNECT, TIMEOUT, UNSUBSCRIBE, IOC_REMOVED = range(8)
@@ -20,7 +21,7 @@ _INTO = ((SUBSCRIBE,), (SUBSCRIBE, CONNECTED), (FIRST_VALUE,), (DISCONNECT,), (F
 
 def pv_stats(samples: DataFrame, window_seconds: float = 30.0) -> DataFrame:
     """Per signal: number of events, last value and severity, and the rate over the window."""
-    order = F.struct("time", "tiebreak")
+    order = order_key()
     return samples.groupBy("pv_id").agg(
         F.count("*").alias("events"), F.max_by("value", order).alias("last_value"), F.max_by("severity", order).alias("last_severity"), F.max("time").alias("last_event_at"),
         (F.count("*") / window_seconds).alias("update_hz"),
@@ -37,33 +38,74 @@ def status_update(status: DataFrame, stats: DataFrame) -> DataFrame:
     return joined.withColumns(out).select(*status.columns)
 
 
+def status_windows(table: DataFrame, samples: DataFrame, seconds: int = 30) -> DataFrame:
+    """The rows of the status table whose signals have new samples, with their statistics. update_hz is the rate of the newest window of so many seconds that has any of
+    a signal's samples; `window` and `in_window` say which and how many, so that samples of it that come later are added. Late samples count as events only."""
+    order = order_key()
+    micros, at = F.unix_micros(F.col("time").cast("timestamp")), F.col("window")
+    start = F.timestamp_micros(micros - F.pmod(micros, F.lit(seconds * 1_000_000)))
+    of_window = samples.groupBy("pv_id", start.alias("_window")).agg(F.count("*").alias("_n"), F.max(order).alias("_order"), F.max("time").alias("_time"), *(F.max_by(c, order).alias(f"_{c}") for c in ("value", "severity")))
+    new = of_window.groupBy("pv_id").agg(F.sum("_n").alias("_events"), F.max("_window").alias("_window"), F.max_by("_n", "_window").alias("_n"), F.max("_time").alias("_time"), *(F.max_by(f"_{c}", "_order").alias(f"_{c}") for c in ("value", "severity")))
+    joined, later = table.join(new, "pv_id"), F.col("last_event_at").isNull() | (F.col("_time") >= F.col("last_event_at"))
+    count = F.when(at.isNull() | (F.col("_window") > at), F.col("_n")).when(F.col("_window") == at, F.col("_n") + F.col("in_window")).otherwise(F.col("in_window"))
+    out = {"window": F.greatest("window", "_window"), "in_window": count, "update_hz": count / float(seconds), "last_event_at": F.greatest("last_event_at", F.col("_time").cast("timestamp")), "events_total": F.col("events_total") + F.col("_events")}
+    out |= {f"last_{c}": F.when(later, F.col(f"_{c}")).otherwise(F.col(f"last_{c}")) for c in ("value", "severity")}
+    out["state"] = F.when(F.col("state") == LINKED, ARCHIVING).otherwise(F.col("state")).cast("smallint")
+    return joined.withColumns(out).select(*table.columns)
+
+
+def _micros(column: str):
+    return F.unix_micros(F.col(column).cast("timestamp"))
+
+
+def _every(samples: DataFrame, default_s: float, overrides: DataFrame) -> DataFrame:
+    """samples with the microseconds between heartbeats as `every`, null where there are none."""
+    rows = samples.join(overrides.select("pv_id", "heartbeat_s"), "pv_id", "left").withColumn("every", F.coalesce("heartbeat_s", F.lit(default_s)))
+    return rows.withColumn("every", F.when((F.col("every") > 0) & ~C.non_finite(F.col("value")), (F.col("every") * 1_000_000).cast("long")))
+
+
 def heartbeats(samples: DataFrame, default_s: float, overrides: DataFrame, now: datetime) -> DataFrame:
     """Rows at exact multiples of a signal's interval after each real sample, before the next one (or up to now), with its value and alarm.
 
-    overrides (pv_id, heartbeat_s): null the default, 0 or less off. Non-finite values give none.
+    overrides (pv_id, heartbeat_s): null the default, 0 or less off. Non-finite values give none. Where samples have a time `since`, no row before it is made.
     """
     w = Window.partitionBy("pv_id").orderBy("time", "tiebreak")
-    rows = samples.join(overrides.select("pv_id", "heartbeat_s"), "pv_id", "left").withColumn("every", F.coalesce("heartbeat_s", F.lit(default_s)))
-    rows = rows.withColumn("until", F.coalesce(F.lead("time").over(w), F.lit(now).cast("timestamp_ntz")))
-    span = F.unix_micros(F.col("until").cast("timestamp")) - F.unix_micros(F.col("time").cast("timestamp"))
-    step = (F.col("every") * 1_000_000).cast("long")
-    n = F.when((F.col("every") > 0) & ~C.non_finite(F.col("value")), F.floor((span - 1) / step).cast("long"))
+    rows = _every(samples, default_s, overrides).withColumn("until", F.coalesce(F.lead("time").over(w), F.lit(now).cast("timestamp_ntz")))
+    n = F.floor((_micros("until") - _micros("time") - 1) / F.col("every")).cast("long")
+    first = F.lit(1).cast("long")
+    if "since" in samples.columns:
+        first = F.greatest(first, F.ceil((_micros("since") - _micros("time")) / F.col("every")).cast("long"))
     # Runs of bounded size: a long silence makes many rows, not one long array.
-    runs = rows.withColumn("n", n).withColumn("run", F.explode(F.when(F.col("n") > 0, F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / RUN)))))
-    beats = runs.withColumn("k", F.explode(F.sequence(F.col("run") * RUN + 1, F.least("n", (F.col("run") + 1) * RUN))))
-    at = F.timestamp_micros(F.unix_micros(F.col("time").cast("timestamp")) + F.col("k") * step).cast("timestamp_ntz")
+    runs = rows.withColumn("n", n).withColumn("k0", first).withColumn("run", F.explode(F.when(F.col("n") >= F.col("k0"), F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - F.col("k0")) / RUN)))))
+    beats = runs.withColumn("k", F.explode(F.sequence(F.col("run") * RUN + F.col("k0"), F.least("n", (F.col("run") + 1) * RUN + F.col("k0") - 1))))
+    at = F.timestamp_micros(_micros("time") + F.col("k") * F.col("every")).cast("timestamp_ntz")
     return beats.select(at.alias("time"), "pv_id", "value", "severity", "status", F.lit(1).cast("smallint").alias("reason"))
 
 
+def heartbeats_due(last: DataFrame, default_s: float, overrides: DataFrame, now: datetime) -> DataFrame:
+    """Each signal's last sample with the time of its first heartbeat at or after now, as `due`; null where it has none."""
+    past = F.lit(now).cast("timestamp")
+    k = F.greatest(F.lit(1).cast("long"), F.ceil((F.unix_micros(past) - _micros("time")) / F.col("every")).cast("long"))
+    return _every(last, default_s, overrides).withColumn("due", F.timestamp_micros(_micros("time") + k * F.col("every"))).select(*last.columns, "due")
+
+
 def timeouts(samples: DataFrame, after_s: float, now: datetime) -> DataFrame:
-    """Gaps of more than `after_s` seconds: the sentinel row at their end of patience."""
+    """Gaps of more than `after_s` seconds: the sentinel row at their end of patience. Where samples have a time `since`, no row before it is made."""
     w = Window.partitionBy("pv_id").orderBy("time", "tiebreak")
     rows = samples.withColumn("until", F.coalesce(F.lead("time").over(w), F.lit(now).cast("timestamp_ntz")))
     rows = rows.where(C.seconds_between(F.col("time"), F.col("until")) > after_s)
-    at = F.timestamp_micros(F.unix_micros(F.col("time").cast("timestamp")) + int(after_s * 1_000_000)).cast("timestamp_ntz")
+    at = F.timestamp_micros(_micros("time") + int(after_s * 1_000_000)).cast("timestamp_ntz")
+    if "since" in samples.columns:
+        rows = rows.where(F.col("since").isNull() | (at >= F.col("since")))
     return rows.select(at.alias("time"), "pv_id", *sentinel(105, 10))
 
 
+def timeouts_due(last: DataFrame, after_s: float, now: datetime) -> DataFrame:
+    """Each signal's last sample with the end of its patience as `due`; null where that is over."""
+    at = F.timestamp_micros(_micros("time") + int(after_s * 1_000_000))
+    return last.withColumn("due", F.when(at >= F.lit(now).cast("timestamp"), at))
+
+
 def sentinel(status: int, reason: int):
     """The not-a-number sample that marks a loss or return of a signal."""
     return F.lit(float("nan")).alias("value"), F.lit(3).cast("smallint").alias("severity"), F.lit(status).cast("smallint").alias("status"), F.lit(reason).cast("smallint").alias("reason")

@@ -1097,23 +1097,24 @@ def streaming_status_fold(b):
 
 @query(TIMEOUTS)
 def streaming_timeouts(b):
-    step = jobs.gaps(lambda samples, now: lifecycle.timeouts(samples, 6 * 3600, now))
+    step = jobs.gaps(lambda samples, now: lifecycle.timeouts(samples, 6 * 3600, now), due=lambda last, now: lifecycle.timeouts_due(last, 6 * 3600, now))
     return jobs.carried(sample_stream(b), step, jobs.OPEN).select("time", "pv_id", F.col("status").cast("int").alias("status"))
 
 
 @query(HEARTBEATS)
 def streaming_heartbeats(b):
-    step = jobs.gaps(lambda samples, now: lifecycle.heartbeats(samples, 14400.0, intervals(b), now))
+    every = intervals(b)
+    step = jobs.gaps(lambda samples, now: lifecycle.heartbeats(samples, 14400.0, every, now), due=lambda last, now: lifecycle.heartbeats_due(last, 14400.0, every, now))
     return jobs.carried(sample_stream(b), step, jobs.OPEN).select("time", "pv_id", "value", F.col("severity").cast("int").alias("severity"))
 
 
-@query("SELECT pv_id, CASE WHEN pv_id % 6 IN (1, 2) THEN 3 ELSE 1 + pv_id % 6 END AS state, count(*) AS events_total, arg_max(value, (time, tiebreak)) AS last_value, max(time) AS last_event_at FROM samples GROUP BY pv_id")
+@query("""SELECT pv_id, CASE WHEN pv_id % 6 IN (1, 2) THEN 3 ELSE 1 + pv_id % 6 END AS state, CAST(sum(n) AS BIGINT) AS events_total, arg_max(last_value, w) AS last_value, max(last_at) AS last_event_at, arg_max(n, w) / 30.0 AS update_hz
+ FROM (SELECT pv_id, epoch_us(time) // 30000000 AS w, count(*) AS n, arg_max(value, (time, tiebreak)) AS last_value, max(time) AS last_at FROM samples GROUP BY ALL) GROUP BY pv_id""")
 def streaming_status_table(b):
     """The status table as the samples arrive, from one without any events."""
     known = b.pv_status.select("pv_id", "state", *(F.lit(None).cast(t).alias(c) for c, t in jobs.STATUS_VALUES.items()), F.lit(0).cast("long").alias("events_total"))
-    rows = jobs.carried(sample_stream(b), jobs.status_table, known.schema, known)
-    newest = rows.groupBy("pv_id").agg(F.max_by(F.struct("state", "events_total", "last_value", "last_event_at"), "batch").alias("r")).select("pv_id", "r.*")
-    return newest.withColumns({"state": F.col("state").cast("int"), "last_event_at": F.col("last_event_at").cast("timestamp_ntz")})
+    table = jobs.carried_table(sample_stream(b), jobs.status_table, known.schema, known).select("pv_id", "state", "events_total", "last_value", "last_event_at", "update_hz")
+    return table.withColumns({"state": F.col("state").cast("int"), "last_event_at": F.col("last_event_at").cast("timestamp_ntz")})
 
 
 @query(NOTICES)

@@ -63,9 +63,24 @@ def ensure_tables(wanted: DataFrame, root: str) -> DataFrame:
     return wanted.select("target", "date").distinct().join(now, ["target", "date"]).select("target", "date", F.when(F.col("batch") == batch, "applied").otherwise("skipped").alias("outcome"))
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def _at(spark: SparkSession, path: str):
     path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    fs, at = _at(spark, path)
+    return fs.exists(at)
+
+
+def is_folder(spark: SparkSession, path: str) -> bool:
+    fs, at = _at(spark, path)
+    return fs.getFileStatus(at).isDirectory()
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    fs, at = _at(spark, path)
+    fs.delete(at, True)
 
 
 def _write_tier(rows: DataFrame, path: str) -> None:
