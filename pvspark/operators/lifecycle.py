@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pvspark.functions import columns as C
 from pvspark.operators.rollup import order_key
+from pvspark.operators.segments import scanned
 
 # Codes of lifecycle events and of states.
 SUBSCRIBE, CONNECTED, FIRST_VALUE, DISCONNECT, RECONNECT, TIMEOUT, UNSUBSCRIBE, IOC_REMOVED = range(8)
@@ -165,8 +166,7 @@ def status_fold(events: DataFrame, before: DataFrame | None = None) -> DataFrame
 
 def connectivity_intervals(events: DataFrame) -> DataFrame:
     """From each disconnect to the signal's next reconnect; the end is null while it is down. Repeated disconnects count once."""
-    w = Window.partitionBy("pv_id").orderBy("ts", "event_id")
-    rows = events.where(F.col("event_type").isin(DISCONNECT, RECONNECT))
-    rows = rows.withColumn("before", F.lag("event_type").over(w))
-    rows = rows.where(F.col("before").isNull() | (F.col("before") != F.col("event_type"))).withColumn("until", F.lead("ts").over(w))
-    return rows.where(F.col("event_type") == DISCONNECT).select("pv_id", F.col("ts").alias("down_at"), F.col("until").alias("up_at"))
+    rows = events.where(F.col("event_type").isin(DISCONNECT, RECONNECT)).withColumn("_up", F.when(F.col("event_type") == RECONNECT, F.col("ts")))
+    rows = scanned(rows, "pv_id", ["ts", "event_id"], before={"_before": "event_type"}, coming={"_until": "_up"})
+    rows = rows.where((F.col("event_type") == DISCONNECT) & F.coalesce(F.col("_before") == RECONNECT, F.lit(True)))
+    return rows.select("pv_id", F.col("ts").alias("down_at"), F.col("_until").alias("up_at"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pvspark.functions import columns as C
+from pvspark.operators.segments import scanned
 
 # The target table of each payload kind.
 TARGETS = {
@@ -59,12 +60,9 @@ def histogram_stats(bins: DataFrame, keys: list[str]) -> DataFrame:
 
 def carried_forward(updates: DataFrame, fields: list[str], fill: str = "last") -> DataFrame:
     """Sparse updates (pv_id, time, tiebreak, fields) with each unchanged, null field set to its last known value, or to 0 with fill='zero'."""
-    from pyspark.sql import Window
-
     if fill == "zero":
         return updates.fillna(0, fields)
-    w = Window.partitionBy("pv_id").orderBy("time", "tiebreak").rowsBetween(Window.unboundedPreceding, 0)
-    return updates.withColumns({f: F.last(f, ignorenulls=True).over(w) for f in fields})
+    return scanned(updates, "pv_id", ["time", "tiebreak"], filled=fields)
 
 
 def image_geometry(dims: Column) -> Column:
@@ -77,23 +75,17 @@ def image_geometry(dims: Column) -> Column:
 
 def change_points(samples: DataFrame) -> DataFrame:
     """Samples that differ from the one before, with the reason: 2 first, 5 severity, 0 value."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("pv_id").orderBy("time", "tiebreak")
-    rows = samples.withColumns({"_v": F.lag("value").over(w), "_s": F.lag("severity").over(w), "_n": F.row_number().over(w)})
-    reason = F.when(F.col("_n") == 1, 2).when(~F.col("severity").eqNullSafe(F.col("_s")), 5).when(~F.col("value").eqNullSafe(F.col("_v")), 0)
+    rows = scanned(samples, "pv_id", ["time", "tiebreak"], before={"_v": "value", "_s": "severity"}, number="_n")
+    reason = F.when(F.col("_n") == 0, 2).when(~F.col("severity").eqNullSafe(F.col("_s")), 5).when(~F.col("value").eqNullSafe(F.col("_v")), 0)
     return rows.withColumn("reason", reason.cast("smallint")).where("reason is not null").drop("_v", "_s", "_n")
 
 
 def array_change_points(captures: DataFrame, least: float = 0.0) -> DataFrame:
     """Captures (pv_id, time, tiebreak, value array) that differ from the one before: reason 2 for the first, 6 where the length differs or the distance is
     more than `least`. A null array differs from any other."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("pv_id").orderBy("time", "tiebreak")
-    rows = captures.withColumns({"_v": F.lag("value").over(w), "_n": F.row_number().over(w)})
+    rows = scanned(captures, "pv_id", ["time", "tiebreak"], before={"_v": "value"}, number="_n")
     far = F.coalesce(C.array_l2(F.col("value"), F.col("_v")) > least, ~(F.col("value").isNull() & F.col("_v").isNull()))
-    return rows.withColumn("reason", F.when(F.col("_n") == 1, 2).when(far, 6).cast("smallint")).where("reason is not null").drop("_v", "_n")
+    return rows.withColumn("reason", F.when(F.col("_n") == 0, 2).when(far, 6).cast("smallint")).where("reason is not null").drop("_v", "_n")
 
 
 def all_captures(tables: dict[str, DataFrame]) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pvspark.functions import columns as C
-from pvspark.operators import alerts, catalog, fleet, lifecycle, reconcile, reshape, rollup, upkeep
+from pvspark.operators import alerts, catalog, fleet, lifecycle, reconcile, reshape, rollup, segments, upkeep
 from pvspark.sources import tables
 from pvspark.sources.bindings import NOW, Bound, ctes
 from pvspark.streaming import jobs
@@ -602,9 +602,8 @@ CHUNK = 4096
 
 def captured(rows: DataFrame, key: str, order: list[str], **arrays: str) -> DataFrame:
     """Captures of each key: parallel arrays in order, in parts of at most CHUNK elements, the first of which has place `first`."""
-    columns = {n: F.col(c).alias(n) for n, c in arrays.items()}
-    place = F.row_number().over(Window.partitionBy(key).orderBy(*order, *arrays.values())) - 1
-    placed = rows.withColumn("_place", place).select(key, "_place", *columns.values())
+    named = rows.select(key, *order, *(F.col(c).alias(f"_{n}") for n, c in arrays.items()))
+    placed = segments.scanned(named, key, [*order, *(f"_{n}" for n in arrays)], number="_place").select(key, "_place", *(F.col(f"_{n}").alias(n) for n in arrays))
     parts = F.array_sort(F.collect_list(F.struct("_place", *arrays)))
     parts = placed.groupBy(key, F.floor(F.col("_place") / CHUNK).alias("part")).agg(parts.alias("p"))
     return parts.select(key, (F.col("part") * CHUNK).cast("int").alias("first"), *(F.col(f"p.{n}").alias(n) for n in arrays))
