@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, Window
@@ -11,28 +10,11 @@ from pyspark.sql import functions as F
 from pvspark.functions import columns as C
 from pvspark.operators import alerts, catalog, fleet, lifecycle, reconcile, reshape, rollup, segments, upkeep
 from pvspark.sources import tables
-from pvspark.sources.bindings import NOW, Bound, ctes
+from pvspark.plans import ingest_queries  # noqa: F401  they register themselves
+from pvspark.plans.registry import oracle_sql, queries, query
+from pvspark.sources.bindings import NOW
 from pvspark.streaming import jobs
 
-_REGISTERED: dict[str, tuple[Callable[[Bound], DataFrame], str | None]] = {}
-
-
-def query(sql: str | None = None, name: str | None = None):
-    def register(f):
-        _REGISTERED[name or f.__name__] = (f, sql)
-        return f
-
-    return register
-
-
-def queries() -> dict:
-    return {name: (lambda spark, sf_dir, f=f: f(Bound(spark, sf_dir))) for name, (f, _) in _REGISTERED.items()}
-
-
-def oracle_sql() -> dict[str, str]:
-    return {name: f"{ctes()}{'' if sql.lstrip().startswith(',') else chr(10)}{sql}" for name, (_, sql) in _REGISTERED.items() if sql}
-
-
 START, END = datetime(2024, 1, 3), datetime(2024, 1, 12)
 PV = 8
 
@@ -819,7 +801,7 @@ def json_size(b):
 
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
 def read_updates(b):
-    return b.events.select("event_id", F.try_variant_get(F.parse_json("props"), "$.k", "bigint").alias("k"))
+    return tables.read_updates(b.events, "props").select("event_id", F.try_variant_get("payload", "$.k", "bigint").alias("k"))
 
 
 @query("SELECT event_id, concat('{\"id\":', CAST(event_id AS VARCHAR), ',\"kind\":\"', event_type, '\"}') AS data FROM events")
@@ -1132,3 +1114,6 @@ def retry_safe_write(b):
 
     jobs.retried(lambda: jobs.written(sample_stream(b), path, checkpoint, "append", fail), waits=(0.1, 1))
     return b.spark.read.option("basePath", path).parquet(f"{path}/batch=*").groupBy("pv_id").agg(F.count("*").alias("n"))
+
+
+__all__ = ["oracle_sql", "queries", "query"]

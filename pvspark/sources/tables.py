@@ -21,6 +21,61 @@ def folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+# The columns of the sample tables and of the dictionary of names.
+_ALARM = "severity smallint, status smallint"
+SCHEMAS = {
+    "samples": f"time timestamp_ntz, pv_id int, value double, {_ALARM}, reason smallint",
+    "samples_string": f"time timestamp_ntz, pv_id int, value string, {_ALARM}",
+    "samples_array_num": f"time timestamp_ntz, pv_id int, array_id bigint, idx int, value double, {_ALARM}",
+    "samples_array_str": f"time timestamp_ntz, pv_id int, array_id bigint, idx int, value string, {_ALARM}",
+    "samples_hist": f"time timestamp_ntz, pv_id int, capture_id bigint, idx int, range_val double, count bigint, {_ALARM}",
+    "samples_cont": f"time timestamp_ntz, pv_id int, capture_id bigint, idx int, base_val double, trace_val double, {_ALARM}",
+    "samples_nv": f"time timestamp_ntz, pv_id int, capture_id bigint, idx int, name string, value double, {_ALARM}",
+    "samples_mch": f"time timestamp_ntz, pv_id int, capture_id bigint, idx int, ch_name string, ch_value double, ch_severity smallint, {_ALARM}",
+    "samples_table": f"time timestamp_ntz, pv_id int, data variant, {_ALARM}",
+    "samples_custom": f"time timestamp_ntz, pv_id int, nt_type string, data variant, {_ALARM}",
+    "samples_image": f"time timestamp_ntz, pv_id int, data binary, codec string, compressed_size bigint, uncompressed_size bigint, dimensions array<int>, unique_id int, attributes variant, {_ALARM}",
+    "pv_lookup": "pv_id int, pv_name string",
+}
+
+
+def read_table(spark: SparkSession, root: str, table: str, start: datetime | None = None, end: datetime | None = None) -> DataFrame:
+    """A stored sample table by its known columns, without looking into files for them, with start <= time < end; dates prune its folders."""
+    rows = spark.read.schema(f"{SCHEMAS[table]}, batch int, date date").parquet(f"{root}/{table}")
+    if start is not None:
+        rows = rows.where((F.col("date") >= F.lit(start.date())) & (F.col("time") >= F.lit(start)))
+    if end is not None:
+        rows = rows.where((F.col("date") <= F.lit(end.date())) & (F.col("time") < F.lit(end)))
+    return rows.drop("batch", "date")
+
+
+#: Versions of the layout of a database: what each one adds. A version that was applied is never changed; new tables come with a new one.
+LAYOUT = [
+    ("dictionary", ("pv_lookup",)), ("samples", ("samples", "samples_string")), ("typed samples", ("samples_table", "samples_custom", "samples_image")),
+    ("arrays by element", ("samples_array_num", "samples_array_str")), ("captures by element", ("samples_hist", "samples_cont", "samples_nv", "samples_mch")),
+]
+
+
+def create_tables(spark: SparkSession, database: str, root: str | None = None) -> DataFrame:
+    """Bring a database of the catalog to the newest layout, and say for each version whether this call applied it or skipped it as there already.
+
+    Sample tables are partitioned by date. Applied versions are rows of the table layout_versions in the same database; a call that is repeated, or one that broke off
+    between the tables and the record, changes nothing that is there. root: where the tables lie, the warehouse if it isn't given.
+    """
+    at = lambda name: f" LOCATION '{root}/{name}'" if root else ""
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS `{database}`")
+    spark.sql(f"CREATE TABLE IF NOT EXISTS `{database}`.layout_versions (version int, name string, tables array<string>) USING parquet{at('layout_versions')}")
+    wanted = spark.createDataFrame([(k, name, list(names)) for k, (name, names) in enumerate(LAYOUT, 1)], "version int, name string, tables array<string>")
+    new = wanted.join(spark.table(f"`{database}`.layout_versions"), "version", "left_anti").orderBy("version").collect()  # a few rows: the layout's versions
+    for row in new:
+        for t in row.tables:
+            dated = t.startswith("samples")
+            spark.sql(f"CREATE TABLE IF NOT EXISTS `{database}`.`{t}` ({SCHEMAS[t]}{', date date' if dated else ''}) USING parquet{' PARTITIONED BY (date)' if dated else ''}{at(t)}")
+        spark.createDataFrame([row], wanted.schema).write.insertInto(f"`{database}`.layout_versions")
+    applied = [r.version for r in new]
+    return wanted.select("version", "name", F.when(F.col("version").isin(applied), "applied").otherwise("skipped").alias("outcome"))
+
+
 def read_updates(frame: DataFrame, column: str = "data") -> DataFrame:
     """Updates with their JSON payload as a variant and its kind as nt_type."""
     v = F.parse_json(column)
