@@ -108,10 +108,68 @@ def latest_value(b):
 
 @query(f"{DAILY} SELECT bucket AS time, round(avg_value, 6) AS value, min_value, max_value, sample_count, 'daily' AS tier FROM daily WHERE pv_id = {PV} AND bucket >= '2024-01-03' AND bucket < '2024-01-12'")
 def query_auto(b):
-    hours, days = (tables.read_tier(b.spark, tiers(b), tier, START, END) for tier in ("hourly", "daily"))
+    hours, days = (tables.read_live(b.spark, tiers(b), tier, b.samples, START, END) for tier in ("hourly", "daily"))
     return rollup.auto_range(b.samples, hours, days, PV, START, END).withColumn("value", F.round("value", 6))
 
 
+_OLD: dict[tuple[str, str], str] = {}
+
+
+def old_tiers(b) -> str:
+    """The folder of tiers that were last refreshed days ago, in the middle of an hour; written once in a session."""
+    key = (b.spark.sparkContext.applicationId, b.sf_dir)
+    if key not in _OLD:
+        root, cut = tables.folder(b.spark), b.now - timedelta(days=5, hours=7, minutes=11)
+        tables.write_tiers(b.samples.where(F.col("time") < F.lit(cut)), root, cut)
+        _OLD[key] = root
+    return _OLD[key]
+
+
+LATE = datetime(2024, 1, 14)
+
+
+@query(f"{DAILY} SELECT bucket AS time, round(avg_value, 6) AS value, min_value, max_value, sample_count, 'daily' AS tier FROM daily WHERE pv_id = {PV} AND bucket >= '2024-01-14'")
+def query_auto_live(b):
+    """A range up to now over tiers that were last refreshed days ago."""
+    end = b.now + timedelta(seconds=1)
+    hours, days = (tables.read_live(b.spark, old_tiers(b), tier, b.samples, LATE, end) for tier in ("hourly", "daily"))
+    return rollup.auto_range(b.samples, hours, days, PV, LATE, end).withColumn("value", F.round("value", 6))
+
+
+@query(f"{HOURLY} SELECT {ROLL} FROM hourly")
+def live_hourly(b):
+    return rolled(tables.read_live(b.spark, old_tiers(b), "hourly", b.samples))
+
+
+@query(f"{DAILY} SELECT {ROLL} FROM daily")
+def live_daily(b):
+    return rolled(tables.read_live(b.spark, old_tiers(b), "daily", b.samples))
+
+
+_REFRESHED: dict[tuple[str, str], str] = {}
+
+
+def late_tiers(b) -> str:
+    """The folder of tiers that were written without some samples, which then came up to a month late; written once in a session."""
+    key = (b.spark.sparkContext.applicationId, b.sf_dir)
+    if key not in _REFRESHED:
+        root, late = tables.folder(b.spark), F.col("tiebreak") % 50 == 7
+        tables.write_tiers(b.samples.where(~late), root, b.now + timedelta(days=1))
+        tables.refresh_late(b.samples, b.samples.where(late), root)
+        _REFRESHED[key] = root
+    return _REFRESHED[key]
+
+
+@query(f"{HOURLY} SELECT {ROLL} FROM hourly")
+def late_hourly(b):
+    return rolled(tables.read_tier(b.spark, late_tiers(b), "hourly"))
+
+
+@query(f"{DAILY} SELECT {ROLL} FROM daily")
+def late_daily(b):
+    return rolled(tables.read_tier(b.spark, late_tiers(b), "daily"))
+
+
 @query("SELECT event_id, CASE WHEN date_diff('microsecond', ts, e) <= 21600000000 THEN 'raw' WHEN date_diff('microsecond', ts, e) <= 604800000000 THEN 'hourly' ELSE 'daily' END AS tier FROM (SELECT event_id, ts, ts + to_hours(event_id % 400) AS e FROM events)")
 def tier_select(b):
     end = F.expr("ts + make_dt_interval(0, CAST(event_id % 400 AS INT))")

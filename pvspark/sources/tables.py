@@ -144,19 +144,101 @@ def _write_tier(rows: DataFrame, path: str) -> None:
     dated.hint("rebalance", "date").sortWithinPartitions("date", "pv_id", "bucket").write.partitionBy("date").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
 
 
-def write_tiers(samples: DataFrame, root: str) -> None:
-    """The hourly and the daily table of samples; a date that is there already is replaced. The daily one is made from the stored hours."""
+def _hour(time: datetime) -> datetime:
+    return time.replace(minute=0, second=0, microsecond=0)
+
+
+def _day(time: datetime) -> datetime:
+    return time.replace(hour=0, minute=0, second=0, microsecond=0)
+
+
+def set_mark(spark: SparkSession, root: str, until: datetime) -> None:
+    """Record that the tiers hold every sample before `until`: the hourly one to its hour, the daily one to its day. Marks never go back."""
+    rows = spark.createDataFrame([("hourly", _hour(until)), ("daily", _day(until))], "tier string, until timestamp_ntz")
+    rows.coalesce(1).write.mode("append").parquet(f"{root}/marks")
+
+
+def marks(spark: SparkSession, root: str) -> dict[str, datetime]:
+    """Up to where each tier is complete; buckets from there on are made from finer data when they are read."""
+    return {r.tier: r.until for r in spark.read.parquet(f"{root}/marks").groupBy("tier").agg(F.max("until").alias("until")).collect()}
+
+
+def write_tiers(samples: DataFrame, root: str, until: datetime | None = None) -> None:
+    """The hourly and the daily table of samples; a date that is there already is replaced. The daily one is made from the stored hours.
+
+    until: up to when the samples are complete; if it isn't given, the newest sample's time, so that its hour stays open."""
     _write_tier(rollup.hourly(samples), f"{root}/hourly")
-    dates = [r.date for r in samples.select(F.to_date("time").alias("date")).distinct().collect()]  # as many as days were written
-    hours = samples.sparkSession.read.parquet(f"{root}/hourly").where(F.col("date").isin(dates))
+    seen = samples.agg(F.collect_set(F.to_date("time")).alias("dates"), F.max("time").alias("newest")).first()  # as many dates as days were written
+    hours = samples.sparkSession.read.parquet(f"{root}/hourly").where(F.col("date").isin(seen.dates))
     _write_tier(rollup.daily(hours.drop("date")), f"{root}/daily")
+    if until or seen.newest:
+        set_mark(samples.sparkSession, root, until or seen.newest)
 
 
 def refresh_tiers(samples: DataFrame, root: str, now: datetime, start_offset: timedelta, end_offset: timedelta) -> None:
     """Write again what may have changed: the dates from now - start_offset on, with the whole hours up to now - end_offset."""
-    first = (now - start_offset).replace(hour=0, minute=0, second=0, microsecond=0)
-    end = (now - end_offset).replace(minute=0, second=0, microsecond=0)
-    write_tiers(samples.where((F.col("time") >= F.lit(first)) & (F.col("time") < F.lit(end))), root)
+    first, end = _day(now - start_offset), _hour(now - end_offset)
+    write_tiers(samples.where((F.col("time") >= F.lit(first)) & (F.col("time") < F.lit(end))), root, end)
+
+
+def _replace(root: str, tier: str, rows: DataFrame, keys: DataFrame, dates: list) -> None:
+    """Put rows in place of those of some (bucket, pv_id) in a tier; of the dates that hold them, all other rows are kept, and other dates are not touched."""
+    old = rows.sparkSession.read.parquet(f"{root}/{tier}").where(F.col("date").isin(dates)).drop("date")
+    same = (F.col("bucket") == F.col("_bucket")) & F.col("pv_id").eqNullSafe(F.col("_pv"))
+    _write_tier(old.join(keys, same, "left_anti").unionByName(rows), f"{root}/{tier}")
+
+
+def refresh_late(samples: DataFrame, late: DataFrame, root: str) -> int:
+    """Bring rows into the tiers that came after their hours were written, however late, and return how many (hour, signal) that took. samples: all rows, with the late ones.
+
+    Only the touched hours of the touched signals are made again, from the samples of their dates, and only those dates of the tiers are written again: first hours, then days from
+    the stored hours. Hours and days from the marks on are left to the next refresh.
+    """
+    spark, until, at = late.sparkSession, marks(late.sparkSession, root), folder(late.sparkSession)
+    hour = F.date_trunc("hour", F.col("time")).cast("timestamp_ntz")
+    late.select(hour.alias("_bucket"), F.col("pv_id").alias("_pv")).where(F.col("_bucket") < F.lit(until["hourly"])).distinct().write.parquet(at)
+    touched = spark.read.parquet(at)
+    seen = touched.agg(F.count("*").alias("n"), F.collect_set(F.to_date("_bucket")).alias("dates")).first()
+    if not seen.n:
+        return 0
+    dated = samples
+    if "date" in samples.columns:
+        dated = samples.where(F.col("date").isin(seen.dates)).drop("date")
+    dated = dated.where((F.col("time") >= F.lit(datetime.combine(min(seen.dates), datetime.min.time()))) & (F.col("time") < F.lit(datetime.combine(max(seen.dates), datetime.min.time()) + timedelta(days=1))))
+    own = dated.join(touched, (hour == F.col("_bucket")) & F.col("pv_id").eqNullSafe(F.col("_pv")), "left_semi")
+    _replace(root, "hourly", rollup.hourly(own), touched, seen.dates)
+    days = touched.select(F.date_trunc("day", F.col("_bucket")).cast("timestamp_ntz").alias("_bucket"), "_pv").where(F.col("_bucket") < F.lit(until["daily"])).distinct()
+    whole = [d for d in seen.dates if datetime.combine(d, datetime.min.time()) < until["daily"]]
+    hours = spark.read.parquet(f"{root}/hourly").where(F.col("date").isin(whole)).drop("date")
+    of_days = hours.join(days, (F.date_trunc("day", F.col("bucket")).cast("timestamp_ntz") == F.col("_bucket")) & F.col("pv_id").eqNullSafe(F.col("_pv")), "left_semi")
+    if whole:
+        _replace(root, "daily", rollup.daily(of_days), days, whole)
+    return seen.n
+
+
+def read_live(spark: SparkSession, root: str, tier: str, samples: DataFrame, start: datetime | None = None, end: datetime | None = None) -> DataFrame:
+    """Rows of a tier with start <= bucket < end, also those that are not stored yet: stored days up to the daily mark, then days of stored hours up to the hourly one,
+    then what the samples from there on give. A range that ends before the marks reads stored rows alone."""
+    until = marks(spark, root)
+
+    def hours(a: datetime | None, b: datetime | None) -> DataFrame:
+        cut = until["hourly"]
+        old = read_tier(spark, root, "hourly", a, min(b, cut) if b else cut)
+        if b and b <= cut:
+            return old
+        live = samples.where(F.col("time") >= F.lit(max(a, cut) if a else cut))
+        return old.unionByName(rollup.hourly(live.where(F.col("time") < F.lit(b)) if b else live).select(*old.columns))
+
+    if tier == "hourly":
+        return hours(start, end)
+    cut = until["daily"]
+    old = read_tier(spark, root, "daily", start, min(end, cut) if end else cut)
+    if end and end <= cut:
+        return old
+    first = max(start, cut) if start else cut
+    last = end and (_day(end) if end == _day(end) else _day(end) + timedelta(days=1))  # a day whose bucket is before the end counts whole
+    live = rollup.daily(hours(first if first == _day(first) else _day(first) + timedelta(days=1), last))
+    return old.unionByName(live.select(*old.columns))
 
 
 def read_tier(spark: SparkSession, root: str, tier: str, start: datetime | None = None, end: datetime | None = None) -> DataFrame:
