@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pvspark.functions import columns as C
 from pvspark.operators import alerts, catalog, fleet, lifecycle, reconcile, reshape, rollup, segments, upkeep
 from pvspark.sources import tables
-from pvspark.plans import ingest_queries  # noqa: F401  they register themselves
+from pvspark.plans import ingest_queries, upkeep_queries  # noqa: F401  they register themselves
 from pvspark.plans.registry import oracle_sql, queries, query
 from pvspark.sources.bindings import NOW
 from pvspark.streaming import jobs
