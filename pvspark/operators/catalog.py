@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import datetime
+from decimal import Decimal
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -56,13 +57,21 @@ def registered(lookup: DataFrame, names: DataFrame) -> DataFrame:
 
 
 def upserted(table: DataFrame, new: DataFrame, key: str, recency: str, keep_least: str | None = None) -> DataFrame:
-    """The table with the new rows in place of those of their key; of several the most recent. `keep_least` keeps its least value."""
-    rows = table.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
-    order = F.struct("_new", recency)
-    cols = [c for c in table.columns if c != key]
-    out = rows.groupBy(key).agg(F.max_by(F.struct(*cols), order).alias("r"), *([F.min(keep_least).alias("_least")] if keep_least else []))
-    out = out.select(key, "r.*", *(["_least"] if keep_least else []))
-    return (out.withColumn(keep_least, F.col("_least")) if keep_least else out).select(*table.columns)
+    """The table with the new rows in place of those of their key; of several the most recent, of those with one recency any, but the same in every run. `keep_least`
+    keeps its least value. The table has one row for each key.
+
+    The winners' ranks are found first, by hash aggregation of numbers; only they are joined back to whole rows, and the table's other rows are never aggregated."""
+    kind = table.schema[recency].dataType.simpleString()
+    at = F.unix_micros(F.col(recency).cast("timestamp")) if kind.startswith(("timestamp", "date")) else F.col(recency)
+    rank = (F.coalesce(at.cast("decimal(18,0)"), F.lit(-(10**17)).cast("decimal(18,0)")) * F.lit(Decimal(1 << 64))).cast("decimal(38,0)") + F.xxhash64(*table.columns).cast("decimal(19,0)")
+    ranked = new.select(*table.columns).distinct().withColumn("_rank", rank)
+    best = ranked.groupBy(F.col(key).alias("_key")).agg(F.max("_rank").alias("_best"), *([F.min(keep_least).alias("_least")] if keep_least else []))
+    own = F.col(key).eqNullSafe(F.col("_key"))
+    winners = ranked.join(best, own & (F.col("_rank") == F.col("_best")))
+    if keep_least:
+        before = table.select(F.col(key).alias("_old_key"), F.col(keep_least).alias("_old"))
+        winners = winners.join(before, F.col(key).eqNullSafe(F.col("_old_key")), "left").withColumn(keep_least, F.least("_least", "_old"))
+    return table.join(best.select("_key"), own, "left_anti").unionByName(winners.select(*table.columns))
 
 
 def set_enabled(config: DataFrame, names: list[str], on: bool, now: datetime) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pvspark.functions import columns as C
+from pvspark.operators.rollup import order_key
 
 
 def counts(status: DataFrame) -> DataFrame:
@@ -34,9 +35,11 @@ def events_24h(events: DataFrame, now: datetime) -> DataFrame:
 
 
 def last_error(events: DataFrame) -> DataFrame:
-    """The newest detail of a device's disconnects, timeouts and removals."""
+    """The newest detail of a device's disconnects, timeouts and removals. The newest event's key is found first, by hash; texts are compared only where two share it."""
     bad = events.where(F.col("event_type").isin(3, 5, 7) & F.col("detail").isNotNull() & F.col("ioc_addr").isNotNull())
-    return bad.groupBy(F.col("ioc_addr").alias("address")).agg(F.max_by("detail", F.struct("ts", "event_id")).alias("last_error"))
+    bad = bad.select(F.col("ioc_addr").alias("address"), order_key("ts", "event_id").alias("_at"), "detail")
+    newest = bad.groupBy("address").agg(F.max("_at").alias("_at"))
+    return bad.join(newest, ["address", "_at"]).groupBy("address").agg(F.max("detail").alias("last_error"))
 
 
 def view(declared: DataFrame, status: DataFrame, events: DataFrame, now: datetime, search: str = "", state: str | None = None) -> DataFrame:

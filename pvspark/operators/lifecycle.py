@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import datetime, timedelta
+from decimal import Decimal
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -145,14 +146,16 @@ def status_fold(events: DataFrame, before: DataFrame | None = None) -> DataFrame
         past = before.where(F.col("state") != INIT).join(events.select(F.col("pv_id").alias("_pv")).distinct(), F.col("pv_id").eqNullSafe(F.col("_pv")), "left_semi")
         past = past.select("pv_id", F.inline(F.get(F.array(*into), F.col("state") - 1)))
         events = events.unionByName(past, allowMissingColumns=True)
-    code, at = F.col("event_type"), F.struct("_seq", "ts", "event_id", "event_type")
+    # Place in the batch, time and id as one number, nulls first: all aggregates are of numbers, so they stay hash aggregates.
+    micros = F.coalesce(F.unix_micros(F.col("ts").cast("timestamp")), F.lit(-(1 << 53))).cast("decimal(18,0)")
+    at = (F.col("_seq").cast("decimal(3,0)") * F.lit(Decimal(1 << 118))).cast("decimal(38,0)") + (micros * F.lit(Decimal(1 << 64))).cast("decimal(38,0)") + F.coalesce("event_id", F.lit(-(1 << 63))).cast("decimal(19,0)")
+    events = events.select("pv_id", F.col("event_type").alias("code"), at.cast("decimal(38,0)").alias("at"))
+    code, at = F.col("code"), F.col("at")
     setter = code.isin(SUBSCRIBE, FIRST_VALUE, DISCONNECT, RECONNECT, UNSUBSCRIBE, IOC_REMOVED)
-    last = events.groupBy("pv_id").agg(F.max(F.when(setter, at)).alias("last"))
-    after = events.where(code.isin(CONNECTED, TIMEOUT)).select(F.col("pv_id").alias("_pv"), at.alias("at")).join(last, F.col("_pv").eqNullSafe(F.col("pv_id")))
-    after = after.where(F.col("last").isNull() | (F.col("at") > F.col("last"))).groupBy("_pv").agg(
-        F.min(F.when(F.col("at.event_type") == TIMEOUT, F.col("at"))).alias("timeout"), F.max(F.when(F.col("at.event_type") == CONNECTED, F.col("at"))).alias("connected")
-    )
-    by = F.col("last.event_type")
+    last = events.groupBy("pv_id").agg(F.max(F.when(setter, at)).alias("last"), F.max_by(code, F.when(setter, at)).alias("by"))
+    after = events.where(code.isin(CONNECTED, TIMEOUT)).select(F.col("pv_id").alias("_pv"), "at", "code").join(last, F.col("_pv").eqNullSafe(F.col("pv_id")))
+    after = after.where(F.col("last").isNull() | (at > F.col("last"))).groupBy("_pv").agg(F.min(F.when(code == TIMEOUT, at)).alias("timeout"), F.max(F.when(code == CONNECTED, at)).alias("connected"))
+    by = F.col("by")
     state = (
         F.when(by.isin(UNSUBSCRIBE, IOC_REMOVED), UNSUBSCRIBED)
         .when(by.isin(FIRST_VALUE, RECONNECT), F.when(F.col("connected") > F.col("timeout"), LINKED).when(F.col("timeout").isNotNull(), TIMED_OUT).otherwise(ARCHIVING))

@@ -21,10 +21,13 @@ def target(kind: Column) -> Column:
     return F.coalesce(F.create_map(*(F.lit(x) for pair in TARGETS.items() for x in pair))[kind], F.lit("samples_custom"))
 
 
-def zipped(rows: DataFrame, arrays: dict[str, str], keep: list[str]) -> DataFrame:
-    """One row for each place of the shorter of the arrays (a new name to the array's column), with its 0-based idx. Null arrays give no rows."""
+def zipped(rows: DataFrame, arrays: dict[str, str], keep: list[str], padded: dict[str, tuple[str, object]] | None = None) -> DataFrame:
+    """One row for each place of the shorter of the arrays (a new name to the array's column), with its 0-based idx. Null arrays give no rows.
+
+    padded: more arrays that don't count for the length, each with the value that stands for what it lacks."""
+    padded = padded or {}
     n = F.least(*(F.coalesce(F.size(c), F.lit(0)) for c in arrays.values())) if len(arrays) > 1 else F.coalesce(F.size(next(iter(arrays.values()))), F.lit(0))
-    struct = lambda i: F.struct(i.alias("idx"), *(F.get(c, i).alias(name) for name, c in arrays.items()))
+    struct = lambda i: F.struct(i.alias("idx"), *(F.get(c, i).alias(name) for name, c in arrays.items()), *(F.coalesce(F.get(c, i), F.lit(v)).alias(name) for name, (c, v) in padded.items()))
     places = F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), struct))
     return rows.select(*keep, F.inline(places))
 

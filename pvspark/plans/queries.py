@@ -649,9 +649,9 @@ def captured(rows: DataFrame, key: str, order: list[str], **arrays: str) -> Data
     return parts.select(key, (F.col("part") * CHUNK).cast("int").alias("first"), *(F.col(f"p.{n}").alias(n) for n in arrays))
 
 
-def placed(parts: DataFrame, arrays: dict[str, str], key: str) -> DataFrame:
+def placed(parts: DataFrame, arrays: dict[str, str], key: str, **padded: tuple[str, object]) -> DataFrame:
     """The elements of captures, with their place in the whole capture."""
-    return reshape.zipped(parts, arrays, [key, "first"]).withColumn("idx", F.col("idx") + F.col("first")).drop("first")
+    return reshape.zipped(parts, arrays, [key, "first"], padded).withColumn("idx", F.col("idx") + F.col("first")).drop("first")
 
 
 @query("SELECT l_orderkey, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_returnflag, l_quantity) - 1 AS INT) AS idx, l_returnflag AS name, l_quantity AS value FROM lineitem")
@@ -685,7 +685,7 @@ def explode_continuum(b):
 @query("SELECT o_custkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS INT) AS idx, o_orderpriority AS ch_name, o_totalprice AS ch_value, CASE o_orderstatus WHEN 'F' THEN 2 ELSE 0 END AS ch_severity FROM orders")
 def explode_multichannel(b):
     rows = captured(b.orders.withColumn("s", F.when(F.col("o_orderstatus") == "F", 2).otherwise(0)), "o_custkey", ["o_orderkey"], names="o_orderpriority", values="o_totalprice", severities="s")
-    return placed(rows, {"ch_name": "names", "ch_value": "values", "ch_severity": "severities"}, "o_custkey")
+    return placed(rows, {"ch_name": "names", "ch_value": "values"}, "o_custkey", ch_severity=("severities", 0))
 
 
 @query("SELECT o_custkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS INT) AS idx, o_orderkey, o_orderstatus FROM orders")
@@ -766,8 +766,8 @@ def capture_ids(b):
 
 @query("SELECT l_suppkey, count(*) AS n, round(avg(l_quantity), 6) AS value, min(l_quantity) AS min, max(l_quantity) AS max FROM lineitem GROUP BY l_suppkey")
 def aggregate_payload(b):
-    q = F.col("l_quantity")
-    payload = F.struct(F.count("*").alias("n"), F.avg(q).alias("mean"), F.stddev(q).alias("dispersion"), F.min_by(q, F.struct("l_orderkey", "l_linenumber")).alias("first"), F.max_by(q, F.struct("l_orderkey", "l_linenumber")).alias("last"), F.min(q).alias("min"), F.max(q).alias("max"))
+    q, at = F.col("l_quantity"), F.col("l_orderkey").cast("decimal(19,0)") * 1000 + F.col("l_linenumber")  # by number: the aggregation stays one by hash
+    payload = F.struct(F.count("*").alias("n"), F.avg(q).alias("mean"), F.stddev(q).alias("dispersion"), F.min_by(q, at).alias("first"), F.max_by(q, at).alias("last"), F.min(q).alias("min"), F.max(q).alias("max"))
     return reshape.unpacked_aggregate(b.lineitem.groupBy("l_suppkey").agg(payload.alias("payload"))).select("l_suppkey", "n", F.round("value", 6).alias("value"), "min", "max")
 
 

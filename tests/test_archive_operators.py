@@ -185,3 +185,22 @@ def test_captures_are_cut_and_keep_their_places(spark, monkeypatch):
     assert parts.agg(F.max(F.size("value"))).first()[0] == 7
     got = sorted((r.k, r.idx, r.value) for r in q.placed(parts, {"value": "value"}, "k").collect())
     assert got == [(k, i, 3 * (2 * i + k)) for k in (0, 1) for i in range(50)]
+
+
+def test_channels_without_a_severity_have_none(spark):
+    rows = spark.createDataFrame([(1, ["a", "b", "c"], [1.0, 2.0, 3.0], [2]), (2, ["a", "b"], [1.0], None), (3, None, [1.0], [1])], "k int, n array<string>, v array<double>, s array<int>")
+    got = sorted(map(tuple, reshape.zipped(rows, {"name": "n", "value": "v"}, ["k"], {"severity": ("s", 0)}).collect()))
+    assert got == [(1, 0, "a", 1.0, 2), (1, 1, "b", 2.0, 0), (1, 2, "c", 3.0, 0), (2, 0, "a", 1.0, 0)]
+
+
+def test_upserts_take_the_most_recent_row(spark):
+    table = spark.createDataFrame([("a", 1, 5), ("b", 2, 3), (None, 3, 1)], "k string, at int, least int")
+    new = spark.createDataFrame([("a", 7, 9), ("a", 8, 6), ("a", 8, 6), ("c", None, 2), ("c", 1, 4), (None, 9, 9)], "k string, at int, least int")
+    got = sorted(map(repr, map(tuple, catalog.upserted(table, new, "k", "at", "least").collect())))
+    assert got == sorted(map(repr, [("a", 8, 5), ("b", 2, 3), ("c", 1, 2), (None, 9, 1)]))
+
+
+@pytest.mark.parametrize("name", ["status_fold", "pv_stats", "aggregate_payload", "hourly_rollup", "latest_value"])
+def test_plans_aggregate_by_hash(spark, name):
+    df = q.queries()[name](spark, DATA)
+    assert "SortAggregate" not in df._jdf.queryExecution().executedPlan().toString()
