@@ -3,9 +3,10 @@
 1. Every text becomes its set of distinct word shingles (as hashes), texts with equal sets one representative.
 2. In an order of all shingles (frequent ones last), two sets of Jaccard similarity t share a shingle among the first n - ceil(t*n) + 1 of each.
    Those shingles are keys; keys of one set alone, and keys that repeat the members of another key, go.
-3. The members of a key form a signature tree: nodes hold the OR of their sets' bitmaps and the range of their sizes. A dual traversal drops
-   node pairs whose largest possible overlap is too small. What remains connects sets to candidate groups, so each set is in one group.
-4. In each group a second tree, whose leaf pairs are compared by their whole sets, gives the links as a forest; connected components follow.
+3. A task's sets form signature trees, one for each bitmap width, in which the members of a key are a branch: nodes hold the OR of their sets' bitmaps and the range of
+   their sizes. A dual traversal drops node pairs whose largest possible overlap is too small, and pairs of branches, which share no key. What remains connects
+   sets to candidate groups, so each set is in one group.
+4. Second trees over the candidate groups, whose leaf pairs are compared by their whole sets, give the links as a forest; connected components follow.
 
 Groups over BLOCK members are split into blocks and the pairs of blocks dealt to tasks; only forests are emitted, never all pairs.
 Shingle hashes have 52 bits: in two sets of 500, two different shingles are taken as one with a chance of about 1 in 10**10.
@@ -28,9 +29,7 @@ from pvspark.llm.shared import components, dropped, roots, stored
 WORDS, SIMILARITY = 3, 0.9
 #: Members of a group that one task compares with themselves or with those of another block.
 BLOCK = 1024
-LEAF, FANOUT = 16, 4
-#: Groups of so many members at most are one leaf pair each, compared many groups at a time.
-SMALL = 48
+LEAF, FANOUT = 8, 4
 #: Counters of the table that puts frequent shingles last (2 MB, whatever the corpus).
 COUNTERS = 1 << 18
 
@@ -134,17 +133,33 @@ def _sets(width: int, t: int, rank: np.ndarray):
 
 
 class Tree:
-    """A signature tree over sets of one bitmap width. Each node holds the OR of its sets' bitmaps, their range of sizes, and the largest excess:
-    how many shingles of a set share a bit with another shingle of that set."""
-
-    def __init__(self, bits: np.ndarray, sizes: np.ndarray):
-        self.order = np.lexsort((*(bits[:, i] for i in range(min(4, bits.shape[1]))), sizes))
-        bits, sizes = bits[self.order], sizes[self.order]
-        self.levels = [(bits, sizes, sizes, sizes - np.bitwise_count(bits).sum(axis=1, dtype=np.int64))]
-        while len(self.levels) < 2 or len(self.levels[-1][1]) > FANOUT:
-            b, lo, hi, excess = self.levels[-1]
-            at = np.arange(0, len(lo), LEAF if len(self.levels) == 1 else FANOUT)
+    """A signature tree over sets of one bitmap width that belong to groups: below the root there is a branch for each group. Each node holds the OR of its
+    sets' bitmaps, their range of sizes, and the largest excess: how many shingles of a set share a bit with another shingle of that set.
+
+    Level 0 are the sets, by group, size and bitmap; level 1 their leaves; on the last level each group has one node."""
+
+    def __init__(self, members: np.ndarray, bits: np.ndarray, sizes: np.ndarray, group: np.ndarray):
+        order = np.lexsort((*(bits[:, i] for i in range(min(4, bits.shape[1]))), sizes, group))
+        self.members, bits, sizes = members[order], bits[order], sizes[order]
+        self.levels, self.groups = [(bits, sizes, sizes, sizes - np.bitwise_count(bits).sum(axis=1, dtype=np.int64))], [group[order]]
+        self.first: list[np.ndarray] = [np.zeros(0, np.int64)]  # where each node's children begin on the level below
+        while True:
+            g, (b, lo, hi, excess) = self.groups[-1], self.levels[-1]
+            begin = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
+            place = np.arange(len(g)) - np.repeat(begin, np.diff(np.r_[begin, len(g)]))
+            at = np.flatnonzero(place % (LEAF if len(self.levels) == 1 else FANOUT) == 0)
             self.levels.append((np.bitwise_or.reduceat(b, at), np.minimum.reduceat(lo, at), np.maximum.reduceat(hi, at), np.maximum.reduceat(excess, at)))
+            self.groups.append(g[at])
+            self.first.append(np.r_[at, len(g)])
+            if len(at) == len(begin):
+                return
+
+    def below(self, level: int, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The children of nodes of a level, and which of the nodes each one is of."""
+        first = self.first[level]
+        n = first[i + 1] - first[i]
+        of = np.repeat(np.arange(len(i)), n)
+        return first[i][of] + np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n), of
 
 
 def possible(a: tuple, b: tuple, t: int) -> np.ndarray:
@@ -159,25 +174,27 @@ def possible(a: tuple, b: tuple, t: int) -> np.ndarray:
     return ok
 
 
-def traverse(a: Tree, b: Tree, t: int) -> tuple[np.ndarray, np.ndarray]:
-    """Dual traversal from the roots: the pairs of leaves that may hold a link; in one tree (a is b) each pair once."""
-    i, j = (x.ravel() for x in np.meshgrid(np.arange(len(a.levels[-1][1])), np.arange(len(b.levels[-1][1])), indexing="ij"))
+def traverse(a: Tree, b: Tree, t: int, seen: list[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Dual traversal from the roots: the pairs of leaves that may hold a link; in one tree (a is b) each pair once. Branches of different groups are no pairs.
+    seen, if given, gets how many node pairs were visited and how many of them dropped."""
+    _, i, j = np.intersect1d(a.groups[-1], b.groups[-1], assume_unique=True, return_indices=True)
     la, lb = len(a.levels) - 1, len(b.levels) - 1
     while True:
         if a is b:
             i, j = i[i <= j], j[i <= j]
         keep = possible(tuple(x[i] for x in a.levels[la]), tuple(x[j] for x in b.levels[lb]), t)
+        if seen is not None:
+            seen[0] += len(keep)
+            seen[1] += int((~keep).sum())
         i, j = i[keep], j[keep]
         if la == lb == 1:
             return i, j
         if la > 1:
-            la -= 1
-            i, j = (i[:, None] * FANOUT + np.arange(FANOUT)).ravel(), np.repeat(j, FANOUT)
-            i, j = i[i < len(a.levels[la][1])], j[i < len(a.levels[la][1])]
+            i, of = a.below(la, i)
+            j, la = j[of], la - 1
         if lb > 1:
-            lb -= 1
-            i, j = np.repeat(i, FANOUT), (j[:, None] * FANOUT + np.arange(FANOUT)).ravel()
-            i, j = i[j < len(b.levels[lb][1])], j[j < len(b.levels[lb][1])]
+            j, of = b.below(lb, j)
+            i, lb = i[of], lb - 1
 
 
 class Forest:
@@ -202,59 +219,68 @@ def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     return (m[: len(a)] @ m[len(a) :].T).astype(np.int64)
 
 
-def allowed(forest: Forest, a: Tree, b: Tree, x: np.ndarray, y: np.ndarray, pairs: tuple[np.ndarray, np.ndarray], t: int) -> None:
-    """Join the members x of a and y of b, of the given pairs of leaves, whose bitmaps allow a link."""
+def compared(forest: Forest, a: Tree, b: Tree, pairs: tuple[np.ndarray, np.ndarray], t: int, sets: list | None, sizes: np.ndarray, seen: list[int] | None = None) -> None:
+    """Join the sets of the given pairs of leaves that link: those whose bitmaps allow it or, with sets, exactly those. Pairs that are connected already are skipped."""
     step = max(1, (1 << 22) // (LEAF * LEAF * a.levels[0][0].shape[1]))
     for k in range(0, len(pairs[0]), step):
-        p, q = pairs[0][k : k + step], pairs[1][k : k + step]
-        i = (p[:, None, None] * LEAF + np.arange(LEAF)[:, None] + np.zeros(LEAF, np.int64)).ravel()
-        j = (q[:, None, None] * LEAF + np.zeros(LEAF, np.int64)[:, None] + np.arange(LEAF)).ravel()
-        ok = (i < len(x)) & (j < len(y)) & ((i < j) | (a is not b))
-        i, j = i[ok], j[ok]
-        ok = forest.label[x[a.order[i]]] != forest.label[y[b.order[j]]]
-        i, j = i[ok], j[ok]
+        i, of = a.below(1, pairs[0][k : k + step])
+        j, more = b.below(1, pairs[1][k : k + step][of])
+        i, of = i[more], of[more]
+        if a is b:
+            ok = i < j
+            i, j, of = i[ok], j[ok], of[ok]
+        ok = forest.label[a.members[i]] != forest.label[b.members[j]]
+        i, j, of = i[ok], j[ok], of[ok]
         ok = possible(tuple(z[i] for z in a.levels[0]), tuple(z[j] for z in b.levels[0]), t)
-        forest.join(x[a.order[i[ok]]], y[b.order[j[ok]]])
-
+        if seen is not None:
+            seen[0] += len(ok)
+            seen[1] += int((~ok).sum())
+        x, y, of = a.members[i[ok]], b.members[j[ok]], of[ok]
+        if sets is None:
+            forest.join(x, y)
+            continue
+        for c, d in zip(*(lambda cut: (cut[:-1], cut[1:]))(np.r_[0, np.flatnonzero(of[1:] != of[:-1]) + 1, len(of)]), strict=True):
+            open_ = np.flatnonzero(forest.label[x[c:d]] != forest.label[y[c:d]]) + c
+            if not len(open_):
+                continue
+            if len(open_) == 1:
+                n = np.array([len(np.intersect1d(sets[x[open_[0]]], sets[y[open_[0]]], assume_unique=True))], np.int64)
+            else:
+                ux, uy = np.unique(x[open_]), np.unique(y[open_])
+                n = overlaps([sets[m] for m in ux], [sets[m] for m in uy])[np.searchsorted(ux, x[open_]), np.searchsorted(uy, y[open_])]
+            ok = 100 * n >= t * (sizes[x[open_]] + sizes[y[open_]] - n)
+            forest.join(x[open_[ok]], y[open_[ok]])
+
+
+def connect(bits: list[bytes], sizes: np.ndarray, group: np.ndarray, left: np.ndarray, right: np.ndarray, t: int, sets: list | None, seen: list[int] | None = None) -> np.ndarray:
+    """A label for each row; rows of a group that a chain of links connects have one label.
+
+    left, right: whether a row is of the group's first or second block; where a group is compared with itself, all its rows are of both. Trees are built over all groups'
+    rows of a bitmap width and traversed with themselves, with the other block's, and with those of the next width: sizes in a link differ by less than half."""
+    forest = Forest(len(sizes))
+    width = np.fromiter(map(len, bits), np.int64, len(bits))
+    same = left & right
 
-def connect(bits: list[bytes], sizes: np.ndarray, left: np.ndarray, right: np.ndarray, t: int, sets: list | None) -> np.ndarray:
-    """A label for each member of a group; members that a chain of links connects have one label.
+    def tree(rows: np.ndarray, w: int) -> Tree:
+        raw = np.frombuffer(b"".join([bits[k] for k in rows]), np.uint8).reshape(len(rows), -1)
+        return Tree(rows, raw if raw.shape[1] == w else raw[:, :w] | raw[:, w:], sizes[rows], group[rows])
 
-    left and right: members of either block (all members twice, if it is one). With sets a link is exact; without, a pair is taken as linked if
-    the bitmaps allow it. Pairs that are connected already are skipped."""
-    forest = Forest(len(sizes))
-    width = np.array([len(x) for x in bits])
     for w in np.unique(width):
-        for v in (w, 2 * w):  # sizes in a link differ by less than half, so widths are equal or neighbours
-            for x, y in ((left, right),) if v == w else ((left, right), (right, left)):
-                x, y = x[width[x] == w], y[width[y] == v]
+        for v in (w, 2 * w):
+            mine, yours = width == w, width == v
+            jobs = [(same & mine, same & yours), (left & ~same & mine, right & ~same & yours)] + [(right & ~same & mine, left & ~same & yours)] * int(v != w)
+            for k, (x, y) in enumerate(jobs):
+                x, y = np.flatnonzero(x), np.flatnonzero(y)
+                if v == w and not k:  # a row alone has nobody to be compared with
+                    x = x[np.bincount(group[x], minlength=1)[group[x]] > 1] if len(x) else x
+                    y = x
+                else:
+                    x, y = x[np.isin(group[x], group[y])], y[np.isin(group[y], group[x])]
                 if not len(x) or not len(y):
                     continue
-                raw = lambda m: np.frombuffer(b"".join([bits[k] for k in m]), np.uint8).reshape(len(m), -1)
-                a = Tree(raw(x), sizes[x])
-                one = v == w and left is right
-                folded = raw(y)
-                b = a if one else Tree(folded if v == w else folded[:, :w] | folded[:, w:], sizes[y])
-                pairs = traverse(a, b, t)
-                if sets is None:
-                    allowed(forest, a, b, x, y, pairs, t)
-                    continue
-                for p, q in zip(*pairs, strict=True):
-                    i, j = np.arange(p * LEAF, min((p + 1) * LEAF, len(x))), np.arange(q * LEAF, min((q + 1) * LEAF, len(y)))
-                    ii, jj = (z.ravel() for z in np.meshgrid(i, j, indexing="ij"))
-                    mi, mj = x[a.order[ii]], y[b.order[jj]]
-                    open_ = forest.label[mi] != forest.label[mj]
-                    if one and p == q:
-                        open_ &= ii < jj
-                    if not open_.any():
-                        continue
-                    ok = open_.copy()
-                    ok[open_] = possible(tuple(z[ii[open_]] for z in a.levels[0]), tuple(z[jj[open_]] for z in b.levels[0]), t)
-                    if ok.any():
-                        ui, uj = np.unique(mi[ok]), np.unique(mj[ok])
-                        n = overlaps([sets[k] for k in ui], [sets[k] for k in uj])[np.searchsorted(ui, mi[ok]), np.searchsorted(uj, mj[ok])]
-                        ok[ok] = 100 * n >= t * (sizes[mi[ok]] + sizes[mj[ok]] - n)
-                    forest.join(mi[ok], mj[ok])
+                a = tree(x, w)
+                b = a if y is x else tree(y, w)
+                compared(forest, a, b, traverse(a, b, t, seen), t, sets, sizes, seen)
     return forest.label
 
 
@@ -279,51 +305,16 @@ def whole(frames: Iterator[pd.DataFrame], by: list[str]) -> Iterator[tuple[pd.Da
             yield every.iloc[: cuts[-2]], cuts[:-1]
 
 
-def small_pairs(bits: list[bytes], sizes: np.ndarray, cuts: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray]:
-    """The pairs inside groups of SMALL members at most that the sizes and bitmaps allow: the leaves' comparison, for many groups at once."""
-    group = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
-    group[np.diff(cuts)[group] > SMALL] = -1
-    at = [np.flatnonzero((group[d:] == group[:-d]) & (group[d:] >= 0)) for d in range(1, min(SMALL, len(group)))]
-    i, j = np.concatenate([np.zeros(0, np.int64), *at]), np.concatenate([np.zeros(0, np.int64), *(x + d for d, x in enumerate(at, 1))])
-    ok = (sizes[i] * 100 >= sizes[j] * t) & (sizes[j] * 100 >= sizes[i] * t)
-    i, j = i[ok], j[ok]
-    width = np.fromiter(map(len, bits), np.int64, len(bits))
-    swap = width[i] > width[j]
-    i, j = np.where(swap, j, i), np.where(swap, i, j)
-    out = [np.zeros((2, 0), np.int64)]
-    for w in np.unique(width[i]):
-        for v in (w, 2 * w):
-            at = np.flatnonzero((width[i] == w) & (width[j] == v))
-            for part in np.array_split(at, len(at) * v // (1 << 23) + 1):
-                raw = lambda m, bytes_: np.frombuffer(b"".join([bits[k] for k in m]), np.uint8).reshape(len(m), bytes_)
-                x, y = raw(i[part], w), raw(j[part], v)
-                y = y if v == w else y[:, :w] | y[:, w:]
-                one = lambda z, m: (z, sizes[m], sizes[m], sizes[m] - np.bitwise_count(z).sum(axis=1, dtype=np.int64))
-                keep = part[possible(one(x, i[part]), one(y, j[part]), t)] if len(part) else part
-                out.append(np.stack([i[keep], j[keep]]))
-    return tuple(np.concatenate(out, axis=1))
-
-
 def _links(t: int, exact: bool):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for every, cuts in whole(frames, ["key", "low", "high"]):
             ids, sizes, own, low, high = (every[c].to_numpy() for c in ("id", "n", "own", "low", "high"))
             sets = [np.asarray(x, np.int64).view(np.uint64) for x in every["shingles"]] if exact else None
             bits = [bitmap(x) for x in sets] if exact else every["bits"].tolist()
-            i, j = small_pairs(bits, sizes, cuts, t)
-            if exact:
-                n = np.array([len(np.intersect1d(sets[a], sets[b], assume_unique=True)) for a, b in zip(i.tolist(), j.tolist(), strict=True)], np.int64)
-                ok = 100 * n >= t * (sizes[i] + sizes[j] - n)
-                i, j = i[ok], j[ok]
-            edges = [np.stack([ids[i], ids[j]])]
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                if b - a > SMALL:
-                    members = np.arange(b - a)
-                    left, right = (members, members) if low[a] == high[a] else (np.flatnonzero(own[a:b] == low[a]), np.flatnonzero(own[a:b] == high[a]))
-                    label = connect(bits[a:b], sizes[a:b], left, right, t, sets[a:b] if exact else None)
-                    _, first = np.unique(label, return_index=True)
-                    edges.append(np.stack([ids[a:b], ids[a:b][first][np.searchsorted(label[first], label)]]))
-            node, least = roots(*np.concatenate(edges, axis=1))
+            group = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
+            label = connect(bits, sizes, group, own == low, own == high, t, sets)
+            _, first = np.unique(label, return_index=True)
+            node, least = roots(ids, ids[first][np.searchsorted(label[first], label)])
             if (node != least).any():
                 yield pd.DataFrame({"node": node[node != least], "root": least[node != least]})
 
@@ -358,6 +349,17 @@ def _shingles(width: int):
     return run
 
 
+def shared_keys(docs: DataFrame, width: int, t: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The set of each row of docs (doc_id, text) as (doc_id, n, k1, k2, ...), one representative (id) of each set, and the members of each key that sets share:
+    key, m members of it, id, n, bits."""
+    found = stored(docs.mapInArrow(tx.tidy(_sets(width, t, frequent(docs, width))), _SETS))
+    sets = stored(found.where("n > 0 and doc_id is not null").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("id"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits")))
+    entries = sets.select(F.explode("prefix").alias("key"), "id")
+    keys = entries.groupBy("key").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y"))
+    keys = stored(keys.where("m > 1").groupBy("m", "x", "y").agg(F.min("key").alias("key")).select("key", "m"))
+    return found, sets, entries.join(keys, "key").join(sets.select("id", "n", "bits"), "id").select("key", "m", "id", "n", "bits")
+
+
 def jaccard_classes(docs: DataFrame, width: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """One row for each document (doc_id, text): doc_id, n_shingles, component_id (the smallest doc_id that links reach).
 
@@ -366,13 +368,7 @@ def jaccard_classes(docs: DataFrame, width: int = WORDS, similarity: float = SIM
     """
     t = round(similarity * 100)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = stored(docs.mapInArrow(tx.tidy(_sets(width, t, frequent(docs, width))), _SETS))
-    key = ["k1", "k2", "n"]
-    sets = stored(found.where("n > 0 and doc_id is not null").groupBy(*key).agg(F.min("doc_id").alias("id"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits")))
-    entries = sets.select(F.explode("prefix").alias("key"), "id")
-    keys = entries.groupBy("key").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y"))
-    keys = stored(keys.where("m > 1").groupBy("m", "x", "y").agg(F.min("key").alias("key")).select("key", "m"))
-    members = entries.join(keys, "key").join(sets.select("id", "n", "bits"), "id").select("key", "m", "id", "n", "bits")
+    key, (found, sets, members) = ["k1", "k2", "n"], shared_keys(docs, width, t)
     candidates = stored(components(forest(members, t, False)))
     size = stored(candidates.groupBy("component").agg(F.count("*").alias("m")))
     near = candidates.join(size, "component").select(F.col("component").alias("key"), "m", F.col("node").alias("id"))

@@ -418,6 +418,67 @@ def test_jaccard_equals_brute_force(spark, documents, width, similarity):
     assert got == jaccard_brute({r.doc_id: r.text for r in docs.collect()}, width, round(similarity * 100))
 
 
+def _cloud(rng, n, length, most):
+    """Sets around one set, with up to so many shingles changed."""
+    base = rng.integers(0, 1 << 52, length).astype(np.uint64)
+    out = []
+    for _ in range(n):
+        s = base[: int(rng.integers(length * 3 // 4, length + 1))].copy()
+        at = rng.integers(0, len(s), int(rng.integers(0, most + 1)))
+        s[at] = rng.integers(0, 1 << 52, len(at)).astype(np.uint64)
+        out.append(np.unique(s))
+    return out
+
+
+@pytest.mark.parametrize("t", [80, 90])
+def test_signature_trees_find_every_link_and_drop_node_pairs(t):
+    """Groups of 1 to 300 sets of two widths, in one block and in two, by trees and by all pairs."""
+    rng = np.random.default_rng(21)
+    clouds = [(n, _cloud(rng, n, length, most)) for n, length, most in ((1, 50, 1), (2, 60, 2), (9, 70, 9), (44, 120, 14), (300, 130, 16), (40, 3, 1), (60, 900, 60))]
+    sets = [s for _, c in clouds for s in c]
+    group = np.repeat(np.arange(len(clouds)), [n for n, _ in clouds])
+    sizes, bits = np.array([len(s) for s in sets]), [jaccard_join.bitmap(s) for s in sets]
+    two = group == 4  # this group is two blocks that are compared with each other
+    part = rng.integers(0, 2, len(sets)).astype(bool)
+    left, right = ~two | part, ~two | ~part
+    links = [(i, j) for i in range(len(sets)) for j in range(i) if group[i] == group[j] and not (two[i] and part[i] == part[j])]
+    links = [(i, j) for i, j in links if 100 * (n := len(np.intersect1d(sets[i], sets[j]))) >= t * (sizes[i] + sizes[j] - n)]
+    expect = {a: b for a, b in zip(*map(np.ndarray.tolist, roots(*(np.array(x) for x in zip(*links, strict=True)))), strict=True)}
+    seen = [0, 0]
+    label = jaccard_join.connect(bits, sizes, group, left, right, t, sets, seen)
+    got = {k: int(np.flatnonzero(label == label[k])[0]) for k in range(len(sets))}
+    assert got == {k: expect.get(k, k) for k in range(len(sets))}
+    assert seen[0] > 500 and seen[1] > 0.1 * seen[0]
+    loose = jaccard_join.connect(bits, sizes, group, left, right, t, None)
+    assert all(loose[i] == loose[j] for i, j in links)  # the bitmaps alone lose none
+
+
+def test_trees_hold_what_is_below_them():
+    rng = np.random.default_rng(22)
+    sets = [s for length in (60, 62, 61) for s in _cloud(rng, 90, length, 5)]
+    sizes, group = np.array([len(s) for s in sets]), rng.integers(0, 5, len(sets))
+    raw = np.frombuffer(b"".join(jaccard_join.bitmap(s).ljust(8, b"\0")[:8] for s in sets), np.uint8).reshape(len(sets), -1)
+    tree = jaccard_join.Tree(np.arange(len(sets)), raw, sizes, group)
+    assert tree.groups[-1].tolist() == [0, 1, 2, 3, 4] and len(tree.levels) >= 4
+    for level in range(1, len(tree.levels)):
+        for node in range(len(tree.groups[level])):
+            child, _ = tree.below(level, np.array([node]))
+            bits, low, high, _ = (x[child] for x in tree.levels[level - 1])
+            assert (np.bitwise_or.reduce(bits) == tree.levels[level][0][node]).all() and tree.levels[level][1][node] == low.min() and tree.levels[level][2][node] == high.max()
+            assert set(tree.groups[level - 1][child]) == {tree.groups[level][node]} and len(child) <= (jaccard_join.LEAF if level == 1 else jaccard_join.FANOUT)
+
+
+def test_trees_drop_node_pairs_of_the_documents(spark, documents, monkeypatch):
+    """On the given table, every key's members go through a tree, and the traversal visits and drops node pairs."""
+    seen, real = [0, 0], jaccard_join.connect
+    found = jaccard_join.shared_keys(documents.select(documents["doc_id"].cast("long").alias("doc_id"), "text"), 5, 80)[2].toPandas()
+    found = found.sort_values("key", kind="stable")
+    group = np.unique(found["key"].to_numpy(), return_inverse=True)[1]
+    every = np.ones(len(found), bool)
+    label = real(found["bits"].tolist(), found["n"].to_numpy(), group, every, every, 80, None, seen)
+    assert len(group) > 20 and len(set(label)) < len(label) and seen[0] > len(set(group)) and seen[1] > 0
+
+
 def test_jaccard_odd(odd):
     rows = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.jaccard_classes(odd).collect()), key=str)
     assert (2, 0, 2) in rows and (8, 1, 6) in rows and rows.count((1, 6, 1)) == 2
