@@ -1,8 +1,9 @@
 """Toxicity by a counterfactually regularised classifier.
 
 A logistic regression over the words of a text. Identity terms in labelled texts are swapped for others of their group, and the squared change
-of the logit is penalised: a mention of a group does not raise the score by itself. Words are kept as features where their share among toxic
-training texts differs clearly from that among the others; identity terms always are.
+of the logit is penalised: a mention of a group does not raise the score by itself. As texts that mention any group may be few, each labelled text is also learned from with
+a mention put into it, of a group and a term that its hash chooses whatever its label, and that term is swapped as well. Words are kept as features where
+their share among toxic training texts differs clearly from that among the others; identity terms always are.
 """
 
 from __future__ import annotations
@@ -59,6 +60,15 @@ def swaps(own: np.ndarray) -> list[tuple[int, int]]:
     return [(a, b) for group in identity_buckets() for a in group if a in held for b in group if b != a]
 
 
+def mention(key: int) -> tuple[int, int]:
+    """The term that is put into a text with this hash, and the one of its group that it is swapped for."""
+    groups = identity_buckets()
+    key = key & (1 << 63) - 1
+    group, key = groups[key % len(groups)], key // len(groups)
+    a, b = key % len(group), key // len(group) % (len(group) - 1)
+    return group[a], group[b + (b >= a)]
+
+
 def _words(part: pa.RecordBatch) -> pa.RecordBatch:
     """For each distinct word of a chunk, the texts of either label that have it."""
     buckets, rows = word_sets(part.column("text"))
@@ -69,7 +79,7 @@ def _words(part: pa.RecordBatch) -> pa.RecordBatch:
 
 
 def _features(chosen: np.ndarray):
-    """Of each text its label, its words among the chosen ones (as their places), and the swaps of its identity terms."""
+    """Of each text its label, its words among the chosen ones (as their places), the term that is put into it, and the swaps of its identity terms and of that one."""
 
     def of(part: pa.RecordBatch) -> pa.RecordBatch:
         buckets, rows = word_sets(part.column("text"))
@@ -77,9 +87,10 @@ def _features(chosen: np.ndarray):
         ok = chosen[at] == buckets
         at, rows = at[ok], rows[ok]
         ends = np.r_[0, np.cumsum(np.bincount(rows, minlength=len(part)))]
-        pairs = [swaps(chosen[at[a:b]]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        put = [mention(k) for k in part.column("key").to_pylist()]
+        pairs = [[*swaps(chosen[at[a:b]]), m] for a, b, m in zip(ends[:-1], ends[1:], put, strict=True)]
         side = lambda k: pa.array([np.searchsorted(chosen, [p[k] for p in own]) for own in pairs], pa.list_(pa.int32()))
-        return pa.RecordBatch.from_arrays([part.column("key"), part.column("label").cast(pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(at, pa.int32())), side(0), side(1)], ["key", "label", "words", "swap_out", "swap_in"])
+        return pa.RecordBatch.from_arrays([part.column("key"), part.column("label").cast(pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(at, pa.int32())), pa.array(np.searchsorted(chosen, [m[0] for m in put]), pa.int32()), side(0), side(1)], ["key", "label", "words", "put", "swap_out", "swap_in"])
 
     return of
 
@@ -125,9 +136,10 @@ def trained(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE, weight: floa
     counts = mapped(some, _words, "word int, negative long, positive long").groupBy("word").agg(F.sum("negative").alias("negative"), F.sum("positive").alias("positive"))
     total = some.agg(F.count_if(F.col("label") != 1).alias("negative"), F.count_if(F.col("label") == 1).alias("positive")).first()
     chosen = selected(counts, total.negative, total.positive)
-    found = at_most(mapped(some, _features(chosen), "key long, label int, words array<int>, swap_out array<int>, swap_in array<int>"), 2 * rows)
+    found = at_most(mapped(some, _features(chosen), "key long, label int, words array<int>, put int, swap_out array<int>, swap_in array<int>"), 2 * rows)
     pair = lambda c: np.concatenate([np.zeros(0, np.int64), *(np.asarray(x, np.int64) for x in found[c])])
-    values, bias = fit(found["label"].to_numpy(), list(found["words"]), np.stack([pair("swap_out"), pair("swap_in")], 1), len(chosen), weight)
+    words = [*found["words"], *(np.r_[np.asarray(w, np.int64), p] for w, p in zip(found["words"], found["put"], strict=True))]  # without and with the mention
+    values, bias = fit(np.tile(found["label"].to_numpy(), 2), words, np.stack([pair("swap_out"), pair("swap_in")], 1), len(chosen), weight)
 
     def score(column: pa.Array) -> np.ndarray:
         buckets, of = word_sets(column)

@@ -371,6 +371,72 @@ def test_identity_terms_do_not_score(spark):
     assert gap[5.0] < 0.1 * gap[0.0] and gap[0.0] > 0.2
 
 
+def test_mentions_swap_on_the_given_documents(spark, monkeypatch):
+    """No document of the table mentions a group, so mentions are put into labelled texts and swapped: the penalty changes the weights, and a text's score hardly depends on which
+    group it mentions, or on whether it mentions one."""
+    import pyarrow as pa
+
+    sf = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    fits, real = [], toxicity.fit
+
+    def fit(y, words, swapped, size, weight):
+        fits.append((len(y), len(swapped), real(y, words, swapped, size, weight)))
+        return fits[-1][2]
+
+    monkeypatch.setattr(toxicity, "fit", fit)
+    texts = [r.text for r in docs.where("doc_id % 10 = 3 AND text IS NOT NULL").select("text").collect()]
+    gap = {}
+    for weight in (0.0, toxicity.COUNTERFACTUAL):
+        score = toxicity.trained(docs, labels, weight=weight)
+        plain = score(pa.array(texts))
+        logit = lambda p: np.log(np.clip(p, 1e-12, 1 - 1e-12) / (1 - np.clip(p, 1e-12, 1 - 1e-12)))
+        by_group = [np.stack([logit(score(pa.array([f"{t} {term}" for t in texts]))) for term in group]) for group in toxicity.IDENTITY]
+        gap[weight] = np.mean([g.std(axis=0).mean() for g in by_group])
+        flagged = np.mean([(score(pa.array([f"{t} {group[0]}" for t in texts])) >= toxicity.THRESHOLD) != (plain >= toxicity.THRESHOLD) for group in toxicity.IDENTITY])
+        assert flagged < 0.02
+    n = labels.where(~toxicity.held_out(toxicity.PARTS, toxicity.HELD_OUT)).join(docs, "doc_id").count()
+    assert [f[0] for f in fits] == [2 * n, 2 * n] and fits[0][1] == fits[1][1] >= n and np.abs(fits[0][2][0] - fits[1][2][0]).max() > 0.01
+    assert gap[toxicity.COUNTERFACTUAL] < 0.5 * gap[0.0]
+
+
+def test_toxicity_equals_brute_force(spark, documents):
+    """Words counted, chosen and weighted from plain sets of words, and scores summed one text at a time."""
+    from pyspark.sql import functions as F
+
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{DATA}/labels.parquet").collect()}
+    rows = documents.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key")).collect()
+    bucket = {}
+
+    def words(text):
+        own = set(ALNUM.findall(tx.lower(text or "")))
+        for w in own:
+            if w not in bucket:
+                bucket[w] = int(tx.hashes(*(lambda b: (np.frombuffer(b, np.uint8), np.array([0]), np.array([len(b)])))(w.encode()))[0] >> np.uint64(44))
+        return {bucket[w] for w in own}
+
+    train = sorted((r for r in rows if r.doc_id in labels and zlib.crc32(str(r.doc_id).encode()) % toxicity.PARTS != toxicity.HELD_OUT), key=lambda r: r.key)
+    count = defaultdict(lambda: [0, 0])
+    for r in train:
+        for w in words(r.text):
+            count[w][labels[r.doc_id]] += 1
+    share = sum(labels[r.doc_id] for r in train) / len(train)
+    z = {w: abs(p - (n + p) * share) / np.sqrt((n + p) * share * (1 - share) + 1e-9) for w, (n, p) in count.items() if n + p >= 4}
+    best = sorted((w for w in z if z[w] > 3.5), key=lambda w: (-z[w], w))[: toxicity.WORDS]
+    terms = {next(iter(words(t))) for group in toxicity.IDENTITY for t in group}
+    place = {w: k for k, w in enumerate(sorted({*best} | terms))}
+    plain = [[place[w] for w in words(r.text) if w in place] for r in train]
+    put = [toxicity.mention(r.key) for r in train]
+    swapped = [(place[a], place[b]) for m, own in zip(put, (words(r.text) for r in train), strict=True) for a, b in (*toxicity.swaps(np.array(sorted(own))), m)]
+    y = np.array([labels[r.doc_id] for r in train])
+    weights, bias = toxicity.fit(np.r_[y, y], [np.array(w, np.int64) for w in (*plain, *([*w, place[m[0]]] for w, m in zip(plain, put, strict=True)))], np.array(swapped), len(place))
+    got = {r.doc_id: r for r in queries.queries()["op6_toxicity"](spark, DATA).collect()}
+    assert len(got) == len(rows)
+    for r in rows:
+        score = 1 / (1 + np.exp(-(bias + sum(weights[place[w]] for w in words(r.text) if w in place))))
+        assert abs(got[r.doc_id].score - score) < 1e-6 and got[r.doc_id].predicted == (got[r.doc_id].score >= 0.3)
+
+
 def test_quality_risk_and_prior():
     """The estimated share of good texts among the unlabelled is near the true one, and the model parts the kinds."""
     rng = np.random.default_rng(14)
