@@ -91,8 +91,12 @@ def placed(w: Column, texts: list[str], threshold: int) -> Column:
             places.setdefault(word, []).extend((k, len(own)) for k, x in enumerate(own) if x == word)
     table = F.create_map(*(c for word, at in sorted(places.items()) for c in (F.lit(word), F.array(*(F.struct(F.lit(k).alias("k"), F.lit(n).alias("n")) for k, n in sorted(set(at)))))))
     hits = F.filter(F.transform(w, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda h: h["x"].isin(sorted(places)))
-    runs = F.flatten(F.transform(hits, lambda h: F.transform(F.element_at(table, h["x"]), lambda p: F.struct((h["i"] - p["k"]).alias("a"), (h["i"] - p["k"] + p["n"]).alias("b")))))
-    return F.transform(F.array_distinct(runs), lambda r: F.slice(w, F.greatest(r["a"], F.lit(0)) + 1, r["b"] - F.greatest(r["a"], F.lit(0))))
+    # A run as one number and its words as one text: only of atomic values does array_distinct compare by hash, so many anchors take time in proportion.
+    begin = lambda h, p: F.greatest(h["i"] - p["k"], F.lit(0)).cast("long") * (1 << 31)
+    runs = F.array_distinct(F.flatten(F.transform(hits, lambda h: F.transform(F.element_at(table, h["x"]), lambda p: begin(h, p) + F.greatest(h["i"] - p["k"] + p["n"], F.lit(0)).cast("long")))))
+    start, end = (lambda r: F.shiftright(r, 31).cast("int")), (lambda r: r.bitwiseAND((1 << 31) - 1).cast("int"))
+    texts = F.array_distinct(F.transform(runs, lambda r: F.array_join(F.slice(w, start(r) + 1, end(r) - start(r)), " ")))
+    return F.transform(texts, lambda t: F.split(t, " "))
 
 
 def every() -> dict[str, list[str]]:

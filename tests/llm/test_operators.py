@@ -171,6 +171,21 @@ def test_licenses_odd(spark, odd):
     assert licenses.matches(odd, {"none": ["x"]}).count() == odd.count()
 
 
+@pytest.mark.parametrize("repeated", [True, False])
+def test_licenses_in_a_text_of_a_hundred_thousand_anchor_words(spark, repeated):
+    """Words of the templates in any order, and a few of them again and again, with one notice among them, take seconds."""
+    rng = random.Random(16)
+    notice = licenses.every()["MIT"][-1]
+    lexicon = ["the", "software", "license", "conditions"] if repeated else sorted({w for texts in licenses.every().values() for t in texts for w in licenses.words_of(t)})
+    words = lexicon * 25_000 if repeated else [rng.choice(lexicon) for _ in range(100_000)]
+    text = " ".join([*words[:60_000], notice, *words[60_000:]])
+    licenses.matches(spark.createDataFrame([(1, "x")], "doc_id long, text string")).collect()  # planning is not what is timed
+    start = time.time()
+    found = licenses.matches(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().licenses
+    assert time.time() - start < 60
+    assert max((x.dice for x in found if x.license == "MIT"), default=0) == 1.0
+
+
 def test_licenses_whole_notices_anywhere(spark):
     import textwrap
 
