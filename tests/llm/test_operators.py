@@ -202,22 +202,32 @@ def test_licenses_whole_notices_anywhere(spark):
     assert max(found, key=lambda x: x.dice).license == "LGPL-3.0"
 
 
-def test_decontamination_equals_brute_force(spark, documents):
-    rows = decontaminate.op3_decontaminate(spark, DATA).collect()
+def windows_brute(items):
     wins = defaultdict(set)
-    for b in spark.read.parquet(f"{DATA}/benchmark.parquet").collect():
+    for b in items:
         w = ALNUM.findall(tx.lower(b.text))
         for k in range(max(1, len(w) - 9) if w else 0):
             wins[tuple(w[k : k + 10])].add(b.item_id)
-    expect = {}
+    return wins
+
+
+def hits_brute(text, wins):
+    """The number of words, the places of hit ones, and the items with occurring windows."""
+    w, hit, items = ALNUM.findall(tx.lower(text or "")), set(), set()
+    for n in {len(x) for x in wins}:
+        for k in range(len(w) - n + 1):
+            if (x := tuple(w[k : k + n])) in wins:
+                items |= wins[x]
+                hit |= set(range(k, k + n))
+    return len(w), hit, items
+
+
+def test_decontamination_equals_brute_force(spark, documents):
+    rows = decontaminate.op3_decontaminate(spark, DATA).collect()
+    wins, expect = windows_brute(spark.read.parquet(f"{DATA}/benchmark.parquet").collect()), {}
     for d in documents.collect():
-        w, hit, items = ALNUM.findall(tx.lower(d.text or "")), set(), set()
-        for n in {len(x) for x in wins}:
-            for k in range(len(w) - n + 1):
-                if (x := tuple(w[k : k + n])) in wins:
-                    items |= wins[x]
-                    hit |= set(range(k, k + n))
-        expect[d.doc_id] = (len(w), len(hit), len(items), decontaminate.digest(list(items)))
+        n, hit, items = hits_brute(d.text, wins)
+        expect[d.doc_id] = (n, len(hit), len(items), decontaminate.digest(list(items)))
     assert {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256) for r in rows} == expect
 
 
@@ -626,7 +636,7 @@ def test_packing(spark, documents, odd):
     for parts in at.values():
         parts.sort()
         assert parts[0][0] == 0 and sum(n for _, n in parts) <= 2048 and all(a + n == b for (a, n), (b, _) in zip(parts, parts[1:], strict=False))
-    assert len(at) <= 1.02 * sum(r.length for r in rows) / 2048 + 1
+    assert len(at) <= -(-sum(r.length for r in rows) // 2048) + 1  # no packing has one sequence less than the first term
     assert packing.packed(odd, P.path(packing.VOCABULARY)).where("length = 1").count() == 2
     assert packing.packed(odd.where("doc_id = -1"), P.path(packing.VOCABULARY)).count() == 0
 
@@ -762,6 +772,38 @@ def test_pipeline(spark, odd):
         assert corpus_pipeline.STAGES[-1][1](spark, table, DATA).where("piece = 0").count() == table.count()
 
 
+def test_pipeline_equals_a_chain_of_brute_force(spark, documents):
+    """Every stage over what the stage before kept, from plain texts: who goes, what is masked, and which ids are packed."""
+    import corpus_pipeline
+    import public_tokenizers as P
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    labels = spark.read.parquet(f"{DATA}/labels.parquet")
+    texts = {r.doc_id: r.text for r in documents.collect()}
+    score = toxicity.trained(documents, labels)  # the model itself is tested against brute force above
+    toxic = {i for i, p in zip(texts, score(pa.array(list(texts.values()))).tolist(), strict=True) if p >= toxicity.THRESHOLD}
+    texts = {i: t for i, t in texts.items() if i not in toxic}
+    classes = jaccard_brute(texts, 5, 80)
+    copies = {i for i in texts if classes[i][1] != i}
+    texts = {i: t for i, t in texts.items() if i not in copies}
+    wins = windows_brute(spark.read.parquet(f"{DATA}/benchmark.parquet").collect())
+    hit = {i for i, t in texts.items() if hits_brute(t, wins)[1]}
+    texts = {i: t for i, t in texts.items() if i not in hit}
+    weights = pii.trained(documents.where(documents["doc_id"].isin(list(texts))))
+    texts = {i: None if t is None else pii.masked(t, pii.find(t, weights)[1]) for i, t in texts.items()}
+    assert toxic and copies and hit and any("<EMAIL>" in (t or "") for t in texts.values())
+    rows = corpus_pipeline.run(spark, DATA).collect()
+    got, tokens = defaultdict(list), Tokenizer.from_file(P.path(packing.VOCABULARY))
+    for r in sorted(rows, key=lambda r: (r.doc_id, r.piece)):
+        got[r.doc_id].append((r.start, r.length, r.ids_crc32))
+    assert set(got) == set(texts)
+    for i, t in texts.items():
+        ids = np.array([*tokens.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
+        assert [zlib.crc32(ids[a : a + n].tobytes()) for a, n, _ in got[i]] == [c for _, _, c in got[i]] and sum(n for _, n, _ in got[i]) == len(ids)
+    assert len({r.sequence_id for r in rows}) <= -(-sum(r.length for r in rows) // 2048) + 1
+
+
 def F_cast(name, like):
     from pyspark.sql import functions as F
 
