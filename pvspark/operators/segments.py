@@ -1,7 +1,7 @@
 """What a row takes from the rows before or after it of its key, where one key may hold most rows.
 
-A window over a key sorts all its rows in one task. Here the rows are sorted by key and order in ranges of about equal size, which cut large keys; each range is
-scanned by itself, and what goes over its borders follows from one summary row for each range and key.
+A window over a key sorts all its rows in one task. That is what is done where the largest key, which is counted first, has no more rows than one task takes. Beyond that, the rows are sorted by
+key and order in ranges of about equal size, which cut large keys; each range is scanned by itself, and what goes over its borders follows from one summary row for each range and key.
 """
 
 from __future__ import annotations
@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 from pvspark.sources.tables import folder
 
 
+#: Rows of a key that one task sorts.
+LARGEST = 2_000_000
+
+
 def scanned(
     rows: DataFrame, key: str, order: list[str], *, filled: Iterable[str] = (), before: Mapping[str, str] | None = None, after: Mapping[str, str] | None = None,
     coming: Mapping[str, str] | None = None, number: str | None = None, ranges: int | None = None,
@@ -21,12 +25,19 @@ def scanned(
     """rows with more columns, by the order of each key's rows (nulls first; ties in any order, but the same for all columns).
 
     filled: columns whose nulls become the last value before them. before, after: a new name to the column that the row before or after has; null without one.
-    coming: a new name to a column's next value after the row that is not null. number: the row's place in its key, from 0. ranges: how many; by size if
-    none are given.
+    coming: a new name to a column's next value after the row that is not null. number: the row's place in its key, from 0. ranges: so many ranges, whatever
+    the keys' sizes; if none are given, keys of more than LARGEST rows are cut in ranges by size.
 
-    The sorted rows are stored, so that all steps see one order. A key's summaries, as many as its ranges, are the most that one task takes of a key.
+    The rows of ranges are stored, so that all steps see one order. A key's summaries, as many as its ranges, are then the most that one task takes of a key.
     """
     before, after, coming, filled = dict(before or {}), dict(after or {}), dict(coming or {}), list(filled)
+    if ranges is None and (rows.groupBy(key).count().agg(F.max("count")).first()[0] or 0) <= LARGEST:
+        w = Window.partitionBy(key).orderBy(*(F.col(c).asc_nulls_first() for c in order))
+        out = {n: F.lag(c).over(w) for n, c in before.items()} | {n: F.lead(c).over(w) for n, c in after.items()}
+        out |= {n: F.first(c, True).over(w.rowsBetween(1, Window.unboundedFollowing)) for n, c in coming.items()}
+        out |= {number: (F.row_number().over(w) - 1).cast("long")} if number else {}
+        out |= {c: F.last(c, True).over(w.rowsBetween(Window.unboundedPreceding, 0)) for c in filled}
+        return rows.select(*(F.col(c) for c in rows.columns if c not in out), *(v.alias(n) for n, v in out.items()))
     spark, path = rows.sparkSession, folder(rows.sparkSession)
     ends = [F.col(c).asc_nulls_first() for c in (key, *order)]
     ranged = rows.repartitionByRange(ranges, *ends) if ranges else rows.repartitionByRange(*ends)

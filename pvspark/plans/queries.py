@@ -108,8 +108,7 @@ def latest_value(b):
 
 @query(f"{DAILY} SELECT bucket AS time, round(avg_value, 6) AS value, min_value, max_value, sample_count, 'daily' AS tier FROM daily WHERE pv_id = {PV} AND bucket >= '2024-01-03' AND bucket < '2024-01-12'")
 def query_auto(b):
-    hours, days = (tables.read_live(b.spark, tiers(b), tier, b.samples, START, END) for tier in ("hourly", "daily"))
-    return rollup.auto_range(b.samples, hours, days, PV, START, END).withColumn("value", F.round("value", 6))
+    return tables.read_auto(b.spark, tiers(b), b.samples, PV, START, END).withColumn("value", F.round("value", 6))
 
 
 _OLD: dict[tuple[str, str], str] = {}
@@ -131,9 +130,7 @@ LATE = datetime(2024, 1, 14)
 @query(f"{DAILY} SELECT bucket AS time, round(avg_value, 6) AS value, min_value, max_value, sample_count, 'daily' AS tier FROM daily WHERE pv_id = {PV} AND bucket >= '2024-01-14'")
 def query_auto_live(b):
     """A range up to now over tiers that were last refreshed days ago."""
-    end = b.now + timedelta(seconds=1)
-    hours, days = (tables.read_live(b.spark, old_tiers(b), tier, b.samples, LATE, end) for tier in ("hourly", "daily"))
-    return rollup.auto_range(b.samples, hours, days, PV, LATE, end).withColumn("value", F.round("value", 6))
+    return tables.read_auto(b.spark, old_tiers(b), b.samples, PV, LATE, b.now + timedelta(seconds=1)).withColumn("value", F.round("value", 6))
 
 
 @query(f"{HOURLY} SELECT {ROLL} FROM hourly")

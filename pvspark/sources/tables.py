@@ -152,15 +152,22 @@ def _day(time: datetime) -> datetime:
     return time.replace(hour=0, minute=0, second=0, microsecond=0)
 
 
+_MARK = "%Y%m%dT%H%M%S"
+
+
 def set_mark(spark: SparkSession, root: str, until: datetime) -> None:
-    """Record that the tiers hold every sample before `until`: the hourly one to its hour, the daily one to its day. Marks never go back."""
-    rows = spark.createDataFrame([("hourly", _hour(until)), ("daily", _day(until))], "tier string, until timestamp_ntz")
-    rows.coalesce(1).write.mode("append").parquet(f"{root}/marks")
+    """Record that the tiers hold every sample before `until`: the hourly one to its hour, the daily one to its day. A mark is the name of an empty file, so that it is read
+    without a job; marks never go back."""
+    for tier, end in (("hourly", _hour(until)), ("daily", _day(until))):
+        fs, at = _at(spark, f"{root}/marks/{tier}-{end.strftime(_MARK)}")
+        fs.create(at, True).close()
 
 
 def marks(spark: SparkSession, root: str) -> dict[str, datetime]:
     """Up to where each tier is complete; buckets from there on are made from finer data when they are read."""
-    return {r.tier: r.until for r in spark.read.parquet(f"{root}/marks").groupBy("tier").agg(F.max("until").alias("until")).collect()}
+    fs, at = _at(spark, f"{root}/marks/*-*")
+    names = [s.getPath().getName().partition("-") for s in fs.globStatus(at) or ()]
+    return {tier: max(datetime.strptime(end, _MARK) for t, _, end in names if t == tier) for tier in {n[0] for n in names}}
 
 
 def write_tiers(samples: DataFrame, root: str, until: datetime | None = None) -> None:
@@ -216,6 +223,13 @@ def refresh_late(samples: DataFrame, late: DataFrame, root: str) -> int:
     return seen.n
 
 
+def read_auto(spark: SparkSession, root: str, samples: DataFrame, pv_id: int, start: datetime, end: datetime, limit: int = 0, forced: str | None = None) -> DataFrame:
+    """One signal's range from the tier that its span asks for, up to the newest sample; only that tier is looked at."""
+    tier = rollup.tier(start, end, forced)
+    rolled = samples if tier == "raw" else read_live(spark, root, tier, samples, start, end)
+    return rollup.auto_range(samples, rolled, rolled, pv_id, start, end, limit, forced)
+
+
 def read_live(spark: SparkSession, root: str, tier: str, samples: DataFrame, start: datetime | None = None, end: datetime | None = None) -> DataFrame:
     """Rows of a tier with start <= bucket < end, also those that are not stored yet: stored days up to the daily mark, then days of stored hours up to the hourly one,
     then what the samples from there on give. A range that ends before the marks reads stored rows alone."""

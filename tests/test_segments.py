@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from pvspark.operators import lifecycle, reshape
+from pvspark.operators import lifecycle, reshape, segments
 from pvspark.operators.segments import scanned
 
 
@@ -48,9 +48,13 @@ def test_empty_tables_scan_to_none(rows):
     assert none.count() == 0 and set(none.columns) == {*rows.columns, "n"}
 
 
-def test_operators_on_a_hot_signal(spark, rows):
+@pytest.mark.parametrize("largest", [100, 10**6])
+def test_operators_on_a_hot_signal(spark, rows, monkeypatch, largest):
+    monkeypatch.setattr(segments, "LARGEST", largest)
     w = Window.partitionBy("pv_id").orderBy("time", "tiebreak")
     filled = reshape.carried_forward(rows, ["value", "severity"])
+    plan = filled._jdf.queryExecution().optimizedPlan().toString()
+    assert ("__range" in plan) == (largest == 100)
     assert same(filled, rows.withColumns({c: F.last(c, True).over(w.rowsBetween(Window.unboundedPreceding, 0)) for c in ("value", "severity")}))
     events = rows.select("pv_id", F.col("time").alias("ts"), F.col("tiebreak").alias("event_id"), (F.col("tiebreak") % 5).cast("int").alias("event_type"))
     v = Window.partitionBy("pv_id").orderBy("ts", "event_id")
