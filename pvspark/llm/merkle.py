@@ -151,3 +151,29 @@ def manifest(docs: DataFrame) -> DataFrame:
 
 def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def oracle() -> str:
+    """The result in DuckDB SQL: every level of every tree, each row's siblings, and a fold along them. CRC-32 goes bit by bit."""
+    field = lambda x: f"CASE WHEN {x} IS NULL THEN '-' ELSE concat(strlen(CAST({x} AS VARCHAR)), ':', {x}) END"
+    leaf = lambda text: f"sha256(concat({', '.join(map(field, ('doc_id', 'source', 'lang', 'n_chars', text)))}))"
+    bit = "lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END"
+    octet = f"lambda c, b: list_reduce(list_prepend(xor(c, b), CAST([0, 0, 0, 0, 0, 0, 0, 0] AS BIGINT[])), {bit})"
+    crc = f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))), {octet}), 4294967295::BIGINT)"
+    up = "SELECT tree, level + 1, pos // 3, sha256(string_agg(digest, '' ORDER BY pos)), (n + 2) // 3 FROM {t} WHERE n > 1 GROUP BY tree, level, pos // 3, n"
+    side = lambda t, a, b, way: f"(SELECT coalesce(string_agg({t}.digest, '' ORDER BY {t}.pos), '') FROM {t} WHERE {t}.tree = {a} AND {t}.level = x.level AND {t}.pos // 3 = {b} // CAST(pow(3, x.level + 1) AS BIGINT) AND {t}.pos {way} {b} // CAST(pow(3, x.level) AS BIGINT))"
+    return f"""WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, CASE WHEN source IS NULL THEN '' ELSE concat('=', source) END AS tree, {leaf('text')} AS leaf,
+  CASE WHEN doc_id IS NOT NULL AND {crc} % 2 = 0 THEN {leaf("replace(text, chr(10), '')")} ELSE {leaf('text')} END AS now FROM documents),
+ placed AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf, r) - 1 AS pos, count(*) OVER (PARTITION BY tree) AS n FROM d),
+ nodes(tree, level, pos, digest, n) AS (SELECT tree, 0, pos, leaf, n FROM placed UNION ALL {up.format(t='nodes')}),
+ subroots AS (SELECT tree, digest, row_number() OVER (ORDER BY tree) - 1 AS pos, count(*) OVER () AS n FROM nodes WHERE n = 1),
+ tops(tree, level, pos, digest, n) AS (SELECT '', 0, pos, digest, n FROM subroots UNION ALL {up.format(t='tops')}),
+ own AS (SELECT p.*, s.digest AS subroot, s.pos AS top_pos, (SELECT max(level) FROM nodes WHERE nodes.tree = p.tree) AS depth FROM placed p JOIN subroots s ON s.tree = p.tree),
+ steps AS (SELECT o.r, x.level AS k, {side('nodes', 'o.tree', 'o.pos', '<')} AS a, {side('nodes', 'o.tree', 'o.pos', '>')} AS b FROM own o JOIN (SELECT DISTINCT tree, level FROM nodes WHERE n > 1) x ON x.tree = o.tree
+  UNION ALL SELECT o.r, o.depth + x.level, {side('tops', "''", 'o.top_pos', '<')}, {side('tops', "''", 'o.top_pos', '>')} FROM own o, (SELECT DISTINCT level FROM tops WHERE n > 1) x),
+ fold(r, k, digest) AS (SELECT r, 0, now FROM own UNION ALL SELECT f.r, f.k + 1, sha256(concat(s.a, f.digest, s.b)) FROM fold f JOIN steps s ON s.r = f.r AND s.k = f.k),
+ root AS (SELECT digest FROM tops WHERE n = 1),
+ proofs AS (SELECT r, sha256(string_agg(a || b, '' ORDER BY k)) AS proof FROM steps GROUP BY r),
+ folded AS (SELECT r, arg_max(digest, k) AS digest FROM fold GROUP BY r)
+SELECT doc_id, leaf, subroot, root.digest AS root, coalesce(proof, sha256('')) AS proof_sha256, folded.digest AS folded_root, folded.digest = root.digest AS verified
+FROM own JOIN folded USING (r) LEFT JOIN proofs USING (r), root"""

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from pvspark.llm import filter_audit, licenses
+from pvspark.llm import filter_audit, licenses, merkle
 from pvspark.llm.decontaminate import op3_decontaminate
 from pvspark.llm.embeddings import op4_embedding_dedup
 from pvspark.llm.filter_audit import op13_filter_audit
@@ -25,4 +25,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_license_scan": licenses.oracle(), "op13_filter_audit": filter_audit.oracle()} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+    return {"op2_license_scan": licenses.oracle(), "op11_merkle_manifest": merkle.oracle(), "op13_filter_audit": filter_audit.oracle()} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

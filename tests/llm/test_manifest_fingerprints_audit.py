@@ -86,9 +86,11 @@ def manifest_brute(rows):
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
-def test_manifest_equals_brute_force(spark, documents):
+def test_manifest_equals_brute_force_and_sql(spark, duck, documents):
     got = queries.queries()["op11_merkle_manifest"](spark, DATA)
     assert result(got) == manifest_brute(plain(documents, *COLUMNS))
+    columns, rows = duck_rows(duck, queries.oracle_sql()["op11_merkle_manifest"])
+    assert sorted(got.columns) == columns and spark_rows(got) == rows
     counts = {r.verified for r in got.select("verified").distinct().collect()}
     assert counts == {True, False}
 
