@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pvspark.functions import columns as C
+from pvspark.operators.segments import scanned
 from pvspark.sources.tables import numbered
 
 
@@ -114,10 +115,9 @@ def cleaned(metadata: DataFrame) -> DataFrame:
 
 def history(updates: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """Updates (key, time, fields) that change a field against the one before, with the names of the changed fields; the first update of a key lists none."""
-    w = Window.partitionBy(key).orderBy("time")
-    rows = updates.withColumn("_n", F.row_number().over(w)).withColumn("_before", F.lag(F.struct(*fields)).over(w))
-    changed = F.array_compact(F.array(*(F.when((F.col("_n") > 1) & ~F.col(f).eqNullSafe(F.col(f"_before.{f}")), f) for f in fields)))
-    return rows.withColumn("changed", changed).where((F.col("_n") == 1) | (F.size("changed") > 0)).drop("_n", "_before")
+    rows = scanned(updates, key, ["time"], before={f"_before_{f}": f for f in fields}, number="_n")
+    changed = F.array_compact(F.array(*(F.when((F.col("_n") > 0) & ~F.col(f).eqNullSafe(F.col(f"_before_{f}")), f) for f in fields)))
+    return rows.withColumn("changed", changed).where((F.col("_n") == 0) | (F.size("changed") > 0)).drop("_n", *(f"_before_{f}" for f in fields))
 
 
 def first_updates(updates: DataFrame, session: str) -> DataFrame:

@@ -66,13 +66,22 @@ def _every(samples: DataFrame, default_s: float, overrides: DataFrame) -> DataFr
     return rows.withColumn("every", F.when((F.col("every") > 0) & ~C.non_finite(F.col("value")), (F.col("every") * 1_000_000).cast("long")))
 
 
+def _until(samples: DataFrame, now: datetime) -> DataFrame:
+    """samples with the time of their signal's next one as `until`, now for the last. A table's signals may be large and are cut; the samples of a micro-batch, which have a time `since`,
+    are few for each signal."""
+    if "since" in samples.columns:
+        rows = samples.withColumn("until", F.lead("time").over(Window.partitionBy("pv_id").orderBy("time", "tiebreak")))
+    else:
+        rows = scanned(samples, "pv_id", ["time", "tiebreak"], after={"until": "time"})
+    return rows.withColumn("until", F.coalesce("until", F.lit(now).cast("timestamp_ntz")))
+
+
 def heartbeats(samples: DataFrame, default_s: float, overrides: DataFrame, now: datetime) -> DataFrame:
     """Rows at exact multiples of a signal's interval after each real sample, before the next one (or up to now), with its value and alarm.
 
     overrides (pv_id, heartbeat_s): null the default, 0 or less off. Non-finite values give none. Where samples have a time `since`, no row before it is made.
     """
-    w = Window.partitionBy("pv_id").orderBy("time", "tiebreak")
-    rows = _every(samples, default_s, overrides).withColumn("until", F.coalesce(F.lead("time").over(w), F.lit(now).cast("timestamp_ntz")))
+    rows = _every(_until(samples, now), default_s, overrides)
     n = F.floor((_micros("until") - _micros("time") - 1) / F.col("every")).cast("long")
     first = F.lit(1).cast("long")
     if "since" in samples.columns:
@@ -93,8 +102,7 @@ def heartbeats_due(last: DataFrame, default_s: float, overrides: DataFrame, now:
 
 def timeouts(samples: DataFrame, after_s: float, now: datetime) -> DataFrame:
     """Gaps of more than `after_s` seconds: the sentinel row at their end of patience. Where samples have a time `since`, no row before it is made."""
-    w = Window.partitionBy("pv_id").orderBy("time", "tiebreak")
-    rows = samples.withColumn("until", F.coalesce(F.lead("time").over(w), F.lit(now).cast("timestamp_ntz")))
+    rows = _until(samples, now)
     rows = rows.where(C.seconds_between(F.col("time"), F.col("until")) > after_s)
     at = F.timestamp_micros(_micros("time") + int(after_s * 1_000_000)).cast("timestamp_ntz")
     if "since" in samples.columns:

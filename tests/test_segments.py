@@ -1,5 +1,7 @@
 """Scans in ranges against windows."""
 
+from datetime import datetime
+
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -57,6 +59,11 @@ def test_operators_on_a_hot_signal(spark, rows, monkeypatch, largest):
     assert ("__range" in plan) == (largest == 100)
     assert same(filled, rows.withColumns({c: F.last(c, True).over(w.rowsBetween(Window.unboundedPreceding, 0)) for c in ("value", "severity")}))
     events = rows.select("pv_id", F.col("time").alias("ts"), F.col("tiebreak").alias("event_id"), (F.col("tiebreak") % 5).cast("int").alias("event_type"))
+    whole, now = rows.where("pv_id IS NOT NULL").withColumns({"value": F.lit(1.0), "status": F.lit(0)}), datetime(2024, 1, 2)
+    every = spark.createDataFrame([], "pv_id int, heartbeat_s double")
+    marked = whole.withColumn("since", F.lit(None).cast("timestamp_ntz"))
+    for made in (lambda d: lifecycle.timeouts(d, 40.0, now), lambda d: lifecycle.heartbeats(d.where("pv_id > 40"), 500.0, every, now)):
+        assert same(made(whole), made(marked)) and made(whole).count() > 40
     v = Window.partitionBy("pv_id").orderBy("ts", "event_id")
     kept = events.where("event_type IN (3, 4)").withColumn("b", F.lag("event_type").over(v)).where("b IS NULL OR b <> event_type").withColumn("until", F.lead("ts").over(v))
     assert same(lifecycle.connectivity_intervals(events), kept.where("event_type = 3").select("pv_id", F.col("ts").alias("down_at"), F.col("until").alias("up_at")))
