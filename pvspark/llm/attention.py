@@ -14,10 +14,10 @@ VOCABULARY = 50_257
 EDGE = 50_256  # stands before and after each text
 BEGIN, OUTSIDE = 65_534, 65_535  # in kept windows: the place before a text, and places beyond it
 BITS = 6
-CLASSES, MEMBERS = 32, 1 << BITS
+CLASSES, MEMBERS = 64, 1 << BITS
 OWN = CLASSES * MEMBERS
 RARE, PAD = OWN, OWN + 1  # symbols of other ids, and of slots outside the text
-WINDOW, CONTEXT, DIM, KEYS, UNITS = 20, 4, 20, 8, 32
+WINDOW, CONTEXT, DIM, KEYS, UNITS = 20, 4, 32, 16, 64
 STEP = WINDOW - CONTEXT
 SHAPES = {
     "e": (OWN + 2, DIM), "pos": (WINDOW, DIM), "q": (DIM, KEYS), "kv": (DIM, KEYS + DIM), "in": (DIM, UNITS), "out": (UNITS, DIM),
@@ -27,7 +27,7 @@ SIZES = {k: int(np.prod(s)) for k, s in SHAPES.items()}
 #: Windows whose outputs are scored at once, and rows of a softmax.
 SCORED, ROWS = 2048, 2048
 #: Adam: weights of the means, and the windows of a step.
-FIRST, SECOND, BATCH = 0.9, 0.99, 128
+FIRST, SECOND, BATCH = 0.9, 0.99, 512
 _CAUSAL = (np.arange(WINDOW)[None, :] <= np.arange(CONTEXT, WINDOW)[:, None]).astype(np.float32)
 _ONES = np.ones(WINDOW, np.float32)
 

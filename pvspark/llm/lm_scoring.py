@@ -1,8 +1,9 @@
 """Language-model scores of whole texts.
 
-The model is causal self-attention over subword ids, in numpy (see attention.py); all probabilities come from it. Windows of the training texts are
-chosen by a hash of their text and place, one in SHARE for each round, so what is learned from grows with the corpus and does not depend on how the
-input is split. The chosen windows are dealt to shards of about SHARD windows; each is trained on from the same weights, and the results are averaged.
+The model is causal self-attention over subword ids, in numpy (see attention.py); all probabilities come from it. Every window of the training texts
+is learned from once, in one of ROUNDS rounds that a hash of its text, id and place gives it, so nothing depends on how the input is split and copies of
+a text are spread. The windows of a round are dealt to shards of about SHARD windows; each is trained on from the same weights, and the results are
+averaged.
 
 The base score is a unigram model over words. Counts of words are a table; the most frequent ones (FREQUENT at most) go to every task, and what a
 text has besides is joined with the table.
@@ -23,11 +24,11 @@ from pvspark.llm import attention as at
 from pvspark.llm import text as tx
 from pvspark.llm.classifiers import held_out
 from pvspark.llm.encoding import encode
-from pvspark.llm.shared import dropped, stored
+from pvspark.llm.shared import stored
 
 PARTS, HELD_OUT = 5, 1
-#: One window in SHARE is learned from in each of ROUNDS rounds (other ones each time), about SHARD windows together.
-SHARE, ROUNDS, SHARD, RATE = 16, 2, 1 << 16, 0.02
+#: One window in SHARE is learned from in each of ROUNDS rounds (other ones each time, so all of them in the end), about SHARD windows together.
+SHARE, ROUNDS, SHARD, RATE = 2, 2, 1 << 18, 0.02
 #: Words whose counts every task holds (4 MB); frequencies are cut at a step of 2**(1/STEPS), so all words of one step are in or out.
 FREQUENT, STEPS = 1 << 18, 8
 #: Distinct words that a task holds before it sends their counts, and rows of a batch that it sends.
@@ -36,7 +37,7 @@ HELD, SENT = 1 << 20, 1 << 16
 ENCODED = 1 << 20
 
 _ROWS = "row bigint, doc_id bigint, held boolean, n_tokens bigint, known bigint, base double"
-_KEPT = "turn int, key bigint, ids binary"
+_KEPT = "key bigint, ids binary"
 
 
 class Table:
@@ -158,8 +159,9 @@ def id_counts(train: DataFrame) -> np.ndarray:
     return out
 
 
-def chosen(train: DataFrame, share: int = SHARE, rounds: int = ROUNDS) -> DataFrame:
-    """The windows that are learned from: round, a key that orders them, ids (of attention.sequences()). Equal texts have equal windows."""
+def chosen(train: DataFrame, turn: int, share: int = SHARE) -> DataFrame:
+    """The windows of a round: a key that orders and deals them, ids (of attention.sequences()). Rows of one text and one id, and only they, have the
+    same keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -167,13 +169,13 @@ def chosen(train: DataFrame, share: int = SHARE, rounds: int = ROUNDS) -> DataFr
                 ids, n, texts = _ids(part.column("ids"))
                 slots, inside = at.windows(n)
                 k = -(-n // at.STEP)
-                key = tx.mix(np.repeat(texts, k) + (np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-                turn = (key % np.uint64(share)).astype(np.int64)
-                some = np.flatnonzero(turn < rounds)
+                rows = tx.mix(texts + tx.mix(part.column("doc_id").fill_null(-1).to_numpy().view(np.uint64)))
+                key = tx.mix(np.repeat(rows, k) + (np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+                some = np.flatnonzero(key % np.uint64(share) == turn)
                 kept = at.sequences(ids, slots[some], inside[some])
-                yield pa.RecordBatch.from_arrays([pa.array(turn[some], pa.int32()), pa.array(key[some].view(np.int64)), _bytes(kept.ravel(), np.full(len(kept), kept.shape[1]))], ["turn", "key", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array(key[some].view(np.int64)), _bytes(kept.ravel(), np.full(len(kept), kept.shape[1]))], ["key", "ids"])
 
-    return stored(train.select("ids").mapInArrow(tx.tidy(run), _KEPT))
+    return train.select("doc_id", "ids").mapInArrow(tx.tidy(run), _KEPT)
 
 
 def _learn(w: dict, c: at.Classes, rate: float):
@@ -189,18 +191,16 @@ def trained(texts: DataFrame, share: int = SHARE, rounds: int = ROUNDS, shard: i
     """The model of the training texts. Without any, all ids are alike."""
     train = texts.where("not held")
     c = at.Classes(id_counts(train))
-    w, kept = at.start(c), chosen(train, share, rounds)
-    numbers = {r.turn: r.n for r in kept.groupBy("turn").agg(F.count("*").alias("n")).collect()}
+    w = at.start(c)
+    shards = max(1, round((train.agg(F.sum(F.ceil(F.length("ids") / (2 * at.STEP)))).first()[0] or 0) / share / shard))
     for turn in range(rounds):
-        shards = max(1, round(numbers.get(turn, 0) / shard))
-        dealt = kept.where(F.col("turn") == turn).select("key", "ids", F.pmod(F.shiftrightunsigned("key", 16), F.lit(shards)).alias("shard"))
+        dealt = chosen(train, turn, share).select("key", "ids", F.pmod(F.shiftrightunsigned("key", 16), F.lit(shards)).alias("shard"))
         some = dealt.groupBy("shard").applyInPandas(_learn(w, c, RATE * 0.3**turn), "w array<double>, n bigint").select("n", F.posexplode("w"))
         mean = some.groupBy("pos").agg((F.sum(F.col("col") * F.col("n")) / F.sum("n")).alias("x"))  # as many rows as the model has weights
         flat = at.pack(w)
         for batch in mean.toArrow().to_batches():
             flat[batch.column("pos").to_numpy()] = batch.column("x").to_numpy()
         w = at.unpack(flat)
-    dropped(kept)
     return w, c
 
 

@@ -726,17 +726,32 @@ def test_lm_scores_equal_plain_attention():
 
 def test_lm_training_does_not_depend_on_splits(spark):
     rng = np.random.default_rng(8)
-    texts = [(False, bytearray(rng.integers(0, 5000, rng.integers(1, 400)).astype("<u2").tobytes())) for _ in range(60)]
-    frame = spark.createDataFrame(texts, "held boolean, ids binary")
+    texts = [(k, False, bytearray(rng.integers(0, 5000, rng.integers(1, 400)).astype("<u2").tobytes())) for k in range(60)]
+    frame = spark.createDataFrame(texts, "doc_id bigint, held boolean, ids binary")
     models = [attention.pack(lm_scoring.trained(frame.repartition(k), share=3, shard=100)[0]) for k in (1, 5)]
     assert np.abs(models[0] - models[1]).max() < 1e-6
-    other = spark.createDataFrame([*texts[:-1], (False, bytearray(np.arange(400, dtype="<u2").tobytes()))], "held boolean, ids binary")
+    other = spark.createDataFrame([*texts[:-1], (59, False, bytearray(np.arange(400, dtype="<u2").tobytes()))], frame.schema)
     assert np.abs(models[0] - attention.pack(lm_scoring.trained(other, share=3, shard=100)[0])).max() > 1e-4
 
 
+def test_lm_learns_from_every_window_once(spark):
+    """The rounds' windows together are those of all texts; those of copies have keys of their own, so that shards share them."""
+    rng = np.random.default_rng(9)
+    texts = [rng.integers(0, 5000, n).astype("<u2") for n in (1, 16, 17, 300)] + [np.arange(40, dtype="<u2")] * 200
+    frame = spark.createDataFrame([(k or None, bytearray(x.tobytes())) for k, x in enumerate(texts)], "doc_id bigint, ids binary")
+    got = [r for turn in range(lm_scoring.ROUNDS) for r in lm_scoring.chosen(frame, turn).collect()]
+    n = np.array([len(x) for x in texts])
+    slots, inside = attention.windows(n)
+    want = attention.sequences(np.concatenate(texts).astype(np.int64), slots, inside)
+    assert lm_scoring.SHARE == lm_scoring.ROUNDS
+    assert Counter(bytes(r.ids) for r in got) == Counter(x.astype("<u2").tobytes() for x in want)
+    assert len({r.key for r in got}) == len(got)
+
+
 def test_lm_beats_the_base_on_held_out_texts(spark):
     rows = [r for r in lm_scoring.op7_lm_scoring(spark, "/root/testdata/sf0.1").collect() if r.held_out]
     assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
+    assert sum(r.score > r.base_score for r in rows) > len(rows) / 2
 
 
 def test_word_table():
