@@ -27,7 +27,7 @@ SIZES = {k: int(np.prod(s)) for k, s in SHAPES.items()}
 #: Windows whose outputs are scored at once, and rows of a softmax.
 SCORED, ROWS = 2048, 2048
 #: Adam: weights of the means, and the windows of a step.
-FIRST, SECOND, BATCH = 0.9, 0.99, 512
+FIRST, SECOND, BATCH = 0.9, 0.99, 256
 _CAUSAL = (np.arange(WINDOW)[None, :] <= np.arange(CONTEXT, WINDOW)[:, None]).astype(np.float32)
 _ONES = np.ones(WINDOW, np.float32)
 

@@ -28,7 +28,7 @@ from pvspark.llm.shared import stored
 
 PARTS, HELD_OUT = 5, 1
 #: One window in SHARE is learned from in each of ROUNDS rounds (other ones each time, so all of them in the end), about SHARD windows together.
-SHARE, ROUNDS, SHARD, RATE = 2, 2, 1 << 18, 0.02
+SHARE, ROUNDS, SHARD, RATE = 2, 2, 1 << 17, 0.02
 #: Words whose counts every task holds (4 MB); frequencies are cut at a step of 2**(1/STEPS), so all words of one step are in or out.
 FREQUENT, STEPS = 1 << 18, 8
 #: Distinct words that a task holds before it sends their counts, and rows of a batch that it sends.
@@ -195,6 +195,7 @@ def trained(texts: DataFrame, share: int = SHARE, rounds: int = ROUNDS, shard: i
     shards = max(1, round((train.agg(F.sum(F.ceil(F.length("ids") / (2 * at.STEP)))).first()[0] or 0) / share / shard))
     for turn in range(rounds):
         dealt = chosen(train, turn, share).select("key", "ids", F.pmod(F.shiftrightunsigned("key", 16), F.lit(shards)).alias("shard"))
+        dealt = dealt.repartition(2 * shards, "shard")  # a number of its own: by bytes, AQE would join shards, whose work is large for their size
         some = dealt.groupBy("shard").applyInPandas(_learn(w, c, RATE * 0.3**turn), "w array<double>, n bigint").select("n", F.posexplode("w"))
         mean = some.groupBy("pos").agg((F.sum(F.col("col") * F.col("n")) / F.sum("n")).alias("x"))  # as many rows as the model has weights
         flat = at.pack(w)
