@@ -8,6 +8,8 @@ vocabulary. A text is cut into windows of WINDOW ids that overlap by CONTEXT; ea
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 
 VOCABULARY = 50_257
@@ -24,10 +26,15 @@ SHAPES = {
     "o": (DIM, CLASSES + 1), "b": (CLASSES + 1,), "m": (CLASSES, DIM, MEMBERS), "mb": (CLASSES, MEMBERS),
 }
 SIZES = {k: int(np.prod(s)) for k, s in SHAPES.items()}
+#: What the layer takes of a slot: its input, key and value, and query, side by side.
+WIDE = DIM + KEYS + DIM + KEYS
+INPUT, KEY, VALUE, QUERY = slice(0, DIM), slice(DIM, DIM + KEYS), slice(DIM + KEYS, WIDE - KEYS), slice(WIDE - KEYS, WIDE)
 #: Windows whose outputs are scored at once, and rows of a softmax.
 SCORED, ROWS = 2048, 2048
 #: Adam: weights of the means, and the windows of a step.
 FIRST, SECOND, BATCH = 0.9, 0.99, 256
+#: Weights that Adam handles at once, which stay in a core's cache, and how often a symbol has to occur in a batch to be summed alone.
+BLOCK, OFTEN = 1 << 14, 16
 _CAUSAL = (np.arange(WINDOW)[None, :] <= np.arange(CONTEXT, WINDOW)[:, None]).astype(np.float32)
 _ONES = np.ones(WINDOW, np.float32)
 
@@ -77,141 +84,212 @@ def pack(w: dict) -> np.ndarray:
 
 
 def unpack(flat: np.ndarray) -> dict:
+    return {k: x.astype(np.float32) for k, x in views(flat).items()}
+
+
+def views(flat: np.ndarray) -> dict[str, np.ndarray]:
+    """The weights in an array of pack()'s order, not copied."""
     ends = np.cumsum(list(SIZES.values()))
-    return {k: flat[end - SIZES[k] : end].reshape(s).astype(np.float32) for (k, s), end in zip(SHAPES.items(), ends.tolist(), strict=True)}
+    return {k: flat[end - SIZES[k] : end].reshape(s) for (k, s), end in zip(SHAPES.items(), ends.tolist(), strict=True)}
+
+
+def wide(w: dict, rows: np.ndarray) -> np.ndarray:
+    """Inputs with their keys, values and queries. All are linear in the input, so those of a slot are those of its symbol and of its place, added."""
+    return np.concatenate([rows, rows @ w["kv"], rows @ w["q"]], axis=1)
 
 
-def hidden(w: dict, symbols: np.ndarray, inside: np.ndarray) -> dict:
-    """Masked attention and the units over a batch of windows (symbols and inside: windows by slots), with all that the way back needs."""
-    n = len(symbols)
-    x = np.take(w["e"], symbols, axis=0)
-    x += w["pos"]
-    late, flat = np.ascontiguousarray(x[:, CONTEXT:]).reshape(-1, DIM), x.reshape(-1, DIM)
-    q, kv = (late @ w["q"]).reshape(n, STEP, KEYS), (flat @ w["kv"]).reshape(n, WINDOW, KEYS + DIM)
-    k, v = kv[:, :, :KEYS], kv[:, :, KEYS:]
+def hidden(w: dict, table: np.ndarray, places: np.ndarray, rows: np.ndarray, inside: np.ndarray) -> dict:
+    """Masked attention and the units over a batch of windows, with all that the way back needs. table and places: wide() of symbols and of places; rows
+    (of the table) and inside: windows by slots."""
+    n = len(rows)
+    x = np.take(table, rows, axis=0)
+    x += places
+    late = x[:, CONTEXT:]
+    q, k, v = late[:, :, QUERY], x[:, :, KEY], x[:, :, VALUE]
     s = q @ k.transpose(0, 2, 1)
     np.minimum(s, np.float32(60), out=s)  # far above what occurs; exp does not overflow
     np.exp(s, out=s)
     s *= _CAUSAL
     s[np.flatnonzero(~inside[:, 0]), :, :CONTEXT] *= inside[~inside[:, 0], None, :CONTEXT]  # slots behind a text are masked by the order already
     total = s.reshape(-1, WINDOW) @ _ONES
-    h = (s @ v).reshape(-1, DIM)
-    h /= total[:, None]
-    h += late
+    seen = (s @ v).reshape(-1, DIM)
+    seen /= total[:, None]
+    h = (seen.reshape(n, STEP, DIM) + late[:, :, INPUT]).reshape(-1, DIM)
     u = h @ w["in"]
-    np.maximum(u, 0, out=u)
+    np.maximum(u, np.zeros_like(u), out=u)  # by an array: quicker than by a number
     y = u @ w["out"]
     y += h
-    return {"flat": flat, "late": late, "q": q, "k": k, "v": v, "s": s, "total": total, "h": h, "u": u, "y": y}
+    return {"q": q, "k": k, "v": v, "s": s, "total": total, "seen": seen, "h": h, "u": u, "y": y}
 
 
-def _softmax(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """exp(z) in place of z, and its sums."""
-    np.minimum(z, np.float32(60), out=z)
-    np.exp(z, out=z)
-    return z, z @ np.ones(z.shape[1], np.float32)
+def _softmax(logits: Callable[[], np.ndarray], mine: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """exp of the logits, up to a factor for each row, its sums, and the logarithm of the share at mine (places in the flat array). Logits are shifted by
+    their largest only where the sums say that exp left what it can hold."""
+    z = logits()
+    own = z.ravel()[mine]
+    with np.errstate(over="ignore"):
+        np.exp(z, out=z)
+    total = z @ np.ones(z.shape[1], z.dtype)
+    if len(z) and not (total.min() > 1e-30 and total.max() < np.inf):
+        z = logits()
+        z -= z.max(axis=1, keepdims=True)
+        own = z.ravel()[mine]
+        np.exp(z, out=z)
+        total = z.sum(axis=1)
+    return z, total, own - np.log(total)
 
 
-def _by_class(of: np.ndarray):
-    """The rows of each class of ids: (class, rows)."""
-    order = np.argsort(of, kind="stable")
-    cuts = np.searchsorted(of[order], np.arange(CLASSES + 1))
-    return [(c, order[a:b]) for c, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if b > a]
+def _by_class(symbols: np.ndarray) -> np.ndarray:
+    return np.argsort((symbols >> BITS).astype(np.uint8), kind="stable")  # of small numbers: by counting
+
+
+def _members(w: dict, y: np.ndarray, cuts: list[int]) -> np.ndarray:
+    """Logits of the members of each row's class; rows are in the order of classes."""
+    z = np.empty((len(y), MEMBERS), y.dtype)
+    for group, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+        if b > a:
+            np.matmul(y[a:b], w["m"][group], out=z[a:b])
+            z[a:b] += w["mb"][group]
+    return z
 
 
 def log_probability(w: dict, c: Classes, ids: np.ndarray, n: np.ndarray) -> np.ndarray:
     """The natural logarithm of each target's probability (ids of texts that follow each other, n of each)."""
-    symbols, target, out = c.symbol[before(ids, n)], c.symbol[ids], np.zeros(len(ids))
+    symbols, target, out = c.symbol[before(ids, n)], c.symbol[ids].astype(np.int64), np.zeros(len(ids))
     at, inside = windows(n)
+    table, places = wide(w, w["e"]), wide(w, w["pos"])
     for a in range(0, len(at), SCORED):
         y, to = [], []
         for b in range(a, min(a + SCORED, len(at)), BATCH):
             p, ok = at[b : b + BATCH], inside[b : b + BATCH]
             good = np.flatnonzero(ok[:, CONTEXT:])
             to.append(p[:, CONTEXT:].ravel()[good])
-            y.append(np.take(hidden(w, np.where(ok, symbols[p], PAD), ok)["y"], good, axis=0))
+            y.append(np.take(hidden(w, table, places, np.where(ok, symbols[p], PAD), ok)["y"], good, axis=0))
         y, to = np.concatenate(y), np.concatenate(to)
         mine = np.take(target, to)
-        order = np.argsort(mine >> BITS, kind="stable")  # by class
+        order = _by_class(mine)
         y, to, mine = np.take(y, order, axis=0), np.take(to, order), np.take(mine, order)
-        of, place = mine >> BITS, mine & (MEMBERS - 1)
-        cuts, score = np.searchsorted(of, np.arange(CLASSES + 1)), np.zeros(len(y), np.float32)
         for k in range(0, len(y), ROWS):
-            z = y[k : k + ROWS] @ w["o"] + w["b"]
-            own = z[np.arange(len(z)), of[k : k + ROWS]]
-            score[k : k + ROWS] = own - np.log(_softmax(z)[1])
-        for group in range(CLASSES):
-            for k in range(cuts[group], cuts[group + 1], ROWS):
-                e = min(k + ROWS, cuts[group + 1])
-                z = y[k:e] @ w["m"][group] + w["mb"][group]
-                own = z[np.arange(e - k), place[k:e]]
-                score[k:e] += own - np.log(_softmax(z)[1])
-        out[to] = score
+            out[to[k : k + ROWS]] = _chances(w, y[k : k + ROWS], mine[k : k + ROWS])
     return out + c.share[ids]
 
 
-def gradient(w: dict, symbols: np.ndarray, inside: np.ndarray, targets: np.ndarray) -> tuple[dict, float]:
-    """The gradient of the mean loss over the targets (symbols) of a batch of windows, and that loss."""
-    n, f = len(symbols), hidden(w, symbols, inside)
+def _chances(w: dict, y: np.ndarray, mine: np.ndarray) -> np.ndarray:
+    """Logarithms of the probabilities of symbols after outputs; rows are in the order of classes."""
+    of, at = mine >> BITS, np.arange(len(y))
+    cuts = np.searchsorted(of, np.arange(CLASSES + 1)).tolist()
+    out, own = _softmax(lambda: y @ w["o"] + w["b"], at * (CLASSES + 1) + of)[2], cuts[-1]
+    out[:own] += _softmax(lambda: _members(w, y[:own], cuts), at[:own] * MEMBERS + (mine[:own] & (MEMBERS - 1)))[2]
+    return out
+
+
+def _distinct(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct symbols, the most frequent ones first, how often each occurs, and which of them stands at each place."""
+    n = np.bincount(symbols.ravel(), minlength=OWN + 2)
+    some = np.flatnonzero(n)
+    some = some[np.argsort(-n[some], kind="stable")]
+    of = np.zeros(OWN + 2, np.int64)
+    of[some] = np.arange(len(some))
+    return some, n[some], of[symbols]
+
+
+def _sums(x: np.ndarray, of: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The sums of the rows of x for each number in `of`; n: how often each occurs, in descending order. Those that occur often are summed one by one,
+    the others together, their first rows, then their second ones, and so on."""
+    x, first = np.take(x, np.argsort(of.astype(np.uint16), kind="stable"), axis=0), np.cumsum(n) - n
+    ends = np.searchsorted(-n, -np.arange(OFTEN)).tolist()  # how many occur more than 0, 1, 2 and so on times
+    out, often = np.empty((len(n), x.shape[1]), x.dtype), ends[-1]
+    ones = np.ones(int(n[0]), x.dtype)
+    for k, (a, m) in enumerate(zip(first[:often].tolist(), n[:often].tolist(), strict=True)):
+        np.matmul(ones[:m], x[a : a + m], out=out[k])
+    out[often:] = x[first[often:]]
+    for r, end in enumerate(ends[1:-1], 1):
+        out[often:end] += x[first[often:end] + r]
+    return out
+
+
+def gradient(w: dict, symbols: np.ndarray, inside: np.ndarray, targets: np.ndarray, into: np.ndarray | None = None) -> tuple[dict, float]:
+    """The gradient of the mean loss over the targets (symbols) of a batch of windows, and that loss. into: an array for it, in pack()'s order."""
+    some, times, of = _distinct(symbols)
+    rows = w["e"][some]
+    n, f = len(symbols), hidden(w, wide(w, rows), wide(w, w["pos"]), of, inside)
+    if into is None:
+        into = np.empty(sum(SIZES.values()), rows.dtype)
+    into.fill(0)
+    g = views(into)
     good = np.flatnonzero(inside[:, CONTEXT:])
-    mine, y = targets[:, CONTEXT:].ravel()[good], f["y"][good]
-    of, scale, g = mine >> BITS, np.float32(1 / max(1, len(good))), {k: np.zeros_like(w[k]) for k in ("m", "mb", "e")}
-    z, total = _softmax(y @ w["o"] + w["b"])
-    loss = -np.log(z[np.arange(len(z)), of] / total).sum()
+    mine = targets[:, CONTEXT:].ravel()[good].astype(np.int64)
+    order = _by_class(mine)
+    good, mine = good[order], mine[order]
+    group, place, at, y, scale = mine >> BITS, mine & (MEMBERS - 1), np.arange(len(good)), f["y"][good], rows.dtype.type(1 / max(1, len(good)))
+    cuts = np.searchsorted(group, np.arange(CLASSES + 1)).tolist()
+    own, ones = cuts[-1], np.ones(len(y), y.dtype)
+    z, total, chance = _softmax(lambda: y @ w["o"] + w["b"], at * (CLASSES + 1) + group)
+    loss = -chance.sum()
     z *= (scale / total)[:, None]
-    z[np.arange(len(z)), of] -= scale
-    g["o"], g["b"], dy = y.T @ z, z.sum(axis=0), z @ w["o"].T
-    order = np.argsort(of, kind="stable")
-    cuts = np.searchsorted(of[order], np.arange(CLASSES + 1)).tolist()
-    for group, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+    z.ravel()[at * (CLASSES + 1) + group] -= scale
+    np.matmul(y.T, z, out=g["o"])
+    np.matmul(ones, z, out=g["b"])
+    dy = z @ w["o"].T
+    z, total, chance = _softmax(lambda: _members(w, y[:own], cuts), at[:own] * MEMBERS + place[:own])
+    loss -= chance.sum()
+    z *= (scale / total)[:, None]
+    z.ravel()[at[:own] * MEMBERS + place[:own]] -= scale
+    for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
         if b > a:
-            rows = order[a:b]
-            z, total = _softmax(y[rows] @ w["m"][group] + w["mb"][group])
-            place = mine[rows] & (MEMBERS - 1)
-            loss -= np.log(z[np.arange(b - a), place] / total).sum()
-            z *= (scale / total)[:, None]
-            z[np.arange(b - a), place] -= scale
-            g["m"][group], g["mb"][group] = y[rows].T @ z, z.sum(axis=0)
-            dy[rows] += z @ w["m"][group].T
+            np.matmul(y[a:b].T, z[a:b], out=g["m"][k])
+            np.matmul(ones[a:b], z[a:b], out=g["mb"][k])
+            dy[a:b] += z[a:b] @ w["m"][k].T
     dh = np.zeros_like(f["y"])
     dh[good] = dy
-    g["out"] = f["u"].T @ dh
-    du = (dh @ w["out"].T) * (f["u"] > 0)
-    g["in"] = f["h"].T @ du
+    np.matmul(f["u"].T, dh, out=g["out"])
+    du = dh @ w["out"].T
+    du *= f["u"] > 0
+    np.matmul(f["h"].T, du, out=g["in"])
     dh += du @ w["in"].T
-    per, s = (dh / f["total"][:, None]).reshape(n, STEP, DIM), f["s"]
-    dkv = np.empty((n, WINDOW, KEYS + DIM), dy.dtype)
-    dkv[:, :, KEYS:] = s.transpose(0, 2, 1) @ per
+    per, s, dx = (dh / f["total"][:, None]).reshape(n, STEP, DIM), f["s"], np.zeros((n, WINDOW, WIDE), rows.dtype)
+    late = dx[:, CONTEXT:]
+    late[:, :, INPUT] = dh.reshape(n, STEP, DIM)
+    np.matmul(s.transpose(0, 2, 1), per, out=dx[:, :, VALUE])
     ds = per @ f["v"].transpose(0, 2, 1)
-    ds -= (per.reshape(-1, DIM) * (f["h"] - f["late"])).sum(axis=1).reshape(n, STEP, 1)
+    ds -= np.einsum("ij,ij->i", per.reshape(-1, DIM), f["seen"]).reshape(n, STEP, 1)
     ds *= s
-    dkv[:, :, :KEYS] = ds.transpose(0, 2, 1) @ f["q"]
-    dq, dkv = (ds @ f["k"]).reshape(-1, KEYS), dkv.reshape(-1, KEYS + DIM)
-    g["q"], g["kv"] = f["late"].T @ dq, f["flat"].T @ dkv
-    dx = (dkv @ w["kv"].T).reshape(n, WINDOW, DIM)
-    dx[:, CONTEXT:] += (dh + dq @ w["q"].T).reshape(n, -1, DIM)
-    g["pos"] = dx.sum(axis=0)
-    order = np.argsort(symbols.ravel(), kind="stable")
-    rows, first = np.unique(symbols.ravel()[order], return_index=True)
-    g["e"][rows] = np.add.reduceat(dx.reshape(-1, DIM)[order], first, axis=0)
+    np.matmul(ds.transpose(0, 2, 1), f["q"], out=dx[:, :, KEY])
+    np.matmul(ds, f["k"], out=late[:, :, QUERY])
+    sums, places = _sums(dx.reshape(-1, WIDE), of.ravel(), times), (np.ones(n, dx.dtype) @ dx.reshape(n, -1)).reshape(WINDOW, WIDE)
+    for name, where in (("kv", slice(KEY.start, VALUE.stop)), ("q", QUERY)):
+        g[name][:] = rows.T @ sums[:, where] + w["pos"].T @ places[:, where]
+    for name, at, part in (("e", some, sums), ("pos", slice(None), places)):
+        g[name][at] = part[:, INPUT] + part[:, KEY.start : VALUE.stop] @ w["kv"].T + part[:, QUERY] @ w["q"].T
     return g, float(loss)
 
 
 class Adam:
-    """Steps of a copy of some weights."""
+    """Steps of a copy of some weights. The means are kept without their factors, which are in the rate."""
 
     def __init__(self, w: dict):
-        self.w = {k: x.copy() for k, x in w.items()}
-        self.mean, self.square, self.steps = {k: np.zeros_like(x) for k, x in w.items()}, {k: np.zeros_like(x) for k, x in w.items()}, 0
+        self.flat = pack(w)
+        self.w, self.steps = views(self.flat), 0
+        self.mean, self.square, self.slope, self.spare = np.zeros_like(self.flat), np.zeros_like(self.flat), np.empty_like(self.flat), np.empty(BLOCK, self.flat.dtype)
 
-    def step(self, g: dict, rate: float) -> None:
+    def step(self, rate: float) -> None:
+        """A step by the gradient in slope, which it overwrites."""
         self.steps += 1
-        rate *= (1 - SECOND**self.steps) ** 0.5 / (1 - FIRST**self.steps)
-        for k, x in g.items():
-            m, v = self.mean[k], self.square[k]
-            m += np.float32(1 - FIRST) * (x - m)
-            v += np.float32(1 - SECOND) * (x * x - v)
-            self.w[k] -= np.float32(rate) * m / (np.sqrt(v) + np.float32(1e-7))
+        root = (1 - SECOND) ** 0.5
+        rate *= (1 - SECOND**self.steps) ** 0.5 / (1 - FIRST**self.steps) * (1 - FIRST) / root
+        for a in range(0, len(self.flat), BLOCK):
+            w, g, m, v = (x[a : a + BLOCK] for x in (self.flat, self.slope, self.mean, self.square))
+            t = self.spare[: len(w)]
+            m *= np.float32(FIRST)
+            m += g
+            v *= np.float32(SECOND)
+            np.multiply(g, g, out=g)
+            v += g
+            np.sqrt(v, out=t)
+            t += np.float32(1e-7 / root)
+            np.divide(m, t, out=t)
+            t *= np.float32(rate)
+            w -= t
 
 
 def sequences(ids: np.ndarray, at: np.ndarray, inside: np.ndarray) -> np.ndarray:
@@ -232,5 +310,6 @@ def fit(w: dict, c: Classes, kept: np.ndarray, rate: float) -> dict:
         part = kept[a : a + BATCH].astype(np.int64)
         inside = part[:, 1:] < BEGIN
         known = np.where(part < BEGIN, part, EDGE)
-        own.step(gradient(own.w, np.where(inside, c.symbol[known[:, :-1]], PAD), inside, c.symbol[known[:, 1:]])[0], rate)
+        gradient(own.w, np.where(inside, c.symbol[known[:, :-1]], PAD), inside, c.symbol[known[:, 1:]], own.slope)
+        own.step(rate)
     return own.w

@@ -14,7 +14,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -179,10 +178,10 @@ def chosen(train: DataFrame, turn: int, share: int = SHARE) -> DataFrame:
 
 
 def _learn(w: dict, c: at.Classes, rate: float):
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["key", "ids"])
-        rows = np.frombuffer(b"".join(group["ids"]), "<u2").reshape(len(group), at.WINDOW + 1)
-        return pd.DataFrame({"w": [at.pack(at.fit(w, c, rows, rate)).astype(float)], "n": [len(group)]})
+    def run(group: pa.Table) -> pa.Table:
+        rows = np.concatenate([_ids(x)[0].astype("<u2") for x in group.column("ids").chunks]).reshape(len(group), at.WINDOW + 1)
+        rows = rows[np.argsort(group.column("key").to_numpy(), kind="stable")]  # windows of one key are alike
+        return pa.table({"w": pa.array([at.pack(at.fit(w, c, rows, rate)).astype(float)]), "n": [len(group)]})
 
     return run
 
@@ -196,7 +195,7 @@ def trained(texts: DataFrame, share: int = SHARE, rounds: int = ROUNDS, shard: i
     for turn in range(rounds):
         dealt = chosen(train, turn, share).select("key", "ids", F.pmod(F.shiftrightunsigned("key", 16), F.lit(shards)).alias("shard"))
         dealt = dealt.repartition(2 * shards, "shard")  # a number of its own: by bytes, AQE would join shards, whose work is large for their size
-        some = dealt.groupBy("shard").applyInPandas(_learn(w, c, RATE * 0.3**turn), "w array<double>, n bigint").select("n", F.posexplode("w"))
+        some = dealt.groupBy("shard").applyInArrow(_learn(w, c, RATE * 0.3**turn), "w array<double>, n bigint").select("n", F.posexplode("w"))
         mean = some.groupBy("pos").agg((F.sum(F.col("col") * F.col("n")) / F.sum("n")).alias("x"))  # as many rows as the model has weights
         flat = at.pack(w)
         for batch in mean.toArrow().to_batches():

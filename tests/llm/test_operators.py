@@ -724,6 +724,47 @@ def test_lm_scores_equal_plain_attention():
             assert abs(every[mine[t]] - got[first[text] + t]) < 1e-3 and abs(np.exp(every).sum() - 1) < 1e-4
 
 
+def test_lm_logits_beyond_exp():
+    """Logits that exp can't hold are shifted, not cut off: probabilities still sum to one, and gradients are finite."""
+    rng = np.random.default_rng(10)
+    c = attention.Classes(rng.integers(1, 30, attention.VOCABULARY).astype(float))
+    ids, n = np.arange(attention.VOCABULARY), np.ones(attention.VOCABULARY, np.int64)  # each id alone, after the same context
+    for top in (70, 200, -200):
+        w = attention.start(c)
+        w["b"][:2] += top
+        w["b"][2:] += min(top, 0)
+        w["mb"][0] += top
+        w["mb"][1, 0] += top
+        with np.errstate(over="raise", invalid="raise", divide="raise"):
+            p = attention.log_probability(w, c, ids, n)
+            some = rng.integers(0, attention.OWN, (3, attention.WINDOW))
+            g, loss = attention.gradient(w, some, np.ones(some.shape, bool), some)
+        assert p.max() < 1e-4 and abs(np.exp(p).sum() - 1) < 1e-3, top
+        assert np.isfinite(loss) and all(np.isfinite(x).all() for x in g.values())
+
+
+def test_lm_steps_equal_plain_adam():
+    """A pass over windows with symbols that occur once, a few times and very often, against Adam by its formula; the sums of rows against a loop."""
+    rng = np.random.default_rng(11)
+    c = attention.Classes(rng.integers(0, 30, attention.VOCABULARY).astype(float))
+    kept = np.where(rng.random((attention.BATCH + 40, attention.WINDOW + 1)) < 0.3, 7, rng.zipf(1.3, (attention.BATCH + 40, attention.WINDOW + 1)) % 50_000).astype(np.uint16)
+    w = attention.start(c)
+    got, mean, square = attention.pack(attention.fit(w, c, kept, 0.01)), 0, 0
+    for k, part in enumerate((kept[: attention.BATCH], kept[attention.BATCH :]), 1):
+        symbols = c.symbol[part.astype(int)]
+        g = attention.pack(attention.gradient(w, symbols[:, :-1], np.ones((len(part), attention.WINDOW), bool), symbols[:, 1:])[0]).astype(float)
+        mean, square = 0.9 * mean + 0.1 * g, 0.99 * square + 0.01 * g * g
+        w = attention.unpack(attention.pack(w) - 0.01 * (mean / (1 - 0.9**k)) / (np.sqrt(square / (1 - 0.99**k)) + 1e-7 / (1 - 0.99**k) ** 0.5))
+    assert np.abs(got - attention.pack(w)).max() < 1e-4
+    x = rng.standard_normal((900, 3))
+    symbols = np.where(rng.random(900) < 0.5, 3, rng.integers(0, 400, 900))
+    some, times, of = attention._distinct(symbols)
+    sums = attention._sums(x, of, times)
+    assert sorted(some.tolist()) == sorted(set(symbols.tolist())) and times.max() > attention.OFTEN and times.min() == 1
+    for k, symbol in enumerate(some.tolist()):
+        assert np.abs(sums[k] - x[symbols == symbol].sum(axis=0)).max() < 1e-9
+
+
 def test_lm_training_does_not_depend_on_splits(spark):
     rng = np.random.default_rng(8)
     texts = [(k, False, bytearray(rng.integers(0, 5000, rng.integers(1, 400)).astype("<u2").tobytes())) for k in range(60)]
