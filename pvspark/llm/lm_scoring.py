@@ -32,6 +32,8 @@ SHARE, ROUNDS, SHARD, RATE = 2, 2, 1 << 17, 0.02
 FREQUENT, STEPS = 1 << 18, 8
 #: Distinct words that a task holds before it sends their counts, and rows of a batch that it sends.
 HELD, SENT = 1 << 20, 1 << 16
+#: Weights of a shard that go to their means as one row.
+PIECE = 1 << 12
 #: Bytes of text, or of ids, that are handled at once.
 ENCODED = 1 << 20
 
@@ -181,7 +183,9 @@ def _learn(w: dict, c: at.Classes, rate: float):
     def run(group: pa.Table) -> pa.Table:
         rows = np.concatenate([_ids(x)[0].astype("<u2") for x in group.column("ids").chunks]).reshape(len(group), at.WINDOW + 1)
         rows = rows[np.argsort(group.column("key").to_numpy(), kind="stable")]  # windows of one key are alike
-        return pa.table({"w": pa.array([at.pack(at.fit(w, c, rows, rate)).astype(float)]), "n": [len(group)]})
+        flat = at.pack(at.fit(w, c, rows, rate))
+        parts = [flat[a : a + PIECE] for a in range(0, len(flat), PIECE)]
+        return pa.table({"piece": np.arange(len(parts)), "w": pa.array(parts, pa.list_(pa.float32())), "n": np.full(len(parts), len(group))})
 
     return run
 
@@ -195,11 +199,12 @@ def trained(texts: DataFrame, share: int = SHARE, rounds: int = ROUNDS, shard: i
     for turn in range(rounds):
         dealt = chosen(train, turn, share).select("key", "ids", F.pmod(F.shiftrightunsigned("key", 16), F.lit(shards)).alias("shard"))
         dealt = dealt.repartition(2 * shards, "shard")  # a number of its own: by bytes, AQE would join shards, whose work is large for their size
-        some = dealt.groupBy("shard").applyInArrow(_learn(w, c, RATE * 0.3**turn), "w array<double>, n bigint").select("n", F.posexplode("w"))
-        mean = some.groupBy("pos").agg((F.sum(F.col("col") * F.col("n")) / F.sum("n")).alias("x"))  # as many rows as the model has weights
+        some = dealt.groupBy("shard").applyInArrow(_learn(w, c, RATE * 0.3**turn), "piece bigint, w array<float>, n bigint")
+        some = some.repartition("piece").select("piece", "n", F.posexplode("w"))  # pieces are shuffled whole, which takes less than a row for each weight
+        mean = some.groupBy("piece", "pos").agg((F.sum(F.col("col").cast("double") * F.col("n")) / F.sum("n")).alias("x"))  # as many rows as the model has weights
         flat = at.pack(w)
         for batch in mean.toArrow().to_batches():
-            flat[batch.column("pos").to_numpy()] = batch.column("x").to_numpy()
+            flat[batch.column("piece").to_numpy() * PIECE + batch.column("pos").to_numpy()] = batch.column("x").to_numpy()
         w = at.unpack(flat)
     return w, c
 

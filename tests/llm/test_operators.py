@@ -775,6 +775,25 @@ def test_lm_training_does_not_depend_on_splits(spark):
     assert np.abs(models[0] - attention.pack(lm_scoring.trained(other, share=3, shard=100)[0])).max() > 1e-4
 
 
+def test_lm_weights_are_means_of_shards(spark):
+    """Each round's weights are the means over its shards, weighted by their windows, and go over the shuffle in pieces, not one by one."""
+    rng = np.random.default_rng(12)
+    texts = [(k, False, bytearray(rng.integers(0, 5000, rng.integers(1, 400)).astype("<u2").tobytes())) for k in range(40)]
+    frame, size = spark.createDataFrame(texts, "doc_id bigint, held boolean, ids binary"), attention.WINDOW + 1
+    c = attention.Classes(lm_scoring.id_counts(frame))
+    w = attention.start(c)
+    shards = max(1, round(sum(-(-len(x) // (2 * attention.STEP)) for _, _, x in texts) / 2 / 100))
+    assert shards > 1
+    for turn in range(lm_scoring.ROUNDS):
+        dealt = [(r.key, (r.key % 2**64 >> 16) % shards, bytes(r.ids)) for r in lm_scoring.chosen(frame, turn).collect()]
+        groups = [[x for x in sorted(dealt) if x[1] == k] for k in range(shards)]
+        fitted = [attention.pack(attention.fit(w, c, np.frombuffer(b"".join(x[2] for x in g), "<u2").reshape(-1, size), lm_scoring.RATE * 0.3**turn)) for g in groups if g]
+        w = attention.unpack(np.average(np.array(fitted, float), axis=0, weights=[len(g) for g in groups if g]))
+    assert np.abs(attention.pack(lm_scoring.trained(frame, shard=100)[0]) - attention.pack(w)).max() < 1e-5
+    out = lm_scoring._learn(w, c, 0.01)(lm_scoring.chosen(frame, 0).select("key", "ids").toArrow())
+    assert out.num_rows < 100 and sum(len(x) for x in out.column("w").to_pylist()) == len(attention.pack(w))
+
+
 def test_lm_learns_from_every_window_once(spark):
     """The rounds' windows together are those of all texts; those of copies have keys of their own, so that shards share them."""
     rng = np.random.default_rng(9)
